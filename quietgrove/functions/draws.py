@@ -16,6 +16,8 @@ from typing import Optional
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quietgrove.functions import text
+
 DRAW_BITS = 52
 DRAW_SPAN = 1 << DRAW_BITS
 
@@ -24,19 +26,24 @@ def fresh_seed(seed: Optional[object] = None) -> str:
     return secrets.token_hex(32) if seed is None else str(seed)
 
 
-def draw_key(seed: object, *keys) -> Column:
-    """A 52-bit integer, uniform over [0, 2^52)."""
-    parts = [F.lit(str(seed))]
-    for k in keys:
-        k = F.col(k) if isinstance(k, str) else k
-        parts.append(F.coalesce(k.cast("string"), F.lit("")))
-    digest = F.sha2(F.concat_ws("|", *parts), 256)
-    return F.conv(F.substring(digest, 1, DRAW_BITS // 4), 16, 10).cast("long")
+def draw_sql(seed: object, *keys: str) -> str:
+    """A 52-bit integer, uniform over [0, 2^52), as SQL text over SQL keys."""
+    parts = "".join(f", coalesce(CAST({k} AS string), '')" for k in keys)
+    digest = f"sha2(concat_ws('|', {text.literal(str(seed))}{parts}), 256)"
+    return f"CAST(conv(substring({digest}, 1, {DRAW_BITS // 4}), 16, 10) AS bigint)"
+
+
+def uniform_sql(seed: object, *keys: str) -> str:
+    """Uniform in the open interval (0, 1), as SQL text."""
+    return f"(({draw_sql(seed, *keys)} + 0.5D) / {float(DRAW_SPAN)!r}D)"
+
+
+def draw_key(seed: object, *keys: str) -> Column:
+    return F.expr(draw_sql(seed, *text.names(keys)))
 
 
-def uniform(seed: object, *keys) -> Column:
-    """Uniform in the open interval (0, 1)."""
-    return (draw_key(seed, *keys) + F.lit(0.5)) / F.lit(float(DRAW_SPAN))
+def uniform(seed: object, *keys: str) -> Column:
+    return F.expr(uniform_sql(seed, *text.names(keys)))
 
 
 def driver_uniform(seed: object, *keys) -> float:

@@ -15,7 +15,8 @@ from typing import Mapping, Optional, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quietgrove.functions.columns import choose, floor_to
+from quietgrove.functions import text
+from quietgrove.functions.columns import choose
 from quietgrove.operators.prefix import chunk_bounds, chunk_of, running_sums
 from quietgrove.spec import Feature, Grid
 
@@ -27,24 +28,23 @@ def long_form(df: DataFrame, features: Sequence[Feature], keep: Sequence[str]) -
     """One row per (row, feature): ``keep`` + feature_idx, value, category."""
     parts = []
     for f in features:
-        number = F.lit(None).cast("double") if f.text else F.col(f.name).cast("double")
-        text = F.col(f.name) if f.text else F.lit(None).cast("string")
-        parts += [F.lit(f.index), number, text]
-    return df.select(*keep, F.stack(F.lit(len(features)), *parts).alias(*CANDIDATE))
+        col = text.name(f.name)
+        number = "CAST(NULL AS double)" if f.text else f"CAST({col} AS double)"
+        parts.append(f"{f.index}, {number}, {col if f.text else 'CAST(NULL AS string)'}")
+    return df.selectExpr(*text.names(keep), f"stack({len(features)}, {', '.join(parts)}) "
+                         f"AS ({', '.join(CANDIDATE)})")
 
 
-def _sums(hess: Optional[str]) -> list[Column]:
-    out = [F.count(F.lit(1)).alias("n"), F.sum("_g").alias("g")]
-    return out + [F.sum("_h").alias("h")] if hess else out
+def _sums(grad: str, hess: Optional[str]) -> list[Column]:
+    out = [F.expr("count(1) AS n"), F.expr(f"sum({text.name(grad)}) AS g")]
+    return out + [F.expr(f"sum({text.name(hess)}) AS h")] if hess else out
 
 
 def candidates_distinct(df: DataFrame, features: Sequence[Feature], by: Sequence[str] = (),
                         grad: str = "grad", hess: Optional[str] = None) -> DataFrame:
     """Every distinct value of every feature in each group, with row count and sums."""
-    named = df.select(*by, *[f.name for f in features], F.col(grad).alias("_g"),
-                      *([F.col(hess).alias("_h")] if hess else []))
-    keep = [*by, "_g"] + (["_h"] if hess else [])
-    return long_form(named, features, keep).groupBy(*by, *CANDIDATE).agg(*_sums(hess))
+    keep = [*by, grad] + ([hess] if hess else [])
+    return long_form(df, features, keep).groupBy(*by, *CANDIDATE).agg(*_sums(grad, hess))
 
 
 def grid_index(value: Column, grid: Grid) -> Column:
@@ -66,11 +66,9 @@ def candidates_grid(df: DataFrame, features: Sequence[Feature], grid: Grid,
     candidate.
     """
     numeric = [f for f in features if not f.is_cat]
-    named = df.select(*by, *[f.name for f in numeric], F.col(grad).alias("_g"),
-                      *([F.col(hess).alias("_h")] if hess else []))
-    cells = (long_form(named, numeric, [*by, "_g"] + (["_h"] if hess else []))
+    cells = (long_form(df, numeric, [*by, grad] + ([hess] if hess else []))
              .groupBy(*by, "feature_idx", grid_index(F.col("value"), grid).alias("cell"))
-             .agg(*_sums(hess)))
+             .agg(*_sums(grad, hess)))
     points = F.explode(F.sequence(F.lit(-1), F.lit(grid.size - 1)))
     dense = cells.select(*by, "feature_idx").distinct().select(*by, "feature_idx",
                                                                points.alias("cell"))
@@ -149,32 +147,33 @@ class ValueChunks:
             sizes = {c: row[f"d{i}"] // rows_per_chunk for i, c in enumerate(texts)}
         return cls(features, bounds, {c: int(s) + 1 for c, s in sizes.items() if s})
 
-    def column(self) -> Optional[Column]:
+    def sql(self) -> Optional[str]:
         cases = []
         for f in self.features:
-            here = F.col("feature_idx") == f.index
+            here = f"feature_idx = {f.index}"
             if self.bounds.get(f.name):
-                cases.append((here, chunk_of(F.col("value"), self.bounds[f.name])))
+                cases.append((here, chunk_of("value", self.bounds[f.name])))
             elif self.text_chunks.get(f.name):
                 # Order is irrelevant for categories; only the totals need the chunks.
-                parts = F.pmod(F.xxhash64("category"), F.lit(self.text_chunks[f.name]))
-                cases.append((here, parts.cast("int")))
-        return choose(cases, F.lit(0)) if cases else None
+                parts = f"CAST(pmod(xxhash64(category), {self.text_chunks[f.name]}) AS int)"
+                cases.append((here, parts))
+        return text.case(cases, "0") if cases else None
 
 
-def _is_cat(features: Sequence[Feature]) -> Column:
-    cat = [f.index for f in features if f.is_cat]
-    return F.col("feature_idx").isin(cat) if cat else F.lit(False)
+def _is_cat(features: Sequence[Feature]) -> str:
+    cat = [str(f.index) for f in features if f.is_cat]
+    return f"feature_idx IN ({', '.join(cat)})" if cat else "false"
 
 
-def gain_of(g_left, n_left, g_right, n_right, l2_lambda: float, floor_digits: bool = False
-            ) -> Column:
+def gain_sql(g_left: str, n_left: str, g_right: str, n_right: str, l2_lambda: float,
+             floor_digits: bool = False) -> str:
     """GL^2 / (nL + lambda) + GR^2 / (nR + lambda), not below 0."""
-    lam = F.lit(float(l2_lambda))
-    gain = g_left * g_left / (n_left + lam) + g_right * g_right / (n_right + lam)
+    lam = text.literal(float(l2_lambda))
+    gain = f"{g_left} * {g_left} / ({n_left} + {lam}) + {g_right} * {g_right} / ({n_right} + {lam})"
     if floor_digits:
-        gain = floor_to(gain, GAIN_DIGITS)
-    return F.greatest(gain, F.lit(0.0))
+        scale = text.literal(float(10 ** GAIN_DIGITS))
+        gain = f"CAST(floor(({gain}) * {scale}) AS double) / {scale}"
+    return f"greatest({gain}, 0.0D)"
 
 
 def split_gain(hist: DataFrame, features: Sequence[Feature], l2_lambda: float,
@@ -183,18 +182,17 @@ def split_gain(hist: DataFrame, features: Sequence[Feature], l2_lambda: float,
     """Gain of every candidate: left is ``<`` the value for numeric features and ``=`` for
     categorical ones. Candidates with an empty side are left out."""
     sums = [c for c in ("n", "g", "h") if c in hist.columns]
-    chunk = chunks.column() if chunks else None
+    chunk = chunks.sql() if chunks else None
     wide = running_sums(hist, [*by, "feature_idx"], ["value", "category"], sums, chunk)
     is_cat = _is_cat(features)
-    left = {s: F.when(is_cat, F.col(s)).otherwise(F.col(f"before_{s}")) for s in sums}
-    cols = [*[F.col(c) for c in [*by, *CANDIDATE]],
-            *[left[s].alias(f"{s}_left") for s in sums],
-            *[(F.col(f"total_{s}") - left[s]).alias(f"{s}_right") for s in sums]]
+    left = {s: f"CASE WHEN {is_cat} THEN {s} ELSE before_{s} END" for s in sums}
+    cols = [*text.names([*by, *CANDIDATE]), *[f"{left[s]} AS {s}_left" for s in sums],
+            *[f"total_{s} - {left[s]} AS {s}_right" for s in sums]]
     # A null value with a null category is the cell below a grid: no candidate.
-    named = wide.where(F.col("value").isNotNull() | F.col("category").isNotNull()).select(*cols)
-    return named.where((F.col("n_left") > 0) & (F.col("n_right") > 0)).withColumn(
-        "gain", gain_of(F.col("g_left"), F.col("n_left"), F.col("g_right"), F.col("n_right"),
-                        l2_lambda, floor_digits))
+    sides = wide.where("value IS NOT NULL OR category IS NOT NULL").selectExpr(*cols)
+    return sides.where("n_left > 0 AND n_right > 0").selectExpr(
+        "*", gain_sql("g_left", "n_left", "g_right", "n_right", l2_lambda, floor_digits)
+        + " AS gain")
 
 
 def sibling_gain(df: DataFrame, features: Sequence[Feature], l2_lambda: float,
@@ -206,25 +204,24 @@ def sibling_gain(df: DataFrame, features: Sequence[Feature], l2_lambda: float,
 
     One histogram per parent serves both children.
     """
-    flagged = df.select(*by, parent, side, *[f.name for f in features], F.col(grad).alias("_g"))
-    own = [F.count(F.lit(1)).alias("n"), F.sum("_g").alias("g")]
+    g, side_of = text.name(grad), text.name(side)
+    own = [F.expr("count(1) AS n"), F.expr(f"sum({g}) AS g")]
     for s in (0, 1):
-        mine = F.col(side) == s
-        own += [F.count(F.when(mine, 1)).alias(f"n{s}"),
-                F.coalesce(F.sum(F.when(mine, F.col("_g"))), F.lit(0.0)).alias(f"g{s}")]
-    hist = (long_form(flagged, features, [*by, parent, side, "_g"])
+        own += [F.expr(f"count(CASE WHEN {side_of} = {s} THEN 1 END) AS n{s}"),
+                F.expr(f"sum(CASE WHEN {side_of} = {s} THEN {g} ELSE 0.0D END) AS g{s}")]
+    hist = (long_form(df, features, [*by, parent, side, grad])
             .groupBy(*by, parent, *CANDIDATE).agg(*own))
     sums = ["n", "g", "n0", "g0", "n1", "g1"]
     wide = running_sums(hist, [*by, parent, "feature_idx"], ["value", "category"], sums,
-                        chunks.column() if chunks else None)
+                        chunks.sql() if chunks else None)
     is_cat = _is_cat(features)
-    left = {s: F.when(is_cat, F.col(s)).otherwise(F.col(f"before_{s}")) for s in sums}
-    right = {s: F.col(f"total_{s}") - left[s] for s in sums}
-    gain = gain_of(left["g"], left["n"], right["g"], right["n"], l2_lambda, floor_digits)
-    children = F.array(*[F.struct(F.lit(s).alias(side), F.col(f"n{s}").alias("_own"),
-                                  left[f"n{s}"].alias("n_left"), left[f"g{s}"].alias("g_left"),
-                                  right[f"n{s}"].alias("n_right"),
-                                  right[f"g{s}"].alias("g_right")) for s in (0, 1)])
-    return (wide.select(*by, parent, *CANDIDATE, gain.alias("gain"), F.inline(children))
-            .where((F.col("_own") > 0) & (F.col("n_left") > 0) & (F.col("n_right") > 0))
-            .drop("_own"))
+    left = {s: f"(CASE WHEN {is_cat} THEN {s} ELSE before_{s} END)" for s in sums}
+    right = {s: f"(total_{s} - {left[s]})" for s in sums}
+    gain = gain_sql(left["g"], left["n"], right["g"], right["n"], l2_lambda, floor_digits)
+    children = ", ".join(
+        f"{s}, n{s}, {left[f'n{s}']}, {left[f'g{s}']}, {right[f'n{s}']}, {right[f'g{s}']}"
+        for s in (0, 1))
+    return (wide.selectExpr(*text.names([*by, parent, *CANDIDATE]), f"{gain} AS gain",
+                            f"stack(2, {children}) AS ({side_of}, _own, n_left, g_left, "
+                            "n_right, g_right)")
+            .where("_own > 0 AND n_left > 0 AND n_right > 0").drop("_own"))

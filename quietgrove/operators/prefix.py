@@ -8,61 +8,58 @@ from __future__ import annotations
 
 from typing import Optional, Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quietgrove.functions import text
+
 
 def running_sums(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Sequence[str],
-                 chunk: Optional[Column] = None, totals: bool = True,
+                 chunk: Optional[str] = None, totals: bool = True,
                  next_of: Optional[str] = None) -> DataFrame:
     """Add ``before_<s>`` (sum over earlier rows), ``total_<s>`` (sum over the group) and, on
     request, ``next_<c>`` (value of ``c`` in the following row, null in the last).
 
-    ``chunk`` must not decrease along ``order``. Without it each group is one window.
+    ``chunk`` is SQL text that must not decrease along ``order``. Without it each group is
+    one window.
     """
+    by = text.names(by)
+
+    def window(keys, ordering=None, frame=""):
+        parts = (["PARTITION BY " + ", ".join(keys)] if keys else [])
+        parts += ["ORDER BY " + ", ".join(ordering)] if ordering else []
+        return f"OVER ({' '.join([*parts, frame])})"
+
+    earlier = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    order = text.names(order)
     if chunk is None:
-        group = W.partitionBy(*by)
-        ordered = group.orderBy(*order)
-        earlier = ordered.rowsBetween(W.unboundedPreceding, -1)
-        cols = [_zero(F.sum(s).over(earlier), s, df).alias(f"before_{s}") for s in sums]
+        cols = [f"coalesce(sum({s}) {window(by, order, earlier)}, 0) AS before_{s}" for s in sums]
         if totals:
-            cols += [F.sum(s).over(group).alias(f"total_{s}") for s in sums]
+            cols += [f"sum({s}) {window(by)} AS total_{s}" for s in sums]
         if next_of:
-            cols.append(F.lead(next_of).over(ordered).alias(f"next_{next_of}"))
-        return df.select("*", *cols)
+            cols.append(f"lead({next_of}) {window(by, order)} AS next_{next_of}")
+        return df.selectExpr("*", *cols)
 
-    by = list(by)
-    cut = df.withColumn("_chunk", chunk)
+    cut = df.selectExpr("*", f"{chunk} AS _chunk")
     heads = cut.groupBy(*by, "_chunk").agg(
         *[F.sum(s).alias(f"_c_{s}") for s in sums],
         *([F.min(next_of).alias("_first")] if next_of else []))
-    group = W.partitionBy(*by)
-    ordered = group.orderBy("_chunk")
-    earlier = ordered.rowsBetween(W.unboundedPreceding, -1)
-    cols = [F.coalesce(F.sum(f"_c_{s}").over(earlier), F.lit(0)).alias(f"_o_{s}") for s in sums]
+    cols = [f"coalesce(sum(_c_{s}) {window(by, ['_chunk'], earlier)}, 0) AS _o_{s}" for s in sums]
     if totals:
-        cols += [F.sum(f"_c_{s}").over(group).alias(f"total_{s}") for s in sums]
+        cols += [f"sum(_c_{s}) {window(by)} AS total_{s}" for s in sums]
     if next_of:
-        cols.append(F.lead("_first").over(ordered).alias("_follow"))
-    heads = heads.select(*by, "_chunk", *cols)
-    inside = W.partitionBy(*by, "_chunk").orderBy(*order)
-    earlier = inside.rowsBetween(W.unboundedPreceding, -1)
-    joined = cut.join(heads, [*by, "_chunk"])
-    out = [*[F.col(c) for c in df.columns],
-           *[(_zero(F.sum(s).over(earlier), s, df) + F.col(f"_o_{s}")).alias(f"before_{s}")
+        cols.append(f"lead(_first) {window(by, ['_chunk'])} AS _follow")
+    heads = heads.selectExpr(*by, "_chunk", *cols)
+    inside = [*by, "_chunk"]
+    out = [*text.names(df.columns),
+           *[f"coalesce(sum({s}) {window(inside, order, earlier)}, 0) + _o_{s} AS before_{s}"
              for s in sums]]
     if totals:
-        out += [F.col(f"total_{s}") for s in sums]
+        out += [f"total_{s}" for s in sums]
     if next_of:
-        out.append(F.coalesce(F.lead(next_of).over(inside), F.col("_follow"))
-                   .alias(f"next_{next_of}"))
-    return joined.select(*out)
-
-
-def _zero(col: Column, name: str, df: DataFrame) -> Column:
-    kind = dict(df.dtypes)[name]
-    return F.coalesce(col, F.lit(0).cast("double" if kind in ("double", "float") else "bigint"))
+        out.append(f"coalesce(lead({next_of}) {window(inside, order)}, _follow) "
+                   f"AS next_{next_of}")
+    return cut.join(heads, [c.strip("`") for c in inside]).selectExpr(*out)
 
 
 def chunk_bounds(df: DataFrame, columns: Sequence[str], rows_per_chunk: int = 500_000,
@@ -87,7 +84,7 @@ def chunk_bounds(df: DataFrame, columns: Sequence[str], rows_per_chunk: int = 50
     return {c: sorted(set(row[f"b{i}"])) for i, c in enumerate(big)}
 
 
-def chunk_of(value: Column, bounds: Sequence[float]) -> Column:
-    """Number of boundaries <= value."""
-    edges = F.array(*[F.lit(float(b)) for b in bounds])
-    return F.size(F.filter(edges, lambda b: b <= value))
+def chunk_of(value: str, bounds: Sequence[float]) -> str:
+    """Number of boundaries <= value, as SQL text."""
+    edges = ", ".join(text.literal(float(b)) for b in bounds)
+    return f"size(filter(array({edges}), b -> b <= {value}))"

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from typing import Optional, Sequence
+from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quietgrove.functions.draws import fresh_seed, gumbel, uniform
+from quietgrove.functions import text
+from quietgrove.functions.draws import fresh_seed, uniform_sql
 from quietgrove.operators.histogram import CANDIDATE
 from quietgrove.operators.prefix import running_sums
 
 
-def utility(gain, node_budget, delta_g: float) -> Column:
-    """Budget-scaled gain."""
-    gain = F.col(gain) if isinstance(gain, str) else gain
-    budget = node_budget if isinstance(node_budget, Column) else F.lit(float(node_budget))
-    return budget * gain / F.lit(2.0 * delta_g)
+def utility_sql(gain: str, node_budget: float, delta_g: float) -> str:
+    return f"{text.literal(float(node_budget))} * {gain} / {text.literal(2.0 * delta_g)}"
+
+
+def utility(cands: DataFrame, node_budget: float, delta_g: float, gain: str = "gain",
+            name: str = "utility") -> DataFrame:
+    """Add the budget-scaled gain."""
+    return cands.selectExpr("*", f"{utility_sql(text.name(gain), node_budget, delta_g)} AS {name}")
 
 
 def _group_join(df: DataFrame, side: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -59,36 +63,57 @@ def split_cdf(cands: DataFrame, by: Sequence[str] = (), probability: str = "prob
     """Add ``cdf``: running sum of the probabilities in candidate order. The running sum is
     chunked by feature, so a node is not one window."""
     summed = running_sums(cands, by, ["value", "category"], [probability],
-                          F.col("feature_idx"), totals=False)
+                          "feature_idx", totals=False)
     return summed.withColumn("cdf", F.col(f"before_{probability}") + F.col(probability)).drop(
         f"before_{probability}")
 
 
-def _row(cands: DataFrame, by: Sequence[str]) -> Column:
-    return F.struct(*[c for c in cands.columns if c not in by])
+def _row(cands: DataFrame, by: Sequence[str]) -> str:
+    return "struct({})".format(", ".join(text.names([c for c in cands.columns if c not in by])))
+
+
+def _pick(cands: DataFrame, by: Sequence[str], pick: str, order: str) -> DataFrame:
+    chosen = cands.groupBy(*by).agg(F.expr(f"{pick}({_row(cands, by)}, {order}) AS _best"))
+    if not by:  # a global aggregate yields a row even without candidates
+        chosen = chosen.where("_best IS NOT NULL")
+    return chosen.selectExpr(*text.names(by), "_best.*")
+
+
+def with_noise(cands: DataFrame, by: Sequence[str] = (), seed=None, score: str = "utility",
+               reverse: bool = False) -> DataFrame:
+    """Candidates with positive utility and ``noisy`` = utility + Gumbel noise."""
+    u = uniform_sql(fresh_seed(seed), *text.names([*by, *CANDIDATE]))
+    return cands.where(f"{text.name(score)} > 0").selectExpr(
+        "*", f"{'-' if reverse else ''}{text.name(score)} - ln(-ln({u})) AS noisy")
 
 
 def exponential_mechanism(cands: DataFrame, by: Sequence[str] = (), seed=None,
-                          score: str = "utility", reverse: bool = False,
-                          salt: Optional[Column] = None) -> DataFrame:
+                          score: str = "utility", reverse: bool = False) -> DataFrame:
     """Draw one candidate per group with probability proportional to exp(utility), among
     those with positive utility; groups without one yield no row.
 
     The maximum of utility + Gumbel noise has exactly this distribution and needs no
     normaliser, so the draw is a plain ``max_by``. ``reverse`` prefers low utilities.
     """
-    keys = [*by, *CANDIDATE] if salt is None else [salt, *by, *CANDIDATE]
-    sign = F.lit(-1.0 if reverse else 1.0)
-    noisy = sign * F.col(score) + gumbel(uniform(fresh_seed(seed), *keys))
-    return (cands.where(F.col(score) > 0).withColumn("_noisy", noisy)
-            .groupBy(*by).agg(F.max_by(_row(cands, by), "_noisy").alias("_best"))
-            .where(F.col("_best").isNotNull()).select(*by, "_best.*"))
+    return _pick(with_noise(cands, by, seed, score, reverse), by, "max_by", "noisy").drop("noisy")
+
+
+def _gain_order(gain: str) -> str:
+    """Ascending order of preference: gain, then first feature, then lowest value."""
+    return f"struct(-{text.name(gain)}, {', '.join(CANDIDATE)})"
 
 
 def best_split(cands: DataFrame, by: Sequence[str] = (), gain: str = "gain") -> DataFrame:
     """Candidate with the highest positive gain per group; ties go to the first feature,
     then to the lowest value."""
-    order = F.struct(-F.col(gain), *CANDIDATE)
-    return (cands.where(F.col(gain) > 0)
-            .groupBy(*by).agg(F.min_by(_row(cands, by), order).alias("_best"))
-            .where(F.col("_best").isNotNull()).select(*by, "_best.*"))
+    return _pick(cands.where(f"{text.name(gain)} > 0"), by, "min_by", _gain_order(gain))
+
+
+def best_per_feature(cands: DataFrame, by: Sequence[str], noisy: bool) -> DataFrame:
+    """The winner of each (group, feature). The running sums left the candidates partitioned
+    by group and feature, so this costs no exchange; the winner over the features of a node
+    is then found among a handful of rows."""
+    by = [*by, "feature_idx"]
+    if noisy:
+        return _pick(cands, by, "max_by", "noisy")
+    return _pick(cands.where("gain > 0"), by, "min_by", "struct(-gain, value, category)")

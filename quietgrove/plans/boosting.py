@@ -8,6 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quietgrove.functions import text
 from quietgrove.functions.columns import choose, clamp
 from quietgrove.functions.draws import driver_laplace, fresh_seed
 from quietgrove.functions.losses import Task, floored, task_of
@@ -44,11 +45,11 @@ class PrivateBoostedTrees:
             if self.params.reject:
                 split = train_test_split(base, 1 - self.params.validation, self.row_id,
                                          self.params.shuffle, f"{seed}|validation")
-                split = scratch.save(self._slim(split, features, "is_test"))
+                split = scratch.save(self._slim(split, features, "is_test"), spread=True)
                 holdout = split.where("is_test").drop("is_test")
                 base = split.where(~F.col("is_test")).drop("is_test")
             else:
-                base = scratch.save(self._slim(base, features))
+                base = scratch.save(self._slim(base, features), spread=True)
             init, params = self._start(base, seed)
             run = _Run(self, params, features, seed, scratch, {0: init})
             rounds = run.private(base, holdout) if params.private else \
@@ -71,7 +72,7 @@ class PrivateBoostedTrees:
         spark = df.sparkSession
         features = feature_list(df, self.numeric, self.categorical, self.order)
         with Scratch(spark) as scratch:
-            narrow = scratch.save(self._slim(df, features, fold))
+            narrow = scratch.save(self._slim(df, features, fold), spread=True)
             folds = sorted(r[0] for r in narrow.select(fold).distinct().collect())
             models = F.explode(F.filter(F.array(*[F.lit(f) for f in folds]),
                                         lambda m: m != F.col(fold)))
@@ -129,21 +130,21 @@ class _Run:
 
     # -- columns -------------------------------------------------------------------------
 
-    def _by_model(self, value) -> Column:
+    def _by_model(self, value) -> str:
         if len(self.models) == 1:
             return value(self.models[0])
-        return choose([(F.col("model") == m, value(m)) for m in self.models])
+        return text.case([(f"model = {m}", value(m)) for m in self.models])
 
     def start(self, df: DataFrame) -> DataFrame:
-        return df.withColumns({c: self._by_model(lambda m, k=k: F.lit(float(self.init[m][k])))
-                               for k, c in enumerate(self.pred)})
+        return df.withColumns({
+            c: F.expr(self._by_model(lambda m, k=k: text.literal(float(self.init[m][k]))))
+            for k, c in enumerate(self.pred)})
 
     def scores(self, rounds) -> list[Column]:
         """Stored scores plus the given rounds."""
         eta = self.params.learning_rate
-        if not rounds:
-            return [F.col(c) for c in self.pred]
-        return [F.col(c) + self._by_model(lambda m, k=k: boost([r[m][k] for r in rounds], eta))
+        return [F.expr(f"{c} + " + self._by_model(lambda m, k=k: boost([r[m][k] for r in rounds],
+                                                                       eta)))
                 for k, c in enumerate(self.pred)]
 
     def advance(self, df: DataFrame, rounds) -> DataFrame:

@@ -15,11 +15,11 @@ from typing import Optional, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quietgrove.functions.columns import choose
+from quietgrove.functions import text
 from quietgrove.operators.histogram import (ValueChunks, candidates_declared,
                                             candidates_distinct, candidates_grid, sibling_gain,
                                             split_gain)
-from quietgrove.operators.selection import best_split, exponential_mechanism, utility
+from quietgrove.operators.selection import best_per_feature, utility, with_noise
 from quietgrove.plans import privacy
 from quietgrove.plans.trees import Node, Split, Tree
 from quietgrove.spec import Feature, ModelParams
@@ -45,25 +45,23 @@ class Grower:
         def node_of(k):
             def at(m):
                 wanted = active.get((m, k), ())
-                return trees[m, k].column(lambda n: n.node_id if n.node_id in wanted else None,
-                                          "bigint")
+                return trees[m, k].sql(lambda n: n.node_id if n.node_id in wanted else None,
+                                       "bigint")
             if len(models) == 1:
                 return at(models[0])
-            return choose([(F.col("model") == m, at(m)) for m in models])
+            return text.case([(f"model = {m}", at(m)) for m in models])
 
-        names = [f.name for f in self.features]
+        names = text.names([f.name for f in self.features])
         if not multi:
-            routed = rows.select("model", F.lit(0).alias("class_id"), node_of(0).alias("node_id"),
-                                 F.col("g_0").alias("grad"), *names)
+            routed = rows.selectExpr("model", "0 AS class_id", f"{node_of(0)} AS node_id",
+                                     "g_0 AS grad", *names)
         else:
-            parts = []
-            for k in classes:
-                parts += [F.lit(k), node_of(k), F.col(f"g_{k}"), F.col(f"h_{k}")]
-            routed = rows.select("model", *names, F.stack(F.lit(len(classes)), *parts).alias(
-                "class_id", "node_id", "grad", "hess"))
+            parts = ", ".join(f"{k}, {node_of(k)}, g_{k}, h_{k}" for k in classes)
+            routed = rows.selectExpr("model", *names, f"stack({len(classes)}, {parts}) "
+                                     "AS (class_id, node_id, grad, hess)")
         everywhere = all(n.node_id in active.get(u, ()) for u, t in trees.items()
                          for n in t.leaves)
-        return routed if everywhere else routed.where(F.col("node_id").isNotNull())
+        return routed if everywhere else routed.where("node_id IS NOT NULL")
 
     def _histogram(self, work: DataFrame, by: Sequence[str], hess: Optional[str]) -> DataFrame:
         p = self.params
@@ -114,15 +112,20 @@ class Grower:
                ) -> dict:
         """The chosen split of every active node that has one."""
         p, by = self.params, [*UNIT, "node_id"]
-        gains = self.candidates(rows, trees, active, depth)
-        if p.private and not p.argmax_splits:
+        cands = self.candidates(rows, trees, active, depth)
+        noisy = p.private and not p.argmax_splits
+        if noisy:
             budget = privacy.node_budget(p, privacy.tree_budget(p), depth)
-            scored = gains.withColumn("utility", utility("gain", budget, privacy.delta_g(p)))
-            chosen = exponential_mechanism(scored, by, f"{self.seed}|split|{tree_index}")
-        else:
-            chosen = best_split(gains, by)
-        return {((r["model"], r["class_id"]), r["node_id"]): r.asDict()
-                for r in chosen.collect()}
+            cands = with_noise(utility(cands, budget, privacy.delta_g(p)), by,
+                               f"{self.seed}|split|{tree_index}")
+        best: dict = {}
+        for row in best_per_feature(cands, by, noisy).collect():
+            c = row.asDict()
+            place = (c["model"], c["class_id"]), c["node_id"]
+            c["_order"] = (-c["noisy" if noisy else "gain"], c["feature_idx"])
+            if place not in best or c["_order"] < best[place]["_order"]:
+                best[place] = c
+        return best
 
     # -- growth orders -------------------------------------------------------------------
 

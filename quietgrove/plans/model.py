@@ -8,10 +8,12 @@ from typing import Optional, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quietgrove.functions import text
 from quietgrove.functions.columns import sigmoid
 from quietgrove.functions.losses import argmax_class, task_of
 from quietgrove.plans.privacy import Ledger
-from quietgrove.plans.trees import Node, Split, Tree, ancestors, nodes_frame
+from quietgrove.plans.trees import (COMPILED_NODES, Node, Split, Tree, ancestors,
+                                     nodes_frame)
 from quietgrove.spec import Feature, ModelParams
 
 
@@ -28,7 +30,8 @@ class BoostedModel:
     def raw_columns(self, rounds: Optional[int] = None) -> list[Column]:
         """Raw score per class after the first ``rounds`` rounds (all by default)."""
         used = self.trees if rounds is None else self.trees[:rounds]
-        return [F.lit(float(s)) + boost([r[k] for r in used], self.params.learning_rate)
+        return [F.expr(f"{text.literal(float(s))} + "
+                       + boost([r[k] for r in used], self.params.learning_rate))
                 for k, s in enumerate(self.init)]
 
     def _raw(self, df: DataFrame) -> tuple[DataFrame, list[Column]]:
@@ -76,8 +79,8 @@ class BoostedModel:
                       name: str = "path") -> DataFrame:
         """Node ids from the root to the row's leaf. Node ids encode their ancestors, so the
         path is arithmetic on the leaf id."""
-        leaf = self.trees[tree_id][class_id].leaf_id_column()
-        return df.withColumn("_leaf", leaf).withColumn(name, ancestors(F.col("_leaf"))).drop("_leaf")
+        leaf = self.trees[tree_id][class_id].leaf_id_sql()
+        return df.withColumn("_leaf", F.expr(leaf)).withColumn(name, ancestors(F.col("_leaf"))).drop("_leaf")
 
     # -- tables --------------------------------------------------------------------------
 
@@ -95,7 +98,7 @@ class BoostedModel:
         for t, round_ in enumerate(self.trees):
             raw = self.raw_columns(t)
             for k in k_range:
-                parts += [F.lit(t), F.lit(k), round_[k].leaf_id_column(),
+                parts += [F.lit(t), F.lit(k), F.expr(round_[k].leaf_id_sql()),
                           self.task.gradient(target, raw, k)]
         names = ["tree_id", "class_id", "leaf_id", "grad"]
         leaves = (df.select(F.stack(F.lit(len(parts) // 4), *parts).alias(*names))
@@ -126,9 +129,9 @@ class BoostedModel:
                    [[trees[t, k] for k in range(len(init))] for t in range(rounds)])
 
 
-def boost(trees: Sequence[Tree], learning_rate: float) -> Column:
-    """learning rate x sum of tree values."""
-    total = F.lit(0.0)
-    for tree in trees:
-        total = total + tree.value_column()
-    return F.lit(float(learning_rate)) * total
+def boost(trees: Sequence[Tree], learning_rate: float) -> str:
+    """learning rate x sum of tree values, as SQL text. Branches are compiled while the sum
+    stays small enough for one generated method."""
+    compiled = sum(len(t.nodes) for t in trees) <= COMPILED_NODES
+    total = " + ".join(tree.value_sql(compiled) for tree in trees) or "0.0D"
+    return f"{text.literal(float(learning_rate))} * ({total})"

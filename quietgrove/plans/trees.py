@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quietgrove.functions import text
 from quietgrove.spec import Feature
 
 NODE_SCHEMA = T.StructType([
@@ -37,12 +38,12 @@ class Split:
     category: Optional[str]
     gain: float
 
-    def goes_left(self) -> Column:
-        col = F.col(self.feature.name)
+    def goes_left(self) -> str:
+        """SQL condition of the left branch."""
+        col = text.name(self.feature.name)
         if self.feature.text:
-            return col == F.lit(self.category)
-        col = col.cast("double")
-        return col == F.lit(self.value) if self.feature.is_cat else col < F.lit(self.value)
+            return f"{col} = {text.literal(self.category)}"
+        return f"{col} {'=' if self.feature.is_cat else '<'} {text.literal(float(self.value))}"
 
 
 @dataclass
@@ -75,56 +76,58 @@ class Tree:
     def depth(self) -> int:
         return max((n.depth for n in self.nodes.values()), default=0)
 
-    def value_column(self) -> Column:
-        return self.column(lambda n: float(n.prediction or 0.0), "double")
+    def value_sql(self, compiled: Optional[bool] = None) -> str:
+        return self.sql(lambda n: float(n.prediction or 0.0), "double", compiled)
 
-    def leaf_id_column(self) -> Column:
-        return self.column(lambda n: n.node_id, "bigint")
+    def leaf_id_sql(self) -> str:
+        return self.sql(lambda n: n.node_id, "bigint")
 
-    def column(self, leaf: Callable[[Node], object], kind: str) -> Column:
-        """The value of ``leaf`` at the leaf that a row falls into."""
-        if len(self.nodes) <= COMPILED_NODES:
+    def sql(self, leaf: Callable[[Node], object], kind: str, compiled: Optional[bool] = None
+            ) -> str:
+        """The value of ``leaf`` at the leaf that a row falls into, as SQL text."""
+        if compiled or (compiled is None and len(self.nodes) <= COMPILED_NODES):
             return self._compiled(0, leaf, kind)
         return self._walked(leaf, kind)
 
-    def _compiled(self, node_id: int, leaf, kind: str) -> Column:
+    def _compiled(self, node_id: int, leaf, kind: str) -> str:
         node = self.nodes[node_id]
         if node.split is None:
-            return F.lit(leaf(node)).cast(kind)
+            return text.literal(leaf(node), kind)
         left, right = (self._compiled(c, leaf, kind) for c in node.children)
-        return F.when(node.split.goes_left(), left).otherwise(right)
+        return text.case([(node.split.goes_left(), left)], right)
 
-    def _walked(self, leaf, kind: str) -> Column:
+    def _walked(self, leaf, kind: str) -> str:
         order = {i: p for p, i in enumerate(sorted(self.nodes))}
         nodes = [self.nodes[i] for i in order]
         used = sorted({n.split.feature for n in nodes if n.split}, key=lambda f: f.index)
         slot = {f.index: p for p, f in enumerate(used)}
-        numbers = F.array(*[F.lit(None).cast("double") if f.text else F.col(f.name).cast("double")
-                            for f in used])
-        texts = F.array(*[F.col(f.name) if f.text else F.lit(None).cast("string") for f in used])
 
         def table(values, t):
-            return F.array(*[F.lit(v).cast(t) for v in values])
+            return f"array({', '.join(text.literal(v, t) for v in values)})"
 
-        feature = table([slot[n.split.feature.index] if n.split else None for n in nodes], "int")
+        def of_split(get, t):
+            return table([get(n) if n.split else None for n in nodes], t)
+
+        numbers = "array({})".format(", ".join(
+            "CAST(NULL AS double)" if f.text else f"CAST({text.name(f.name)} AS double)"
+            for f in used))
+        texts = "array({})".format(", ".join(
+            text.name(f.name) if f.text else "CAST(NULL AS string)" for f in used))
+        feature = of_split(lambda n: slot[n.split.feature.index], "int")
         # 0: number below, 1: number equal, 2: text equal
-        test = table([(2 if n.split.feature.text else int(n.split.feature.is_cat))
-                      if n.split else None for n in nodes], "int")
-        value = table([n.split.value if n.split else None for n in nodes], "double")
-        category = table([n.split.category if n.split else None for n in nodes], "string")
-        left = table([order[n.children[0]] if n.split else p for p, n in enumerate(nodes)], "int")
-        right = table([order[n.children[1]] if n.split else p for p, n in enumerate(nodes)], "int")
-
-        def step(at, _):
-            f, t = F.get(feature, at), F.get(test, at)
-            number = F.get(numbers, f)
-            goes_left = (F.when(t == 0, number < F.get(value, at))
-                         .when(t == 1, number == F.get(value, at))
-                         .when(t == 2, F.get(texts, f) == F.get(category, at)))
-            return F.when(goes_left, F.get(left, at)).otherwise(F.get(right, at))
-
-        end = F.aggregate(F.sequence(F.lit(1), F.lit(max(self.depth, 1))), F.lit(0), step)
-        return F.get(table([None if n.split else leaf(n) for n in nodes], kind), end)
+        test = of_split(lambda n: 2 if n.split.feature.text else int(n.split.feature.is_cat), "int")
+        value = of_split(lambda n: n.split.value, "double")
+        category = of_split(lambda n: n.split.category, "string")
+        left, right = (table([order[n.children[s]] if n.split else p
+                              for p, n in enumerate(nodes)], "int") for s in (0, 1))
+        number, at_text = f"get({numbers}, get({feature}, at))", f"get({texts}, get({feature}, at))"
+        goes_left = text.case([
+            (f"get({test}, at) = 0", f"{number} < get({value}, at)"),
+            (f"get({test}, at) = 1", f"{number} = get({value}, at)"),
+            (f"get({test}, at) = 2", f"{at_text} = get({category}, at)")])
+        step = text.case([(goes_left, f"get({left}, at)")], f"get({right}, at)")
+        end = f"aggregate(sequence(1, {max(self.depth, 1)}), 0, (at, level) -> {step})"
+        return f"get({table([None if n.split else leaf(n) for n in nodes], kind)}, {end})"
 
     def rows(self, tree_id: int, class_id: int) -> list[tuple]:
         out = []

@@ -35,8 +35,20 @@ class Scratch:
         self.path = f"{checkpoint_root(spark).rstrip('/')}/quietgrove-{uuid.uuid4().hex}"
         self._n = 0
 
-    def save(self, df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
-        """Write ``df`` and return the stored table (same columns, same order)."""
+    def save(self, df: DataFrame, partition_by: Sequence[str] = (), spread: bool = False
+             ) -> DataFrame:
+        """Write ``df`` and return the stored table (same columns, same order).
+
+        ``spread`` is for tables that are scanned many times: one that came out in fewer
+        files than there are cores (so it is small) is written again with a file per core.
+        """
+        stored = self._write(df, partition_by)
+        cores = self.spark.sparkContext.defaultParallelism
+        if spread and len(stored.inputFiles()) < cores:
+            stored = self._write(stored.repartition(cores), partition_by)
+        return stored
+
+    def _write(self, df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
         self._n += 1
         path = f"{self.path}/t{self._n}"
         writer = df.write.mode("error")
