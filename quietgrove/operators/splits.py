@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quietgrove.functions.columns import clamp, interval_index, tuple_less
 from quietgrove.functions.draws import draw_key, fresh_seed
-from quietgrove.operators.ranking import order_exprs, position_cuts
+from quietgrove.operators.ranking import global_rank, order_exprs, position_cuts
 
 DRAW = "_draw"
 
@@ -26,10 +26,15 @@ def _ordered(df: DataFrame, key: str, shuffle: bool, seed) -> tuple[DataFrame, l
     return df.withColumn(DRAW, draw_key(fresh_seed(seed), key)), [DRAW, key]
 
 
-def shuffle(df: DataFrame, seed, key: str = "row_id") -> DataFrame:
+def shuffle(df: DataFrame, seed, key: str = "row_id", position: Optional[str] = None
+            ) -> DataFrame:
     """Rows in random order. The order is that of a seeded draw per row, so it does not
-    depend on the partitioning; the sort is a range exchange."""
-    return df.orderBy(draw_key(fresh_seed(seed), key), key)
+    depend on the partitioning; the sort is a range exchange. ``position`` adds the row's
+    place in the new order."""
+    drawn = df.withColumn(DRAW, draw_key(fresh_seed(seed), key))
+    if position is not None:
+        return global_rank(drawn, [DRAW, key], position).drop(DRAW)
+    return drawn.orderBy(DRAW, key).drop(DRAW)
 
 
 def train_test_split(df: DataFrame, train_ratio: float, key: str, shuffle: bool = True,

@@ -197,7 +197,6 @@ class _Run:
         grower, judge, rounds = self.grower(base), self._judge(holdout), []
         filtering = self.params.gradient_filtering and len(self.classes) == 1
         per, total = self.params.per_ensemble, self.params.nb_trees
-        patience = None
         for first in range(0, total, per):
             trees = range(first, min(first + per, total))
             grow = self._filtered_rows if filtering else self._allotted_rows
@@ -208,7 +207,6 @@ class _Run:
                 if judge and not judge.accepts(grown):
                     continue
                 rounds.append(grown)
-        del patience
         return rounds
 
     def _quotas(self, per: int):

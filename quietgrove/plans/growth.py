@@ -16,16 +16,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quietgrove.functions import text
+from quietgrove.functions.draws import driver_laplace, fresh_seed
 from quietgrove.operators.histogram import (ValueChunks, candidates_declared,
                                             candidates_distinct, candidates_grid, sibling_gain,
                                             split_gain)
+from quietgrove.operators.leaves import SMALL_DENOMINATOR
 from quietgrove.operators.selection import best_per_feature, utility, with_noise
 from quietgrove.plans import privacy
 from quietgrove.plans.trees import Node, Split, Tree
+from quietgrove.scratch import Scratch
 from quietgrove.spec import Feature, ModelParams
 
 UNIT = ["model", "class_id"]
-SMALL_DENOMINATOR = 1e-150  # fixed value: below it a Newton step is taken as 0
 
 
 class Grower:
@@ -246,7 +248,6 @@ class Grower:
                     bound = privacy.leaf_threshold(p, tree_index)
                     value = max(-bound, min(bound, value))
                 if p.noise:
-                    from quietgrove.functions.draws import driver_laplace
                     value += driver_laplace(privacy.laplace_scale(p, tree_index), self.seed,
                                             "leaf", tree_index, *unit, leaf.node_id)
             leaf.prediction = value
@@ -260,3 +261,15 @@ def leaf_value(n: int, g: float, l2_lambda: float, h: float = 0.0, n_classes: in
             return 0.0
         return -g * (n_classes - 1) / n_classes / (h + l2_lambda)
     return -g / (n + l2_lambda)
+
+
+def fit_tree(df: DataFrame, params: ModelParams, features: Sequence[Feature],
+             grad: str = "grad", tree_index: int = 0) -> Tree:
+    """One tree on given gradients. The growth order follows ``params.growth``."""
+    with Scratch(df.sparkSession) as scratch:
+        names = [f.name for f in features]
+        rows = scratch.save(df.select(F.lit(0).alias("model"), *names, F.col(grad).alias("g_0")),
+                            spread=True)
+        chunks = ValueChunks.measure(rows, features) if params.candidates == "distinct" else None
+        grower = Grower(params, features, fresh_seed(params.seed), chunks)
+        return grower.grow(rows, [0], tree_index)[0, 0]
