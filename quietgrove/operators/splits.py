@@ -7,7 +7,7 @@ cut keys (see ``ranking.position_cuts``), so no operator here shuffles the rows.
 from __future__ import annotations
 
 import math
-from typing import Optional, Sequence
+from typing import Callable, Optional, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,19 +44,17 @@ def train_test_split(df: DataFrame, train_ratio: float, key: str, shuffle: bool
         return df.withColumn("is_test", F.lit(False))
     if train_ratio <= 0:
         return df.withColumn("is_test", F.lit(True))
-    ordered, cols = _ordered(df, key, shuffle, seed)
-    size = {}
+    return mark_first(df, lambda n: math.ceil((1 - train_ratio) * n), key, shuffle, seed)
 
-    def last_test_row(n):
-        size["test"] = math.ceil((1 - train_ratio) * n)
-        return [size["test"] - 1] if n else []
 
-    _, cuts = position_cuts(ordered, cols, last_test_row)
-    if not cuts:
-        return df.withColumn("is_test", F.lit(False))
-    exprs = order_exprs(ordered, cols)
-    is_test = ~_greater(exprs, cuts[0])
-    return ordered.withColumn("is_test", is_test).drop(DRAW)
+def mark_first(df: DataFrame, count: Callable[[int], int], key: str, shuffle: bool = True,
+               seed=None, name: str = "is_test") -> DataFrame:
+    """Flag the first ``count(n)`` of n rows."""
+    ordered, cols = _ordered(df, key, shuffle, seed)
+    _, cuts = position_cuts(ordered, cols,
+                            lambda n: [min(count(n), n) - 1] if min(count(n), n) > 0 else [])
+    flag = ~_greater(order_exprs(ordered, cols), cuts[0]) if cuts else F.lit(False)
+    return ordered.withColumn(name, flag).drop(DRAW)
 
 
 def _greater(cols: Sequence[Column], cut) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from typing import Optional, Sequence
 
 from pyspark import StorageLevel
@@ -14,7 +15,7 @@ from quietgrove.functions.draws import driver_laplace, fresh_seed
 from quietgrove.functions.losses import Task, floored, task_of
 from quietgrove.operators.histogram import ValueChunks
 from quietgrove.operators.splits import (allot, balanced_quotas, geometric_quotas,
-                                         gradient_filter, train_test_split)
+                                         gradient_filter, mark_first)
 from quietgrove.plans import privacy
 from quietgrove.plans.growth import Grower
 from quietgrove.plans.model import BoostedModel, boost
@@ -43,8 +44,8 @@ class PrivateBoostedTrees:
         with Scratch(spark) as scratch:
             base, holdout = df.withColumn("model", F.lit(0)), None
             if self.params.reject:
-                split = train_test_split(base, 1 - self.params.validation, self.row_id,
-                                         self.params.shuffle, f"{seed}|validation")
+                split = mark_first(base, lambda n: math.ceil(self.params.validation * n),
+                                   self.row_id, self.params.shuffle, f"{seed}|validation")
                 split = scratch.save(self._slim(split, features, "is_test"), spread=True)
                 holdout = split.where("is_test").drop("is_test")
                 base = split.where(~F.col("is_test")).drop("is_test")
