@@ -141,20 +141,22 @@ def partition_geometric(df: DataFrame, trees: int, eta: float, seed=None, key: s
 
 def gradient_filter(df: DataFrame, quota: Optional[int], l2: float, seed=None,
                     grad: str = "grad", key: str = "row_id", mode: str = "fill",
-                    shuffle: bool = True, keep_all: bool = False) -> DataFrame:
+                    shuffle: bool = True, keep_all: bool = False,
+                    order: Optional[Sequence[str]] = None) -> DataFrame:
     """Gradient-based choice of one tree's rows.
 
     fill  take rows with |g| <= l2 first, fill up with others; their g is clipped
     drop  take any rows, then leave out those with |g| > l2
     clip  keep all rows, clip every g
     With ``keep_all`` the choice is returned as a ``selected`` flag instead of a filter.
+    ``order`` names stored columns that already hold the random order.
     """
     clipped = clamp(grad, -float(l2), float(l2))
     if mode == "clip":
         return df.withColumn(grad, clipped)
     if mode not in ("fill", "drop"):
         raise ValueError(f"unknown mode {mode}")
-    ordered, cols = _ordered(df, key, shuffle, seed)
+    ordered, cols = (df, list(order)) if order else _ordered(df, key, shuffle, seed)
     outside = F.abs(F.col(grad)) > F.lit(float(l2))
     if mode == "fill":
         ordered = ordered.withColumn("_outside", outside.cast("int"))
@@ -166,5 +168,5 @@ def gradient_filter(df: DataFrame, quota: Optional[int], l2: float, seed=None,
     out = ordered.withColumn("selected", taken)
     if mode == "fill":
         out = out.withColumn(grad, F.when(F.col("selected"), clipped).otherwise(F.col(grad)))
-    out = out.drop(DRAW, "_outside")
+    out = out.drop("_outside") if order else out.drop(DRAW, "_outside")
     return out if keep_all else out.where("selected").drop("selected")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quietgrove.functions import text
 from quietgrove.functions.columns import choose, clamp
-from quietgrove.functions.draws import driver_laplace, fresh_seed
+from quietgrove.functions.draws import draw_key, driver_laplace, fresh_seed
 from quietgrove.functions.losses import Task, floored, task_of
 from quietgrove.operators.histogram import ValueChunks
 from quietgrove.operators.splits import (allot, balanced_quotas, geometric_quotas,
@@ -188,7 +188,9 @@ class _Run:
             rounds.append(grown)
             pending.append(grown)
             if len(pending) >= self.params.refresh_every and t + 1 < self.params.nb_trees:
-                current, pending = self.scratch.save(self.advance(current, pending)), []
+                following = self.scratch.save(self.advance(current, pending))
+                self.scratch.release(current)
+                current, pending = following, []
         return rounds
 
     # -- with a budget -------------------------------------------------------------------
@@ -232,31 +234,27 @@ class _Run:
             yield t, self.gradients(part, rounds, p.l2_threshold)
 
     def _filtered_rows(self, base, trees, per, rounds):
-        """Rows chosen by their current gradient, so they cannot be fixed in advance. The
-        pool of unused rows is stored again every few trees."""
+        """Rows chosen by their current gradient, so they cannot be fixed in advance.
+
+        The pool of unused rows is stored once per tree, with gradients and draws: finding
+        the cut and splitting the pool then only reads, and no expression outlives a tree.
+        """
         p, key = self.params, self.trainer.row_id
-        pool = self.scratch.save(self.advance(self.start(base), rounds))
-        known, unsaved = len(rounds), 0
-        sizes = self._quotas(per)(pool.count())
+        pool, known, last = self.start(base), 0, None
+        sizes = self._quotas(per)(base.count())
+        g = floored(self.task.gradient(self.target, self.pred), p.floor_digits)
         for i, t in enumerate(trees):
             if i >= len(sizes) or sizes[i] == 0:
                 return
-            pending = rounds[known:]
-            scored = self.advance(pool, pending)
-            g = floored(self.task.gradient(self.target, self.pred), p.floor_digits)
-            flagged = gradient_filter(scored.withColumn("g_0", g), sizes[i], p.l2_threshold,
-                                      f"{self.seed}|rows|{t}", "g_0", key, "fill", p.shuffle,
-                                      keep_all=True)
-            unsaved += 1
-            if unsaved >= p.refresh_every:
-                flagged, unsaved, known = self.scratch.save(flagged), 0, len(rounds)
-                pool = flagged.where(~F.col("selected")).drop("selected", "g_0")
-            else:
-                # Keep the stored scores; later trees add the pending rounds themselves.
-                kept = flagged.where(~F.col("selected")).select(
-                    *[c for c in pool.columns if c not in self.pred],
-                    *[(F.col(c) - 0.0).alias(c) for c in self.pred])
-                pool, known = kept, len(rounds)
+            draw = draw_key(f"{self.seed}|rows|{t}", key) if p.shuffle else F.lit(0)
+            scored = self.advance(pool, rounds[known:])
+            stored = self.scratch.save(scored.withColumns({"g_0": g, "_place": draw}))
+            if last is not None:
+                self.scratch.release(last)
+            last, known = stored, len(rounds)
+            flagged = gradient_filter(stored, sizes[i], p.l2_threshold, grad="g_0", key=key,
+                                      keep_all=True, order=["_place", key])
+            pool = flagged.where(~F.col("selected")).drop("selected", "g_0", "_place")
             yield t, flagged.where("selected").select(
                 "model", *[f.name for f in self.features], "g_0")
 

@@ -34,6 +34,18 @@ class BoostedModel:
                        + boost([r[k] for r in used], self.params.learning_rate))
                 for k, s in enumerate(self.init)]
 
+    def stages(self, df: DataFrame, prefix: str = "_stage") -> tuple[DataFrame, list[list[str]]]:
+        """Raw scores before each round and after the last one, as columns. Each stage adds
+        one round to the stage before it."""
+        eta = self.params.learning_rate
+        classes = range(len(self.init))
+        names = [[f"{prefix}_{t}_{k}" for k in classes] for t in range(len(self.trees) + 1)]
+        out = df.withColumns({names[0][k]: F.lit(float(self.init[k])) for k in classes})
+        for t, round_ in enumerate(self.trees):
+            out = out.withColumns({names[t + 1][k]: F.expr(
+                f"{names[t][k]} + {boost([round_[k]], eta)}") for k in classes})
+        return out, names
+
     def _raw(self, df: DataFrame) -> tuple[DataFrame, list[Column]]:
         names = [f"_raw_{k}" for k in range(len(self.init))]
         scored = df.withColumns(dict(zip(names, self.raw_columns())))
@@ -94,14 +106,13 @@ class BoostedModel:
         spread over the ancestors.
         """
         parts = []
-        k_range = range(len(self.init))
+        staged, raws = self.stages(df)
         for t, round_ in enumerate(self.trees):
-            raw = self.raw_columns(t)
-            for k in k_range:
-                parts += [F.lit(t), F.lit(k), F.expr(round_[k].leaf_id_sql()),
-                          self.task.gradient(target, raw, k)]
+            for k, tree in enumerate(round_):
+                parts += [F.lit(t), F.lit(k), F.expr(tree.leaf_id_sql()),
+                          self.task.gradient(target, raws[t], k)]
         names = ["tree_id", "class_id", "leaf_id", "grad"]
-        leaves = (df.select(F.stack(F.lit(len(parts) // 4), *parts).alias(*names))
+        leaves = (staged.select(F.stack(F.lit(len(parts) // 4), *parts).alias(*names))
                   .groupBy(*names[:3]).agg(F.count(F.lit(1)).alias("n"), F.sum("grad").alias("g")))
         spread = leaves.select("tree_id", "class_id", "n", "g",
                                F.explode(ancestors(F.col("leaf_id"))).alias("node_id"))

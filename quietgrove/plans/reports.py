@@ -93,14 +93,14 @@ def trace(models: Mapping[int, BoostedModel], rows: DataFrame, target: str = "y"
     folds; gradients of all stages come from one pass over the rows.
     """
     spark: SparkSession = rows.sparkSession
-    parts, leaf_rows = [], []
+    parts, leaf_rows, staged = [], [], rows
     for f, model in models.items():
+        staged, raws = model.stages(staged, f"_stage_{f}")
         for t, round_ in enumerate(model.trees):
-            raw = model.raw_columns(t)
-            g = model.task.gradient(target, raw, 0)
+            g = model.task.gradient(target, raws[t], 0)
             parts += [F.lit(f), F.lit(t), F.when(F.col(fold) != f, g)]
             leaf_rows.append((f, t, float(sum(n.prediction for n in round_[0].leaves))))
-    sums = (rows.select(F.stack(F.lit(len(parts) // 3), *parts).alias("fold", "tree_id", "g"))
+    sums = (staged.select(F.stack(F.lit(len(parts) // 3), *parts).alias("fold", "tree_id", "g"))
             .groupBy("fold", "tree_id").agg(F.sum("g").alias("gradient_sum")))
     leaves = spark.createDataFrame(leaf_rows, "fold int, tree_id int, leaf_sum double")
 

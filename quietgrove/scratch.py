@@ -34,6 +34,7 @@ class Scratch:
         self.spark = spark
         self.path = f"{checkpoint_root(spark).rstrip('/')}/quietgrove-{uuid.uuid4().hex}"
         self._n = 0
+        self._stored: list[tuple[DataFrame, str]] = []
 
     def save(self, df: DataFrame, partition_by: Sequence[str] = (), spread: bool = False
              ) -> DataFrame:
@@ -45,9 +46,18 @@ class Scratch:
         stored = self._write(df, partition_by)
         cores = self.spark.sparkContext.defaultParallelism
         if spread and len(stored.inputFiles()) < cores:
-            stored = self._write(stored.repartition(cores), partition_by)
+            small, stored = stored, self._write(stored.repartition(cores), partition_by)
+            self.release(small)
         return stored
 
+    def release(self, stored: DataFrame) -> None:
+        """Delete a stored table that nothing reads any more."""
+        for i, (df, path) in enumerate(self._stored):
+            if df is stored:
+                del self._stored[i]
+                self._delete(path)
+                return
+
     def _write(self, df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
         self._n += 1
         path = f"{self.path}/t{self._n}"
@@ -55,16 +65,21 @@ class Scratch:
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path).select(*df.columns)
+        stored = self.spark.read.schema(df.schema).parquet(path).select(*df.columns)
+        self._stored.append((stored, path))
+        return stored
+
+    def _delete(self, folder: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        path.getFileSystem(conf).delete(path, True)
 
     def __enter__(self) -> "Scratch":
         return self
 
     def __exit__(self, *_):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        path.getFileSystem(conf).delete(path, True)
+        self._delete(self.path)
 
 
 def materialize(df: DataFrame, partition_by: Optional[Sequence[str]] = None) -> DataFrame:
