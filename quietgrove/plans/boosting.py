@@ -19,6 +19,7 @@ from quietgrove.operators.splits import (allot, balanced_quotas, geometric_quota
 from quietgrove.plans import privacy
 from quietgrove.plans.growth import Grower
 from quietgrove.plans.model import BoostedModel, boost
+from quietgrove.plans.trees import COMPILED_ROWS
 from quietgrove.scratch import Scratch
 from quietgrove.spec import ModelParams, feature_list
 
@@ -128,6 +129,7 @@ class _Run:
         self.models = sorted(init)
         self.classes = range(len(init[self.models[0]]))
         self.pred = [f"_pred_{k}" for k in self.classes]
+        self.compiled = True
 
     # -- columns -------------------------------------------------------------------------
 
@@ -144,8 +146,8 @@ class _Run:
     def scores(self, rounds) -> list[Column]:
         """Stored scores plus the given rounds."""
         eta = self.params.learning_rate
-        return [F.expr(f"{c} + " + self._by_model(lambda m, k=k: boost([r[m][k] for r in rounds],
-                                                                       eta)))
+        return [F.expr(f"{c} + " + self._by_model(
+                    lambda m, k=k: boost([r[m][k] for r in rounds], eta, self.compiled)))
                 for k, c in enumerate(self.pred)]
 
     def advance(self, df: DataFrame, rounds) -> DataFrame:
@@ -167,7 +169,9 @@ class _Run:
         # Data-independent grids are small; distinct values may be many.
         chunks = ValueChunks.measure(df, self.features) \
             if self.params.candidates == "distinct" else None
-        return Grower(self.params, self.features, self.seed, chunks)
+        per_tree = df.count() // (self.params.per_ensemble if self.params.private else 1)
+        self.compiled = per_tree >= COMPILED_ROWS
+        return Grower(self.params, self.features, self.seed, chunks, self.compiled)
 
     def round_of(self, trees: dict) -> dict:
         return {m: [trees[m, k] for k in self.classes] for m in self.models}

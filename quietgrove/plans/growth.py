@@ -23,7 +23,7 @@ from quietgrove.operators.histogram import (ValueChunks, candidates_declared,
 from quietgrove.operators.leaves import SMALL_DENOMINATOR
 from quietgrove.operators.selection import best_per_feature, utility, with_noise
 from quietgrove.plans import privacy
-from quietgrove.plans.trees import Node, Split, Tree
+from quietgrove.plans.trees import COMPILED_ROWS, Node, Split, Tree
 from quietgrove.scratch import Scratch
 from quietgrove.spec import Feature, ModelParams
 
@@ -32,8 +32,9 @@ UNIT = ["model", "class_id"]
 
 class Grower:
     def __init__(self, params: ModelParams, features: Sequence[Feature], seed: str,
-                 chunks: Optional[ValueChunks] = None):
+                 chunks: Optional[ValueChunks] = None, compiled: bool = True):
         self.params, self.features, self.seed, self.chunks = params, features, seed, chunks
+        self.compiled = None if compiled else False
         self.by_index = {f.index: f for f in features}
 
     # -- one job per level ---------------------------------------------------------------
@@ -48,7 +49,7 @@ class Grower:
             def at(m):
                 wanted = active.get((m, k), ())
                 return trees[m, k].sql(lambda n: n.node_id if n.node_id in wanted else None,
-                                       "bigint")
+                                       "bigint", self.compiled)
             if len(models) == 1:
                 return at(models[0])
             return text.case([(f"model = {m}", at(m)) for m in models])
@@ -271,5 +272,6 @@ def fit_tree(df: DataFrame, params: ModelParams, features: Sequence[Feature],
         rows = scratch.save(df.select(F.lit(0).alias("model"), *names, F.col(grad).alias("g_0")),
                             spread=True)
         chunks = ValueChunks.measure(rows, features) if params.candidates == "distinct" else None
-        grower = Grower(params, features, fresh_seed(params.seed), chunks)
+        grower = Grower(params, features, fresh_seed(params.seed), chunks,
+                        rows.count() >= COMPILED_ROWS)
         return grower.grow(rows, [0], tree_index)[0, 0]

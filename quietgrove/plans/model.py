@@ -140,9 +140,9 @@ class BoostedModel:
                    [[trees[t, k] for k in range(len(init))] for t in range(rounds)])
 
 
-def boost(trees: Sequence[Tree], learning_rate: float) -> str:
-    """learning rate x sum of tree values, as SQL text. Branches are compiled while the sum
-    stays small enough for one generated method."""
-    compiled = sum(len(t.nodes) for t in trees) <= COMPILED_NODES
+def boost(trees: Sequence[Tree], learning_rate: float, compiled: bool = True) -> str:
+    """learning rate x sum of tree values, as SQL text. Branches are compiled only while the
+    sum stays small enough for one generated method."""
+    compiled = compiled and sum(len(t.nodes) for t in trees) <= COMPILED_NODES
     total = " + ".join(tree.value_sql(compiled) for tree in trees) or "0.0D"
     return f"{text.literal(float(learning_rate))} * ({total})"

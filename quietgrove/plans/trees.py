@@ -27,8 +27,11 @@ NODE_SCHEMA = T.StructType([
 ])
 
 # Up to this many nodes a tree is compiled to nested CASE expressions, which code
-# generation turns into plain branches; larger trees are walked over literal arrays.
+# generation turns into plain branches; larger trees are walked over literal arrays. Below
+# COMPILED_ROWS rows walking is faster too: its generated code is the same for every tree, so
+# it stays compiled by the JVM, while branches are new code for each level.
 COMPILED_NODES = 512
+COMPILED_ROWS = 3_000_000
 
 
 @dataclass
@@ -108,25 +111,29 @@ class Tree:
         def of_split(get, t):
             return table([get(n) if n.split else None for n in nodes], t)
 
-        numbers = "array({})".format(", ".join(
-            "CAST(NULL AS double)" if f.text else f"CAST({text.name(f.name)} AS double)"
-            for f in used))
-        texts = "array({})".format(", ".join(
-            text.name(f.name) if f.text else "CAST(NULL AS string)" for f in used))
+        numbers = ", ".join("CAST(NULL AS double)" if f.text else
+                            f"CAST({text.name(f.name)} AS double)" for f in used)
+        texts = ", ".join(text.name(f.name) if f.text else "CAST(NULL AS string)" for f in used)
         feature = of_split(lambda n: slot[n.split.feature.index], "int")
         # 0: number below, 1: number equal, 2: text equal
+        kinds = {2 if f.text else int(f.is_cat) for f in used}
         test = of_split(lambda n: 2 if n.split.feature.text else int(n.split.feature.is_cat), "int")
         value = of_split(lambda n: n.split.value, "double")
         category = of_split(lambda n: n.split.category, "string")
         left, right = (table([order[n.children[s]] if n.split else p
                               for p, n in enumerate(nodes)], "int") for s in (0, 1))
-        number, at_text = f"get({numbers}, get({feature}, at))", f"get({texts}, get({feature}, at))"
-        goes_left = text.case([
-            (f"get({test}, at) = 0", f"{number} < get({value}, at)"),
-            (f"get({test}, at) = 1", f"{number} = get({value}, at)"),
-            (f"get({test}, at) = 2", f"{at_text} = get({category}, at)")])
+        tests = {0: f"get(r.x, get({feature}, at)) < get({value}, at)",
+                 1: f"get(r.x, get({feature}, at)) = get({value}, at)",
+                 2: f"get(r.s, get({feature}, at)) = get({category}, at)"}
+        goes_left = text.case([(f"get({test}, at) = {k}", tests[k]) for k in sorted(kinds)]) \
+            if len(kinds) > 1 else tests[min(kinds, default=0)]
         step = text.case([(goes_left, f"get({left}, at)")], f"get({right}, at)")
-        end = f"aggregate(sequence(1, {max(self.depth, 1)}), 0, (at, level) -> {step})"
+        levels = max(self.depth, 1)
+        # The outer transform binds the row's features once for all steps.
+        row = f"named_struct('x', array({numbers}), 's', array({texts}))" if used else \
+            "named_struct('x', array(0.0D), 's', array(''))"
+        end = (f"get(transform(array({row}), r -> aggregate(sequence(1, {levels}), 0, "
+               f"(at, level) -> {step})), 0)")
         return f"get({table([None if n.split else leaf(n) for n in nodes], kind)}, {end})"
 
     def rows(self, tree_id: int, class_id: int) -> list[tuple]:
