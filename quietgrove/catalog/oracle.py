@@ -81,7 +81,7 @@ def hist(src, name, feats, by, where="TRUE"):
     keys = ", ".join([*by, ""]) if by else ""
     parts = " UNION ALL ".join(
         f"SELECT {keys}{i} AS fi, "
-        + (f"CAST({f} AS DOUBLE) AS v, CAST(NULL AS VARCHAR) AS c" if kind == "num" else
+        + (f"CAST({f} AS DOUBLE) AS v, CAST(NULL AS VARCHAR) AS c" if kind != "text" else
            f"CAST(NULL AS DOUBLE) AS v, {f} AS c")
         + f", grad FROM {src} WHERE {where}" for i, (f, kind) in enumerate(feats))
     return (f"{name} AS (SELECT {keys}fi, v, c, count(*) AS n, sum(grad) AS g "
@@ -90,7 +90,7 @@ def hist(src, name, feats, by, where="TRUE"):
 
 def gains(h, name, feats, by, lam=0.1):
     keys = ", ".join([*by, ""]) if by else ""
-    cats = ", ".join(str(i) for i, (_, k) in enumerate(feats) if k == "text") or "-1"
+    cats = ", ".join(str(i) for i, (_, k) in enumerate(feats) if k != "num") or "-1"
     group = f"PARTITION BY {keys}fi"
     before = f"OVER ({group} ORDER BY v NULLS FIRST, c NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     return f"""{name}_w AS (SELECT *, CASE WHEN fi IN ({cats}) THEN n ELSE coalesce(sum(n) {before}, 0) END AS nl,
@@ -108,8 +108,8 @@ def best(g, name, by, order="gain DESC", where="gain > 0"):
 
 
 def routed(src, b, name, feats, by):
-    left = " ".join(f"WHEN {i} THEN {f} {'< b.v' if k == 'num' else '= b.c'}"
-                    for i, (f, k) in enumerate(feats))
+    test = {"num": "< b.v", "code": "= b.v", "text": "= b.c"}
+    left = " ".join(f"WHEN {i} THEN {f} {test[k]}" for i, (f, k) in enumerate(feats))
     on = " AND ".join(f"r.{k} = b.{k}" for k in by)
     return (f"{name} AS (SELECT r.* REPLACE (CASE WHEN b.fi IS NULL THEN r.node_id "
             f"WHEN CASE b.fi {left} END THEN 2 * r.node_id + 1 ELSE 2 * r.node_id + 2 END AS node_id) "
@@ -649,7 +649,11 @@ def private_sql():
     from quietgrove.spec import ModelParams
     p = ModelParams(nb_trees=2, max_depth=1, learning_rate=0.5, privacy_budget=4.0)
     node = privacy.node_budget(p, privacy.tree_budget(p), 0)
-    out = [f"""WITH RECURSIVE {PLANTED}, cnt AS (SELECT count(*) AS n FROM planted), {balanced(2)},
+    codes = ", ".join(f"CAST(dense_rank() OVER (ORDER BY {f}) - 1 AS DOUBLE) AS {f}"
+                      for f, k in ALL if k == "text")
+    coded = [(f, "num" if k == "num" else "code") for f, k in ALL]
+    plain = PLANTED.replace("planted AS (", "planted_text AS (")
+    out = [f"""WITH RECURSIVE {plain}, planted AS (SELECT * REPLACE ({codes}) FROM planted_text), cnt AS (SELECT count(*) AS n FROM planted), {balanced(2)},
 pos AS ({order_pos(f"{draw(f'{SEED}|rows|0', 'row_id')}, row_id", 'planted')}),
 s0 AS (SELECT * EXCLUDE (pos), (SELECT count(*) FROM q WHERE top <= pos) AS tree_id,
   (SELECT avg(y) FROM planted) AS pred FROM pos)"""]
@@ -662,12 +666,12 @@ s0 AS (SELECT * EXCLUDE (pos), (SELECT count(*) FROM q WHERE top <= pos) AS tree
                f"ln({uni(f'{SEED}|leaf|{t}|0|0', 'node_id', '2')}))")
         out += [f"p{t}_in AS (SELECT *, greatest(-1.0, least(pred - y, 1.0)) AS grad, 0::BIGINT AS node_id "
                 f"FROM s{t} WHERE tree_id = {t})",
-                grow(f"p{t}_in", f"p{t}", ALL, 1, order=f"{utility} - {gum} DESC",
+                grow(f"p{t}_in", f"p{t}", coded, 1, order=f"{utility} - {gum} DESC",
                      where=f"{utility} > 0"),
                 f"p{t}_leaf AS (SELECT node_id, greatest(-{bound}, least(-sum(grad) / (count(*) + 0.1::DOUBLE), {bound})) "
                 f"+ {lap} AS w FROM p{t}_r1 GROUP BY node_id)",
                 f"p{t}_all AS (SELECT *, 0::BIGINT AS node_id FROM s{t})",
-                routed(f"p{t}_all", f"p{t}_b0", f"p{t}_rall", ALL, ["node_id"]),
+                routed(f"p{t}_all", f"p{t}_b0", f"p{t}_rall", coded, ["node_id"]),
                 f"s{t + 1} AS (SELECT r.* EXCLUDE (pred, node_id), r.pred + 0.5::DOUBLE * l.w AS pred "
                 f"FROM p{t}_rall r JOIN p{t}_leaf l USING (node_id))"]
     return ", ".join(out) + f" SELECT row_id, {rd('pred', 7)} AS prediction FROM s2"

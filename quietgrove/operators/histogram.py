@@ -17,15 +17,23 @@ from pyspark.sql import functions as F
 
 from quietgrove.functions import text
 from quietgrove.functions.columns import choose
-from quietgrove.operators.prefix import chunk_bounds, chunk_of, running_sums
+from quietgrove.operators.prefix import (chunk_bounds, chunk_of, distinct_counts,
+                                         running_sums)
 from quietgrove.spec import Feature, Grid
 
 GAIN_DIGITS = 10
 CANDIDATE = ["feature_idx", "value", "category"]
 
 
-def long_form(df: DataFrame, features: Sequence[Feature], keep: Sequence[str]) -> DataFrame:
-    """One row per (row, feature): ``keep`` + feature_idx, value, category."""
+def long_form(df: DataFrame, features: Sequence[Feature], keep: Sequence[str],
+              packed: Optional[str] = None) -> DataFrame:
+    """One row per (row, feature): ``keep`` + feature_idx, value, category.
+
+    ``packed`` names an array column that holds all features, as numbers and in order; the
+    rows then have no category.
+    """
+    if packed:
+        return df.selectExpr(*text.names(keep), f"posexplode({packed}) AS (feature_idx, value)")
     parts = []
     for f in features:
         col = text.name(f.name)
@@ -35,16 +43,28 @@ def long_form(df: DataFrame, features: Sequence[Feature], keep: Sequence[str]) -
                          f"AS ({', '.join(CANDIDATE)})")
 
 
+def _grouped(long: DataFrame, by: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
+    """Sums per group and value; packed rows get their (empty) category afterwards."""
+    if "category" in long.columns:
+        return long.groupBy(*by, *CANDIDATE).agg(*aggs)
+    keys = [*by, *CANDIDATE[:2]]
+    sums = long.groupBy(*keys).agg(*aggs)
+    rest = [c for c in sums.columns if c not in keys]
+    return sums.selectExpr(*text.names(keys), "CAST(NULL AS string) AS category",
+                           *text.names(rest))
+
+
 def _sums(grad: str, hess: Optional[str]) -> list[Column]:
     out = [F.expr("count(1) AS n"), F.expr(f"sum({text.name(grad)}) AS g")]
     return out + [F.expr(f"sum({text.name(hess)}) AS h")] if hess else out
 
 
 def candidates_distinct(df: DataFrame, features: Sequence[Feature], by: Sequence[str] = (),
-                        grad: str = "grad", hess: Optional[str] = None) -> DataFrame:
+                        grad: str = "grad", hess: Optional[str] = None,
+                        packed: Optional[str] = None) -> DataFrame:
     """Every distinct value of every feature in each group, with row count and sums."""
     keep = [*by, grad] + ([hess] if hess else [])
-    return long_form(df, features, keep).groupBy(*by, *CANDIDATE).agg(*_sums(grad, hess))
+    return _grouped(long_form(df, features, keep, packed), by, _sums(grad, hess))
 
 
 def grid_index(value: Column, grid: Grid) -> Column:
@@ -136,16 +156,15 @@ class ValueChunks:
 
     @classmethod
     def measure(cls, df: DataFrame, features: Sequence[Feature],
+                counts: Optional[Mapping[str, int]] = None,
                 rows_per_chunk: int = 500_000) -> "ValueChunks":
-        numbers = [f.name for f in features if not f.text]
-        texts = [f.name for f in features if f.text]
-        bounds = chunk_bounds(df, numbers, rows_per_chunk)
-        sizes = {}
-        if texts:
-            row = df.agg(*[F.approx_count_distinct(c).alias(f"d{i}")
-                           for i, c in enumerate(texts)]).first()
-            sizes = {c: row[f"d{i}"] // rows_per_chunk for i, c in enumerate(texts)}
-        return cls(features, bounds, {c: int(s) + 1 for c, s in sizes.items() if s})
+        """``counts`` are approximate distinct counts, if already known."""
+        if counts is None:
+            counts = distinct_counts(df, [f.name for f in features])[1]
+        bounds = chunk_bounds(df, {f.name: counts[f.name] for f in features if not f.text},
+                              rows_per_chunk)
+        texts = {f.name: int(counts[f.name] // rows_per_chunk) for f in features if f.text}
+        return cls(features, bounds, {c: n + 1 for c, n in texts.items() if n})
 
     def sql(self) -> Optional[str]:
         cases = []
@@ -198,7 +217,7 @@ def split_gain(hist: DataFrame, features: Sequence[Feature], l2_lambda: float,
 def sibling_gain(df: DataFrame, features: Sequence[Feature], l2_lambda: float,
                  parent: str = "parent_id", side: str = "side", by: Sequence[str] = (),
                  grad: str = "grad", chunks: Optional[ValueChunks] = None,
-                 floor_digits: bool = False) -> DataFrame:
+                 floor_digits: bool = False, packed: Optional[str] = None) -> DataFrame:
     """Gains pooled over siblings: a candidate must occur in a node and split its own rows,
     but its gain counts the rows of the node and of its sibling (``side`` 0 or 1).
 
@@ -209,8 +228,8 @@ def sibling_gain(df: DataFrame, features: Sequence[Feature], l2_lambda: float,
     for s in (0, 1):
         own += [F.expr(f"count(CASE WHEN {side_of} = {s} THEN 1 END) AS n{s}"),
                 F.expr(f"sum(CASE WHEN {side_of} = {s} THEN {g} ELSE 0.0D END) AS g{s}")]
-    hist = (long_form(df, features, [*by, parent, side, grad])
-            .groupBy(*by, parent, *CANDIDATE).agg(*own))
+    hist = _grouped(long_form(df, features, [*by, parent, side, grad], packed),
+                    [*by, parent], own)
     sums = ["n", "g", "n0", "g0", "n1", "g1"]
     wide = running_sums(hist, [*by, parent, "feature_idx"], ["value", "category"], sums,
                         chunks.sql() if chunks else None)

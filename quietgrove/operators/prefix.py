@@ -6,7 +6,7 @@ rows only need a window inside their chunk plus the total of the chunks before i
 
 from __future__ import annotations
 
-from typing import Optional, Sequence
+from typing import Mapping, Optional, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,20 +62,22 @@ def running_sums(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: S
     return cut.join(heads, [c.strip("`") for c in inside]).selectExpr(*out)
 
 
-def chunk_bounds(df: DataFrame, columns: Sequence[str], rows_per_chunk: int = 500_000,
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> tuple[int, dict[str, int]]:
+    """Row count and approximate number of distinct values per column, in one pass."""
+    row = df.agg(F.count(F.lit(1)).alias("n"), *[F.approx_count_distinct(c).alias(f"d{i}")
+                                                 for i, c in enumerate(columns)]).first()
+    return row["n"], {c: row[f"d{i}"] for i, c in enumerate(columns)}
+
+
+def chunk_bounds(df: DataFrame, counts: Mapping[str, int], rows_per_chunk: int = 500_000,
                  max_chunks: int = 512) -> dict[str, list[float]]:
     """Value boundaries per column that keep chunks of distinct values near a target size.
 
-    One approximate pass decides how many chunks a column needs; columns with few distinct
-    values get none. The boundaries steer only the parallelism, never the result.
+    ``counts`` are approximate distinct counts; columns with few distinct values get no
+    boundaries. They steer only the parallelism, never the result.
     """
-    if not columns:
-        return {}
-    counts = df.agg(*[F.approx_count_distinct(c).alias(f"d{i}")
-                      for i, c in enumerate(columns)]).first()
-    wanted = {c: min(max_chunks, counts[f"d{i}"] // rows_per_chunk)
-              for i, c in enumerate(columns)}
-    big = [c for c in columns if wanted[c] > 0]
+    wanted = {c: min(max_chunks, n // rows_per_chunk) for c, n in counts.items()}
+    big = [c for c in counts if wanted[c] > 0]
     if not big:
         return {}
     row = df.agg(*[F.percentile_approx(

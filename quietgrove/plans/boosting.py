@@ -17,12 +17,16 @@ from quietgrove.operators.histogram import ValueChunks
 from quietgrove.operators.splits import (allot, balanced_quotas, geometric_quotas,
                                          gradient_filter, mark_first)
 from quietgrove.plans import privacy
+from quietgrove.plans.coding import TrainingTable
 from quietgrove.plans.growth import Grower
 from quietgrove.plans.model import BoostedModel, boost
-from quietgrove.plans.trees import COMPILED_ROWS
 from quietgrove.scratch import Scratch
 from quietgrove.spec import ModelParams, feature_list
 
+# Gradients of a round are kept in memory for its levels up to this many rows; beyond, they
+# are cheaper to compute again than to store.
+SMALL_ROWS = 3_000_000
+
 
 class PrivateBoostedTrees:
     """Trainer. ``task`` may be a user-defined ``losses.Task``; otherwise it follows
@@ -43,20 +47,23 @@ class PrivateBoostedTrees:
         features = feature_list(df, self.numeric, self.categorical, self.order)
         seed = fresh_seed(self.params.seed)
         with Scratch(spark) as scratch:
-            base, holdout = df.withColumn("model", F.lit(0)), None
+            base, holdout, extra = df.withColumn("model", F.lit(0)), None, []
+            if self.params.reject:
+                base = mark_first(base, lambda n: math.ceil(self.params.validation * n),
+                                  self.row_id, self.params.shuffle, f"{seed}|validation")
+                extra = ["is_test"]
+            table = TrainingTable(self._slim(base, features, *extra), features, scratch)
+            base, coder = table.rows, table.coder
             if self.params.reject:
-                split = mark_first(base, lambda n: math.ceil(self.params.validation * n),
-                                   self.row_id, self.params.shuffle, f"{seed}|validation")
-                split = scratch.save(self._slim(split, features, "is_test"), spread=True)
-                holdout = split.where("is_test").drop("is_test")
-                base = split.where(~F.col("is_test")).drop("is_test")
-            else:
-                base = scratch.save(self._slim(base, features), spread=True)
+                holdout = base.where("is_test").drop("is_test")
+                base = base.where("NOT is_test").drop("is_test")
             init, params = self._start(base, seed)
-            run = _Run(self, params, features, seed, scratch, {0: init})
+            params = params.with_(categories=coder.categories(params.categories))
+            run = _Run(self, params, table, seed, scratch, {0: init})
             rounds = run.private(base, holdout) if params.private else \
                 run.plain(base, holdout)
-        model = BoostedModel(self.params, features, init, [r[0] for r in rounds])
+        trees = [[coder.decode(t) for t in r[0]] for r in rounds]
+        model = BoostedModel(self.params, features, init, trees)
         model.task = self.task
         if self.params.private:
             model.ledger = privacy.training_ledger(self.params).check()
@@ -74,7 +81,8 @@ class PrivateBoostedTrees:
         spark = df.sparkSession
         features = feature_list(df, self.numeric, self.categorical, self.order)
         with Scratch(spark) as scratch:
-            narrow = scratch.save(self._slim(df, features, fold), spread=True)
+            table = TrainingTable(self._slim(df, features, fold), features, scratch)
+            narrow, coder = table.rows, table.coder
             folds = sorted(r[0] for r in narrow.select(fold).distinct().collect())
             models = F.explode(F.filter(F.array(*[F.lit(f) for f in folds]),
                                         lambda m: m != F.col(fold)))
@@ -85,9 +93,11 @@ class PrivateBoostedTrees:
                      for m, (a, b) in targets.items()]))
             init = {f: self.task.init(base.where(F.col("model") == f), self.target)
                     for f in folds}
-            run = _Run(self, self.params, features, fresh_seed(self.params.seed), scratch, init)
+            params = self.params.with_(categories=coder.categories(self.params.categories))
+            run = _Run(self, params, table, fresh_seed(params.seed), scratch, init)
             rounds = run.plain(base, None)
-        out = {f: BoostedModel(self.params, features, init[f], [r[f] for r in rounds])
+        out = {f: BoostedModel(self.params, features, init[f],
+                               [[coder.decode(t) for t in r[f]] for r in rounds])
                for f in folds}
         for model in out.values():
             model.task = self.task
@@ -122,14 +132,14 @@ class PrivateBoostedTrees:
 class _Run:
     """State of one training run."""
 
-    def __init__(self, trainer, params, features, seed, scratch, init):
-        self.trainer, self.params, self.features = trainer, params, features
+    def __init__(self, trainer, params, table, seed, scratch, init):
+        self.trainer, self.params, self.table = trainer, params, table
+        self.features = table.coder.features
         self.seed, self.scratch, self.init = seed, scratch, init
         self.task, self.target = trainer.task, trainer.target
         self.models = sorted(init)
         self.classes = range(len(init[self.models[0]]))
         self.pred = [f"_pred_{k}" for k in self.classes]
-        self.compiled = True
 
     # -- columns -------------------------------------------------------------------------
 
@@ -147,7 +157,7 @@ class _Run:
         """Stored scores plus the given rounds."""
         eta = self.params.learning_rate
         return [F.expr(f"{c} + " + self._by_model(
-                    lambda m, k=k: boost([r[m][k] for r in rounds], eta, self.compiled)))
+                    lambda m, k=k: boost([r[m][k] for r in rounds], eta)))
                 for k, c in enumerate(self.pred)]
 
     def advance(self, df: DataFrame, rounds) -> DataFrame:
@@ -167,11 +177,10 @@ class _Run:
 
     def grower(self, df: DataFrame) -> Grower:
         # Data-independent grids are small; distinct values may be many.
-        chunks = ValueChunks.measure(df, self.features) \
+        chunks = ValueChunks.measure(df, self.features, self.table.counts) \
             if self.params.candidates == "distinct" else None
-        per_tree = df.count() // (self.params.per_ensemble if self.params.private else 1)
-        self.compiled = per_tree >= COMPILED_ROWS
-        return Grower(self.params, self.features, self.seed, chunks, self.compiled)
+        self.small = self.table.n * max(1, len(self.models) - 1) <= SMALL_ROWS
+        return Grower(self.params, self.features, self.seed, chunks)
 
     def round_of(self, trees: dict) -> dict:
         return {m: [trees[m, k] for k in self.classes] for m in self.models}
@@ -184,8 +193,12 @@ class _Run:
         grower, judge = self.grower(base), self._judge(holdout)
         current, rounds, pending = self.start(base), [], []
         for t in range(self.params.nb_trees):
-            trees = grower.grow(self.gradients(current, pending), self.models, t)
-            grown = self.round_of(trees)
+            rows = self.gradients(current, pending)
+            if self.small:
+                rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+            grown = self.round_of(grower.grow(rows, self.models, t))
+            if self.small:
+                rows.unpersist()
             if judge and not judge.accepts(grown):
                 # The next attempts would grow this very tree again until patience ends.
                 break

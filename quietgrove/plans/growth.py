@@ -23,7 +23,8 @@ from quietgrove.operators.histogram import (ValueChunks, candidates_declared,
 from quietgrove.operators.leaves import SMALL_DENOMINATOR
 from quietgrove.operators.selection import best_per_feature, utility, with_noise
 from quietgrove.plans import privacy
-from quietgrove.plans.trees import COMPILED_ROWS, Node, Split, Tree
+from quietgrove.plans.coding import TrainingTable
+from quietgrove.plans.trees import Node, Split, Tree
 from quietgrove.scratch import Scratch
 from quietgrove.spec import Feature, ModelParams
 
@@ -32,44 +33,68 @@ UNIT = ["model", "class_id"]
 
 class Grower:
     def __init__(self, params: ModelParams, features: Sequence[Feature], seed: str,
-                 chunks: Optional[ValueChunks] = None, compiled: bool = True):
+                 chunks: Optional[ValueChunks] = None):
         self.params, self.features, self.seed, self.chunks = params, features, seed, chunks
-        self.compiled = None if compiled else False
+        # Without text features a row's features travel as one array, in feature order.
+        whole = [f.index for f in features] == list(range(len(features)))
+        self.packed = "_x" if whole and not any(f.text for f in features) else None
         self.by_index = {f.index: f for f in features}
 
     # -- one job per level ---------------------------------------------------------------
 
     def _routed(self, rows: DataFrame, trees: dict, active: dict) -> DataFrame:
         """Features, class_id, node_id, grad (and hess) of the rows in active nodes."""
+        everywhere = all(n.node_id in active.get(u, ()) for u, t in trees.items()
+                         for n in t.leaves)
+        if not self.packed:
+            routed = self._routed_by_text(rows, trees, active)
+            return routed if everywhere else routed.where("node_id IS NOT NULL")
+        keep = ["model", "class_id", "grad", *(["hess"] if self.params.n_classes > 1 else []), "_x"]
+        values = ", ".join(f"CAST({text.name(f.name)} AS double)" for f in self.features)
+        if self.params.n_classes > 1:
+            parts = ", ".join(f"{k}, g_{k}, h_{k}" for k in range(self.params.n_classes))
+            start = rows.selectExpr("model", f"array({values}) AS _x",
+                                    f"stack({self.params.n_classes}, {parts}) "
+                                    "AS (class_id, grad, hess)")
+        else:
+            start = rows.selectExpr("model", "0 AS class_id", "g_0 AS grad",
+                                    f"array({values}) AS _x")
+        routed = start.selectExpr(*keep, *walk(trees, active))
+        if everywhere:
+            return routed.select(*keep, "node_id")
+        # The row number pins the filter above the walk: pushed below, it would be copied into
+        # every step.
+        pinned = routed.selectExpr(*keep, "node_id", "monotonically_increasing_id() AS _row")
+        return pinned.where("node_id IS NOT NULL AND _row >= 0").drop("_row")
+
+    def _routed_by_text(self, rows: DataFrame, trees: dict, active: dict) -> DataFrame:
         models = sorted({m for m, _ in trees})
         classes = range(self.params.n_classes)
-        multi = self.params.n_classes > 1
 
         def node_of(k):
             def at(m):
                 wanted = active.get((m, k), ())
                 return trees[m, k].sql(lambda n: n.node_id if n.node_id in wanted else None,
-                                       "bigint", self.compiled)
+                                       "bigint")
             if len(models) == 1:
                 return at(models[0])
             return text.case([(f"model = {m}", at(m)) for m in models])
 
         names = text.names([f.name for f in self.features])
-        if not multi:
-            routed = rows.selectExpr("model", "0 AS class_id", f"{node_of(0)} AS node_id",
-                                     "g_0 AS grad", *names)
-        else:
-            parts = ", ".join(f"{k}, {node_of(k)}, g_{k}, h_{k}" for k in classes)
-            routed = rows.selectExpr("model", *names, f"stack({len(classes)}, {parts}) "
-                                     "AS (class_id, node_id, grad, hess)")
-        everywhere = all(n.node_id in active.get(u, ()) for u, t in trees.items()
-                         for n in t.leaves)
-        return routed if everywhere else routed.where("node_id IS NOT NULL")
+        if self.params.n_classes == 1:
+            return rows.selectExpr("model", "0 AS class_id", f"{node_of(0)} AS node_id",
+                                   "g_0 AS grad", *names)
+        parts = ", ".join(f"{k}, {node_of(k)}, g_{k}, h_{k}" for k in classes)
+        return rows.selectExpr("model", *names, f"stack({len(classes)}, {parts}) "
+                               "AS (class_id, node_id, grad, hess)")
 
     def _histogram(self, work: DataFrame, by: Sequence[str], hess: Optional[str]) -> DataFrame:
         p = self.params
         if p.candidates == "distinct":
-            return candidates_distinct(work, self.features, by, "grad", hess)
+            return candidates_distinct(work, self.features, by, "grad", hess, self.packed)
+        if self.packed:
+            work = work.select("*", *[F.get("_x", F.lit(f.index)).alias(f.name)
+                                      for f in self.features]).drop("_x")
         numeric = [f for f in self.features if not f.is_cat]
         declared = [f for f in self.features if f.is_cat and f.name in p.categories]
         rest = [f for f in self.features if f.is_cat and f.name not in p.categories]
@@ -95,7 +120,8 @@ class Grower:
             work = self._routed(rows, trees, both).withColumn("parent_id", parent).withColumn(
                 "side", F.when(F.col("node_id") == 2 * parent + 1, 0).otherwise(1))
             gains = sibling_gain(work, self.features, p.l2_lambda, by=UNIT, grad="grad",
-                                 chunks=self.chunks, floor_digits=p.floor_digits)
+                                 chunks=self.chunks, floor_digits=p.floor_digits,
+                                 packed=self.packed)
             node = F.col("parent_id") * 2 + 1 + F.col("side")
             gains = gains.withColumn("node_id", node).drop("parent_id", "side")
             if any(active[u] != both[u] for u in active):
@@ -264,14 +290,61 @@ def leaf_value(n: int, g: float, l2_lambda: float, h: float = 0.0, n_classes: in
     return -g / (n + l2_lambda)
 
 
+def walk(trees: dict, active: dict) -> list[str]:
+    """SELECT list that routes ``_x`` down the trees of all (model, class) units to
+    ``node_id`` (null outside active nodes).
+
+    Nodes of all trees lie in shared literal arrays and each step is one alias that refers to
+    the step before. The generated code depends on the depth only, so it is reused from tree
+    to tree.
+    """
+    feature, is_cat, value, left, right, ids, roots = [], [], [], [], [], [], []
+    for (m, k), tree in sorted(trees.items()):
+        place = {i: len(ids) + p for p, i in enumerate(sorted(tree.nodes))}
+        roots.append((f"model = {m} AND class_id = {k}", str(place[0])))
+        wanted = active.get((m, k), ())
+        for i in sorted(tree.nodes):
+            s = tree.nodes[i].split
+            here = place[i]
+            below = [place[c] for c in tree.nodes[i].children] if s else [here, here]
+            feature.append(s.feature.index if s else 0)
+            is_cat.append(bool(s and s.feature.is_cat))
+            value.append(float(s.value) if s else None)
+            left.append(below[0])
+            right.append(below[1])
+            ids.append(i if i in wanted else None)
+
+    def table(values, kind):
+        return f"array({', '.join(text.literal(v, kind) for v in values)})"
+
+    flags, x = table(is_cat, "boolean"), f"get(_x, get({table(feature, 'int')}, {{at}}))"
+    v = f"get({table(value, 'double')}, {{at}})"
+    if not any(is_cat):
+        test = f"{x} < {v}"
+    elif all(c for c, w in zip(is_cat, value) if w is not None):
+        test = f"{x} = {v}"
+    else:
+        test = f"CASE WHEN get({flags}, {{at}}) THEN {x} = {v} ELSE {x} < {v} END"
+    step = (f"CASE WHEN {test} THEN get({table(left, 'int')}, {{at}}) "
+            f"ELSE get({table(right, 'int')}, {{at}}) END")
+    depth = max(t.depth for t in trees.values())
+    out = [f"{roots[0][1] if len(roots) == 1 else text.case(roots)} AS _a0"]
+    for d in range(depth):
+        out.append(f"{step.format(at=f'_a{d}')} AS _a{d + 1}")
+    out.append(f"get({table(ids, 'bigint')}, _a{depth}) AS node_id")
+    return out
+
+
 def fit_tree(df: DataFrame, params: ModelParams, features: Sequence[Feature],
              grad: str = "grad", tree_index: int = 0) -> Tree:
     """One tree on given gradients. The growth order follows ``params.growth``."""
     with Scratch(df.sparkSession) as scratch:
         names = [f.name for f in features]
-        rows = scratch.save(df.select(F.lit(0).alias("model"), *names, F.col(grad).alias("g_0")),
-                            spread=True)
-        chunks = ValueChunks.measure(rows, features) if params.candidates == "distinct" else None
-        grower = Grower(params, features, fresh_seed(params.seed), chunks,
-                        rows.count() >= COMPILED_ROWS)
-        return grower.grow(rows, [0], tree_index)[0, 0]
+        table = TrainingTable(df.select(F.lit(0).alias("model"), *names,
+                                        F.col(grad).alias("g_0")), features, scratch)
+        rows, coder = table.rows, table.coder
+        chunks = ValueChunks.measure(rows, coder.features, table.counts) \
+            if params.candidates == "distinct" else None
+        grower = Grower(params.with_(categories=coder.categories(params.categories)),
+                        coder.features, fresh_seed(params.seed), chunks)
+        return coder.decode(grower.grow(rows, [0], tree_index)[0, 0])

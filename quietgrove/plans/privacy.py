@@ -123,6 +123,8 @@ def training_ledger(params: ModelParams, feature_scaling: float = 0.0,
         min(params.n_classes, 2)
     for e in range(ensemble_count(params)):
         ledger.charge(f"ensemble {e}", path_spend(params) * per_round)
+    if params.n_classes > 2 and params.multiclass_budget == "halved":
+        ledger.unpaid.append("rows shared by more than two trees of a round")
     if exact_scaling:
         ledger.unpaid.append("target minimum and maximum")
     if params.candidates == "distinct":

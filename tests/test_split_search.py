@@ -110,8 +110,8 @@ def test_probabilities_and_cdf(spark):
 def test_exponential_mechanism_follows_its_distribution(spark):
     utilities = [0.5, 1.0, 2.0, 0.0]
     n = 6000
-    cands = candidates(spark, utilities).drop("node_id").crossJoin(
-        spark.range(n).withColumnRenamed("id", "node_id"))
+    cands = candidates(spark, utilities).drop("node_id").withColumn(
+        "node_id", F.explode(F.sequence(F.lit(1), F.lit(n))))
     drawn = Counter(r["feature_idx"] for r in
                     selection.exponential_mechanism(cands, ["node_id"], "s").collect())
     positive = [u for u in utilities if u > 0]
