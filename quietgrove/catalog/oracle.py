@@ -658,7 +658,7 @@ pos AS ({order_pos(f"{draw(f'{SEED}|rows|0', 'row_id')}, row_id", 'planted')}),
 s0 AS (SELECT * EXCLUDE (pos), (SELECT count(*) FROM q WHERE top <= pos) AS tree_id,
   (SELECT avg(y) FROM planted) AS pred FROM pos)"""]
     for t in range(2):
-        gum = f"ln(-ln({uni(f'{SEED}|split|{t}', '0', '0', 'node_id', 'fi', 'v', 'c')}))"
+        gum = f"ln(-ln({uni(f'{SEED}|split|{t}', '0', 'node_id', 'fi', 'v', 'c')}))"
         utility = f"{node!r}::DOUBLE * gain / 6.0::DOUBLE"
         bound = f"{privacy.leaf_threshold(p, t)!r}::DOUBLE"
         scale = f"{privacy.laplace_scale(p, t)!r}::DOUBLE"

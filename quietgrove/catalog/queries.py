@@ -13,8 +13,8 @@ from quietgrove.operators import splits
 from quietgrove.plans import evaluation, growth, privacy, reports
 from quietgrove.plans.boosting import PrivateBoostedTrees
 from quietgrove.plans.model import BoostedModel
-from quietgrove.plans.trees import NODE_SCHEMA, nodes_frame
-from quietgrove.scratch import Scratch, checkpoint_root
+from quietgrove.plans.trees import nodes_frame
+from quietgrove.scratch import Scratch
 from quietgrove.sources import presets, results, tables
 from quietgrove.spec import Grid, ModelParams, TableSpec
 

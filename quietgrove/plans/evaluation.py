@@ -105,8 +105,10 @@ def cross_predict(df: DataFrame, params: ModelParams, k: int, columns: Columns,
     spark = df.sparkSession
     scale = (params.private and params.task == "regression") if scale is None else scale
     with Scratch(spark) as scratch:
-        folded = scratch.save(kfold(columns.slim(df), k, columns.row_id, shuffle, seed),
-                              spread=True)
+        # Stored first, so that the search for the fold limits scans ids only.
+        slim = scratch.save(columns.slim(df))
+        folded = scratch.save(kfold(slim, k, columns.row_id, shuffle, seed), spread=True)
+        scratch.release(slim)
         folds = list(range(k))
         scalers = _fold_scalers(folded, columns.target, folds, bounds) if scale else None
         trainer = columns.trainer(params)

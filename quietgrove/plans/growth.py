@@ -28,7 +28,6 @@ from quietgrove.plans.trees import Node, Split, Tree
 from quietgrove.scratch import Scratch
 from quietgrove.spec import Feature, ModelParams
 
-UNIT = ["model", "class_id"]
 
 
 class Grower:
@@ -38,6 +37,8 @@ class Grower:
         # Without text features a row's features travel as one array, in feature order.
         whole = [f.index for f in features] == list(range(len(features)))
         self.packed = "_x" if whole and not any(f.text for f in features) else None
+        # A constant class would only get in the way of sort orders, so one class has no key.
+        self.unit = ["model", "class_id"] if params.n_classes > 1 else ["model"]
         self.by_index = {f.index: f for f in features}
 
     # -- one job per level ---------------------------------------------------------------
@@ -49,7 +50,7 @@ class Grower:
         if not self.packed:
             routed = self._routed_by_text(rows, trees, active)
             return routed if everywhere else routed.where("node_id IS NOT NULL")
-        keep = ["model", "class_id", "grad", *(["hess"] if self.params.n_classes > 1 else []), "_x"]
+        keep = [*self.unit, "grad", *(["hess"] if self.params.n_classes > 1 else []), "_x"]
         values = ", ".join(f"CAST({text.name(f.name)} AS double)" for f in self.features)
         if self.params.n_classes > 1:
             parts = ", ".join(f"{k}, g_{k}, h_{k}" for k in range(self.params.n_classes))
@@ -57,9 +58,8 @@ class Grower:
                                     f"stack({self.params.n_classes}, {parts}) "
                                     "AS (class_id, grad, hess)")
         else:
-            start = rows.selectExpr("model", "0 AS class_id", "g_0 AS grad",
-                                    f"array({values}) AS _x")
-        routed = start.selectExpr(*keep, *walk(trees, active))
+            start = rows.selectExpr("model", "g_0 AS grad", f"array({values}) AS _x")
+        routed = start.selectExpr(*keep, *walk(trees, active, self.unit))
         if everywhere:
             return routed.select(*keep, "node_id")
         # The row number pins the filter above the walk: pushed below, it would be copied into
@@ -67,6 +67,9 @@ class Grower:
         pinned = routed.selectExpr(*keep, "node_id", "monotonically_increasing_id() AS _row")
         return pinned.where("node_id IS NOT NULL AND _row >= 0").drop("_row")
 
+    def _is_unit(self, model: int, class_id: int) -> str:
+        return unit_sql(self.unit, model, class_id)
+
     def _routed_by_text(self, rows: DataFrame, trees: dict, active: dict) -> DataFrame:
         models = sorted({m for m, _ in trees})
         classes = range(self.params.n_classes)
@@ -82,8 +85,7 @@ class Grower:
 
         names = text.names([f.name for f in self.features])
         if self.params.n_classes == 1:
-            return rows.selectExpr("model", "0 AS class_id", f"{node_of(0)} AS node_id",
-                                   "g_0 AS grad", *names)
+            return rows.selectExpr("model", f"{node_of(0)} AS node_id", "g_0 AS grad", *names)
         parts = ", ".join(f"{k}, {node_of(k)}, g_{k}, h_{k}" for k in classes)
         return rows.selectExpr("model", *names, f"stack({len(classes)}, {parts}) "
                                "AS (class_id, node_id, grad, hess)")
@@ -119,28 +121,25 @@ class Grower:
             parent = F.floor((F.col("node_id") - 1) / 2).cast("bigint")
             work = self._routed(rows, trees, both).withColumn("parent_id", parent).withColumn(
                 "side", F.when(F.col("node_id") == 2 * parent + 1, 0).otherwise(1))
-            gains = sibling_gain(work, self.features, p.l2_lambda, by=UNIT, grad="grad",
+            gains = sibling_gain(work, self.features, p.l2_lambda, by=self.unit, grad="grad",
                                  chunks=self.chunks, floor_digits=p.floor_digits,
                                  packed=self.packed)
             node = F.col("parent_id") * 2 + 1 + F.col("side")
             gains = gains.withColumn("node_id", node).drop("parent_id", "side")
             if any(active[u] != both[u] for u in active):
-                wanted = [(F.col("model") == m) & (F.col("class_id") == k)
-                          & F.col("node_id").isin(sorted(ns)) for (m, k), ns in active.items()]
-                keep = wanted[0]
-                for w in wanted[1:]:
-                    keep = keep | w
-                gains = gains.where(keep)
+                gains = gains.where(" OR ".join(
+                    f"({self._is_unit(m, k)} AND node_id IN ({', '.join(map(str, sorted(ns)))}))"
+                    for (m, k), ns in active.items()))
             return gains
         hess = "hess" if p.n_classes > 1 else None
-        by = [*UNIT, "node_id"]
+        by = [*self.unit, "node_id"]
         hist = self._histogram(self._routed(rows, trees, active), by, hess)
         return split_gain(hist, self.features, p.l2_lambda, by, self.chunks, p.floor_digits)
 
     def splits(self, rows: DataFrame, trees: dict, active: dict, depth: int, tree_index: int
                ) -> dict:
         """The chosen split of every active node that has one."""
-        p, by = self.params, [*UNIT, "node_id"]
+        p, by = self.params, [*self.unit, "node_id"]
         cands = self.candidates(rows, trees, active, depth)
         noisy = p.private and not p.argmax_splits
         if noisy:
@@ -150,7 +149,7 @@ class Grower:
         best: dict = {}
         for row in best_per_feature(cands, by, noisy).collect():
             c = row.asDict()
-            place = (c["model"], c["class_id"]), c["node_id"]
+            place = (c["model"], c.get("class_id", 0)), c["node_id"]
             c["_order"] = (-c["noisy" if noisy else "gain"], c["feature_idx"])
             if place not in best or c["_order"] < best[place]["_order"]:
                 best[place] = c
@@ -261,8 +260,9 @@ class Grower:
         sums = [F.count(F.lit(1)).alias("n"), F.sum("grad").alias("g")]
         if multi:
             sums.append(F.sum("hess").alias("h"))
-        for r in self._routed(rows, only, active).groupBy(*UNIT, "node_id").agg(*sums).collect():
-            node = trees[r["model"], r["class_id"]].nodes[r["node_id"]]
+        grouped = self._routed(rows, only, active).groupBy(*self.unit, "node_id").agg(*sums)
+        for r in (row.asDict() for row in grouped.collect()):
+            node = trees[r["model"], r.get("class_id", 0)].nodes[r["node_id"]]
             node.n, node.g = r["n"], r["g"]
             node.h = r["h"] if multi else 0.0
 
@@ -290,7 +290,11 @@ def leaf_value(n: int, g: float, l2_lambda: float, h: float = 0.0, n_classes: in
     return -g / (n + l2_lambda)
 
 
-def walk(trees: dict, active: dict) -> list[str]:
+def unit_sql(unit: Sequence[str], model: int, class_id: int) -> str:
+    return " AND ".join(f"{c} = {v}" for c, v in zip(unit, (model, class_id)))
+
+
+def walk(trees: dict, active: dict, unit: Sequence[str]) -> list[str]:
     """SELECT list that routes ``_x`` down the trees of all (model, class) units to
     ``node_id`` (null outside active nodes).
 
@@ -301,7 +305,7 @@ def walk(trees: dict, active: dict) -> list[str]:
     feature, is_cat, value, left, right, ids, roots = [], [], [], [], [], [], []
     for (m, k), tree in sorted(trees.items()):
         place = {i: len(ids) + p for p, i in enumerate(sorted(tree.nodes))}
-        roots.append((f"model = {m} AND class_id = {k}", str(place[0])))
+        roots.append((unit_sql(unit, m, k), str(place[0])))
         wanted = active.get((m, k), ())
         for i in sorted(tree.nodes):
             s = tree.nodes[i].split
