@@ -21,4 +21,26 @@ def op1_url_filter(spark: SparkSession, d: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter,)}
+def op2_quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Measures and verdict of every document."""
+    from quietgrove.llm.quality_rules import base_failed, judge, measures
+    judged = judge(table(spark, d, "documents").select("doc_id", "text"))
+    out = measures(judged)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+                      "n_repeat_words", base_failed().alias("base_failed"),
+                      (F.col("kept") & ~base_failed()).alias("kept"))
+
+
+def op5_sharding(spark: SparkSession, d: str) -> DataFrame:
+    """Deal all documents into eight shards whose row counts differ by one at most."""
+    from quietgrove.llm.sharding import shuffle_into_shards
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = table(spark, d, "documents").select(
+        "doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"))
+    return shuffle_into_shards(docs, 8).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_quality_rules, op5_sharding)}

@@ -37,4 +37,39 @@ SELECT page_id, host, path, rule,
 FROM ruled LEFT JOIN listed l ON ruled.key = l.key
 """
 
-ORACLE = {"op1_url_filter": URL_FILTER}
+QUALITY_RULES = r"""
+WITH base AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda w: w <> '') AS words
+  FROM documents),
+spots AS (
+  SELECT doc_id, i, list_slice(words, i, i + 4) AS w
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM base WHERE len(words) >= 5)),
+twice AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) AS n FROM spots)
+  WHERE n > 1),
+steps AS (
+  SELECT doc_id, least(coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 5), 5) AS step
+  FROM twice),
+repeats AS (SELECT doc_id, sum(step) AS n FROM steps GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')) AS lines
+  FROM base),
+measured AS (
+  SELECT b.doc_id, CAST(len(words) AS BIGINT) AS n_words,
+         CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, len(lines) AS n_lines,
+         CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+         len(list_filter(words, lambda x: regexp_matches(x, '\pL'))) AS lettered
+  FROM base b JOIN lines USING (doc_id) LEFT JOIN repeats USING (doc_id)),
+failed AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM measured)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 5 * n_symbols > n_words OR word_chars < 2 * n_words
+            OR word_chars > 15 * n_words OR 10 * n_dup_lines > 3 * n_lines
+            OR 10 * lettered < 7 * n_words) AS kept
+FROM failed
+"""
+
+ORACLE = {"op1_url_filter": URL_FILTER, "op2_quality_rules": QUALITY_RULES}
