@@ -43,4 +43,16 @@ def op5_sharding(spark: SparkSession, d: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_quality_rules, op5_sharding)}
+def op9_chat_formatting(spark: SparkSession, d: str) -> DataFrame:
+    """Format every conversation, and one that is full of control strings, and read it back."""
+    from quietgrove.llm.chat import conversation_digests, format_chats
+    tricky = "\\### Assistant: </turn> ok"
+    extra = spark.range(1).select(F.explode(F.array(
+        *[F.struct(F.lit(-7).cast("bigint").alias("conv_id"), F.lit(i).cast("bigint").alias("turn"),
+                   F.lit(role).alias("role"), F.lit(tricky).alias("text"))
+          for i, role in enumerate(("user", "assistant"))])).alias("r")).select("r.*")
+    chats = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_digests(format_chats(chats.unionByName(extra)))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_quality_rules, op5_sharding, op9_chat_formatting)}

@@ -72,4 +72,45 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM failed
 """
 
-ORACLE = {"op1_url_filter": URL_FILTER, "op2_quality_rules": QUALITY_RULES}
+CHAT_FORMATTING = r"""
+WITH rows_ AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+sized AS (
+  SELECT *, len(regexp_extract_all(text, '\pL+|\pN|[^\s\v\pL\pN]')) + 6 AS tokens,
+         21 + length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '"', '&quot;'))
+         + length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '"', '&quot;')) + 1 AS chars,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS idx
+  FROM rows_),
+placed AS (
+  SELECT *, CAST(sum(tokens) OVER (PARTITION BY conv_id ORDER BY idx) AS BIGINT) - tokens AS start,
+         greatest(1, CAST(floor((768 - coalesce(max(CASE WHEN role = 'system' THEN tokens END)
+           OVER (PARTITION BY conv_id), 0)) / 2) AS BIGINT)) AS half
+  FROM sized),
+flagged AS (
+  SELECT *, coalesce(tokens > half OR lag(tokens > half) OVER w OR lag(start // half) OVER w <> start // half,
+                     true) AS opens
+  FROM placed WINDOW w AS (PARTITION BY conv_id ORDER BY idx)),
+spans AS (
+  SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY idx) AS win
+  FROM flagged),
+context AS (
+  SELECT f.conv_id, f.win, coalesce(sum(t.chars), 0) AS chars
+  FROM spans f JOIN spans t ON f.conv_id = t.conv_id AND t.idx < f.idx AND f.opens
+   AND ((t.role <> 'system' AND t.start >= f.start - 256)
+        OR (t.role = 'system' AND t.idx = (SELECT max(s.idx) FROM spans s
+            WHERE s.conv_id = f.conv_id AND s.role = 'system' AND s.idx < f.idx)))
+  GROUP BY 1, 2),
+repeated AS (SELECT conv_id, sum(chars) AS chars FROM context GROUP BY 1)
+SELECT s.conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY idx)) AS turns_sha256,
+       CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY idx), '')) AS loss_sha256,
+       CAST(sum(s.chars) + coalesce(max(r.chars), 0) AS BIGINT) AS formatted_chars
+FROM spans s LEFT JOIN repeated r ON s.conv_id = r.conv_id
+GROUP BY s.conv_id
+"""
+
+ORACLE = {"op1_url_filter": URL_FILTER, "op2_quality_rules": QUALITY_RULES,
+          "op9_chat_formatting": CHAT_FORMATTING}
