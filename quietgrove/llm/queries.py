@@ -31,6 +31,18 @@ def op2_quality_rules(spark: SparkSession, d: str) -> DataFrame:
                       (F.col("kept") & ~base_failed()).alias("kept"))
 
 
+def op4_bpe(spark: SparkSession, d: str, path: str | None = None) -> DataFrame:
+    """Encode every document and decode its ids again."""
+    import public_tokenizers
+    from quietgrove.llm.bpe import decode, encode
+    path = path or public_tokenizers.path("byte_bpe_50k.json")
+    coded = decode(encode(table(spark, d, "documents").select("doc_id", "text"), path), path)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+                        F.sha2(listed, 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op5_sharding(spark: SparkSession, d: str) -> DataFrame:
     """Deal all documents into eight shards whose row counts differ by one at most."""
     from quietgrove.llm.sharding import shuffle_into_shards
@@ -43,6 +55,16 @@ def op5_sharding(spark: SparkSession, d: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_language_id(spark: SparkSession, d: str) -> DataFrame:
+    """Predict the language of every document; a quarter of them is held out of the fit."""
+    from quietgrove.llm.language_id import fit
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
+    model = fit(docs.where(~held_out))
+    return model.predict(docs.select("doc_id", "text", held_out.alias("held_out"))).select(
+        "doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_chat_formatting(spark: SparkSession, d: str) -> DataFrame:
     """Format every conversation, and one that is full of control strings, and read it back."""
     from quietgrove.llm.chat import conversation_digests, format_chats
@@ -55,4 +77,5 @@ def op9_chat_formatting(spark: SparkSession, d: str) -> DataFrame:
     return conversation_digests(format_chats(chats.unionByName(extra)))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_quality_rules, op5_sharding, op9_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_quality_rules, op4_bpe, op5_sharding,
+                                  op7_language_id, op9_chat_formatting)}
