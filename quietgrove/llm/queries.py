@@ -31,6 +31,16 @@ def op2_quality_rules(spark: SparkSession, d: str) -> DataFrame:
                       (F.col("kept") & ~base_failed()).alias("kept"))
 
 
+def op3_packing(spark: SparkSession, d: str, path: str | None = None) -> DataFrame:
+    """Pack all documents into sequences of 2,048 tokens."""
+    import public_tokenizers
+    from quietgrove.llm.packing import pack
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    pieces = pack(docs, path or public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
+                         "doc_tokens", "sequence_id", "offset")
+
+
 def op4_bpe(spark: SparkSession, d: str, path: str | None = None) -> DataFrame:
     """Encode every document and decode its ids again."""
     import public_tokenizers
@@ -77,5 +87,5 @@ def op9_chat_formatting(spark: SparkSession, d: str) -> DataFrame:
     return conversation_digests(format_chats(chats.unionByName(extra)))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_quality_rules, op4_bpe, op5_sharding,
-                                  op7_language_id, op9_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_quality_rules, op3_packing, op4_bpe,
+                                  op5_sharding, op7_language_id, op9_chat_formatting)}
