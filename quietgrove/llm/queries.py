@@ -65,6 +65,13 @@ def op5_sharding(spark: SparkSession, d: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_html_text(spark: SparkSession, d: str) -> DataFrame:
+    """The main text of every page."""
+    from quietgrove.llm.html_text import extract
+    return extract(table(spark, d, "pages").select("page_id", "url", "html")).select(
+        "page_id", "url", "text", "n_chars")
+
+
 def op7_language_id(spark: SparkSession, d: str) -> DataFrame:
     """Predict the language of every document; a quarter of them is held out of the fit."""
     from quietgrove.llm.language_id import fit
@@ -88,4 +95,4 @@ def op9_chat_formatting(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_quality_rules, op3_packing, op4_bpe,
-                                  op5_sharding, op7_language_id, op9_chat_formatting)}
+                                  op5_sharding, op6_html_text, op7_language_id, op9_chat_formatting)}
