@@ -82,6 +82,12 @@ def op7_language_id(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20."""
+    from quietgrove.llm.neighbours import search
+    return search(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op9_chat_formatting(spark: SparkSession, d: str) -> DataFrame:
     """Format every conversation, and one that is full of control strings, and read it back."""
     from quietgrove.llm.chat import conversation_digests, format_chats
@@ -95,4 +101,5 @@ def op9_chat_formatting(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_quality_rules, op3_packing, op4_bpe,
-                                  op5_sharding, op6_html_text, op7_language_id, op9_chat_formatting)}
+                                  op5_sharding, op6_html_text, op7_language_id,
+                                  op8_neighbours, op9_chat_formatting)}
