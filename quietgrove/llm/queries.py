@@ -100,6 +100,12 @@ def op9_chat_formatting(spark: SparkSession, d: str) -> DataFrame:
     return conversation_digests(format_chats(chats.unionByName(extra)))
 
 
+def op10_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
+    """Component of every document under links of 75 percent common shingles."""
+    from quietgrove.llm.jaccard_join import jaccard_components
+    return jaccard_components(table(spark, d, "documents").select("doc_id", "text"))
+
+
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_quality_rules, op3_packing, op4_bpe,
                                   op5_sharding, op6_html_text, op7_language_id,
-                                  op8_neighbours, op9_chat_formatting)}
+                                  op8_neighbours, op9_chat_formatting, op10_jaccard_join)}
