@@ -28,6 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quietgrove.llm.common import bound_batches
 from quietgrove.llm.word_bpe import vocabulary
 from quietgrove.scratch import Scratch
 
@@ -129,6 +130,7 @@ def pack(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", wind
     """One row per piece: ``key``, start, length, ids (little-endian uint32 bytes), doc_tokens,
     sequence_id, offset (place of the piece in its sequence)."""
     spark = df.sparkSession
+    bound_batches(spark)
     scratch = Scratch(spark)
     kind = dict(df.dtypes)[key]
 
@@ -136,8 +138,8 @@ def pack(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", wind
         words = vocabulary(path)
         for batch in batches:
             out = {c: [] for c in ("key", "start", "length", "doc_tokens", "ids")}
-            for k, body in zip(batch["key"], batch["text"]):
-                ids = np.append(words.encode(body), np.uint16(end_id))
+            for k, ids in zip(batch["key"], words.encode_all(batch["text"].tolist())):
+                ids = np.append(ids, np.uint16(end_id))
                 for start in range(0, len(ids), window):
                     part = ids[start:start + window]
                     out["key"].append(k)

@@ -10,7 +10,7 @@ from __future__ import annotations
 import functools
 import json
 import re
-from typing import Optional
+from typing import Optional, Sequence
 
 import numpy as np
 
@@ -20,6 +20,7 @@ from quietgrove.llm.bpe import byte_signs
 REMEMBERED = 400_000
 #: Longer chunks go to the library, whose merging stays fast on them.
 LONG_CHUNK = 256
+TEXTS_AT_ONCE = 64
 
 # Fixed value: how this kind of vocabulary splits lower-case text.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -30,14 +31,14 @@ _ODD_GAP = re.compile("[\x1c-\x1f]")
 _WORD_END = b"\x01"
 
 
-class WordBpe(dict):
-    """A vocabulary; as a dictionary it maps chunks to their ids as bytes of uint16."""
+class WordBpe:
+    """A vocabulary, with a table from chunks to their ids as bytes of uint16."""
 
     def __init__(self, path: str):
         import regex
         import tiktoken
         from tokenizers import Tokenizer
-        super().__init__()
+        self.table: dict[str, bytes] = {}
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -51,34 +52,56 @@ class WordBpe(dict):
             body = token[:-4] if ends else token
             if token not in self.special:
                 ranks[bytes(signs[c] for c in body) + _WORD_END * ends] = rank
-        self._core = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks,
+        self._core = tiktoken.Encoding("own", pat_str="[^\x01]+\x01", mergeable_ranks=ranks,
                                        special_tokens={})
+        self._ends = np.zeros(1 << 16, dtype=bool)
+        self._ends[[rank for token, rank in ranks.items() if token.endswith(_WORD_END) and len(token) > 1]] = True
         self._pieces = regex.compile(PIECES)
 
     def _library_ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(chunk) <= LONG_CHUNK and _PLAIN.fullmatch(chunk):
-            ids: list[int] = []
-            for piece in self._pieces.findall(chunk.lower()):
-                ids += self._core._encode_single_piece(piece.encode() + _WORD_END)
-        else:
-            ids = self._library_ids(chunk)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        out = np.array(ids, dtype=np.uint16).tobytes()
-        if len(chunk) <= LONG_CHUNK:
-            self[chunk] = out
+    def _learn(self, chunks: set[str]) -> None:
+        """Remember the ids of chunks; plain ones are merged in one call."""
+        plain, counts, pieces = [], [], []
+        for chunk in chunks:
+            if len(chunk) <= LONG_CHUNK and _PLAIN.fullmatch(chunk):
+                lower = chunk.lower()
+                found = [lower] if lower.isalpha() else self._pieces.findall(lower)
+                plain.append(chunk)
+                counts.append(len(found))
+                pieces += found
+            else:
+                self.table[chunk] = np.array(self._library_ids(chunk), dtype=np.uint16).tobytes()
+        if not pieces:
+            return
+        joined = _WORD_END.decode().join(pieces) + _WORD_END.decode()
+        ids = np.array(self._core.encode_ordinary(joined), dtype=np.uint16)
+        ends = np.concatenate(([0], np.nonzero(self._ends[ids])[0] + 1))
+        bounds = (2 * ends[np.concatenate(([0], np.cumsum(counts)))]).tolist()
+        data = ids.tobytes()
+        self.table.update(zip(plain, map(data.__getitem__, map(slice, bounds, bounds[1:]))))
+
+    def encode_all(self, texts: Sequence[Optional[str]]) -> list[np.ndarray]:
+        """Ids of whole texts; none for null."""
+        out: list[np.ndarray] = []
+        for begin in range(0, len(texts), TEXTS_AT_ONCE):
+            group = [t or "" for t in texts[begin:begin + TEXTS_AT_ONCE]]
+            whole = [i for i, t in enumerate(group)
+                     if any(s in t for s in self.special) or _ODD_GAP.search(t)]
+            split = [[] if i in whole else t.split() for i, t in enumerate(group)]
+            if len(self.table) >= REMEMBERED:
+                self.table.clear()
+            self._learn(set().union(*split).difference(self.table))
+            ids = [np.frombuffer(b"".join(map(self.table.__getitem__, words)), dtype=np.uint16)
+                   for words in split]
+            for i in whole:
+                ids[i] = np.array(self._library_ids(group[i]), dtype=np.uint16)
+            out += ids
         return out
 
     def encode(self, text: Optional[str]) -> np.ndarray:
-        """Ids of a whole text; none for null."""
-        if not text:
-            return np.zeros(0, dtype=np.uint16)
-        if any(s in text for s in self.special) or _ODD_GAP.search(text):
-            return np.array(self._library_ids(text), dtype=np.uint16)
-        return np.frombuffer(b"".join(map(self.__getitem__, text.split())), dtype=np.uint16)
+        return self.encode_all([text])[0]
 
 
 @functools.lru_cache(maxsize=2)
