@@ -8,15 +8,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Doubles of this size and above are integers.
+EXACT_INTEGERS = 2.0 ** 53
+
+
 def as_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def clamp(value, lo, hi) -> Column:
-    """``value`` limited to [lo, hi]."""
+    """``value`` limited to [lo, hi]; null stays null."""
     lo = lo if isinstance(lo, Column) else F.lit(lo)
     hi = hi if isinstance(hi, Column) else F.lit(hi)
-    return F.greatest(lo, F.least(as_col(value), hi))
+    value = as_col(value)
+    return F.when(value.isNotNull(), F.greatest(lo, F.least(value, hi)))
 
 
 def sigmoid(value) -> Column:
@@ -24,9 +29,14 @@ def sigmoid(value) -> Column:
 
 
 def floor_to(value: Column, digits: int) -> Column:
-    """Round down to ``digits`` decimals, staying a double."""
+    """Round down to ``digits`` decimals, staying a double.
+
+    Numbers so large that a double holds no such decimals stay as they are.
+    """
     scale = float(10 ** digits)
-    return F.floor(value * F.lit(scale)).cast("double") / F.lit(scale)
+    fits = F.abs(value) * F.lit(scale) < F.lit(EXACT_INTEGERS)
+    floored = F.floor(F.when(fits, value * F.lit(scale))).cast("double") / F.lit(scale)
+    return F.when(fits, floored).otherwise(value)
 
 
 def choose(cases: Sequence[tuple[Column, Column]], otherwise: Optional[Column] = None) -> Column:

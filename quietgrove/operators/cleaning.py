@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quietgrove.functions import text
 from quietgrove.functions.columns import as_col, clamp, interval_index, mapped
 from quietgrove.operators.ranking import global_rank, order_exprs, position_cuts
 from quietgrove.scratch import materialize
@@ -41,7 +42,8 @@ def map_values(df: DataFrame, col: str, mapping: Mapping, default=None) -> DataF
 
 def category_codes(df: DataFrame, cols: Sequence[str], order: str = "sorted",
                    key: Optional[str] = None) -> DataFrame:
-    """(column, category, code) for all given columns; codes start at 0 in each column.
+    """(column, category, code) for all given columns; codes start at 0 in each column, and a
+    missing value is no category.
 
     ``sorted`` numbers categories alphabetically, ``first_seen`` by the smallest ``key``
     among their rows.
@@ -50,10 +52,11 @@ def category_codes(df: DataFrame, cols: Sequence[str], order: str = "sorted",
         raise ValueError(f"unknown order {order}")
     if order == "first_seen" and key is None:
         raise ValueError("first_seen needs a key")
-    parts = ", ".join(f"'{c}', CAST(`{c}` AS string)" for c in cols)
+    parts = ", ".join(f"{text.literal(c)}, CAST({text.name(c)} AS string)" for c in cols)
     ident = [key] if order == "first_seen" else []
-    long = df.selectExpr(*ident, f"stack({len(cols)}, {parts}) AS (column, category)")
-    first = F.min(key) if order == "first_seen" else F.min("category")
+    long = df.selectExpr(*text.names(ident), f"stack({len(cols)}, {parts}) AS (column, category)"
+                         ).where("category IS NOT NULL")
+    first = F.min(text.name(key)) if order == "first_seen" else F.min("category")
     found = materialize(long.groupBy("column", "category").agg(first.alias("_first")))
     sizes = {r["column"]: r["count"] for r in found.groupBy("column").count().collect()}
     if max(sizes.values(), default=0) <= BROADCAST_CATEGORIES:

@@ -8,6 +8,8 @@ compares its own key with them.
 
 from __future__ import annotations
 
+import math
+import sys
 from typing import Callable, Sequence, Union
 
 from pyspark.sql import Column, DataFrame
@@ -59,13 +61,26 @@ def _search_columns(df: DataFrame, order_cols: Sequence[str]):
     return cols
 
 
+_NAN = float("nan")
+
+
+def _plain(v):
+    """One object for every NaN, so that equal ranges compare equal."""
+    return _NAN if isinstance(v, float) and v != v else v
+
+
+def _sortable(key):
+    """Key values in Spark's order, where NaN comes last."""
+    return tuple((1, 0.0) if v is _NAN else (0, v) for v in map(_plain, key))
+
+
 class _Search:
     """Looks for the key at ``rank`` among rows whose leading keys equal ``prefix`` and whose
     next key lies in [lo, hi]."""
 
     def __init__(self, target: int, rank: int, prefix: tuple, lo, hi, rows: int):
         self.target, self.rank, self.prefix = target, rank, prefix
-        self.lo, self.hi, self.rows = lo, hi, rows
+        self.lo, self.hi, self.rows = _plain(lo), _plain(hi), rows
 
     @property
     def region(self):
@@ -81,7 +96,7 @@ class _Regions:
     def __init__(self, keys: Sequence[str], searches):
         self.keys = keys
         unique = {s.region: s for s in searches}
-        self.items = [unique[r] for r in sorted(unique)]
+        self.items = [unique[r] for r in sorted(unique, key=lambda r: _sortable((*r[0], r[1])))]
         self.place = {s.region: i for i, s in enumerate(self.items)}
         self.rows = sum(s.rows for s in self.items)
 
@@ -119,8 +134,12 @@ class _Regions:
         """Bucket of key ``d``, monotone: lo falls in bucket 0 and hi in the last one."""
         los = [s.lo if len(s.prefix) == d else self._filler(d) for s in self.items]
         spans = [s.hi - s.lo if len(s.prefix) == d else 0 for s in self.items]
+        # No linear share where the range is not finite: those values are told apart by size.
+        wide = [not math.isfinite(v) for v in spans]
+        spans = [0 if w else v for v, w in zip(spans, wide)]
+        by_size = F.when(self._lookup(wide), _size_bucket(F.col(self.keys[d]))) if any(wide) else None
         if not any(spans):
-            return F.lit(0)
+            return F.lit(0) if by_size is None else F.coalesce(by_size, F.lit(0))
         key = F.col(self.keys[d])
         if isinstance(max(spans), int) and max(spans) >= 1 << 62:
             key = key.cast("decimal(20,0)")  # the difference could overflow a long
@@ -128,7 +147,18 @@ class _Regions:
             [float(v) if v else None for v in spans])
         top = _BUCKETS - 1
         scaled = F.least(F.floor(share * F.lit(float(top))), F.lit(top)).cast("int")
-        return F.coalesce(scaled, F.lit(0))
+        return F.coalesce(scaled, F.lit(0)) if by_size is None else F.coalesce(
+            by_size, scaled, F.lit(0))
+
+
+def _size_bucket(key: Column) -> Column:
+    """Monotone bucket of any double: minus infinity first, then by sign and magnitude, then
+    infinity and NaN each in a bucket of its own."""
+    middle = (_BUCKETS - 2) // 2
+    size = F.log1p(F.abs(key)) / F.lit(math.log(sys.float_info.max) + 1)
+    place = F.floor(F.lit(float(middle)) * (F.lit(1.0) + F.signum(key) * size)).cast("int") + 1
+    return (F.when(F.isnan(key), _BUCKETS + 1).when(key == F.lit(float("inf")), _BUCKETS)
+            .when(key == F.lit(float("-inf")), 0).otherwise(place))
 
 
 def position_cuts(df: DataFrame, order_cols: Sequence[str],
@@ -171,9 +201,9 @@ def _finish(narrow, active, regions, found) -> None:
     listed = regions.tag(narrow).agg(F.collect_list(item).alias("rows")).first()["rows"]
     groups: dict[int, list] = {}
     for row in listed:
-        groups.setdefault(row["_r"], []).append(tuple(row[k] for k in regions.keys))
+        groups.setdefault(row["_r"], []).append(tuple(_plain(row[k]) for k in regions.keys))
     for g in groups.values():
-        g.sort()
+        g.sort(key=_sortable)
     for s in active:
         found[s.target] = groups[regions.place[s.region]][s.rank]
 
@@ -198,8 +228,8 @@ def _narrow_down(narrow, active, regions, found) -> list:
             if rank < row["n"]:
                 break
             rank -= row["n"]
-        lo, hi = row[f"lo{depth}"], row[f"hi{depth}"]
-        if lo != hi:
+        lo, hi = _plain(row[f"lo{depth}"]), _plain(row[f"hi{depth}"])
+        if lo is not hi and lo != hi:
             left.append(_Search(s.target, rank, s.prefix, lo, hi, row["n"]))
         elif depth == last:
             found[s.target] = (*s.prefix, lo)

@@ -12,6 +12,8 @@ SWEEP_SCHEMA = T.StructType([
     T.StructField("privacy_budget", T.DoubleType()), T.StructField("mean", T.DoubleType()),
     T.StructField("std", T.DoubleType()), T.StructField("glc", T.BooleanType()),
     T.StructField("gdf", T.BooleanType())])
+#: The same with the configuration's name in front, as ``sweep`` returns it.
+NAMED_SWEEP_SCHEMA = T.StructType([T.StructField("config", T.StringType()), *SWEEP_SCHEMA])
 
 
 def write_results(df: DataFrame, path: str, format: str = "csv", mode: str = "error") -> None:
@@ -26,8 +28,14 @@ def write_results(df: DataFrame, path: str, format: str = "csv", mode: str = "er
 def read_results(spark: SparkSession, path: str, schema: T.StructType = SWEEP_SCHEMA,
                  format: str = "csv") -> DataFrame:
     """Read results back. Rows with fewer fields than the header (some tools drop trailing
-    ones) get nulls."""
-    reader = spark.read.schema(schema)
+    ones) get nulls; a header with other names than the schema's is refused. Sweep results may
+    have their configuration in front."""
     if format == "csv":
-        return reader.option("header", True).option("mode", "PERMISSIVE").csv(path)
-    return reader.format(format).load(path)
+        header = spark.read.option("header", False).csv(path).first()
+        found = [v for v in (header or []) if v is not None]
+        if schema is SWEEP_SCHEMA and found[:1] == ["config"]:
+            schema = NAMED_SWEEP_SCHEMA
+        if found and found[:len(schema)] != schema.names[:len(found)]:
+            raise ValueError(f"columns {found}, expected {schema.names}")
+        return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    return spark.read.schema(schema).format(format).load(path)

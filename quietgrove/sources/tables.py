@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from typing import Optional
+from typing import Optional, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +14,6 @@ from quietgrove.operators.cleaning import drop_missing
 from quietgrove.operators.ranking import order_exprs, position_cuts
 from quietgrove.spec import TableSpec
 
-# Up to this many rows a plain top-n is best: every task keeps n rows and one merges them.
-TOP_N_ROWS = 10_000
-
 
 def load_table(spark: SparkSession, path: str, spec: TableSpec, sep: Optional[str] = None,
                header: Optional[bool] = None) -> DataFrame:
@@ -51,21 +48,27 @@ def append_tables(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def take_first(df: DataFrame, n: int, key: str) -> DataFrame:
-    """The n rows with the smallest keys (unique). A large n is found by a cut key instead
-    of gathering the rows in one task."""
-    if n <= TOP_N_ROWS:
-        return df.orderBy(key).limit(n)
-    total, cuts = position_cuts(df, [key], lambda rows: [n] if n < rows else [])
-    return df.where(tuple_less(order_exprs(df, [key]), cuts[0])) if cuts else df
+    """The n rows with the smallest keys. Rows without a key are never taken; of several rows
+    at the last key as many are taken as fit."""
+    return _first(df.where(F.col(f"`{key}`").isNotNull()), n, [key])
+
+
+def _first(df: DataFrame, n: int, keys: Sequence[str]) -> DataFrame:
+    """n rows in the order of the keys, found by a cut key instead of gathering the rows."""
+    total, cuts = position_cuts(df, keys, lambda rows: [n - 1] if 0 < n < rows else [])
+    if not cuts:
+        return df if n > 0 else df.limit(0)
+    exprs, cut = order_exprs(df, keys), cuts[0]
+    at = F.lit(True)
+    for c, v in zip(exprs, cut):
+        at = at & (c == F.lit(v))
+    below, tied = df.where(tuple_less(exprs, cut)), df.where(at)
+    room = n - below.count()
+    return below.unionByName(tied if tied.count() == room else tied.limit(room))
 
 
 def sample_n(df: DataFrame, n: int, seed=None, key: str = "row_id", marker: str = "?"
              ) -> DataFrame:
     """n random rows among those without a missing value."""
     draw = drop_missing(df, marker).withColumn("_draw", draw_key(fresh_seed(seed), key))
-    if n <= TOP_N_ROWS:
-        return draw.orderBy("_draw", key).limit(n).drop("_draw")
-    total, cuts = position_cuts(draw, ["_draw", key], lambda rows: [n] if n < rows else [])
-    if cuts:
-        draw = draw.where(tuple_less(order_exprs(draw, ["_draw", key]), cuts[0]))
-    return draw.drop("_draw")
+    return _first(draw.where(F.col(f"`{key}`").isNotNull()), n, ["_draw", key]).drop("_draw")

@@ -50,10 +50,9 @@ def test_label_codes_for_huge_dictionaries_agree(spark, planted, monkeypatch):
         monkeypatch.undo()
 
 
-def test_take_first_and_sample_by_cut(spark, planted, monkeypatch):
-    top = tables.take_first(planted, 50, "row_id")
+def test_take_first_and_sample_by_cut(spark, planted):
+    top = planted.orderBy("row_id").limit(50)
     draw = tables.sample_n(planted, 50, "s")
-    monkeypatch.setattr(tables, "TOP_N_ROWS", 10)
     assert tables.take_first(planted, 50, "row_id").exceptAll(top).count() == 0
     again = tables.sample_n(planted, 50, "s")
     assert again.count() == 50 and again.exceptAll(draw).count() == 0
