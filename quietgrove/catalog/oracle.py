@@ -534,7 +534,7 @@ sums AS (SELECT model AS fold, 0 AS tree_id, sum(grad) AS g FROM f0_in GROUP BY
   UNION ALL SELECT model, 1, sum(grad) FROM f1_in GROUP BY model),
 lv AS (SELECT model AS fold, 0 AS tree_id, sum(w) AS w FROM f0_leaf GROUP BY model
   UNION ALL SELECT model, 1, sum(w) FROM f1_leaf GROUP BY model)
-SELECT fold, tree_id, {rd('g')} AS gradient_sum, {rd('w')} AS leaf_sum FROM sums JOIN lv USING (fold, tree_id)"""
+SELECT fold, tree_id, 0 AS class_id, {rd('g')} AS gradient_sum, {rd('w')} AS leaf_sum FROM sums JOIN lv USING (fold, tree_id)"""
     plain_cfg = f"{SCORED.replace('scored AS', 'scored_all AS')}, scored AS (SELECT * FROM scored_all WHERE config = 'plain')"
     o["k4_complexity_sweep"] = f"""WITH {plain_cfg}, {mean_std('label, n', MAPE)} SELECT label, {rd('avg(mean)', 5)} AS mean,
   {rd('avg(std / 2)', 5)} AS std FROM means WHERE n <> 300 GROUP BY label"""
@@ -649,11 +649,7 @@ def private_sql():
     from quietgrove.spec import ModelParams
     p = ModelParams(nb_trees=2, max_depth=1, learning_rate=0.5, privacy_budget=4.0)
     node = privacy.node_budget(p, privacy.tree_budget(p), 0)
-    codes = ", ".join(f"CAST(dense_rank() OVER (ORDER BY {f}) - 1 AS DOUBLE) AS {f}"
-                      for f, k in ALL if k == "text")
-    coded = [(f, "num" if k == "num" else "code") for f, k in ALL]
-    plain = PLANTED.replace("planted AS (", "planted_text AS (")
-    out = [f"""WITH RECURSIVE {plain}, planted AS (SELECT * REPLACE ({codes}) FROM planted_text), cnt AS (SELECT count(*) AS n FROM planted), {balanced(2)},
+    out = [f"""WITH RECURSIVE {PLANTED}, cnt AS (SELECT count(*) AS n FROM planted), {balanced(2)},
 pos AS ({order_pos(f"{draw(f'{SEED}|rows|0', 'row_id')}, row_id", 'planted')}),
 s0 AS (SELECT * EXCLUDE (pos), (SELECT count(*) FROM q WHERE top <= pos) AS tree_id,
   (SELECT avg(y) FROM planted) AS pred FROM pos)"""]
@@ -666,12 +662,12 @@ s0 AS (SELECT * EXCLUDE (pos), (SELECT count(*) FROM q WHERE top <= pos) AS tree
                f"ln({uni(f'{SEED}|leaf|{t}|0|0', 'node_id', '2')}))")
         out += [f"p{t}_in AS (SELECT *, greatest(-1.0, least(pred - y, 1.0)) AS grad, 0::BIGINT AS node_id "
                 f"FROM s{t} WHERE tree_id = {t})",
-                grow(f"p{t}_in", f"p{t}", coded, 1, order=f"{utility} - {gum} DESC",
+                grow(f"p{t}_in", f"p{t}", ALL, 1, order=f"{utility} - {gum} DESC",
                      where=f"{utility} > 0"),
                 f"p{t}_leaf AS (SELECT node_id, greatest(-{bound}, least(-sum(grad) / (count(*) + 0.1::DOUBLE), {bound})) "
                 f"+ {lap} AS w FROM p{t}_r1 GROUP BY node_id)",
                 f"p{t}_all AS (SELECT *, 0::BIGINT AS node_id FROM s{t})",
-                routed(f"p{t}_all", f"p{t}_b0", f"p{t}_rall", coded, ["node_id"]),
+                routed(f"p{t}_all", f"p{t}_b0", f"p{t}_rall", ALL, ["node_id"]),
                 f"s{t + 1} AS (SELECT r.* EXCLUDE (pred, node_id), r.pred + 0.5::DOUBLE * l.w AS pred "
                 f"FROM p{t}_rall r JOIN p{t}_leaf l USING (node_id))"]
     return ", ".join(out) + f" SELECT row_id, {rd('pred', 7)} AS prediction FROM s2"

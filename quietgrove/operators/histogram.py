@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quietgrove.functions import text
-from quietgrove.functions.columns import choose
+from quietgrove.functions.columns import EXACT_INTEGERS, choose
 from quietgrove.operators.prefix import (chunk_bounds, chunk_of, distinct_counts,
                                          running_sums)
 from quietgrove.spec import Feature, Grid
@@ -191,7 +191,9 @@ def gain_sql(g_left: str, n_left: str, g_right: str, n_right: str, l2_lambda: fl
     gain = f"{g_left} * {g_left} / ({n_left} + {lam}) + {g_right} * {g_right} / ({n_right} + {lam})"
     if floor_digits:
         scale = text.literal(float(10 ** GAIN_DIGITS))
-        gain = f"CAST(floor(({gain}) * {scale}) AS double) / {scale}"
+        fits = f"({gain}) * {scale} < {text.literal(EXACT_INTEGERS)}"
+        floored = f"CAST(floor(CASE WHEN {fits} THEN ({gain}) * {scale} END) AS double) / {scale}"
+        gain = f"CASE WHEN {fits} THEN {floored} ELSE {gain} END"
     return f"greatest({gain}, 0.0D)"
 
 
@@ -223,13 +225,42 @@ def sibling_gain(df: DataFrame, features: Sequence[Feature], l2_lambda: float,
 
     One histogram per parent serves both children.
     """
+    hist = sibling_histogram(df, features, parent, side, by, grad, packed)
+    return sibling_gain_of(hist, features, l2_lambda, parent, side, by, chunks, floor_digits)
+
+
+def sibling_histogram(df: DataFrame, features: Sequence[Feature], parent: str = "parent_id",
+                      side: str = "side", by: Sequence[str] = (), grad: str = "grad",
+                      packed: Optional[str] = None) -> DataFrame:
+    """Distinct values below each parent: sums of both children, of each, and where they occur."""
     g, side_of = text.name(grad), text.name(side)
     own = [F.expr("count(1) AS n"), F.expr(f"sum({g}) AS g")]
     for s in (0, 1):
         own += [F.expr(f"count(CASE WHEN {side_of} = {s} THEN 1 END) AS n{s}"),
                 F.expr(f"sum(CASE WHEN {side_of} = {s} THEN {g} ELSE 0.0D END) AS g{s}")]
-    hist = _grouped(long_form(df, features, [*by, parent, side, grad], packed),
-                    [*by, parent], own)
+    found = _grouped(long_form(df, features, [*by, parent, side, grad], packed),
+                     [*by, parent], own)
+    return found.selectExpr("*", "n0 > 0 AS in0", "n1 > 0 AS in1")
+
+
+def pooled_siblings(hist: DataFrame, parent: str = "parent_id", side: str = "side",
+                    by: Sequence[str] = ()) -> DataFrame:
+    """The same from a histogram by parent and side whose candidates do not depend on the rows:
+    grid points and declared values are candidates of both children."""
+    own = [F.sum("n").alias("n"), F.sum("g").alias("g")]
+    for s in (0, 1):
+        here = F.col(side) == s
+        own += [F.coalesce(F.sum(F.when(here, F.col("n"))), F.lit(0)).cast("bigint").alias(f"n{s}"),
+                F.coalesce(F.sum(F.when(here, F.col("g"))), F.lit(0.0)).alias(f"g{s}")]
+    found = hist.groupBy(*by, parent, *CANDIDATE).agg(*own)
+    return found.selectExpr("*", "true AS in0", "true AS in1")
+
+
+def sibling_gain_of(hist: DataFrame, features: Sequence[Feature], l2_lambda: float,
+                    parent: str = "parent_id", side: str = "side", by: Sequence[str] = (),
+                    chunks: Optional[ValueChunks] = None, floor_digits: bool = False) -> DataFrame:
+    """``sibling_gain`` from a histogram of the siblings."""
+    side_of = text.name(side)
     sums = ["n", "g", "n0", "g0", "n1", "g1"]
     wide = running_sums(hist, [*by, parent, "feature_idx"], ["value", "category"], sums,
                         chunks.sql() if chunks else None)
@@ -238,9 +269,10 @@ def sibling_gain(df: DataFrame, features: Sequence[Feature], l2_lambda: float,
     right = {s: f"(total_{s} - {left[s]})" for s in sums}
     gain = gain_sql(left["g"], left["n"], right["g"], right["n"], l2_lambda, floor_digits)
     children = ", ".join(
-        f"{s}, n{s}, {left[f'n{s}']}, {left[f'g{s}']}, {right[f'n{s}']}, {right[f'g{s}']}"
+        f"{s}, in{s}, {left[f'n{s}']}, {left[f'g{s}']}, {right[f'n{s}']}, {right[f'g{s}']}"
         for s in (0, 1))
     return (wide.selectExpr(*text.names([*by, parent, *CANDIDATE]), f"{gain} AS gain",
                             f"stack(2, {children}) AS ({side_of}, _own, n_left, g_left, "
                             "n_right, g_right)")
-            .where("_own > 0 AND n_left > 0 AND n_right > 0").drop("_own"))
+            .where("(value IS NOT NULL OR category IS NOT NULL) AND _own AND n_left > 0 AND n_right > 0")
+            .drop("_own"))

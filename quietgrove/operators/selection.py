@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Optional, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -80,9 +80,13 @@ def _pick(cands: DataFrame, by: Sequence[str], pick: str, order: str) -> DataFra
 
 
 def with_noise(cands: DataFrame, by: Sequence[str] = (), seed=None, score: str = "utility",
-               reverse: bool = False) -> DataFrame:
-    """Candidates with positive utility and ``noisy`` = utility + Gumbel noise."""
-    u = uniform_sql(fresh_seed(seed), *text.names([*by, *CANDIDATE]))
+               reverse: bool = False, keys: Optional[Sequence[str]] = None) -> DataFrame:
+    """Candidates with positive utility and ``noisy`` = utility + Gumbel noise.
+
+    ``keys`` are the SQL expressions that a draw depends on besides the seed; by default group,
+    feature, value and category.
+    """
+    u = uniform_sql(fresh_seed(seed), *(keys or text.names([*by, *CANDIDATE])))
     return cands.where(f"{text.name(score)} > 0").selectExpr(
         "*", f"{'-' if reverse else ''}{text.name(score)} - ln(-ln({u})) AS noisy")
 

@@ -41,8 +41,9 @@ class PrivateBoostedTrees:
 
     # -- public --------------------------------------------------------------------------
 
-    def fit(self, df: DataFrame) -> BoostedModel:
-        """Train one ensemble."""
+    def fit(self, df: DataFrame, exact_scaling: bool = False) -> BoostedModel:
+        """Train one ensemble. ``exact_scaling`` says that the target was scaled by its own
+        minimum and maximum, which the ledger then lists as unpaid."""
         spark = df.sparkSession
         features = feature_list(df, self.numeric, self.categorical, self.order)
         seed = fresh_seed(self.params.seed)
@@ -66,7 +67,8 @@ class PrivateBoostedTrees:
         model = BoostedModel(self.params, features, init, trees)
         model.task = self.task
         if self.params.private:
-            model.ledger = privacy.training_ledger(self.params).check()
+            model.ledger = privacy.training_ledger(
+                self.params, exact_scaling=exact_scaling).check()
         return model
 
     def fit_folds(self, df: DataFrame, fold: str = "fold", targets: Optional[dict] = None
@@ -180,7 +182,7 @@ class _Run:
         chunks = ValueChunks.measure(df, self.features, self.table.counts) \
             if self.params.candidates == "distinct" else None
         self.small = self.table.n * max(1, len(self.models) - 1) <= SMALL_ROWS
-        return Grower(self.params, self.features, self.seed, chunks)
+        return Grower(self.params, self.features, self.seed, chunks, self.table.coder.words)
 
     def round_of(self, trees: dict) -> dict:
         return {m: [trees[m, k] for k in self.classes] for m in self.models}

@@ -8,11 +8,14 @@ whose dictionary is too long for the driver keeps its text.
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
+from operator import and_
 from typing import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quietgrove.functions import text
 from quietgrove.operators.prefix import distinct_counts
 from quietgrove.plans.trees import Node, Split, Tree
 from quietgrove.scratch import Scratch
@@ -72,10 +75,15 @@ class Coder:
 
 
 class TrainingTable:
-    """Stored rows with text features as codes, and what is known about them."""
+    """Stored rows with text features as codes, and what is known about them.
+
+    Rows that miss a feature do not train: a missing value is on neither side of a split.
+    (Trees send such rows to the right when they are applied.)
+    """
 
     def __init__(self, df: DataFrame, features: Sequence[Feature], scratch: Scratch):
-        raw = scratch.save(df)
+        whole = [F.col(text.name(f.name)).isNotNull() for f in features]
+        raw = scratch.save(df.where(reduce(and_, whole)) if whole else df)
         self.n, self.counts = distinct_counts(raw, [f.name for f in features])
         self.coder = Coder.measure(raw, features, self.counts)
         cores = df.sparkSession.sparkContext.defaultParallelism

@@ -18,7 +18,7 @@ from quietgrove.operators.splits import kfold
 from quietgrove.plans.boosting import PrivateBoostedTrees
 from quietgrove.plans.model import BoostedModel
 from quietgrove.scratch import Scratch, materialize
-from quietgrove.sources.results import SWEEP_SCHEMA
+from quietgrove.sources.results import NAMED_SWEEP_SCHEMA
 from quietgrove.sources.tables import take_first
 from quietgrove.spec import ModelParams
 
@@ -124,7 +124,8 @@ def cross_predict(df: DataFrame, params: ModelParams, k: int, columns: Columns,
                 if scalers is not None:
                     train = train.withColumn(columns.target,
                                              scalers[f].forward(F.col(columns.target)))
-                return f, trainer.fit(train)
+                exact = scalers is not None and scalers[f].required and scalers[f].exact
+                return f, trainer.fit(train, exact_scaling=exact)
             with ThreadPoolExecutor(min(parallel_folds, k)) as pool:
                 models = dict(pool.map(inheritable_thread_target(spark)(one), folds))
         scored = _predict_folds(folded, models, scalers).select(
@@ -165,7 +166,7 @@ def sweep(df: DataFrame, budgets: Sequence[float], configs: Mapping[str, Mapping
                 F.lit(params.leaf_clipping).alias("glc"),
                 F.lit(params.gradient_filtering).alias("gdf"))
             out = one if out is None else out.unionByName(one)
-    return out if out is not None else spark.createDataFrame([], SWEEP_SCHEMA)
+    return out if out is not None else spark.createDataFrame([], NAMED_SWEEP_SCHEMA)
 
 
 def complexity_scores(df: DataFrame, sizes: Sequence[int], targets: Sequence[str],

@@ -10,7 +10,7 @@ Input rows carry the features, ``model`` and, per class k, ``g_k`` (and ``h_k``)
 from __future__ import annotations
 
 from collections import deque
-from typing import Optional, Sequence
+from typing import Mapping, Optional, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from quietgrove.functions import text
 from quietgrove.functions.draws import driver_laplace, fresh_seed
 from quietgrove.operators.histogram import (ValueChunks, candidates_declared,
-                                            candidates_distinct, candidates_grid, sibling_gain,
-                                            split_gain)
+                                            candidates_distinct, candidates_grid,
+                                            pooled_siblings, sibling_gain_of,
+                                            sibling_histogram, split_gain)
 from quietgrove.operators.leaves import SMALL_DENOMINATOR
 from quietgrove.operators.selection import best_per_feature, utility, with_noise
 from quietgrove.plans import privacy
@@ -32,8 +33,10 @@ from quietgrove.spec import Feature, ModelParams
 
 class Grower:
     def __init__(self, params: ModelParams, features: Sequence[Feature], seed: str,
-                 chunks: Optional[ValueChunks] = None):
+                 chunks: Optional[ValueChunks] = None,
+                 words: Optional[Mapping[str, Sequence[str]]] = None):
         self.params, self.features, self.seed, self.chunks = params, features, seed, chunks
+        self.words = words or {}
         # Without text features a row's features travel as one array, in feature order.
         whole = [f.index for f in features] == list(range(len(features)))
         self.packed = "_x" if whole and not any(f.text for f in features) else None
@@ -112,6 +115,26 @@ class Grower:
             out = out.unionByName(part)
         return out
 
+    def _sibling_histogram(self, work: DataFrame) -> DataFrame:
+        """Like ``_histogram``, for pairs of siblings: only features whose candidates come from
+        the rows have to occur in a child to be its candidate."""
+        p = self.params
+        fixed = [f for f in self.features if p.candidates != "distinct"
+                 and (not f.is_cat or f.name in p.categories)]
+        rest = [f for f in self.features if f not in fixed]
+        if not fixed:
+            return sibling_histogram(work, rest, by=self.unit, packed=self.packed)
+        if self.packed:
+            work = work.select("*", *[F.get("_x", F.lit(f.index)).alias(f.name)
+                                      for f in self.features]).drop("_x")
+        whole, self.features, packed, self.packed = self.features, fixed, self.packed, None
+        try:
+            hist = self._histogram(work, [*self.unit, "parent_id", "side"], None)
+        finally:
+            self.features, self.packed = whole, packed
+        out = pooled_siblings(hist, by=self.unit)
+        return out.unionByName(sibling_histogram(work, rest, by=self.unit)) if rest else out
+
     def candidates(self, rows: DataFrame, trees: dict, active: dict, depth: int) -> DataFrame:
         """All split candidates of the active nodes with their gains."""
         p = self.params
@@ -121,9 +144,8 @@ class Grower:
             parent = F.floor((F.col("node_id") - 1) / 2).cast("bigint")
             work = self._routed(rows, trees, both).withColumn("parent_id", parent).withColumn(
                 "side", F.when(F.col("node_id") == 2 * parent + 1, 0).otherwise(1))
-            gains = sibling_gain(work, self.features, p.l2_lambda, by=self.unit, grad="grad",
-                                 chunks=self.chunks, floor_digits=p.floor_digits,
-                                 packed=self.packed)
+            gains = sibling_gain_of(self._sibling_histogram(work), self.features, p.l2_lambda,
+                                    by=self.unit, chunks=self.chunks, floor_digits=p.floor_digits)
             node = F.col("parent_id") * 2 + 1 + F.col("side")
             gains = gains.withColumn("node_id", node).drop("parent_id", "side")
             if any(active[u] != both[u] for u in active):
@@ -136,6 +158,19 @@ class Grower:
         hist = self._histogram(self._routed(rows, trees, active), by, hess)
         return split_gain(hist, self.features, p.l2_lambda, by, self.chunks, p.floor_digits)
 
+    def _draw_keys(self, cands: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
+        """Candidates and what their draws depend on. Codes of text features are looked up, so
+        that a draw is the same whether a feature is coded or kept as text."""
+        keys = text.names([*by, "feature_idx"])
+        if not self.words:
+            return cands, [*keys, "value", "category"]
+        words = cands.sparkSession.createDataFrame(
+            [(f.index, float(i), w) for f in self.features for i, w in enumerate(self.words.get(f.name, ()))],
+            "_f int, _v double, _word string")
+        joined = cands.join(F.broadcast(words), (F.col("feature_idx") == F.col("_f"))
+                            & (F.col("value") == F.col("_v")), "left").drop("_f", "_v")
+        return joined, [*keys, "CASE WHEN _word IS NULL THEN value END", "coalesce(category, _word)"]
+
     def splits(self, rows: DataFrame, trees: dict, active: dict, depth: int, tree_index: int
                ) -> dict:
         """The chosen split of every active node that has one."""
@@ -144,8 +179,8 @@ class Grower:
         noisy = p.private and not p.argmax_splits
         if noisy:
             budget = privacy.node_budget(p, privacy.tree_budget(p), depth)
-            cands = with_noise(utility(cands, budget, privacy.delta_g(p)), by,
-                               f"{self.seed}|split|{tree_index}")
+            cands, keys = self._draw_keys(utility(cands, budget, privacy.delta_g(p)), by)
+            cands = with_noise(cands, by, f"{self.seed}|split|{tree_index}", keys=keys).drop("_word")
         best: dict = {}
         for row in best_per_feature(cands, by, noisy).collect():
             c = row.asDict()
@@ -350,5 +385,5 @@ def fit_tree(df: DataFrame, params: ModelParams, features: Sequence[Feature],
         chunks = ValueChunks.measure(rows, coder.features, table.counts) \
             if params.candidates == "distinct" else None
         grower = Grower(params.with_(categories=coder.categories(params.categories)),
-                        coder.features, fresh_seed(params.seed), chunks)
+                        coder.features, fresh_seed(params.seed), chunks, coder.words)
         return coder.decode(grower.grow(rows, [0], tree_index)[0, 0])

@@ -12,7 +12,7 @@ from quietgrove.functions import text
 from quietgrove.functions.columns import sigmoid
 from quietgrove.functions.losses import argmax_class, task_of
 from quietgrove.plans.privacy import Ledger
-from quietgrove.plans.trees import (COMPILED_NODES, Node, Split, Tree, ancestors,
+from quietgrove.plans.trees import (Node, Split, Tree, ancestors,
                                      nodes_frame)
 from quietgrove.spec import Feature, ModelParams
 
@@ -141,8 +141,7 @@ class BoostedModel:
 
 
 def boost(trees: Sequence[Tree], learning_rate: float) -> str:
-    """learning rate x sum of tree values, as SQL text. Branches are compiled while the sum
-    stays small enough for one generated method."""
-    compiled = sum(len(t.nodes) for t in trees) <= COMPILED_NODES
-    total = " + ".join(tree.value_sql(compiled) for tree in trees) or "0.0D"
+    """learning rate x sum of tree values, as SQL text. Each tree by itself is compiled to
+    branches unless it is too large for that."""
+    total = " + ".join(tree.value_sql() for tree in trees) or "0.0D"
     return f"{text.literal(float(learning_rate))} * ({total})"

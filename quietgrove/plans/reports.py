@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quietgrove.functions.metrics import METRICS
 from quietgrove.plans.model import BoostedModel
+from quietgrove.scratch import materialize
 
 TRACE_GRADIENT_DIGITS = 8
 TRACE_LEAF_DIGITS = 10
@@ -89,7 +90,7 @@ def compare_runs(a: DataFrame, b: DataFrame, metric: str) -> DataFrame:
 def trace(models: Mapping[int, BoostedModel], rows: DataFrame, target: str = "y",
           fold: str = "fold") -> DataFrame:
     """Gradient sum over the training rows before each tree, and sum of the tree's leaf
-    values: (fold, tree_id, gradient_sum, leaf_sum). A row trains the models of all other
+    values, per class: (fold, tree_id, class_id, gradient_sum, leaf_sum). A row trains the models of all other
     folds; gradients of all stages come from one pass over the rows.
     """
     spark: SparkSession = rows.sparkSession
@@ -97,19 +98,21 @@ def trace(models: Mapping[int, BoostedModel], rows: DataFrame, target: str = "y"
     for f, model in models.items():
         staged, raws = model.stages(staged, f"_stage_{f}")
         for t, round_ in enumerate(model.trees):
-            g = model.task.gradient(target, raws[t], 0)
-            parts += [F.lit(f), F.lit(t), F.when(F.col(fold) != f, g)]
-            leaf_rows.append((f, t, float(sum(n.prediction for n in round_[0].leaves))))
-    sums = (staged.select(F.stack(F.lit(len(parts) // 3), *parts).alias("fold", "tree_id", "g"))
-            .groupBy("fold", "tree_id").agg(F.sum("g").alias("gradient_sum")))
-    leaves = spark.createDataFrame(leaf_rows, "fold int, tree_id int, leaf_sum double")
+            for k, tree in enumerate(round_):
+                g = model.task.gradient(target, raws[t], k)
+                parts += [F.lit(f), F.lit(t), F.lit(k), F.when(F.col(fold) != f, g)]
+                leaf_rows.append((f, t, k, float(sum(n.prediction for n in tree.leaves))))
+    place = ["fold", "tree_id", "class_id"]
+    sums = (staged.select(F.stack(F.lit(len(parts) // 4), *parts).alias(*place, "g"))
+            .groupBy(*place).agg(F.sum("g").alias("gradient_sum")))
+    leaves = spark.createDataFrame(leaf_rows, "fold int, tree_id int, class_id int, leaf_sum double")
 
     def shown(c, digits):
         v = F.when((F.col(c) < 0) & (F.col(c) >= -TINY), 0.0).otherwise(F.col(c))
         return F.round(v, digits).alias(c)
 
-    return sums.join(leaves, ["fold", "tree_id"]).select(
-        "fold", "tree_id", shown("gradient_sum", TRACE_GRADIENT_DIGITS),
+    return sums.join(leaves, place).select(
+        *place, shown("gradient_sum", TRACE_GRADIENT_DIGITS),
         shown("leaf_sum", TRACE_LEAF_DIGITS))
 
 
@@ -126,5 +129,5 @@ def mismatches(a: DataFrame, b: DataFrame, keys: Sequence[str], cols: Sequence[s
 def compare_tables(a: DataFrame, b: DataFrame, keys: Sequence[str], cols: Sequence[str],
                    n: int = 10) -> tuple[int, DataFrame]:
     """Number of mismatching rows, and the first n of them by key."""
-    diff = mismatches(a, b, keys, cols)
+    diff = materialize(mismatches(a, b, keys, cols))
     return diff.count(), diff.orderBy(*keys).limit(n)
