@@ -47,7 +47,9 @@ def main() -> None:
     from quietgrove.catalog import fixtures as fx
     from quietgrove.catalog.queries import QUERIES
     from quietgrove.plans.boosting import PrivateBoostedTrees
-    from quietgrove.spec import ModelParams
+    from quietgrove.plans.model import BoostedModel
+    from quietgrove.sources.tables import take_first
+    from quietgrove.spec import Grid, ModelParams
 
     rows = fx.planted(spark, SF_DIR)
     n = rows.count()
@@ -73,6 +75,14 @@ def main() -> None:
           lambda: train(privacy_budget=1.0, gradient_filtering=True), TREES)
     timed("train_private_sibling_per_tree",
           lambda: train(privacy_budget=1.0, growth="sibling"), TREES)
+    timed("train_private_grid_per_tree",
+          lambda: train(privacy_budget=1.0, candidates="grid", grid=Grid(0.0, 10_000.0, 100.0)), TREES)
+    small = take_first(rows, 5_000, "row_id")
+    few = ModelParams(**{**base, "nb_trees": 5})
+    timed("train_plain_5000_rows_per_tree",
+          lambda: PrivateBoostedTrees(few, fx.NUMERIC, fx.CATEGORICAL).fit(small), 5)
+    many = BoostedModel(model.params, model.features, model.init, model.trees * (50 // TREES + 1))
+    timed("score_51_trees", lambda: consume(many.transform(rows)))
     timed("score", lambda: consume(model.transform(rows)))
     for name in CATALOG:
         timed(name, lambda: consume(QUERIES[name](spark, SF_DIR)))

@@ -485,12 +485,14 @@ SELECT c_nationkey, n, {rd(f'greatest(-{b3}, least(w, {b3})) + {lap}', 8)} AS le
   {rd(f'CASE WHEN pred >= 0 THEN {sig} ELSE 1 - {sig} END')} AS p1 FROM t_end"""
     o["h10_decision_path"] = f"""{plain} SELECT row_id, CASE WHEN node_id >= 3 THEN '0>' || CAST((node_id - 1) // 2 AS VARCHAR)
   || '>' || CAST(node_id AS VARCHAR) WHEN node_id > 0 THEN '0>' || CAST(node_id AS VARCHAR) ELSE '0' END AS path FROM t0_r2"""
-    o["f9_node_stats"] = f"""{plain}, paths AS (SELECT node_id, grad FROM t0_r2
-  UNION ALL SELECT (node_id - 1) // 2, grad FROM t0_r2 WHERE node_id >= 3
-  UNION ALL SELECT 0, grad FROM t0_r2 WHERE node_id > 0)
-SELECT 0 AS tree_id, 0 AS class_id, node_id, count(*) AS n, {rd('sum(grad)')} AS gradient_sum,
+    o["f9_node_stats"] = f"""{plain}, rows_ AS (SELECT 0 AS tree_id, node_id, grad FROM t0_r2
+  UNION ALL SELECT 1, node_id, grad FROM t1_r2),
+paths AS (SELECT tree_id, node_id, grad FROM rows_
+  UNION ALL SELECT tree_id, (node_id - 1) // 2, grad FROM rows_ WHERE node_id >= 3
+  UNION ALL SELECT tree_id, 0, grad FROM rows_ WHERE node_id > 0)
+SELECT tree_id, 0 AS class_id, node_id, count(*) AS n, {rd('sum(grad)')} AS gradient_sum,
   {rd('CASE WHEN node_id = 0 THEN 0 ELSE -sum(grad) / (count(*) + 0.1::DOUBLE) END')} AS leaf_value
-FROM paths GROUP BY node_id"""
+FROM paths GROUP BY tree_id, node_id"""
     o["h1_private_boosting"] = private_sql()
     multi = f"WITH {MULTI}, {multiclass_sql()}"
     o["h3_multiclass_boosting"] = f"{multi} SELECT row_id, " + ", ".join(

@@ -499,8 +499,7 @@ def _multi_model(spark, d):
 @query
 def f9_node_stats(spark, d):
     r, model = _plain_model(spark, d)
-    stats = model.node_stats(r).where("tree_id = 0")
-    return rounded(stats, ["gradient_sum", "leaf_value"], 6)
+    return rounded(model.node_stats(r), ["gradient_sum", "leaf_value"], 6)
 
 
 @query
@@ -667,8 +666,7 @@ def k2_cross_validate_private(spark, d):
 @query
 def k3_sweep(spark, d):
     base = ModelParams(seed=SEED)
-    configs = {n: {**c, "nb_trees": 1, "max_depth": 2} for n, c in evaluation.CONFIGS.items()
-               if n in ("Vanilla", "DFS")}
+    configs = {n: {**c, "nb_trees": 1, "max_depth": 2} for n, c in evaluation.CONFIGS.items()}
     return evaluation.sweep(fx.planted(spark, d), [2.0], configs, COLUMNS, base, 2, "orders",
                             seed=SEED)
 

@@ -8,8 +8,6 @@ from typing import Optional
 
 from quietgrove.spec import ModelParams
 
-MAX_BUDGET = 1000.0  # fixed value: larger budgets are treated as this one
-
 
 def delta_g(params: ModelParams) -> float:
     """Sensitivity of the gain."""
@@ -40,7 +38,7 @@ def ensemble_count(params: ModelParams) -> int:
 
 def tree_budget(params: ModelParams) -> float:
     """Budget of one tree: its ensemble's share, divided among the K trees of a round."""
-    share = min(params.privacy_budget, MAX_BUDGET) / ensemble_count(params)
+    share = min(params.privacy_budget, params.budget_cap) / ensemble_count(params)
     if params.n_classes > 1:
         share /= 2 if params.multiclass_budget == "halved" else params.n_classes
     return share
@@ -109,7 +107,8 @@ def training_ledger(params: ModelParams, feature_scaling: float = 0.0,
     Trees of one ensemble use disjoint rows (parallel composition: the largest spend counts,
     and it is the same for all); ensembles, and the K trees of a round, add up.
     """
-    budget = total if total is not None else params.privacy_budget + feature_scaling
+    used = min(params.privacy_budget, params.budget_cap)
+    budget = total if total is not None else used + feature_scaling
     ledger = Ledger(budget)
     if feature_scaling:
         ledger.charge("feature scaling", feature_scaling)

@@ -89,6 +89,7 @@ class ModelParams:
     l2_lambda: float = 0.1
     l2_threshold: float = 1.0
     privacy_budget: float = 0.0  # 0 turns every private step off
+    budget_cap: float = 1000.0  # a larger budget is used only up to here; the ledger shows it
     gradient_filtering: bool = False
     leaf_clipping: bool = True
     balance_partition: bool = True

@@ -113,3 +113,5 @@ def test_exact_scaling_is_listed(monkeypatch, spark, planted):
     assert seen and all(k["exact_scaling"] for k in seen)
     assert "target minimum and maximum" in training_ledger(params, exact_scaling=True).unpaid
     assert math.isfinite(training_ledger(params).spent)
+    assert training_ledger(params.with_(privacy_budget=5000.0)).budget == 1000.0
+    assert training_ledger(params.with_(privacy_budget=5000.0, budget_cap=9e9)).check().budget == 5000.0
