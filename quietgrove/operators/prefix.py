@@ -69,24 +69,32 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> tuple[int, dict[st
     return row["n"], {c: row[f"d{i}"] for i, c in enumerate(columns)}
 
 
-def chunk_bounds(df: DataFrame, counts: Mapping[str, int], rows_per_chunk: int = 500_000,
-                 max_chunks: int = 512) -> dict[str, list[float]]:
+def chunk_bounds(df: DataFrame, counts: Mapping[str, int], rows_per_chunk: int = 500_000
+                 ) -> dict[str, list[float]]:
     """Value boundaries per column that keep chunks of distinct values near a target size.
 
     ``counts`` are approximate distinct counts; columns with few distinct values get no
-    boundaries. They steer only the parallelism, never the result.
+    boundaries. Boundaries are quantiles of the distinct values, so a value that most rows have
+    does not draw them all to itself. They steer only the parallelism, never the result.
     """
-    wanted = {c: min(max_chunks, n // rows_per_chunk) for c, n in counts.items()}
-    big = [c for c in counts if wanted[c] > 0]
-    if not big:
-        return {}
-    row = df.agg(*[F.percentile_approx(
-        F.col(c).cast("double"), [j / (wanted[c] + 1) for j in range(1, wanted[c] + 1)], 20_000
-    ).alias(f"b{i}") for i, c in enumerate(big)]).first()
-    return {c: sorted(set(row[f"b{i}"])) for i, c in enumerate(big)}
+    out = {}
+    for c, n in counts.items():
+        wanted = n // rows_per_chunk
+        if wanted > 0:
+            shares = [j / (wanted + 1) for j in range(1, wanted + 1)]
+            values = df.select(F.col(text.name(c)).cast("double").alias("v")).distinct()
+            found = values.agg(F.percentile_approx("v", shares, max(20_000, 20 * wanted))).first()[0]
+            out[c] = sorted(set(found or []))
+    return out
 
 
 def chunk_of(value: str, bounds: Sequence[float]) -> str:
-    """Number of boundaries <= value, as SQL text."""
-    edges = ", ".join(text.literal(float(b)) for b in bounds)
-    return f"size(filter(array({edges}), b -> b <= {value}))"
+    """Number of boundaries <= value, as SQL text (a binary search); 0 for null."""
+    def search(lo: int, hi: int) -> str:
+        if lo == hi:
+            return str(lo)
+        mid = (lo + hi) // 2
+        edge = text.literal(float(bounds[mid]))
+        return f"CASE WHEN {value} < {edge} THEN {search(lo, mid)} ELSE {search(mid + 1, hi)} END"
+
+    return f"CASE WHEN {value} IS NULL THEN 0 ELSE {search(0, len(bounds))} END"

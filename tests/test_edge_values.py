@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quietgrove.catalog import fixtures as fx
 from quietgrove.functions.columns import clamp, floor_to
-from quietgrove.operators import cleaning, ranking
+from quietgrove.operators import cleaning, prefix, ranking
 from quietgrove.operators.histogram import gain_sql
 from quietgrove.plans import coding
 from quietgrove.plans.boosting import PrivateBoostedTrees
@@ -115,3 +115,14 @@ def test_exact_scaling_is_listed(monkeypatch, spark, planted):
     assert math.isfinite(training_ledger(params).spent)
     assert training_ledger(params.with_(privacy_budget=5000.0)).budget == 1000.0
     assert training_ledger(params.with_(privacy_budget=5000.0, budget_cap=9e9)).check().budget == 5000.0
+
+
+def test_chunk_limits_follow_distinct_values(spark):
+    """Nine rows in ten have one value; chunks of the others still stay near the wanted size."""
+    df = spark.range(40_000).select(F.when(F.col("id") % 10 > 0, 0.0).otherwise(F.col("id") / 10).alias("v"))
+    bounds = prefix.chunk_bounds(df, {"v": 4_000}, rows_per_chunk=500)["v"]
+    assert len(bounds) == 8
+    sizes = df.distinct().selectExpr(f"{prefix.chunk_of('v', bounds)} AS c").groupBy("c").count().collect()
+    assert max(r["count"] for r in sizes) < 700
+    empty = spark.sql(f"SELECT {prefix.chunk_of('CAST(NULL AS double)', bounds)}, {prefix.chunk_of('0.5D', [0.5, 1.0])}")
+    assert tuple(empty.first()) == (0, 1)
