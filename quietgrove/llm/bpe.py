@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quietgrove.llm.common import replacing
+from quietgrove.llm.common import bound_batches, replacing
 from quietgrove.scratch import Scratch
 
 #: Bytes of a leaf; longer pieces are encoded as trees.
@@ -51,6 +51,22 @@ def byte_signs() -> dict[str, int]:
     return {**{chr(b): b for b in shown}, **{chr(256 + i): b for i, b in enumerate(hidden)}}
 
 
+@functools.lru_cache(maxsize=4)
+def token_bytes(path: str) -> dict[int, bytes]:
+    """What each id of a vocabulary file stands for; all that decoding needs."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    signs = byte_signs()
+    out = {v: bytes(signs[c] for c in k) for k, v in spec["model"]["vocab"].items()}
+    out.update({t["id"]: t["content"].encode() for t in spec["added_tokens"]})
+    return out
+
+
+def text_from(names: dict[int, bytes], ids) -> str:
+    ids = ids.tolist() if isinstance(ids, np.ndarray) else ids
+    return b"".join(map(names.__getitem__, ids)).decode("utf-8", errors="replace")
+
+
 class ByteBpe:
     """A byte-level BPE vocabulary file."""
 
@@ -59,12 +75,10 @@ class ByteBpe:
         from tokenizers import Tokenizer
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        signs = byte_signs()
-        ranks = {bytes(signs[c] for c in k): v for k, v in spec["model"]["vocab"].items()}
         self.leaf = leaf
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.token_bytes = {v: k for k, v in ranks.items()}
-        self.token_bytes.update({v: k.encode() for k, v in self.special.items()})
+        self.token_bytes = token_bytes(path)
+        ranks = {self.token_bytes[v]: v for v in spec["model"]["vocab"].values()}
         self._core = tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks,
                                        special_tokens={})
         self._split = Tokenizer.from_file(path).pre_tokenizer
@@ -203,7 +217,7 @@ class ByteBpe:
         return out + self.join_all(held)
 
     def decode(self, ids) -> str:
-        return self.bytes_of(ids).decode("utf-8", errors="replace")
+        return text_from(self.token_bytes, ids)
 
 
 @functools.lru_cache(maxsize=4)
@@ -259,6 +273,7 @@ def _encode_long(df: DataFrame, body: str, path: str) -> DataFrame:
 
 def encode(df: DataFrame, path: str, text: str = "text", long_text: int = LONG_TEXT) -> DataFrame:
     """Every row with ``ids`` (array of int), the encoding of its whole text."""
+    bound_batches(df.sparkSession)
     body = "__body"
     rows = df.withColumn(body, F.coalesce(F.col(f"`{text}`"), F.lit("")))
     long = F.length(body) > long_text
@@ -269,10 +284,12 @@ def encode(df: DataFrame, path: str, text: str = "text", long_text: int = LONG_T
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Every row with the text that its ids stand for; null ids give an empty text."""
+    bound_batches(df.sparkSession)
+
     @F.pandas_udf("string")
     def text_of(rows: pd.Series) -> pd.Series:
-        bpe = vocabulary(path)
-        return pd.Series([bpe.decode(r.tolist()) if r is not None else "" for r in rows])
+        names = token_bytes(path)
+        return pd.Series([text_from(names, r) if r is not None else "" for r in rows])
 
     found = df.withColumn("__text", text_of(F.col(f"`{ids}`")))
     return replacing(found, {out: F.col("__text")}, keep=df.columns)
