@@ -13,7 +13,8 @@ a region.
 1. Texts with equal shingle sets become one representative.
 2. Prefix shingles that representatives share make cells, pivots and regions.
 3. Border windows: a text stays in a region only if some other text there can be near it. The
-   bound is exact: shingles up to a common mark are known, above it at most all can agree.
+   bound is exact: shingles up to a common mark are known, above it at most all can agree. A
+   text that shares too few prefix shingles with all others together is dropped before.
 4. Regions are joined on whole sets. A text taken as pivot gets its distances to the region at
    once; its ball is one component. Texts of the largest component need no turn, and a text is
    passed over if the distances to earlier pivots differ by more than the radius (triangle
@@ -32,6 +33,7 @@ id; an empty table gives an empty result; other input columns are ignored.
 
 from __future__ import annotations
 
+import math
 from typing import Iterator, Optional
 
 import numpy as np
@@ -40,6 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quietgrove.llm.common import bound_batches
 from quietgrove.llm.components import connected_components
 from quietgrove.scratch import Scratch
 
@@ -47,6 +50,10 @@ WIDTH = 5
 #: Similarity of links as a fraction.
 SIMILARITY = (75, 100)
 MARKS = 64
+#: No prefix ends below this mark, so every two texts are known up to it at least.
+LEAST_MARK = 18
+#: Ratio of the size classes in which the least number of needed shingles is looked up.
+CLASS_RATIO = 1.15
 BLOCK_ROWS = 4_096
 BLOCK_SHINGLES = 1 << 22
 #: Pivots of a region whose distances are kept for the triangle inequality.
@@ -96,14 +103,14 @@ def overlap_needed(a, b):
 
 
 def prefix_of(codes: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
-    """Prefix of a set, its mark (1 to MARKS), and set elements below each mark."""
+    """Prefix of a set, its mark (1 to MARKS), and set elements below each mark up to it."""
     part, whole = SIMILARITY
     a = len(codes)
     below = np.searchsorted(codes, np.arange(1, MARKS, dtype=np.uint64) << np.uint64(58))
     below = np.append(below, a)
     least = a - -(-part * a // whole) + 1
-    mark = int(np.searchsorted(below, min(least, a))) + 1
-    return codes[:below[mark - 1]], mark, below.astype(np.int32)
+    mark = max(LEAST_MARK, int(np.searchsorted(below, min(least, a))) + 1)
+    return codes[:below[mark - 1]], mark, below[:mark].astype(np.int32)
 
 
 def linked_components(sets: list[np.ndarray]) -> np.ndarray:
@@ -140,6 +147,33 @@ def linked_components(sets: list[np.ndarray]) -> np.ndarray:
     return comp
 
 
+def smaller_needs(size: int, below: int) -> int:
+    """Prefix shingles that a set shares at least with a linked one that is not smaller;
+    ``below`` of its elements lie below the least mark."""
+    return int(overlap_needed(size, size)) - (size - below)
+
+
+def _sharing_enough(records: DataFrame) -> DataFrame:
+    """Texts that share enough with all others together to be linked with any.
+
+    The smaller of two linked texts shares at least its ``need``; the larger one shares as much,
+    so at least the least need of a text that is up to a quarter smaller. The least needs are a
+    table of size classes, a few hundred rows at most.
+    """
+    place = F.floor(F.log(F.col("size").cast("double")) / math.log(CLASS_RATIO)).cast("int")
+    held = records.withColumns({"held": F.size("shared"), "class": place})
+    least = {r["class"]: r["need"] for r in held.where("held >= need").groupBy("class").agg(
+        F.min("need").alias("need")).collect()}
+    if not least:
+        return records.limit(0)
+    back = math.ceil(math.log(SIMILARITY[1] / SIMILARITY[0]) / math.log(CLASS_RATIO)) + 1
+    table = {c: min((least[k] for k in range(c - back, c + 1) if k in least), default=None)
+             for c in range(min(least), max(least) + back + 1)}
+    needs = F.create_map(*[F.lit(x) for c, n in table.items() if n is not None for x in (c, n)])
+    as_larger = F.coalesce(F.col("held") >= F.try_element_at(needs, F.col("class")), F.lit(False))
+    return held.where((F.col("held") >= F.col("need")) | as_larger).drop("held", "class", "need")
+
+
 def possible(c, a, b, below_a, below_b) -> np.ndarray:
     """Whether sets can be linked that share ``c`` elements up to a common mark."""
     return (c > 0) & (c + np.minimum(a - below_a, b - below_b) >= overlap_needed(a, b))
@@ -151,7 +185,10 @@ class _Records:
     def __init__(self, rows: pd.DataFrame):
         self.size = rows["size"].to_numpy()
         self.mark = rows["mark"].to_numpy()
-        self.below = np.stack([np.frombuffer(b, dtype=np.int32) for b in rows["below"]])
+        self.below = np.zeros((len(rows), MARKS), dtype=np.int64)
+        for i, b in enumerate(rows["below"]):
+            known = np.frombuffer(b, dtype=np.int32)
+            self.below[i, :len(known)] = known
         lists = [np.asarray(t, dtype=np.int64) for t in rows["shared"]]
         self.held = np.array([len(t) for t in lists])
         code, self.token = np.unique(np.concatenate(lists), return_inverse=True)
@@ -189,10 +226,12 @@ def _semi(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
 
 def _blocked(members: DataFrame, region: str, row: str, size: str) -> DataFrame:
     """``members`` dealt to pairs of blocks of their region: columns ``i`` and ``j``, i <= j."""
-    blocks = members.groupBy(region).agg(F.greatest(
-        F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(size) / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = members.join(blocks.where("blocks > 1"), region, "left").withColumn(
-        "blocks", F.coalesce("blocks", F.lit(1)))
+    large = members.groupBy(region).agg(F.greatest(
+        F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(size) / BLOCK_SHINGLES)).cast("int").alias("blocks")
+        ).where("blocks > 1")
+    if large.count() <= BROADCAST_IDS:
+        large = F.broadcast(large)
+    dealt = members.join(large, region, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     block = F.pmod(F.xxhash64(row, F.lit("block")), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
         F.least(o, block).alias("i"), F.greatest(o, block).alias("j")))
@@ -201,7 +240,11 @@ def _blocked(members: DataFrame, region: str, row: str, size: str) -> DataFrame:
 
 
 def _border(region: pd.DataFrame) -> pd.DataFrame:
-    """Texts of a region (or pair of blocks) that another text there can be linked with."""
+    """Texts of a region (or pair of blocks) that another text there can be linked with.
+
+    They are named by their own hash instead of the pivot's id, so regions that come down to
+    the same texts are one.
+    """
     keep = np.zeros(len(region), dtype=bool)
     if len(region) > 1:
         records = _Records(region)
@@ -210,7 +253,24 @@ def _border(region: pd.DataFrame) -> pd.DataFrame:
             if found.any():
                 keep |= found
                 keep[x] = True
-    return region.loc[keep, ["rep", "pivot", "size"]]
+    kept = region.loc[keep, ["rep", "size"]]
+    name = xxhash.xxh3_64_intdigest(np.sort(kept["rep"].to_numpy()).tobytes())
+    return kept.assign(region=np.uint64(name).view(np.int64))
+
+
+def _without_nested(border: DataFrame) -> DataFrame:
+    """``border`` without regions whose texts all lie in one and the same larger region.
+
+    Each text names the largest of its regions; a region whose texts agree on another one is
+    part of it, and all its pairs are joined there.
+    """
+    sizes = border.groupBy("region").agg(F.count("*").alias("n"))
+    largest = border.join(sizes, "region").groupBy("rep").agg(
+        F.max_by("region", F.struct("n", "region")).alias("largest"))
+    named = border.join(largest, "rep").groupBy("region").agg(
+        F.min("largest").alias("first"), F.max("largest").alias("last"))
+    nested = named.where("first = last AND first <> region").select("region")
+    return border.join(nested, "region", "left_anti")
 
 
 def _region_links(region: pd.DataFrame) -> pd.DataFrame:
@@ -231,6 +291,7 @@ def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id") -
 
     ``component_id`` is the smallest id reachable by links, the row's own included.
     """
+    bound_batches(df.sparkSession)
     scratch = Scratch(df.sparkSession)
     docs = df.select(F.col(f"`{key}`").cast("bigint").alias("id"),
                      F.col(f"`{text}`").cast("string").alias("text"))
@@ -238,7 +299,7 @@ def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id") -
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for batch in batches:
-            out = {c: [] for c in ("id", "size", "fp", "mark", "below", "prefix")}
+            out = {c: [] for c in ("id", "size", "fp", "mark", "below", "need", "prefix")}
             for i, body in zip(batch["id"], batch["text"]):
                 codes = shingle_set(body)
                 fp = _fingerprint(codes)
@@ -251,11 +312,12 @@ def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id") -
                 out["fp"].append(fp)
                 out["mark"].append(mark)
                 out["below"].append(below.tobytes() if new else None)
+                out["need"].append(smaller_needs(len(codes), int(below[LEAST_MARK - 1])) if new else None)
                 out["prefix"].append(prefix.view(np.int64) if new else None)
-            yield pd.DataFrame(out).astype({"id": "Int64", "mark": "Int32"})
+            yield pd.DataFrame(out).astype({"id": "Int64", "mark": "Int32", "need": "Int64"})
 
     stored = scratch.save(docs.mapInPandas(
-        read, "id long, size long, fp long, mark int, below binary, prefix array<long>").withColumn(
+        read, "id long, size long, fp long, mark int, below binary, need long, prefix array<long>").withColumn(
         "place", F.monotonically_increasing_id()))
     # one representative per shingle set, with one row that knows its prefix
     classes = scratch.save(stored.where("size > 0").groupBy("fp").agg(
@@ -268,11 +330,18 @@ def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id") -
         "pivot": F.first("rep").over(cell), "follows": F.lead("rep").over(cell).isNotNull()})
     shared = scratch.save(cells.where("rep <> pivot OR follows").select("rep", "token", "pivot"))
     lists = shared.groupBy("rep").agg(F.collect_list("token").alias("shared"))
-    records = lists.join(_semi(reps.select("rep", "size", "mark", "below"), lists.select("rep"), "rep"),
-                         "rep")
-    regions = shared.select("rep", "pivot").distinct().join(records, "rep")
-    border = scratch.save(_blocked(regions, "pivot", "rep", "size").groupBy("pivot", "i", "j").applyInPandas(
-        _border, "rep long, pivot long, size long").distinct())
+    records = scratch.save(_sharing_enough(lists.join(
+        reps.select("rep", "size", "mark", "below", "need"), "rep")))
+    keys = scratch.save(stored.select("id", "size", "fp"))
+    scratch.release(stored)
+    members = scratch.save(shared.join(records.select("rep", "size"), "rep").select(
+        "rep", "pivot", "size").distinct())
+    crowded = members.groupBy("pivot").count().where("count > 1").select("pivot")
+    members = scratch.save(members.join(crowded, "pivot", "left_semi"))
+    dealt = _blocked(members, "pivot", "rep", "size").drop("size").join(records, "rep")
+    border = scratch.save(dealt.groupBy("pivot", "i", "j").applyInPandas(
+        _border, "rep long, size long, region long").distinct())
+    border = scratch.save(_without_nested(border))
 
     def whole_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
@@ -291,10 +360,10 @@ def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id") -
     wanted = border.select(F.col("rep").alias("fp")).distinct().join(classes, "fp").select(
         F.col("doc").alias("id")).distinct()
     sets = _semi(docs, wanted, "id").select("text").mapInPandas(whole_sets, "rep long, codes binary")
-    members = _blocked(border, "pivot", "rep", "size").select("rep", "pivot", "i", "j")
+    members = _blocked(border, "region", "rep", "size").select("rep", "region", "i", "j")
     if border.count() <= BROADCAST_IDS:
         members = F.broadcast(members)
-    links = scratch.save(sets.join(members, "rep").groupBy("pivot", "i", "j").applyInPandas(
+    links = scratch.save(sets.join(members, "rep").groupBy("region", "i", "j").applyInPandas(
         _region_links, "u long, v long"))
     found = scratch.save(connected_components(links))
     joined = scratch.save(classes.select("fp", "least").join(
@@ -304,7 +373,6 @@ def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id") -
     by_set = joined.join(smallest, "component").select("fp", "component_id")
     if joined.count() <= BROADCAST_IDS:
         by_set = F.broadcast(by_set)
-    rows = stored.select("id", "size", "fp")
-    with_set = rows.join(by_set, "fp", "left")
+    with_set = keys.join(by_set, "fp", "left")
     return with_set.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.when(
         F.col("size") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))

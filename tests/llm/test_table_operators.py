@@ -222,6 +222,8 @@ def test_border_bound_never_loses_a_link():
             m = min(ma, mb) - 1
             c = len(np.intersect1d(pa, pb))
             assert jaccard_join.possible(c, len(a), len(b), ba[m], bb[m])
+            small, below = min((len(a), ba), (len(b), bb), key=lambda x: x[0])
+            assert c >= jaccard_join.smaller_needs(small, below[jaccard_join.LEAST_MARK - 1])
 
 
 def test_pipeline(spark, sf):
