@@ -16,9 +16,10 @@ a region.
    bound is exact: shingles up to a common mark are known, above it at most all can agree. A
    text that shares too few prefix shingles with all others together is dropped before.
 4. Regions are joined on whole sets. A text taken as pivot gets its distances to the region at
-   once; its ball is one component. Texts of the largest component need no turn, and a text is
-   passed over if the distances to earlier pivots differ by more than the radius (triangle
-   inequality) from those of every text outside its component.
+   once; its ball is one component. Texts of the component that is the largest just then wait,
+   until all texts that wait lie in one and the same component. A text needs no turn if the
+   distances to earlier pivots differ by more than the radius (triangle inequality) from those
+   of every text outside its component.
 5. Links make the components.
 
 Steps 3 and 4 cut large regions into blocks and join all pairs of blocks, so a task holds two
@@ -125,25 +126,33 @@ def linked_components(sets: list[np.ndarray]) -> np.ndarray:
     first = np.concatenate(([0], np.cumsum(size)))
     radius = 1 - SIMILARITY[0] / SIMILARITY[1] + 1e-9
     distances: list[np.ndarray] = []
-    for x in np.argsort(-size, kind="stable"):
-        counts = np.bincount(comp)
-        if counts.max() == m:
+    waiting = np.argsort(-size, kind="stable")
+    while (comp[waiting] != comp[waiting[0]]).any():
+        passed = []
+        for x in waiting:
+            counts = np.bincount(comp)
+            if counts.max() == m:
+                return comp
+            if comp[x] == counts.argmax() and counts.max() > 1:
+                passed.append(x)
+                continue
+            others = comp != comp[x]
+            for d in distances:
+                others = others & (np.abs(d - d[x]) <= radius)
+            if not others.any():
+                continue
+            t = token[first[x]:first[x + 1]]
+            n = begin[t + 1] - begin[t]
+            at = np.repeat(begin[t] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            common = np.bincount(posting[at], minlength=m)
+            near = np.unique(comp[(common > 0) & (common >= overlap_needed(size[x], size))])
+            comp[np.isin(comp, near)] = near[0]
+            if len(distances) < PIVOTS:
+                distances.append(1 - common / (size[x] + size - common))
+        if not passed:
             break
-        if comp[x] == counts.argmax() and counts.max() > 1:
-            continue
-        others = comp != comp[x]
-        for d in distances:
-            others = others & (np.abs(d - d[x]) <= radius)
-        if not others.any():
-            continue
-        t = token[first[x]:first[x + 1]]
-        n = begin[t + 1] - begin[t]
-        at = np.repeat(begin[t] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        common = np.bincount(posting[at], minlength=m)
-        near = np.unique(comp[(common > 0) & (common >= overlap_needed(size[x], size))])
-        comp[np.isin(comp, near)] = near[0]
-        if len(distances) < PIVOTS:
-            distances.append(1 - common / (size[x] + size - common))
+        # the largest component may have been another one when they were passed over
+        waiting = np.array(passed)
     return comp
 
 

@@ -1,5 +1,6 @@
 """Operators that move rows: sharding, packing, neighbours, Jaccard join, pipeline."""
 
+import itertools
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -206,6 +207,14 @@ def test_jaccard_join(spark, monkeypatch, block_rows):
     assert jaccard_join.jaccard_components(df.limit(0)).count() == 0
 
 
+def test_links_between_texts_that_waited_in_different_components():
+    """Two growing components overtake each other, and one link joins them; in every order."""
+    starts = [0, 1, 13, 39, 40, 41, 26]
+    sets = [np.arange(s, s + 100, dtype=np.uint64) for s in starts]
+    for order in itertools.permutations(range(len(sets))):
+        assert len(set(jaccard_join.linked_components([sets[i] for i in order]))) == 1, order
+
+
 def test_border_bound_never_loses_a_link():
     rng = np.random.default_rng(3)
     for _ in range(300):
