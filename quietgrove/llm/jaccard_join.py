@@ -29,7 +29,7 @@ compared as 64-bit hashes of shingles.
 Defined cases: a text without words (or null) has an empty set and is linked with nothing; with
 fewer words than the shingle width the whole word sequence is one shingle; equal sets are
 linked; every input row gives a row, repeated ids included; a null id never becomes a component
-id; an empty table gives an empty result; other input columns are ignored.
+id, and its text has its links like any other; an empty table gives an empty result; other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ from typing import Iterator, Optional
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quietgrove.llm.common import bound_batches
@@ -295,21 +295,37 @@ def _region_links(region: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"u": reps[other], "v": root[other]})
 
 
+def row_key(text: str = "text", key: str = "doc_id") -> Column:
+    """64-bit hash by which rows of different id or text are told apart; null ids included."""
+    return F.xxhash64(F.col(f"`{key}`").cast("bigint"), F.col(f"`{text}`").cast("string"))
+
+
 def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``df``.
 
     ``component_id`` is the smallest id reachable by links, the row's own included.
     """
+    return grouped_rows(df, text, key).select(
+        F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"),
+        F.when(F.col("size") > 0, F.col("head.id")).otherwise(F.col("id")).alias("component_id"))
+
+
+def grouped_rows(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``id, size, row, head`` for every row of ``df``: number of shingles, ``row_key``, and the
+    first row of the component by id (nulls last) and place, with its ``id`` and ``row``.
+
+    ``head`` is null for a text without words.
+    """
     bound_batches(df.sparkSession)
     scratch = Scratch(df.sparkSession)
     docs = df.select(F.col(f"`{key}`").cast("bigint").alias("id"),
-                     F.col(f"`{text}`").cast("string").alias("text"))
+                     F.col(f"`{text}`").cast("string").alias("text"), row_key(text, key).alias("row"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for batch in batches:
-            out = {c: [] for c in ("id", "size", "fp", "mark", "below", "need", "prefix")}
-            for i, body in zip(batch["id"], batch["text"]):
+            out = {c: [] for c in ("id", "row", "size", "fp", "mark", "below", "need", "prefix")}
+            for i, row, body in zip(batch["id"], batch["row"], batch["text"]):
                 codes = shingle_set(body)
                 fp = _fingerprint(codes)
                 new = fp not in seen and len(codes) > 0
@@ -317,6 +333,7 @@ def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id") -
                     seen.add(fp)
                 prefix, mark, below = prefix_of(codes) if new else (None, None, None)
                 out["id"].append(i)
+                out["row"].append(row)
                 out["size"].append(len(codes))
                 out["fp"].append(fp)
                 out["mark"].append(mark)
@@ -326,12 +343,13 @@ def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id") -
             yield pd.DataFrame(out).astype({"id": "Int64", "mark": "Int32", "need": "Int64"})
 
     stored = scratch.save(docs.mapInPandas(
-        read, "id long, size long, fp long, mark int, below binary, need long, prefix array<long>").withColumn(
+        read, "id long, row long, size long, fp long, mark int, below binary, need long, prefix array<long>").withColumn(
         "place", F.monotonically_increasing_id()))
     # one representative per shingle set, with one row that knows its prefix
+    first = F.when(F.col("prefix").isNotNull(), F.col("place"))
     classes = scratch.save(stored.where("size > 0").groupBy("fp").agg(
-        F.min("id").alias("least"), F.min_by("id", F.when(F.col("prefix").isNotNull(), F.col("place")))
-        .alias("doc"), F.min(F.when(F.col("prefix").isNotNull(), F.col("place"))).alias("place")))
+        F.min(F.struct(F.col("id").isNull().alias("unnumbered"), "id", "place", "row")).alias("head"),
+        F.min_by("row", first).alias("row"), F.min(first).alias("place")))
     reps = _semi(stored, classes.select("place"), "place").withColumnRenamed("fp", "rep")
 
     cell = Window.partitionBy("token").orderBy(F.xxhash64("rep"), "rep")
@@ -341,7 +359,7 @@ def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id") -
     lists = shared.groupBy("rep").agg(F.collect_list("token").alias("shared"))
     records = scratch.save(_sharing_enough(lists.join(
         reps.select("rep", "size", "mark", "below", "need"), "rep")))
-    keys = scratch.save(stored.select("id", "size", "fp"))
+    keys = scratch.save(stored.select("id", "row", "size", "fp"))
     scratch.release(stored)
     members = scratch.save(shared.join(records.select("rep", "size"), "rep").select(
         "rep", "pivot", "size").distinct())
@@ -366,22 +384,20 @@ def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id") -
                     out["codes"].append(codes.tobytes())
             yield pd.DataFrame(out)
 
-    wanted = border.select(F.col("rep").alias("fp")).distinct().join(classes, "fp").select(
-        F.col("doc").alias("id")).distinct()
-    sets = _semi(docs, wanted, "id").select("text").mapInPandas(whole_sets, "rep long, codes binary")
+    wanted = border.select(F.col("rep").alias("fp")).distinct().join(classes, "fp").select("row").distinct()
+    sets = _semi(docs, wanted, "row").select("text").mapInPandas(whole_sets, "rep long, codes binary")
     members = _blocked(border, "region", "rep", "size").select("rep", "region", "i", "j")
     if border.count() <= BROADCAST_IDS:
         members = F.broadcast(members)
     links = scratch.save(sets.join(members, "rep").groupBy("region", "i", "j").applyInPandas(
         _region_links, "u long, v long"))
     found = scratch.save(connected_components(links))
-    joined = scratch.save(classes.select("fp", "least").join(
+    joined = scratch.save(classes.select("fp", "head").join(
         found.select(F.col("id").alias("fp"), "component"), "fp", "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component")))
-    smallest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_set = joined.join(smallest, "component").select("fp", "component_id")
+        "fp", "head", F.coalesce("component", "fp").alias("component")))
+    firsts = joined.groupBy("component").agg(F.min("head").alias("head"))
+    by_set = joined.select("fp", "component").join(firsts, "component").select(
+        "fp", F.struct("head.id", "head.row").alias("head"))
     if joined.count() <= BROADCAST_IDS:
         by_set = F.broadcast(by_set)
-    with_set = keys.join(by_set, "fp", "left")
-    return with_set.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.when(
-        F.col("size") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    return keys.join(by_set, "fp", "left").select("id", "size", "row", "head")

@@ -215,6 +215,17 @@ def test_links_between_texts_that_waited_in_different_components():
         assert len(set(jaccard_join.linked_components([sets[i] for i in order]))) == 1, order
 
 
+def test_jaccard_join_null_ids_come_first(spark):
+    """Copies held by null-id rows alone, or first by one, keep their links."""
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join(words[:-1])
+    rows = [(None, " ".join(words)), (7, " ".join(words)), (4, near), (None, "x " + near), (None, "lone " * 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = Counter(map(tuple, jaccard_join.jaccard_components(df).collect()))
+    assert got == plain_components(rows)
+    assert {c for *_, c in got} == {4, None}
+
+
 def test_border_bound_never_loses_a_link():
     rng = np.random.default_rng(3)
     for _ in range(300):
