@@ -40,15 +40,33 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked texts the row of smallest doc_id stays; repeated ids count once."""
-    groups = jaccard_join.jaccard_components(docs)
-    first = Scratch(spark).save(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-                                .select(F.col("doc_id").alias("stays")).distinct())
-    few = first.count() <= jaccard_join.BROADCAST_IDS
-    kept = docs.join(F.broadcast(first) if few else first,
-                     docs["doc_id"].eqNullSafe(F.col("stays")), "left_semi")
-    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    """Of each group of linked texts exactly one row stays: the first by doc_id (nulls last).
+
+    Ids never decide whether different texts stay. A text without words is linked with nothing,
+    so every such row stays.
+    """
+    scratch = Scratch(spark)
+    row = free_name(docs, "row")
+    groups = scratch.save(jaccard_join.grouped_rows(docs))
+    stay = scratch.save(groups.where(F.col("row") == F.col("head.row")).groupBy("row").agg(
+        F.count("*").alias("copies")).withColumnRenamed("row", row))
+    few = stay.count() <= jaccard_join.BROADCAST_IDS
+    keyed = docs.withColumn(row, jaccard_join.row_key())
+    # the rule of shingle_set for a text that has words
+    worded = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+
+    def among(rows: DataFrame, wanted: DataFrame, how: str = "left_semi") -> DataFrame:
+        return rows.join(F.broadcast(wanted.select(row)) if few else wanted.select(row), row, how)
+
+    kept = among(keyed.where(worded), stay)
+    repeated = stay.where("copies > 1")
+    if repeated.limit(1).count():
+        # rows of equal id and text
+        kept = among(kept, repeated, "left_anti").unionByName(
+            among(kept, repeated).dropDuplicates([row]))
+    if groups.where("size = 0").limit(1).count():
+        kept = kept.unionByName(keyed.where(~worded))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -283,3 +283,20 @@ def test_pipeline(spark, sf):
         assert stage(spark, empty, sf).count() == 0
     twice = docs.limit(30).unionByName(docs.limit(30))
     assert pipeline.drop_near_duplicates(spark, twice, sf).count() <= 30
+
+
+def test_near_duplicates_keep_one_row_of_each_group(spark):
+    """Null and repeated ids never decide whether different texts stay."""
+    import corpus_pipeline as pipeline
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices("abcdefghijklmnop", k=60)) for _ in range(7)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2]),
+            (3, texts[3]), (5, texts[4]), (5, texts[3] + " x"),     # 5 has a text of its own and a copy of 3's
+            (9, texts[5]), (None, texts[5]), (9, texts[5]), (6, texts[6]), (6, texts[6] + " y"), (8, "")]
+    want = Counter([(None, texts[0]), (None, texts[1]), (None, texts[2]), (3, texts[3]), (5, texts[4]),
+                    (9, texts[5]), (6, texts[6]), (8, "")])
+    for seed in range(2):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(1 + 3 * seed)
+        out = pipeline.drop_near_duplicates(spark, df, "")
+        got = Counter((d, t.removesuffix(" y")) for d, t in map(tuple, out.collect()))
+        assert got == want and out.columns == df.columns
