@@ -16,8 +16,12 @@ from quietgrove.llm import jaccard_join, language_id, packing, quality_rules
 from quietgrove.llm.common import free_name
 from quietgrove.scratch import Scratch
 
-#: A text whose best language is less probable than this is of none of them.
-MIN_LANGUAGE_SCORE = 0.5
+#: A text is of no learned language if a draw of n-grams at random explains it better than its
+#: best one does: its mean evidence per n-gram (nats) is below this by more than twice the
+#: standard error of such a mean. Short texts are so given the benefit of the doubt.
+MIN_EVIDENCE = 0.0
+#: Standard deviation of the evidence of single n-grams.
+EVIDENCE_SPREAD = 4.0
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +30,9 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     if not model.languages:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     row = free_name(docs, "row")
-    found = model.predict(docs.select(F.struct("*").alias(row), "text"))
-    good = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)
+    found = model.predict(docs.select(F.struct("*").alias(row), "text"), evidence=True)
+    doubt = 2 * EVIDENCE_SPREAD / F.sqrt(F.greatest("n_grams", F.lit(1)))
+    good = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("evidence") >= MIN_EVIDENCE - doubt)
     return found.where(good).select(*[F.col(row)[c].alias(c) for c in docs.columns])
 
 

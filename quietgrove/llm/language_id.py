@@ -31,6 +31,8 @@ from quietgrove.llm.common import bound_batches, replacing
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
 MAX_N = 4
+#: Shorter n-grams are much alike in all languages of a script, so they are no evidence.
+LEAST_N = 3
 ROWS_PER_LANGUAGE = 4_000
 MAX_LANGUAGES = 250
 UNDETERMINED = "und"
@@ -73,21 +75,34 @@ class LanguageModel:
 
     def score(self, texts: list[Optional[str]]) -> np.ndarray:
         """Posterior probability of each language, one row per text; zeros if undetermined."""
+        return self.judge(texts)[0]
+
+    def judge(self, texts: list[Optional[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Posterior probabilities, and for each text the evidence for its best language.
+
+        Evidence is the mean log probability of the text's n-grams of ``LEAST_N`` characters or
+        more, less that of a draw of buckets at random; the last array is their number. It is
+        positive only if the language explains the text, whatever the other languages do.
+        """
         out = np.zeros((len(texts), len(self.languages)))
+        long_sums, n_long = np.zeros_like(out), np.zeros(len(texts), dtype=np.int64)
         if not self.languages:
-            return out
+            return out, np.zeros(len(texts)), n_long
         held: list[np.ndarray] = []
+        is_long: list[bool] = []
         owner: list[int] = []
         size = 0
 
         def flush() -> None:
-            nonlocal held, owner, size
+            nonlocal held, owner, size, is_long
             if held:
                 bounds = np.cumsum([0] + [len(h) for h in held[:-1]])
                 sums = np.add.reduceat(self.log_prob[np.concatenate(held)], bounds, axis=0,
                                        dtype=np.float64)
                 np.add.at(out, np.array(owner), sums)
-            held, owner, size = [], [], 0
+                wide = np.array(is_long)
+                np.add.at(long_sums, np.array(owner)[wide], sums[wide])
+            held, owner, size, is_long = [], [], 0, []
 
         lettered = np.zeros(len(texts), dtype=bool)
         for i, text in enumerate(texts):
@@ -95,8 +110,11 @@ class LanguageModel:
             if not body:
                 continue
             lettered[i] = True
-            for grams in hashed_grams(body):
+            for order, grams in enumerate(hashed_grams(body)):
                 if len(grams):
+                    wide = order % MAX_N + 1 >= LEAST_N
+                    n_long[i] += wide * len(grams)
+                    is_long.append(wide)
                     held.append(grams)
                     owner.append(i)
                     size += len(grams)
@@ -104,28 +122,32 @@ class LanguageModel:
                         flush()
         flush()
         shifted = np.exp(out - out.max(axis=1, keepdims=True))
-        return shifted / shifted.sum(axis=1, keepdims=True) * lettered[:, None]
+        best = long_sums[np.arange(len(texts)), out.argmax(axis=1)]
+        evidence = np.where(n_long > 0, best / np.maximum(n_long, 1) + np.log(BUCKETS), 0.0)
+        return shifted / shifted.sum(axis=1, keepdims=True) * lettered[:, None], evidence, n_long
 
-    def predict(self, df: DataFrame, text: str = "text") -> DataFrame:
-        """Every row with ``lang_pred`` and ``score``."""
+    def predict(self, df: DataFrame, text: str = "text", evidence: bool = False) -> DataFrame:
+        """Every row with ``lang_pred`` and ``score``, and if wanted ``evidence`` and ``n_grams``."""
         bound_batches(df.sparkSession)
         shared = df.sparkSession.sparkContext.broadcast((self.languages, self.log_prob))
 
-        @F.pandas_udf("lang_pred string, score double")
+        @F.pandas_udf("lang_pred string, score double, evidence double, n_grams long")
         def judge(texts: pd.Series) -> pd.DataFrame:
             model = LanguageModel(*shared.value)
-            scores = model.score(texts.tolist())
+            scores, proof, n_grams = model.judge(texts.tolist())
             if not model.languages:
-                return pd.DataFrame({"lang_pred": [UNDETERMINED] * len(texts), "score": 0.0})
+                return pd.DataFrame({"lang_pred": [UNDETERMINED] * len(texts), "score": 0.0,
+                                     "evidence": 0.0, "n_grams": 0})
             best = scores.argmax(axis=1)
             top = scores[np.arange(len(texts)), best]
             names = np.array(model.languages, dtype=object)[best]
             names[top == 0] = UNDETERMINED
-            return pd.DataFrame({"lang_pred": names, "score": np.minimum(top, 1.0)})
+            return pd.DataFrame({"lang_pred": names, "score": np.minimum(top, 1.0),
+                                 "evidence": proof, "n_grams": n_grams})
 
         found = df.withColumn("__lang", judge(F.col(f"`{text}`").cast("string")))
-        return replacing(found, {"lang_pred": F.col("__lang.lang_pred"),
-                                 "score": F.col("__lang.score")}, keep=df.columns)
+        results = ("lang_pred", "score", "evidence", "n_grams") if evidence else ("lang_pred", "score")
+        return replacing(found, {c: F.col(f"__lang.{c}") for c in results}, keep=df.columns)
 
 
 def fit(df: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id",

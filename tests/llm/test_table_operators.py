@@ -300,3 +300,19 @@ def test_near_duplicates_keep_one_row_of_each_group(spark):
         out = pipeline.drop_near_duplicates(spark, df, "")
         got = Counter((d, t.removesuffix(" y")) for d, t in map(tuple, out.collect()))
         assert got == want and out.columns == df.columns
+
+
+def test_pipeline_rejects_texts_of_no_learned_language(spark, sf):
+    """Another script, another language of the same script and random letters go; clean texts stay."""
+    import corpus_pipeline as pipeline
+    rng = random.Random(9)
+    strange = ["Съешь же ещё этих мягких французских булок да выпей чаю. Все счастливые семьи похожи.",
+               "人人生而自由在尊严和权利上一律平等他们赋有理性和良心并应以兄弟关系的精神相对待",
+               "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on "
+               "annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+               " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(300))]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    extra = spark.createDataFrame([(-i - 1, t, None) for i, t in enumerate(strange)], docs.schema)
+    kept = {r["doc_id"] for r in pipeline.keep_languages(spark, docs.unionByName(extra), sf).collect()}
+    assert not {i for i in kept if i < 0}
+    assert kept == {r["doc_id"] for r in docs.where(F.col("text").rlike(r"\p{L}")).collect()}
