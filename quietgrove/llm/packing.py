@@ -1,19 +1,25 @@
 """Packing by lexical retrieval: a window holds a seed text and its BM25 neighbours.
 
 Every text is tokenized once. What fills whole windows of its own becomes sequences at once; the
-rest, a tail shorter than a window, is packed with others. Tails are dealt into shards of about
-``SHARD_TAILS``, each with an inverted index of its own. In a shard a seed is taken, the index
+rest, a tail shorter than a window, is packed with others. Tails are sorted by content and cut
+into shards of about ``SHARD_TAILS``, each with an inverted index of its own. In a shard a seed is taken, the index
 ranks the unused tails by BM25 against it, and they fill the seed's window in that order; the
 last one is cut, and what is left of it is the next seed. When no unused tail shares a token
 with the seed, the longest unused one goes on. Document frequencies and mean length come from
 all tails and whole windows of the corpus (one count per token id), not from the shard.
 
+The order is by weighted min-hash: each token id has one random rank, drawn so that ids of high
+inverse document frequency come early, and a tail is sorted by the three first ranks it holds. Two
+tails share the first one with the probability of their weighted overlap, so copies and near copies
+lie side by side in a corpus of any size. A neighbour with less overlap may lie in another shard,
+and is not asked: the README has measured shares.
+
 Only the last window of a shard is not full. It is cut into sequences whose lengths are powers
 of two, which need no padding. So each id lies in exactly one piece, and nothing is padded.
 
 Bounds: a shard holds about ``SHARD_TAILS`` tails of less than a window each, whatever the texts
-or keys; the broadcast is one number per token id. Tails are dealt by a hash of their place in
-the stored table, so equal keys or texts do not meet in one shard.
+or keys; the broadcasts are one number per token id each. Tails of equal content are ordered by a
+hash of their place in the stored table, so a large group of copies is cut like anything else.
 
 Defined cases: a null or empty text is the end token alone; repeated rows are packed each for
 itself; an empty table gives an empty result; other input columns are ignored.
@@ -35,10 +41,33 @@ from quietgrove.scratch import Scratch
 WINDOW = 2_048
 END_ID = 1
 SHARD_TAILS = 512
+#: Most shards in a task.
+TASK_SHARDS = 16
 K1, B = 1.2, 0.75
 _TERMS = 1 << 16
 
 
+def content_ranks(frequency: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """A rank per token id: ids come in the order of exponential clocks that run as fast as their
+    inverse document frequency, those that nothing shares last."""
+    draw = np.random.default_rng(0).exponential(size=len(idf))
+    clock = np.where(frequency >= 2, draw / np.maximum(idf, 1e-12), np.inf)
+    ranks = np.empty(len(idf), dtype=np.uint16)
+    ranks[np.argsort(clock, kind="stable")] = np.arange(len(idf))
+    return ranks
+
+
+def content_key(ids: np.ndarray, ranks: np.ndarray) -> int:
+    """The three first ranks of a tail as one number."""
+    held, out, last = ranks[ids], 0, 0
+    for _ in range(3):
+        if len(held):
+            last = int(held.min())
+            held = held[held > last]
+        out = out << 16 | last
+    return out
+
+
 class ShardIndex:
     """Inverted index of one shard: for each token id, the tails that hold it with weights."""
 
@@ -169,17 +198,19 @@ def pack(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", wind
     n, mean_length = size["n"], size["mean"] or 1.0
     frequency = np.zeros(_TERMS)
     frequency[found["term"].to_numpy()] = found["n"].to_numpy()
-    shared = spark.sparkContext.broadcast(np.log1p((n - frequency + 0.5) / (frequency + 0.5)))
+    idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5))
+    shared = spark.sparkContext.broadcast(idf)
+    ranks = spark.sparkContext.broadcast(content_ranks(frequency, idf))
     shards = max(1, -(-size["tails"] // shard_tails))
+    tasks = max(-(-shards // TASK_SHARDS), min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
-    def pack_shard(shard: pd.DataFrame) -> pd.DataFrame:
-        rows = shard.sort_values(["place"]).reset_index(drop=True)
+    def pack_shard(rows: pd.DataFrame) -> pd.DataFrame:
         tails = [np.frombuffer(b, dtype=np.uint16) for b in rows["ids"]]
         windows = fill_windows(tails, ShardIndex(tails, shared.value, mean_length), window)
         if windows and sum(x for *_, x in windows[-1]) < window:
             windows += power_of_two_cuts(windows.pop())
         out = []
-        base = int(rows["shard"].iloc[0]) << 24
+        base = int(rows["at"].iloc[0]) << 4  # at most 11 sequences more than tails
         for number, pieces in enumerate(windows):
             offset = 0
             for i, begin, length in pieces:
@@ -190,10 +221,34 @@ def pack(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", wind
         return pd.DataFrame(out, columns=["key", "start", "length", "doc_tokens", "ids",
                                           "sequence_id", "offset"])
 
+    def pack_range(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) >= 2 * shard_tails:
+                rows = pd.concat(held, ignore_index=True)
+                while len(rows) >= 2 * shard_tails:
+                    yield pack_shard(rows[:shard_tails].reset_index(drop=True))
+                    rows = rows[shard_tails:].reset_index(drop=True)
+                held = [rows]
+        if rest := sum(map(len, held)):
+            rows = pd.concat(held, ignore_index=True)
+            cut = rest // 2 if rest > 1.5 * shard_tails else rest
+            for part in (rows[:cut], rows[cut:]):
+                if len(part):
+                    yield pack_shard(part.reset_index(drop=True))
+
+    @F.pandas_udf("long")
+    def by_content(rows: pd.Series) -> pd.Series:
+        return pd.Series([content_key(np.frombuffer(b, dtype=np.uint16), ranks.value) for b in rows],
+                         dtype="int64")
+
     pieces = "key string, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long"
-    packed = stored.where(F.col("length") < window).withColumn(
-        "shard", F.pmod(F.xxhash64("place"), F.lit(shards))).groupBy("shard").applyInPandas(
-        pack_shard, pieces)
+    packed = stored.where(F.col("length") < window).withColumns(
+        {"content": by_content("ids"), "salt": F.xxhash64("place")}).repartitionByRange(
+        tasks, "content", "salt").sortWithinPartitions("content", "salt").select(
+        "key", "start", "doc_tokens", "ids", F.monotonically_increasing_id().alias("at")).mapInPandas(
+        pack_range, pieces)
 
     @F.pandas_udf("binary")
     def widened(rows: pd.Series) -> pd.Series:

@@ -82,6 +82,21 @@ def test_packing(spark):
     assert packing.pack(df.limit(0), WORD_BPE).count() == 0
 
 
+def test_packing_brings_copies_together_in_many_shards(spark):
+    rng = random.Random(6)
+    vocab = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(300)]
+    texts = []
+    for _ in range(60):
+        base = rng.choices(vocab, k=14)
+        texts += [" ".join(base[:-1] + [rng.choice(vocab)]) for _ in range(4)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(4)
+    out = packing.pack(df, WORD_BPE, window=128, shard_tails=20).toPandas()
+    near = {i for _, s in out.groupby("sequence_id") for i in s.doc_id
+            if sum(j // 4 == i // 4 for j in set(s.doc_id)) > 1}
+    assert len(near) > 0.7 * len(texts), len(near)
+    assert out.groupby("sequence_id").offset.apply(lambda o: o.is_unique).all()
+
+
 def test_packing_takes_the_nearest_tail_first():
     tails = [np.array(x, dtype=np.uint16) for x in ([5, 6, 7, 8], [50, 51, 52], [5, 6, 9], [5, 60, 61])]
     index = packing.ShardIndex(tails, np.ones(1 << 16), 3.0)
