@@ -1,9 +1,11 @@
 """Main text of web pages by two passes of block rules.
 
 A page is read tag by tag into blocks (paragraphs, headings, list items, table rows, bare text
-in containers). Elements whose tag or class names a page part that is never main text (menus,
-headers, footers, sidebars, notices, adverts, forms, comments, scripts) are left out with all
-they hold.
+in containers). Elements whose tag names a page part that is never main text (menus, headers,
+footers, sidebars, forms, scripts) or that are hidden are left out with all they hold. So are
+elements that a class, id or role names as such a part, if a whole token of it does ("sidebar",
+"left-sidebar", "cookie-notice", but not "has-sidebar" or "related-work") and unless they hold an
+article or, on a page without one, most of the stop words: these are layout, not parts.
 
 Pass one labels each remaining block by its own text: a high share of link text makes it bad; a
 long block with many stop words is good, a long one without is bad unless it lies in an
@@ -74,7 +76,9 @@ _PARTS = frozenset(
     "alert pager pagination popup modal overlay related recommended recommendations replies reply respond "
     "search share sharing sidebar sidenav skip social tags toolbar topbar widget widgets complementary "
     "contentinfo".split())
-#: Of those, words that inside an article only name a part of it.
+#: Words that may stand beside them in a token and only say where the part is.
+_PLACES = frozenset("site page main left right top bottom side global primary secondary post".split())
+#: Of the parts, words that inside an article only name a part of it.
 _OWN_PARTS = frozenset(("header",))
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?""")
 _TAG = re.compile(
@@ -91,30 +95,64 @@ class Block:
     in_article: bool
 
 
-def _names_part(attributes: str, in_article: bool) -> bool:
-    """Whether an element's attributes say that it is not main text."""
-    if not attributes or attributes.isspace():
-        return False
+def _hidden(attributes: str) -> bool:
+    """Whether an element's attributes say that nobody sees it."""
     for name, value in _ATTRIBUTE.findall(attributes):
         name = name.lower()
-        if name == "hidden":
-            return True
-        if name in ("class", "id", "role"):
-            words = set(re.split(r"[^a-z0-9]+", re.sub(
-                r"(?<=[a-z])(?=[A-Z])", "-", value.strip("\"'")).lower()))
-            found = words & _PARTS
-            if found - (_OWN_PARTS if in_article else frozenset()):
-                return True
-        elif name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-        elif name == "aria-hidden" and "true" in value.lower():
+        if name == "hidden" or name == "aria-hidden" and "true" in value.lower() \
+                or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
     return False
 
 
+def _names_part(attributes: str, in_article: bool) -> bool:
+    """Whether a whole token of an element's class, id or role names a page part."""
+    for name, value in _ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id", "role"):
+            for token in value.strip("\"'").split():
+                words = set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token).lower())) - {""}
+                named = words & _PARTS
+                if words <= _PARTS | _PLACES and named - (_OWN_PARTS if in_article else frozenset()):
+                    return True
+    return False
+
+
+def _weight(text: str) -> float:
+    """Number of stop words; where there are none at all, the number of characters counts."""
+    return sum(w in STOP_WORDS for w in _WORD.findall(text.lower())) + 1e-9 * len(text)
+
+
+@dataclass
+class _Part:
+    """An element that its class, id or role names a part."""
+
+    outermost: bool
+    weight: float = 0
+    has_article: bool = False
+
+
 def blocks(page: str) -> list[Block]:
     """Blocks of a page in order, without those of left-out elements."""
+    found, parts = _read(page, frozenset())
+    if parts:
+        article = any(b.in_article for b in found) or any(p.has_article for p in parts)
+        # the outermost part counts for all that it holds
+        total = 0 if article else sum(_weight(b.text) for b in found) + sum(
+            p.weight for p in parts if p.outermost)
+        layout = frozenset(i for i, p in enumerate(parts)
+                           if p.has_article or not article and 2 * p.weight > total)
+        if layout:
+            return _read(page, layout)[0]
+    return found
+
+
+def _read(page: str, layout: frozenset[int]) -> tuple[list[Block], list[_Part]]:
+    """Blocks of a page, and the elements that are named as parts, in order; those whose
+    numbers are in ``layout`` are kept."""
     out: list[Block] = []
+    parts: list[_Part] = []
+    inside: list[Optional[int]] = []  # for each open element, its number as a part
+    hard, weight = 0, 0.0
     words: list[str] = []
     links = 0
     stack: list[tuple[str, bool, bool]] = []  # tag, left out, in an article
@@ -128,15 +166,21 @@ def blocks(page: str) -> list[Block]:
         words, links = [], 0
 
     def add(text: str) -> None:
-        nonlocal links
+        nonlocal links, weight
+        if dropped and not hard and text:
+            weight += _weight(html.unescape(text))
         if dropped == 0 and text:
             words.append(text)
             if linked:
                 links += len("".join(html.unescape(text).split()))
 
     def pop() -> str:
-        nonlocal dropped, article, linked
+        nonlocal dropped, hard, article, linked
         tag, left_out, in_article = stack.pop()
+        part = inside.pop()
+        if part is not None:
+            parts[part].weight += weight
+        hard -= left_out and part is None
         if tag in _BLOCKS and not dropped:
             close_block()
         dropped -= left_out
@@ -192,16 +236,32 @@ def blocks(page: str) -> list[Block]:
         elif tag == "a" and linked:
             while pop() != "a":
                 pass
-        left_out = tag in _DROPPED or (tag == "header" and not article) \
-            or tag not in ("html", "body", "article", "main") and _names_part(attributes, article > 0)
+        part, left_out = None, tag in _DROPPED or (tag == "header" and not article)
+        if tag in ("article", "main"):
+            if not hard:
+                for i in inside:
+                    if i is not None:
+                        parts[i].has_article = True
+        elif not left_out and tag not in ("html", "body") and attributes and not attributes.isspace():
+            if _hidden(attributes):
+                left_out = True
+            elif _names_part(attributes, article > 0):
+                part, left_out = len(parts), len(parts) not in layout
+                parts.append(_Part(dropped == 0, -weight))
         if left_out and not dropped and tag not in _BLOCKS:
             add(" ")
         stack.append((tag, left_out, tag in ("article", "main")))
+        inside.append(part)
+        hard += left_out and part is None
         dropped += left_out
         article += tag in ("article", "main")
         linked += tag == "a"
     close_block()
-    return out
+    while inside:
+        part = inside.pop()
+        if part is not None:
+            parts[part].weight += weight
+    return out, parts
 
 
 def first_label(block: Block) -> Optional[bool]:

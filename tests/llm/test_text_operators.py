@@ -144,6 +144,22 @@ def test_html(spark):
     assert html_text.extract(rows.limit(0)).count() == 0
 
 
+def test_html_layout_classes_do_not_drop_the_article():
+    body = "<p>The quick brown fox is in the house and it was on the roof of it all with the others.</p>"
+    text = "The quick brown fox is in the house and it was on the roof of it all with the others."
+    for name in ("layout has-sidebar", "no-sidebar", "menu-open", "search-results", "widget-content",
+                 "comments-open", "widget", "content comments"):
+        for inner in (body, f"<article>{body}</article>", f"<main><div>{body}</div></main>"):
+            page = f"<body><div class='ad'>Buy of the best</div><div class='{name}'>{inner}</div></body>"
+            assert html_text.main_text(page) == text, (name, inner)
+    page = f"<article>{body}<p class='related-work'>The work of others is in it.</p></article>"
+    assert html_text.main_text(page) == text + "\n\nThe work of others is in it."
+    # whole tokens still name parts, also if they hold more than the article
+    for name in ("comments", "left-sidebar", "siteFooter", "widget-3", "x cookie-notice"):
+        assert html_text.main_text(f"<article>{body}</article><div class='{name}'>{body * 3}</div>") == text
+        assert html_text.main_text(f"<div>{body * 2}</div><div id='{name}'>{body}</div>") == f"{text}\n\n{text}"
+
+
 def test_html_second_pass():
     block = html_text.Block
     long = "it is the one of the many that was in a house and so on for all of them there"
