@@ -9,7 +9,10 @@ article or, on a page without one, most of the stop words: these are layout, not
 
 Pass one labels each remaining block by its own text: a high share of link text makes it bad; a
 long block with many stop words is good, a long one without is bad unless it lies in an
-article; short blocks stay undecided. Pass two gives an undecided block the label of the nearest
+article; short blocks stay undecided. Stop words are known for four languages. On a page that is
+in none of them (its long blocks with few links have a low share of known stop words in all) length
+and links decide alone: a long block with few links is good. A block in another script than Latin
+is undecided if its page is in a known language. Pass two gives an undecided block the label of the nearest
 decided one, first inside its own section (article or not), then on the page; of two equally
 near ones the good one counts. With nothing decided, a block of an article is good and any
 other bad. Then the good blocks are the text.
@@ -38,8 +41,10 @@ from quietgrove.llm.common import bound_batches, replacing
 LONG = 60
 MAX_LINK_SHARE = 0.5
 MIN_STOP_SHARE = 0.08
+#: Share of known stop words in the running text of a page, below which its language is unknown.
+KNOWN_SHARE = 0.2
 
-# Frequent function words of the languages that pages come in.
+# Frequent function words of four languages; pages in others do without.
 STOP_WORDS = frozenset("""
 a about after all also an and are as at be been but by can could for from had has have he her his
 if in into is it its more no not of on one or other our out she so some than that the their them
@@ -264,23 +269,45 @@ def _read(page: str, layout: frozenset[int]) -> tuple[list[Block], list[_Part]]:
     return out, parts
 
 
-def first_label(block: Block) -> Optional[bool]:
-    """Good, bad, or undecided by the block's own text."""
-    size = len(block.text)
-    if block.link_chars > MAX_LINK_SHARE * len(block.text.replace(" ", "")):
+def _linked(block: Block) -> bool:
+    return block.link_chars > MAX_LINK_SHARE * len(block.text.replace(" ", ""))
+
+
+def _stops(block: Block) -> tuple[int, int]:
+    """Stop words and words of a block; where words are not set apart, letters are words."""
+    words = _WORD.findall(block.text.lower())
+    return sum(w in STOP_WORDS for w in words), max(len(words), sum(map(len, words)) // 15)
+
+
+def known_language(page: list[Block]) -> bool:
+    """Whether the stop words explain the running text of a page; true if it has none."""
+    found = [_stops(b) for b in page if len(b.text) >= LONG and not _linked(b)]
+    return sum(s for s, _ in found) >= KNOWN_SHARE * sum(n for _, n in found)
+
+
+def _other_script(text: str) -> bool:
+    letters = [c for c in text if c.isalpha()]
+    return 2 * sum(c > "\u024f" for c in letters) > len(letters)
+
+
+def first_label(block: Block, known: bool = True) -> Optional[bool]:
+    """Good, bad, or undecided by the block's own text; ``known``: the page's language is."""
+    if _linked(block):
         return None if block.in_article else False
-    if size < LONG:
+    if len(block.text) < LONG:
         return None
-    words = _WORD.findall(block.text.lower())
-    stops = sum(w in STOP_WORDS for w in words)
-    if words and stops >= MIN_STOP_SHARE * len(words):
+    stops, words = _stops(block)
+    if words and stops >= MIN_STOP_SHARE * words:
+        return True
+    if not known and words:
         return True
-    return None if block.in_article else False
+    return None if block.in_article or _other_script(block.text) else False
 
 
 def labels(page: list[Block]) -> list[bool]:
     """Both passes."""
-    first = [first_label(b) for b in page]
+    known = known_language(page)
+    first = [first_label(b, known) for b in page]
 
     def nearest(same_section: bool) -> list[Optional[bool]]:
         """Per block the label of the nearest decided one; good wins ties."""

@@ -160,6 +160,25 @@ def test_html_layout_classes_do_not_drop_the_article():
         assert html_text.main_text(f"<div>{body * 2}</div><div id='{name}'>{body}</div>") == f"{text}\n\n{text}"
 
 
+def test_html_pages_of_other_languages():
+    texts = {
+        "it": ["Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, ché la via era smarrita.",
+               "Ogni essere umano nasce libero ed eguale in dignità e diritti, dotato di ragione e coscienza."],
+        "ru": ["Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему.",
+               "Всё смешалось в доме Облонских, и жена узнала, что муж был в связи с бывшею гувернанткой."],
+        "zh": ["人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。" * 2,
+               "人人有资格享有本宣言所载的一切权利和自由,不分种族、肤色、性别、语言、宗教、政治或其他见解。" * 2]}
+    links = "<div>" + "".join(f"<a href='/{i}'>Altra pagina {i}</a> " for i in range(9)) + "</div>"
+    for first, second in texts.values():
+        page = f"<body>{links}<div><h2>T</h2><p>{first}</p><p>{second}</p></div>{links}</body>"
+        got = html_text.main_text(page).split("\n\n")
+        assert [first, second] == [b for b in got if b != "T"]
+    # a block in another script lies on a page of a known language
+    english = "The quick brown fox is in the house and it was on the roof of it all with the others."
+    page = f"<p>{english}</p><p>{texts['ru'][0]}</p><p>{english}</p>"
+    assert html_text.main_text(page).split("\n\n") == [english, texts["ru"][0], english]
+
+
 def test_html_second_pass():
     block = html_text.Block
     long = "it is the one of the many that was in a house and so on for all of them there"
