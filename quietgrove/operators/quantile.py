@@ -34,14 +34,15 @@ def quantile_weights(df: DataFrame, cols: Sequence[str], percentile: float, eps:
 
     Columns: feature_idx, side, gap (number of values at or below it), gap_lo, gap_hi,
     log_weight. Values are clamped to the public range [lo, hi], whose ends close the first
-    and last gap. Each of the two bounds gets half the budget.
+    and last gap. Each of the two bounds gets half the budget. Nulls are no values: a column's
+    ranks count its other rows only, and a column without any has no gap.
     """
     lo, hi = float(lo), float(hi)
     features = [Feature(i, c) for i, c in enumerate(cols)]
     clamped = df.select(*[clamp(F.col(c).cast("double"), lo, hi).alias(c) for c in cols])
-    n = clamped.count()
-    hist = (long_form(clamped, features, []).groupBy("feature_idx", "value")
-            .agg(F.count(F.lit(1)).alias("n")))
+    present = clamped.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    hist = (long_form(clamped, features, []).where("value IS NOT NULL")
+            .groupBy("feature_idx", "value").agg(F.count(F.lit(1)).alias("n")))
     chunks = ValueChunks.measure(clamped, features)
     ranked = running_sums(hist, ["feature_idx"], ["value"], ["n"], chunks.sql(), totals=False,
                           next_of="value")
@@ -53,9 +54,14 @@ def quantile_weights(df: DataFrame, cols: Sequence[str], percentile: float, eps:
         f"struct(n AS gap, value AS gap_lo, coalesce(next_value, {text.literal(hi)}) AS gap_hi)) "
         "ELSE array(struct(before_n + n AS gap, value AS gap_lo, "
         f"coalesce(next_value, {text.literal(hi)}) AS gap_hi)) END)")
-    targets = [math.floor((n - 1) * q + 1.5) for q in bounds_of(percentile)]
     half = text.literal(eps / 2.0)
-    sides = ", ".join(f"struct({s} AS side, {m}L AS target)" for s, m in enumerate(targets))
+
+    def target(q: float) -> str:
+        return text.case([(f"feature_idx = {i}", f"{math.floor((present[i] - 1) * q + 1.5)}L")
+                          for i in range(len(cols))])
+
+    sides = ", ".join(f"struct({s} AS side, {target(q)} AS target)"
+                      for s, q in enumerate(bounds_of(percentile)))
     utility = "(CASE WHEN gap < target THEN gap + 1 - target ELSE target - gap END)"
     return (gaps.where("gap_hi > gap_lo").selectExpr("*", f"inline(array({sides}))")
             .selectExpr("feature_idx", "side", "gap", "gap_lo", "gap_hi",

@@ -73,6 +73,19 @@ def test_scaling_round_trip_and_public_bounds(spark):
     assert {r["y"] for r in flat.collect()} == {-1.0}
 
 
+def test_quantiles_ignore_missing_values(spark):
+    rows = [(float(v), float(v) if v % 4 == 1 else None) for v in range(1, 200, 2)]
+    gappy = spark.createDataFrame(rows + [(None, None)] * 100, "a double, b double")
+    args = (["a", "b"], 90.0, 20.0, 0.0, 200.0)
+    got = {tuple(r) for r in quantile.quantile_weights(gappy, *args).collect()}
+    for i, c in enumerate("ab"):
+        whole = gappy.select(c).dropna()
+        alone = quantile.quantile_weights(whole, [c], *args[1:]).collect()
+        assert {(i, *r[1:]) for r in alone} == {r for r in got if r[0] == i}
+    empty = gappy.withColumn("b", F.lit(None).cast("double"))
+    assert {r["feature_idx"] for r in quantile.quantile_weights(empty, *args).collect()} == {0}
+
+
 def test_quantile_weights_by_definition(spark):
     values = [1.0, 2.0, 2.0, 5.0, 9.0]
     df = spark.createDataFrame([(v,) for v in values], "v double")

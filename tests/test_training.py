@@ -78,8 +78,6 @@ def test_walked_trees_equal_compiled_ones(planted, monkeypatch):
     model = train(planted, nb_trees=2, max_depth=5)
     compiled = model.transform(planted).select("row_id", "prediction").orderBy("row_id").collect()
     monkeypatch.setattr(tree_module, "COMPILED_NODES", 1)
-    import quietgrove.plans.model as model_module
-    monkeypatch.setattr(model_module, "COMPILED_NODES", 1)
     walked = model.transform(planted).select("row_id", "prediction").orderBy("row_id").collect()
     assert compiled == walked
 
