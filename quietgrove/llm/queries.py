@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quietgrove.llm.common import table
+from quietgrove.scratch import Scratch
 
 URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
              ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -106,6 +107,32 @@ def op10_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     return jaccard_components(table(spark, d, "documents").select("doc_id", "text"))
 
 
+def op11_hard_negatives(spark: SparkSession, d: str) -> DataFrame:
+    """Negatives of every vector whose id is divisible by 100, with a seventh of the labels moved."""
+    from quietgrove.llm.hard_negatives import mine
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, d, "embeddings").withColumn("label", moved)
+    return mine(rows, F.col("vec_id") % 100 == 0, positives=5, negatives=10, low=30, high=90, scale=256)
+
+
+def op12_whitening(spark: SparkSession, d: str) -> DataFrame:
+    """All vectors on their 32 first whitened components."""
+    from quietgrove.llm.whitening import whiten
+    return whiten(table(spark, d, "embeddings"), 32, scale=64, shift=1_000_000)
+
+
+def op13_warc(spark: SparkSession, d: str) -> DataFrame:
+    """All pages to archives, repeated payloads to revisits, and back."""
+    from quietgrove.llm.warc import deduplicate, read_archives, resolved, write_pages
+    found = Scratch(spark)
+    with Scratch(spark) as captured, Scratch(spark) as kept:
+        write_pages(table(spark, d, "pages").select("page_id", "url", "html"), captured.path)
+        deduplicate(spark, captured.path, kept.path)
+        records = found.save(read_archives(spark, kept.path).drop("http", "payload"))
+    return resolved(records).withColumnRenamed("key", "page_id")
+
+
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_quality_rules, op3_packing, op4_bpe,
                                   op5_sharding, op6_html_text, op7_language_id,
-                                  op8_neighbours, op9_chat_formatting, op10_jaccard_join)}
+                                  op8_neighbours, op9_chat_formatting, op10_jaccard_join,
+                                  op11_hard_negatives, op12_whitening, op13_warc)}

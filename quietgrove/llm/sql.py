@@ -112,5 +112,47 @@ FROM spans s LEFT JOIN repeated r ON s.conv_id = r.conv_id
 GROUP BY s.conv_id
 """
 
+HARD_NEGATIVES = r"""
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = len(embedding)),
+rows AS (SELECT DISTINCT * FROM usable),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike,
+         CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+  FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+good AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+  FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT g.anchor_id, g.positive_id,
+       CAST(row_number() OVER (PARTITION BY g.anchor_id, g.positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+       s.vec_id AS negative_id, g.positive_score, s.score AS negative_score
+FROM good g JOIN scored s ON g.anchor_id = s.anchor_id AND NOT s.alike
+ AND 30 * g.positive_score <= 100 * s.score AND 100 * s.score <= 90 * g.positive_score
+QUALIFY rank <= 10
+"""
+
+WARC = r"""
+WITH hashed AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(encode(coalesce(html, ''))) AS hex FROM pages),
+digested AS (
+  SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes,
+         array_to_string(list_transform(range(0, 8), lambda i: array_to_string(list_transform([15, 10, 5, 0],
+           lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+             ((CAST('0x' || substr(hex, i * 5 + 1, 5) AS INTEGER) >> s) & 31) + 1, 1)), '')), '') AS payload_digest
+  FROM hashed),
+placed AS (
+  SELECT *, row_number() OVER w AS place, first_value(page_id) OVER w AS head
+  FROM digested WINDOW w AS (PARTITION BY payload_digest ORDER BY page_id NULLS LAST))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN place > 1 THEN head END AS refers_to
+FROM placed
+"""
+
 ORACLE = {"op1_url_filter": URL_FILTER, "op2_quality_rules": QUALITY_RULES,
-          "op9_chat_formatting": CHAT_FORMATTING}
+          "op9_chat_formatting": CHAT_FORMATTING, "op11_hard_negatives": HARD_NEGATIVES,
+          "op13_warc": WARC}
