@@ -31,6 +31,8 @@ from typing import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +46,11 @@ SHARD_TAILS = 512
 #: Most shards in a task.
 TASK_SHARDS = 16
 K1, B = 1.2, 0.75
+#: Bytes of text that are tokenized at a time.
+SLICE_BYTES = 4 << 20
 _TERMS = 1 << 16
+_CODED = pa.schema([("key", pa.string()), ("start", pa.int64()), ("length", pa.int64()),
+                    ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 
 
 def content_ranks(frequency: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -57,17 +63,54 @@ def content_ranks(frequency: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return ranks
 
 
-def content_key(ids: np.ndarray, ranks: np.ndarray) -> int:
-    """The three first ranks of a tail as one number."""
-    held, out, last = ranks[ids], 0, 0
+def content_keys(ids: np.ndarray, counts: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The three first ranks of each tail as one number; tails hold at least one id each."""
+    if not len(counts):
+        return np.empty(0, dtype=np.int64)
+    none = 1 << 16
+    held = ranks[ids].astype(np.int32)
+    starts = np.cumsum(counts) - counts
+    out, last = np.zeros(len(counts), dtype=np.int64), np.zeros(len(counts), dtype=np.int64)
     for _ in range(3):
-        if len(held):
-            last = int(held.min())
-            held = held[held > last]
+        least = np.minimum.reduceat(held, starts)
+        last = np.where(least < none, least, last)
         out = out << 16 | last
+        held[held <= np.repeat(least, counts)] = none
     return out
 
 
+def as_binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Consecutive runs of numbers as one binary array, without a copy for each."""
+    ends = np.concatenate(([0], np.cumsum(counts) * values.itemsize))
+    return pa.Array.from_buffers(pa.binary(), len(counts), [
+        None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def flat_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of a binary column one after another, and how many each row has."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    whole = np.frombuffer(data, np.uint8)[ends[0]:ends[-1]] if data else np.empty(0, np.uint8)
+    return np.frombuffer(whole.tobytes(), np.uint16), np.diff(ends) // 2
+
+
+def split_ids(column: pa.Array) -> list[np.ndarray]:
+    ids, counts = flat_ids(column)
+    return np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else []
+
+
+def text_slices(batch: pa.RecordBatch, name: str) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch in runs of about ``SLICE_BYTES`` of text; a longer text is alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False)
+                     .astype(np.int64))
+    begin = 0
+    while begin < batch.num_rows:
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 class ShardIndex:
     """Inverted index of one shard: for each token id, the tails that hold it with weights."""
 
@@ -163,35 +206,33 @@ def pack(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", wind
     scratch = Scratch(spark)
     kind = dict(df.dtypes)[key]
 
-    def tokenize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)
         for batch in batches:
-            out = {c: [] for c in ("key", "start", "length", "doc_tokens", "ids")}
-            for k, ids in zip(batch["key"], words.encode_all(batch["text"].tolist())):
-                ids = np.append(ids, np.uint16(end_id))
-                for start in range(0, len(ids), window):
-                    part = ids[start:start + window]
-                    out["key"].append(k)
-                    out["start"].append(start)
-                    out["length"].append(len(part))
-                    out["doc_tokens"].append(len(ids))
-                    out["ids"].append(part.tobytes())
-            yield pd.DataFrame(out)
+            for part in text_slices(batch, "text"):
+                ids, tokens = words.encode_array(part.column("text"), end_id)
+                per = -(-tokens // window)
+                doc = np.repeat(np.arange(len(tokens)), per)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)) * window
+                length = np.minimum(window, tokens[doc] - start)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("key").take(pa.array(doc)), pa.array(start), pa.array(length),
+                     pa.array(tokens[doc]), as_binary(ids, length)], schema=_CODED)
 
     body = df.select(F.col(f"`{key}`").cast("string").alias("key"),
                      F.col(f"`{text}`").cast("string").alias("text"))
-    coded = body.mapInPandas(tokenize, "key string, start long, length long, doc_tokens long, ids binary")
+    coded = body.mapInArrow(tokenize, "key string, start long, length long, doc_tokens long, ids binary")
     stored = scratch.save(coded.withColumn("place", F.monotonically_increasing_id()))
 
-    def count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_TERMS, dtype=np.int64)
         for batch in batches:
-            for ids in batch["ids"]:
-                total[np.unique(np.frombuffer(ids, dtype=np.uint16))] += 1
+            for ids in split_ids(batch.column("ids")):
+                total[np.unique(ids)] += 1
         at = np.nonzero(total)[0]
-        yield pd.DataFrame({"term": at, "n": total[at]})
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["term", "n"])
 
-    found = stored.select("ids").mapInPandas(count_terms, "term long, n long").groupBy("term").agg(
+    found = stored.select("ids").mapInArrow(count_terms, "term long, n long").groupBy("term").agg(
         F.sum("n").alias("n")).toPandas()
     size = stored.agg(F.count("*").alias("n"), F.avg("length").alias("mean"),
                       F.count_if(F.col("length") < window).alias("tails")).first()
@@ -240,8 +281,8 @@ def pack(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", wind
 
     @F.pandas_udf("long")
     def by_content(rows: pd.Series) -> pd.Series:
-        return pd.Series([content_key(np.frombuffer(b, dtype=np.uint16), ranks.value) for b in rows],
-                         dtype="int64")
+        counts = rows.map(len).to_numpy() // 2
+        return pd.Series(content_keys(np.frombuffer(b"".join(rows), np.uint16), counts, ranks.value))
 
     pieces = "key string, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long"
     packed = stored.where(F.col("length") < window).withColumns(
@@ -250,13 +291,14 @@ def pack(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", wind
         "key", "start", "doc_tokens", "ids", F.monotonically_increasing_id().alias("at")).mapInPandas(
         pack_range, pieces)
 
-    @F.pandas_udf("binary")
-    def widened(rows: pd.Series) -> pd.Series:
-        return pd.Series([np.frombuffer(b, dtype=np.uint16).astype("<u4").tobytes() for b in rows])
+    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, counts = flat_ids(batch.column("ids"))
+            yield batch.set_column(batch.schema.get_field_index("ids"), "ids", as_binary(ids.astype("<u4"), counts))
 
     whole = stored.where(F.col("length") == window).select(
-        "key", "start", "length", "doc_tokens", widened("ids").alias("ids"),
-        (F.col("place") * 2).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+        "key", "start", "length", "doc_tokens", "ids", (F.col("place") * 2).alias("sequence_id"),
+        F.lit(0).cast("bigint").alias("offset")).mapInArrow(widen, pieces)
     return whole.unionByName(packed).select(
         F.col("key").cast(kind).alias(key), "start", "length", "ids", "doc_tokens", "sequence_id",
         "offset")
