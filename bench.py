@@ -46,7 +46,9 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     from quietgrove.catalog import fixtures as fx
     from quietgrove.catalog.queries import QUERIES
+    from quietgrove.operators.splits import kfold
     from quietgrove.plans.boosting import PrivateBoostedTrees
+    from quietgrove.plans.evaluation import BUDGETS
     from quietgrove.plans.model import BoostedModel
     from quietgrove.sources.tables import take_first
     from quietgrove.spec import Grid, ModelParams
@@ -79,8 +81,21 @@ def main() -> None:
           lambda: train(privacy_budget=1.0, candidates="grid", grid=Grid(0.0, 10_000.0, 100.0)), TREES)
     small = take_first(rows, 5_000, "row_id")
     few = ModelParams(**{**base, "nb_trees": 5})
-    timed("train_plain_5000_rows_per_tree",
-          lambda: PrivateBoostedTrees(few, fx.NUMERIC, fx.CATEGORICAL).fit(small), 5)
+
+    def on_small(**changes):
+        return PrivateBoostedTrees(few.with_(**changes), fx.NUMERIC, fx.CATEGORICAL).fit(small)
+
+    timed("train_plain_5000_rows_per_tree", on_small, 5)
+    timed("train_private_5000_rows_per_tree", lambda: on_small(privacy_budget=1.0), 5)
+    timed("train_private_sibling_5000_rows_per_tree",
+          lambda: on_small(privacy_budget=1.0, growth="sibling"), 5)
+    wide = fx.wide(spark, SF_DIR)
+    columns = [c for c in wide.columns if c.startswith("f_")]
+    timed("train_private_wide_per_tree", lambda: PrivateBoostedTrees(
+        few.with_(privacy_budget=1.0), columns, target="label", row_id="vec_id").fit(wide), 5)
+    folded = kfold(small, 2, "row_id", seed="bench")
+    timed("train_private_21_budgets", lambda: PrivateBoostedTrees(
+        few.with_(nb_trees=1), fx.NUMERIC, fx.CATEGORICAL).fit_budgets(folded, BUDGETS))
     many = BoostedModel(model.params, model.features, model.init, model.trees * (50 // TREES + 1))
     timed("score_51_trees", lambda: consume(many.transform(rows)))
     timed("score", lambda: consume(model.transform(rows)))

@@ -98,3 +98,12 @@ def company(spark, d) -> DataFrame:
 
 def features(df: DataFrame, numeric=NUMERIC, categorical=CATEGORICAL):
     return feature_list(df, numeric, categorical)
+
+
+def wide(spark, d, columns: int = 90) -> DataFrame:
+    """Many numeric features: entries of a vector and products of neighbouring ones."""
+    e = table(spark, d, "embeddings")
+    v = [F.col("embedding")[i].cast("double") for i in range(64)]
+    parts = [*v, *[a * b for a, b in zip(v, v[1:])]][:columns]
+    return e.select("vec_id", F.col("label").cast("double").alias("label"),
+                    *[p.alias(f"f_{i}") for i, p in enumerate(parts)])

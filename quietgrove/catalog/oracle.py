@@ -88,6 +88,29 @@ def hist(src, name, feats, by, where="TRUE"):
             f"FROM ({parts}) GROUP BY ALL)")
 
 
+def hist_on_grid(lo, step, size):
+    """``hist`` with the points of a grid as the numeric candidates, present or not."""
+    lo, step = f"{float(lo)!r}::DOUBLE", f"{float(step)!r}::DOUBLE"
+
+    def make(src, name, feats, by, where="TRUE"):
+        keys = ", ".join([*by, ""]) if by else ""
+        parts = []
+        for i, (f, kind) in enumerate(feats):
+            if kind == "text":
+                parts.append(f"SELECT {keys}{i} AS fi, CAST(NULL AS DOUBLE) AS v, {f} AS c, grad, 1 AS one "
+                             f"FROM {src} WHERE {where}")
+                continue
+            point = f"(SELECT max({lo} + p * {step}) FROM range({size}) r(p) WHERE {lo} + p * {step} <= {f})"
+            parts += [f"SELECT {keys}{i} AS fi, {point} AS v, CAST(NULL AS VARCHAR) AS c, grad, 1 AS one "
+                      f"FROM {src} WHERE {where}",
+                      f"SELECT DISTINCT {keys}{i} AS fi, {lo} + p * {step} AS v, CAST(NULL AS VARCHAR) AS c, "
+                      f"0.0::DOUBLE AS grad, 0 AS one FROM {src}, range({size}) r(p) WHERE {where}"]
+        return (f"{name} AS (SELECT {keys}fi, v, c, CAST(sum(one) AS BIGINT) AS n, sum(grad) AS g "
+                f"FROM ({' UNION ALL '.join(parts)}) GROUP BY ALL)")
+
+    return make
+
+
 def gains(h, name, feats, by, lam=0.1):
     keys = ", ".join([*by, ""]) if by else ""
     cats = ", ".join(str(i) for i, (_, k) in enumerate(feats) if k != "num") or "-1"
@@ -116,7 +139,7 @@ def routed(src, b, name, feats, by):
             f"FROM {src} r LEFT JOIN {b} b ON {on})")
 
 
-def grow(src, p, feats, depth, by=("node_id",), order=None, where="gain > 0"):
+def grow(src, p, feats, depth, by=("node_id",), order=None, where="gain > 0", hist=hist):
     """CTEs from rows (with node_id 0 and grad) to ``{p}_r{depth}``, rows in their leaves."""
     by, out = list(by), []
     for d in range(depth):
@@ -161,6 +184,41 @@ FROM inner_nodes
 UNION ALL SELECT node_id, true, NULL, NULL, NULL, NULL, n, {rd('w')} FROM leaf"""
 
 
+def best_first_sql(depth, max_leaves, min_split):
+    """Node table of a tree grown first in, first out. A node is split if it has rows enough and both
+    children could be split again; with each node that is not, leaves so far and nodes that wait are
+    counted, and growth ends once they reach the limit."""
+    feature = " ".join(f"WHEN {i} THEN '{f}'" for i, (f, _) in enumerate(ALL))
+    out = [f"WITH {GRADS}, top AS (SELECT * REPLACE (0::BIGINT AS node_id) FROM grads)",
+           grow("top", "t", ALL, depth + 1),
+           "q0 AS (SELECT 0::BIGINT AS node_id, 0 AS ord, 0 AS carried, false AS ended)"]
+    for d in range(depth + 1):
+        able = "false"
+        if d < depth:
+            able = (f"(b.nl + b.nr >= {min_split} AND (SELECT count(*) FROM t_b{d + 1} c "
+                    "WHERE c.node_id IN (2 * q.node_id + 1, 2 * q.node_id + 2)) = 2)")
+        out += [f"able{d} AS (SELECT q.*, NOT ended AND coalesce({able}, false) AS able FROM q{d} q "
+                f"LEFT JOIN t_b{d} b ON q.node_id = b.node_id)",
+                f"count{d} AS (SELECT *, sum(CASE WHEN able THEN 0 ELSE 1 END) OVER (ORDER BY ord) AS leaves, "
+                f"count(*) OVER () AS waiting FROM able{d})",
+                f"""halt{d} AS (SELECT min(ord) AS cut FROM count{d} WHERE NOT able AND NOT ended
+  AND carried + leaves + (waiting - 1 - ord) + 2 * (ord + 1 - leaves) >= {max_leaves})""",
+                f"""split{d} AS (SELECT c.*, cut IS NOT NULL OR ended AS stops FROM count{d} c, halt{d}
+  WHERE able AND (cut IS NULL OR ord < cut))""",
+                f"""q{d + 1} AS (SELECT s.node_id * 2 + side AS node_id, row_number() OVER (ORDER BY s.ord, k.gain DESC, side) - 1 AS ord,
+  carried + (SELECT max(leaves) FROM count{d}) AS carried, stops AS ended
+  FROM split{d} s, (VALUES (1), (2)) v(side) LEFT JOIN t_b{d + 1} k ON k.node_id = s.node_id * 2 + side)"""
+                if d < depth else f"q{d + 1} AS (SELECT * FROM q{d} WHERE false)",
+                f"in{d} AS (SELECT b.* FROM t_b{d} b JOIN split{d} s ON b.node_id = s.node_id)",
+                routed("top" if d == 0 else f"r{d}", f"in{d}", f"r{d + 1}", ALL, ["node_id"])]
+    inner = " UNION ALL ".join(f"SELECT * FROM in{d}" for d in range(depth + 1))
+    return ", ".join(out) + f""", {leaf_table(f'r{depth + 1}', 'leaf')}
+SELECT node_id, false AS is_leaf, CASE fi {feature} END AS feature, v AS split_value,
+  c AS split_category, {rd('gain')} AS gain, nl + nr AS n, CAST(NULL AS DOUBLE) AS prediction
+FROM ({inner})
+UNION ALL SELECT node_id, true, NULL, NULL, NULL, NULL, n, {rd('w')} FROM leaf"""
+
+
 def sibling_gains(src, name, feats=ALL):
     """Pooled gains of the children (side 0 / 1) of each parent_id in ``src``."""
     own = hist(src, f"{name}_own", feats, ["parent_id", "side"])
@@ -217,9 +275,9 @@ weights AS (SELECT fi AS feature_idx, side, gap, gap_lo, gap_hi, ln(gap_hi - gap
   * (CASE WHEN gap < target THEN gap + 1 - target ELSE target - gap END) / 2 AS log_weight FROM gaps, targets)"""
 
 
-def interval_sql():
-    gum = f"log_weight - ln(-ln({uni(SEED + '|gap', 'feature_idx', 'side', 'gap')}))"
-    point = uni(SEED + "|point", "feature_idx", "side")
+def interval_sql(seed=SEED):
+    gum = f"log_weight - ln(-ln({uni(seed + '|gap', 'feature_idx', 'side', 'gap')}))"
+    point = uni(seed + "|point", "feature_idx", "side")
     return f"""picked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY feature_idx, side
   ORDER BY {gum} DESC) AS rk FROM weights) WHERE rk = 1),
 found AS (SELECT feature_idx, min(gap_lo + (gap_hi - gap_lo) * {point}) AS lower,
@@ -320,6 +378,29 @@ def oracle() -> dict[str, str]:
     exprs = [*marks[:5], "CAST(row_id % 7 AS VARCHAR)", *marks[5:]]
     o["a2_preset_binary"] = f"""WITH {MISSING} SELECT {', '.join(f'{e} AS {n}' for e, n in zip(exprs, names))},
   CASE WHEN c_acctbal < 2000 THEN '4' ELSE '2' END AS class FROM missing WHERE o_orderpriority <> '?'"""
+    census = [("age", "num"), ("workclass", "text"), ("education", "text"), ("education_num", "num"),
+              ("marital_status", "text"), ("occupation", "text"), ("relationship", "text"), ("race", "text"),
+              ("sex", "text"), ("capital_gain", "num"), ("capital_loss", "num"), ("hours_per_week", "num"),
+              ("native_country", "text")]
+    coded = [f"'p{i}_' || CAST(row_id * {i + 3} % {k} AS VARCHAR)" for i, k in enumerate((5, 7, 13, 17, 19))]
+    cols = ["CAST(c_nationkey AS DOUBLE)", coded[0], coded[1], "CAST(row_id % 11 AS DOUBLE)", "c_mktsegment",
+            "o_orderpriority", coded[2], coded[3], coded[4], "floor(c_acctbal)", "CAST(row_id % 23 AS DOUBLE)",
+            "CAST(row_id % 29 AS DOUBLE)", "o_orderstatus"]
+    start = "(SELECT ln(q / (1 - q)) FROM (SELECT min(cnt) / sum(cnt) AS q FROM (SELECT count(*) AS cnt FROM turned GROUP BY y)))"
+    o["a2_file_to_model_binary"] = f"""WITH {MISSING}, shaped AS (SELECT row_id, {', '.join(
+        f'{e} AS {n}' for e, (n, _) in zip(cols, census))},
+  CASE WHEN c_acctbal < 7000 OR o_orderpriority = '1-URGENT' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y
+  FROM missing WHERE o_orderpriority <> '?'),
+turned AS (SELECT * REPLACE (CASE WHEN (SELECT avg(y) FROM shaped) > 0.5 THEN 1 - y ELSE y END AS y) FROM shaped),
+{boosted('turned', census, start, '1 / (1 + exp(-pred)) - y', 2, 2, 0.5)}
+SELECT age, capital_gain, occupation, y AS income, {rd('pred')} AS prediction FROM t_end"""
+    wide = [(f"audio_{i}", "num") for i in range(1, 91)]
+    entries = [f"floor(CAST(embedding[{i + 1}] AS DOUBLE) * 1000)" for i in range(64)] + [
+        f"floor(CAST(embedding[{i + 1}] AS DOUBLE) * CAST(embedding[{i + 2}] AS DOUBLE) * 100000)" for i in range(26)]
+    o["a2_file_to_model_wide"] = f"""WITH sound AS (SELECT vec_id AS row_id, CAST(label + 1990 AS DOUBLE) AS y, {', '.join(
+        f'{e} AS {n}' for e, (n, _) in zip(entries, wide))} FROM embeddings),
+{boosted('sound', wide, '(SELECT avg(y) FROM sound)', 'pred - y', 1, 2, 0.5)}
+SELECT y AS year, audio_1, audio_90, {rd('pred')} AS prediction FROM t_end"""
     o["a3_read_tabs"] = """SELECT CAST(c_custkey AS VARCHAR) AS id, CAST(c_nationkey AS VARCHAR) AS nation,
   c_mktsegment AS segment, c_acctbal AS balance FROM customer"""
     o["a4_append_tables"] = """SELECT c_acctbal AS balance, c_custkey AS id FROM customer
@@ -453,6 +534,7 @@ FROM reg JOIN m USING (o_orderpriority) GROUP BY o_orderpriority"""
     # Depth 2 with room for three leaves: all splits are possible here, so the first leaf is
     # made once both nodes below the root have children; the tree is the full one.
     o["f3_fit_tree_best_first"] = fit_tree_sql()
+    o["f3_best_first_limit"] = best_first_sql(3, 4, "(SELECT count(*) FROM grads) * 15 // 100")
     level1 = f"""{hist('top', 't_h0', ALL, ['node_id'])}, {gains('t_h0', 't_g0', ALL, ['node_id'])},
 {best('t_g0', 't_b0', ['node_id'])}, {routed('top', 't_b0', 't_r1', ALL, ['node_id'])},
 t_sib AS (SELECT *, 0 AS parent_id, CAST(node_id - 1 AS INTEGER) AS side FROM t_r1),
@@ -494,6 +576,10 @@ SELECT tree_id, 0 AS class_id, node_id, count(*) AS n, {rd('sum(grad)')} AS grad
   {rd('CASE WHEN node_id = 0 THEN 0 ELSE -sum(grad) / (count(*) + 0.1::DOUBLE) END')} AS leaf_value
 FROM paths GROUP BY tree_id, node_id"""
     o["h1_private_boosting"] = private_sql()
+    o["h1_private_boosting_filtered"] = pool_sql("fill", 3, 2, 2.0, 0.1, 0.5, clip=False)
+    o["h1_private_boosting_dropped"] = pool_sql("drop", 3, 2, 8.0, 0.3, 0.4)
+    o["h5_private_rejection"] = pool_sql("take", 4, 1, 24.0, 0.5, 1.0, patience=2)
+    o["h1_private_grid_scaled"] = private_sql(2, 4.0, 1.0, (0.0, 0.0625, 16))
     multi = f"WITH {MULTI}, {multiclass_sql()}"
     o["h3_multiclass_boosting"] = f"{multi} SELECT row_id, " + ", ".join(
         rd(f"p{k}") + f" AS raw{k}" for k in range(3)) + " FROM m_s2"
@@ -531,6 +617,7 @@ SELECT config, budget, {rd(MAPE, 2)} AS mape FROM z GROUP BY ALL"""
 SELECT f.fold, count(*) AS n, {rd('sqrt(avg(pow(f.y - (s.start + 0.5::DOUBLE * l.w), 2)))')} AS score
 FROM folded f JOIN starts s ON s.model = f.fold JOIN f0_b0 b ON b.model = f.fold
 JOIN f0_leaf l ON l.model = f.fold AND l.node_id = CASE WHEN {goes_left()} THEN 1 ELSE 2 END GROUP BY f.fold"""
+    o["k2_cross_validate_private"] = private_folds_sql()
     o["r6_trace"] = f"""WITH {PLANTED}, {folds_sql(2)},
 sums AS (SELECT model AS fold, 0 AS tree_id, sum(grad) AS g FROM f0_in GROUP BY model
   UNION ALL SELECT model, 1, sum(grad) FROM f1_in GROUP BY model),
@@ -540,6 +627,7 @@ SELECT fold, tree_id, 0 AS class_id, {rd('g')} AS gradient_sum, {rd('w')} AS lea
     plain_cfg = f"{SCORED.replace('scored AS', 'scored_all AS')}, scored AS (SELECT * FROM scored_all WHERE config = 'plain')"
     o["k4_complexity_sweep"] = f"""WITH {plain_cfg}, {mean_std('label, n', MAPE)} SELECT label, {rd('avg(mean)', 5)} AS mean,
   {rd('avg(std / 2)', 5)} AS std FROM means WHERE n <> 300 GROUP BY label"""
+    o["k4_complexity_scores"] = complexity_sql((300, 5000, 15000, 25000, 50000, 75000, 100000))
     o["k5_baseline_scores"] = f"""WITH {REG}, {BINARY}, top AS (SELECT y FROM bin GROUP BY y ORDER BY count(*) DESC, y LIMIT 1)
 SELECT 'rmse' AS metric, {rd('avg(y)', 3)} AS prediction, {rd('stddev_pop(y)', 3)} AS score FROM reg
 UNION ALL SELECT 'error_rate', (SELECT y FROM top), {rd('avg(CASE WHEN y <> (SELECT y FROM top) THEN 100.0::DOUBLE ELSE 0 END)', 3)} FROM bin"""
@@ -645,34 +733,135 @@ def multiclass_sql():
     return ", ".join(out)
 
 
-def private_sql():
-    """Two depth-1 trees with budget 4, on disjoint halves of the rows."""
-    from quietgrove.plans import privacy
-    from quietgrove.spec import ModelParams
-    p = ModelParams(nb_trees=2, max_depth=1, learning_rate=0.5, privacy_budget=4.0)
-    node = privacy.node_budget(p, privacy.tree_budget(p), 0)
-    out = [f"""WITH RECURSIVE {PLANTED}, cnt AS (SELECT count(*) AS n FROM planted), {balanced(2)},
-pos AS ({order_pos(f"{draw(f'{SEED}|rows|0', 'row_id')}, row_id", 'planted')}),
-s0 AS (SELECT * EXCLUDE (pos), (SELECT count(*) FROM q WHERE top <= pos) AS tree_id,
-  (SELECT avg(y) FROM planted) AS pred FROM pos)"""]
+def private_trees(rows, p, depth, budget, eta, make=hist):
+    """CTEs of two private trees on disjoint halves of the rows of ``rows`` that have ``trains``; the
+    last, ``{p}_s2``, has all rows with their prediction. Half of the budget goes to the levels, half to
+    the leaves; the gain's sensitivity is 3."""
+    out = [f"""{p}_pos AS ({order_pos(f"{draw(f'{SEED}|rows|0', 'row_id')}, row_id", f'(SELECT row_id FROM {rows} WHERE trains)')}),
+{p}_s0 AS (SELECT r.*, CASE WHEN pos < (SELECT count(*) FROM {p}_pos) // 2 THEN 0 WHEN pos IS NOT NULL THEN 1 END AS tree_id,
+  (SELECT avg(y) FROM {rows} WHERE trains) AS pred FROM {rows} r LEFT JOIN {p}_pos USING (row_id))"""]
+    utility = f"{budget / (2 * depth)!r}::DOUBLE * gain / 6.0::DOUBLE"
     for t in range(2):
         gum = f"ln(-ln({uni(f'{SEED}|split|{t}', '0', 'node_id', 'fi', 'v', 'c')}))"
-        utility = f"{node!r}::DOUBLE * gain / 6.0::DOUBLE"
-        bound = f"{privacy.leaf_threshold(p, t)!r}::DOUBLE"
-        scale = f"{privacy.laplace_scale(p, t)!r}::DOUBLE"
+        bound = (1 - eta) ** t
+        scale = f"{min(1.0 / 1.1, 2 * bound) / (budget / 2)!r}::DOUBLE"
         lap = (f"{scale} * (ln({uni(f'{SEED}|leaf|{t}|0|0', 'node_id', '1')}) - "
                f"ln({uni(f'{SEED}|leaf|{t}|0|0', 'node_id', '2')}))")
-        out += [f"p{t}_in AS (SELECT *, greatest(-1.0, least(pred - y, 1.0)) AS grad, 0::BIGINT AS node_id "
-                f"FROM s{t} WHERE tree_id = {t})",
-                grow(f"p{t}_in", f"p{t}", ALL, 1, order=f"{utility} - {gum} DESC",
-                     where=f"{utility} > 0"),
-                f"p{t}_leaf AS (SELECT node_id, greatest(-{bound}, least(-sum(grad) / (count(*) + 0.1::DOUBLE), {bound})) "
-                f"+ {lap} AS w FROM p{t}_r1 GROUP BY node_id)",
-                f"p{t}_all AS (SELECT *, 0::BIGINT AS node_id FROM s{t})",
-                routed(f"p{t}_all", f"p{t}_b0", f"p{t}_rall", ALL, ["node_id"]),
-                f"s{t + 1} AS (SELECT r.* EXCLUDE (pred, node_id), r.pred + 0.5::DOUBLE * l.w AS pred "
-                f"FROM p{t}_rall r JOIN p{t}_leaf l USING (node_id))"]
-    return ", ".join(out) + f" SELECT row_id, {rd('pred', 7)} AS prediction FROM s2"
+        q = f"{p}_{t}"
+        out += [f"{q}_in AS (SELECT *, greatest(-1.0, least(pred - y, 1.0)) AS grad, 0::BIGINT AS node_id "
+                f"FROM {p}_s{t} WHERE tree_id = {t})",
+                grow(f"{q}_in", q, ALL, depth, order=f"{utility} - {gum} DESC",
+                     where=f"{utility} > 0 AND nl + nr >= 2", hist=make),
+                f"{q}_leaf AS (SELECT node_id, greatest(-{bound!r}::DOUBLE, least(-sum(grad) / (count(*) + 0.1::DOUBLE), "
+                f"{bound!r}::DOUBLE)) + {lap} AS w FROM {q}_r{depth} GROUP BY node_id)",
+                f"{q}_a0 AS (SELECT *, 0::BIGINT AS node_id FROM {p}_s{t})",
+                *[routed(f"{q}_a{d}", f"{q}_b{d}", f"{q}_a{d + 1}", ALL, ["node_id"]) for d in range(depth)],
+                f"{p}_s{t + 1} AS (SELECT r.* EXCLUDE (pred, node_id), r.pred + {eta!r}::DOUBLE * l.w AS pred "
+                f"FROM {q}_a{depth} r JOIN {q}_leaf l USING (node_id))"]
+    return out
+
+
+def private_sql(depth=1, budget=4.0, scaling=0.0, grid=None):
+    """Two trees of learning rate 1/2. With ``scaling`` that part of the budget pays for the bounds of
+    the two numeric features, which are mapped onto the ``grid`` (lo, step, points)."""
+    source, out = "planted", [f"WITH {PLANTED}"]
+    if scaling:
+        lo, step, size = grid
+        out += [quantile_sql(["c_acctbal", "c_nationkey"], "planted", 95.0, scaling / 2, -1000.0, 10000.0),
+                interval_sql(f"{SEED}|scaling")]
+        maps = ", ".join(
+            f"(greatest({a}.lower, least(CAST({c} AS DOUBLE), {a}.upper)) - {a}.lower) / ({a}.upper - {a}.lower) "
+            f"* {step * size!r}::DOUBLE + {lo!r}::DOUBLE AS {c}" for a, c in (("a", "c_acctbal"), ("b", "c_nationkey")))
+        out.append(f"scaled AS (SELECT p.* REPLACE ({maps}) FROM planted p, found a, found b "
+                   "WHERE a.feature_idx = 0 AND b.feature_idx = 1)")
+        source = "scaled"
+    make = hist_on_grid(*grid) if grid else hist
+    out += [f"whole AS (SELECT *, true AS trains FROM {source})",
+            *private_trees("whole", "p", depth, budget - scaling, 0.5, make)]
+    return ", ".join(out) + f" SELECT row_id, {rd('pred', 7)} AS prediction FROM p_s2"
+
+
+def private_folds_sql(folds=3, depth=2, budget=2.0, eta=0.1):
+    """Score per fold of two private trees on the others. The target lies in [-1, 1] already."""
+    out = [f"""WITH {PLANTED}, cnt AS (SELECT count(*) AS n FROM planted),
+pos AS ({order_pos(f"{draw(SEED, 'row_id')}, row_id", 'planted')}),
+folded AS (SELECT * EXCLUDE (pos, n), {fold_of('pos', 'n', folds)} AS fold FROM pos, cnt)"""]
+    scores = []
+    for f in range(folds):
+        out += [f"w{f} AS (SELECT *, fold <> {f} AS trains FROM folded)",
+                *private_trees(f"w{f}", f"f{f}", depth, budget, eta)]
+        scores.append(f"SELECT CAST({f} AS INTEGER) AS fold, count(*) AS n, {rd('sqrt(avg(pow(y - pred, 2)))', 7)} AS score "
+                      f"FROM f{f}_s2 WHERE fold = {f}")
+    return ", ".join(out) + " " + " UNION ALL ".join(scores)
+
+
+def complexity_sql(sizes, folds=3, eta=0.1):
+    """Percentage error per sample size and fold of one split, on targets scaled to [-1, 1]."""
+    out, scores = [f"WITH {PLANTED}, costs AS (SELECT * REPLACE (y * 1000 + 2000 AS y) FROM planted)"], []
+    for i, size in enumerate(sizes):
+        out += [f"z{i} AS (SELECT * FROM costs ORDER BY row_id LIMIT {size})",
+                f"zf{i} AS (SELECT * EXCLUDE (pos, n), {fold_of('pos', 'n', folds)} AS fold FROM (SELECT *, "
+                f"row_number() OVER (ORDER BY {draw(SEED, 'row_id')}, row_id) - 1 AS pos, count(*) OVER () AS n FROM z{i}))"]
+        for f in range(folds):
+            q = f"z{i}_{f}"
+            out += [f"{q}_m AS (SELECT 2 / (max(y) - min(y)) AS a, -1 - min(y) * (2 / (max(y) - min(y))) AS b "
+                    f"FROM zf{i} WHERE fold <> {f})",
+                    f"{q}_y AS (SELECT z.* REPLACE (y * a + b AS y), y AS cost FROM zf{i} z, {q}_m)",
+                    f"{q}_s AS (SELECT avg(y) AS start FROM {q}_y WHERE fold <> {f})",
+                    f"{q}_in AS (SELECT *, start - y AS grad, 0::BIGINT AS node_id FROM {q}_y, {q}_s WHERE fold <> {f})",
+                    grow(f"{q}_in", q, ALL, 1), leaf_table(f"{q}_r1", f"{q}_leaf"),
+                    f"{q}_all AS (SELECT *, 0::BIGINT AS node_id FROM {q}_y WHERE fold = {f})",
+                    routed(f"{q}_all", f"{q}_b0", f"{q}_to", ALL, ["node_id"])]
+            scores.append(f"SELECT CAST({size} AS INTEGER) AS n, 'cost' AS label, CAST({f} AS INTEGER) AS fold, "
+                          f"{rd(f'avg(abs((cost - (start + {eta!r}::DOUBLE * w - b) / a) / cost)) * 100', 5)} AS score "
+                          f"FROM {q}_to JOIN {q}_leaf USING (node_id), {q}_s, {q}_m")
+    return ", ".join(out) + " " + " UNION ALL ".join(scores)
+
+
+def pool_sql(mode, trees, depth, budget, eta, l2, clip=True, patience=0):
+    """Trees that take their rows from a pool. ``fill``: rows whose gradient is small come first;
+    ``drop``: others among the first are left to later trees; ``take`` with ``patience``: a tree is
+    kept only if it lowers the error of held-out rows, else its rows go back and the next tree
+    draws anew, until that many were not kept."""
+    held = f"{draw(f'{SEED}|validation', 'row_id')}, row_id"
+    out = [f"""WITH {PLANTED}, held AS (SELECT *, {f"row_number() OVER (ORDER BY {held}) - 1 < ceil(0.3::DOUBLE * (SELECT count(*) FROM planted))"
+                                                 if patience else "false"} AS held FROM planted),
+s0 AS (SELECT *, (SELECT avg(y) FROM held WHERE NOT held) AS pred, false AS used FROM held),
+e0 AS (SELECT CAST('Infinity' AS DOUBLE) AS err, 0 AS lost)"""]
+    budget /= patience + 1
+    utility = f"{budget / (2 * depth)!r}::DOUBLE * gain / {2 * 3.0 * l2 ** 2!r}::DOUBLE"
+    for t in range(trees):
+        first = f"CASE WHEN abs(pred - y) > {l2!r}::DOUBLE THEN 1 ELSE 0 END, " if mode == "fill" else ""
+        small = f"AND abs(pred - y) <= {l2!r}::DOUBLE" if mode == "drop" else ""
+        gum = f"ln(-ln({uni(f'{SEED}|split|{t}', '0', 'node_id', 'fi', 'v', 'c')}))"
+        bound = l2 * (1 - eta) ** t
+        spread = min(l2 / 1.1, 2 * bound) if clip else l2 / 1.1
+        lap = (f"{spread / (budget / 2)!r}::DOUBLE * (ln({uni(f'{SEED}|leaf|{t}|0|0', 'node_id', '1')}) - "
+               f"ln({uni(f'{SEED}|leaf|{t}|0|0', 'node_id', '2')}))")
+        value = "-sum(grad) / (count(*) + 0.1::DOUBLE)"
+        if clip:
+            value = f"greatest(-{bound!r}::DOUBLE, least({value}, {bound!r}::DOUBLE))"
+        out += [f"""k{t}_pool AS (SELECT *, row_number() OVER (ORDER BY {first}{draw(f'{SEED}|rows|{t}', 'row_id')}, row_id) - 1 AS pos,
+  count(*) OVER () AS n FROM s{t} WHERE NOT used AND NOT held)""",
+                f"k{t}_in AS (SELECT * EXCLUDE (pos, n), greatest(-{l2!r}::DOUBLE, least(pred - y, {l2!r}::DOUBLE)) AS grad, "
+                f"0::BIGINT AS node_id FROM k{t}_pool WHERE pos < n // {trees - t} {small})",
+                grow(f"k{t}_in", f"k{t}", ALL, depth, order=f"{utility} - {gum} DESC",
+                     where=f"{utility} > 0 AND nl + nr >= 2"),
+                f"k{t}_leaf AS (SELECT node_id, {value} + {lap} AS w FROM k{t}_r{depth} GROUP BY node_id)",
+                f"k{t}_a0 AS (SELECT *, 0::BIGINT AS node_id FROM s{t})",
+                *[routed(f"k{t}_a{d}", f"k{t}_b{d}", f"k{t}_a{d + 1}", ALL, ["node_id"]) for d in range(depth)],
+                f"k{t}_try AS (SELECT r.* EXCLUDE (node_id), r.pred + {eta!r}::DOUBLE * l.w AS tried "
+                f"FROM k{t}_a{depth} r JOIN k{t}_leaf l USING (node_id))"]
+        kept = "true"
+        if patience:
+            kept = f"(SELECT kept FROM e{t + 1})"
+            out.append(f"""e{t + 1} AS (SELECT new < err AND lost < {patience} AS kept,
+  CASE WHEN new < err AND lost < {patience} THEN new ELSE err END AS err,
+  CASE WHEN new < err THEN lost ELSE lost + 1 END AS lost
+  FROM e{t}, (SELECT avg(pow(tried - y, 2)) AS new FROM k{t}_try WHERE held))""")
+        out.append(f"s{t + 1} AS (SELECT * EXCLUDE (tried) REPLACE (CASE WHEN {kept} THEN tried ELSE pred END AS pred, "
+                   f"used OR ({kept} AND row_id IN (SELECT row_id FROM k{t}_in)) AS used) FROM k{t}_try)")
+    return ", ".join(out) + f" SELECT row_id, {rd('pred', 7)} AS prediction FROM s{trees}"
 
 
 def rejection_sql():

@@ -10,13 +10,13 @@ from quietgrove.functions import losses, metrics
 from quietgrove.functions.columns import clamp
 from quietgrove.operators import cleaning, histogram, leaves, quantile, ranking, risk, selection
 from quietgrove.operators import splits
-from quietgrove.plans import evaluation, growth, privacy, reports
+from quietgrove.plans import evaluation, files, growth, privacy, reports
 from quietgrove.plans.boosting import PrivateBoostedTrees
 from quietgrove.plans.model import BoostedModel
 from quietgrove.plans.trees import nodes_frame
 from quietgrove.scratch import Scratch
 from quietgrove.sources import presets, results, tables
-from quietgrove.spec import Grid, ModelParams, TableSpec
+from quietgrove.spec import FeatureScaling, Grid, ModelParams, TableSpec
 
 SEED = "7"
 LAMBDA = 0.1
@@ -78,6 +78,40 @@ def a2_preset_binary(spark, d):
     return loaded.toDF(*[c.replace(" ", "_") for c in loaded.columns])
 
 
+@query
+def a2_file_to_model_binary(spark, d):
+    """A file shaped like the census table: missing markers, text labels, more of the first label."""
+    r = fx.missing(spark, d)
+
+    def part(i, k):
+        return F.concat(F.lit(f"p{i}_"), ((F.col("row_id") * (i + 3)) % k).cast("string"))
+
+    shaped = r.select(
+        F.col("c_nationkey"), part(0, 5), F.col("row_id"), part(1, 7), F.col("row_id") % 11, F.col("c_mktsegment"),
+        F.col("o_orderpriority"), part(2, 13), part(3, 17), part(4, 19), F.floor("c_acctbal"), F.col("row_id") % 23,
+        F.col("row_id") % 29, F.col("o_orderstatus"),
+        F.when((F.col("c_acctbal") < 7000) | (F.col("o_orderpriority") == "1-URGENT"), ">50K").otherwise("<=50K"))
+    params = ModelParams(task="binary", nb_trees=2, max_depth=2, learning_rate=0.5)
+    model, rows = files.train_file(spark, _csv(shaped), presets.SPECS["adult"], params)
+    return rounded(model.transform(rows).select("age", "capital_gain", "occupation", "income", "prediction"),
+                   ["prediction"])
+
+
+@query
+def a2_file_to_model_wide(spark, d):
+    """A file with 90 numeric columns and the target first."""
+    e = fx.table(spark, d, "embeddings")
+
+    def entry(i):
+        return F.col("embedding")[i].cast("double")
+
+    shaped = e.select(F.col("label") + 1990, *[F.floor(entry(i) * 1000) for i in range(64)],
+                      *[F.floor(entry(i) * entry(i + 1) * 100000) for i in range(26)])
+    params = ModelParams(nb_trees=1, max_depth=2, learning_rate=0.5)
+    model, rows = files.train_file(spark, _csv(shaped), presets.SPECS["yearMSD"], params)
+    return rounded(model.transform(rows).select("year", "audio_1", "audio_90", "prediction"), ["prediction"])
+
+
 @query
 def a3_read_tabs(spark, d):
     spec = TableSpec("customer", ("id", "name", "nation", "balance", "segment"), target="balance",
@@ -433,6 +467,15 @@ def f3_fit_tree_best_first(spark, d):
     return _tree_frame(spark, growth.fit_tree(r, params, fx.features(r)))
 
 
+@query
+def f3_best_first_limit(spark, d):
+    """Room for so few leaves that growth stops in the middle of a level."""
+    r = fx.gradients(spark, d)
+    params = ModelParams(max_depth=3, growth="best_first", max_leaves=4,
+                         min_samples_split=r.count() * 15 // 100)
+    return _tree_frame(spark, growth.fit_tree(r, params, fx.features(r)))
+
+
 @query
 def f4_fit_tree_sibling(spark, d):
     r = fx.gradients(spark, d)
@@ -511,6 +554,17 @@ def h1_private_boosting(spark, d):
     return rounded(model.transform(r).select("row_id", "prediction"), ["prediction"], 7)
 
 
+@query
+def h1_private_grid_scaled(spark, d):
+    r = fx.planted(spark, d)
+    params = ModelParams(nb_trees=2, max_depth=2, learning_rate=0.5, privacy_budget=4.0, seed=SEED,
+                         candidates="grid", grid=Grid(0.0, 1.0, 0.0625),
+                         scaling=FeatureScaling(1.0, -1000.0, 10000.0))
+    model = PrivateBoostedTrees(params, fx.NUMERIC, fx.CATEGORICAL).fit(r)
+    model.ledger.check()
+    return rounded(model.transform(r).select("row_id", "prediction"), ["prediction"], 7)
+
+
 @query
 def h1_private_boosting_filtered(spark, d):
     r = fx.planted(spark, d)
@@ -518,7 +572,27 @@ def h1_private_boosting_filtered(spark, d):
                          leaf_clipping=False, l2_threshold=0.5, seed=SEED)
     model = PrivateBoostedTrees(params, fx.NUMERIC, fx.CATEGORICAL).fit(r)
     model.ledger.check()
-    return model.transform(r).select("row_id", "prediction")
+    return rounded(model.transform(r).select("row_id", "prediction"), ["prediction"], 7)
+
+
+@query
+def h1_private_boosting_dropped(spark, d):
+    r = fx.planted(spark, d)
+    params = ModelParams(nb_trees=3, max_depth=2, privacy_budget=8.0, gradient_filtering="drop",
+                         l2_threshold=0.4, learning_rate=0.3, seed=SEED)
+    model = PrivateBoostedTrees(params, fx.NUMERIC, fx.CATEGORICAL).fit(r)
+    model.ledger.check()
+    return rounded(model.transform(r).select("row_id", "prediction"), ["prediction"], 7)
+
+
+@query
+def h5_private_rejection(spark, d):
+    r = fx.planted(spark, d)
+    params = ModelParams(nb_trees=4, max_depth=1, learning_rate=0.5, privacy_budget=24.0, reject=True,
+                         early_stop=2, allow_private_rejection=True, seed=SEED)
+    model = PrivateBoostedTrees(params, fx.NUMERIC, fx.CATEGORICAL).fit(r)
+    model.ledger.check()
+    return rounded(model.transform(r).select("row_id", "prediction"), ["prediction"], 7)
 
 
 @query
@@ -660,15 +734,17 @@ def k2_cross_validate(spark, d):
 @query
 def k2_cross_validate_private(spark, d):
     params = ModelParams(nb_trees=2, max_depth=2, privacy_budget=2.0, seed=SEED)
-    return evaluation.cross_validate(fx.planted(spark, d), params, 3, COLUMNS, seed=SEED)
+    out = evaluation.cross_validate(fx.planted(spark, d), params, 3, COLUMNS, seed=SEED)
+    return rounded(out, ["score"], 7)
 
 
 @query
 def k3_sweep(spark, d):
     base = ModelParams(seed=SEED)
-    configs = {n: {**c, "nb_trees": 1, "max_depth": 2} for n, c in evaluation.CONFIGS.items()}
-    return evaluation.sweep(fx.planted(spark, d), [2.0], configs, COLUMNS, base, 2, "orders",
-                            seed=SEED)
+    configs = {n: {**c, "nb_trees": 2, "max_depth": 2} for n, c in evaluation.CONFIGS.items()}
+    out = evaluation.sweep(fx.planted(spark, d), evaluation.BUDGETS, configs, COLUMNS, base, 2, "orders",
+                           seed=SEED)
+    return rounded(out, ["mean", "std"], 6)
 
 
 @query
@@ -682,7 +758,8 @@ def k4_complexity_sweep(spark, d):
 def k4_complexity_scores(spark, d):
     r = fx.planted(spark, d).withColumn("cost", F.col("y") * 1000 + 2000)
     params = ModelParams(nb_trees=1, max_depth=1)
-    return evaluation.complexity_scores(r, [300, 5000], ["cost"], COLUMNS, params, 3, seed=SEED)
+    out = evaluation.complexity_scores(r, evaluation.SAMPLE_SIZES, ["cost"], COLUMNS, params, 3, seed=SEED)
+    return rounded(out, ["score"], 5)
 
 
 @query

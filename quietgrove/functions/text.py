@@ -39,3 +39,10 @@ def case(cases: Sequence[tuple[str, str]], otherwise: Optional[str] = None) -> s
         return otherwise or "NULL"
     whens = " ".join(f"WHEN {c} THEN {v}" for c, v in cases)
     return f"CASE {whens}{' ELSE ' + otherwise if otherwise is not None else ''} END"
+
+
+def literal_array(values: Sequence, kind: str) -> str:
+    """Numbers or flags as an array literal; there must be at least one, and no null. It is one
+    string that is split and cast, which Spark folds while planning: its parser sees a single token."""
+    words = (str(v).lower() if kind == "boolean" else repr(v) for v in values)
+    return f"CAST(split('{','.join(words)}', ',') AS array<{kind}>)"

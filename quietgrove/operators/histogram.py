@@ -98,6 +98,46 @@ def candidates_grid(df: DataFrame, features: Sequence[Feature], grid: Grid,
         *_measures(hess))
 
 
+def candidates_packed_grid(df: DataFrame, features: Sequence[Feature], grid: Grid, packed: str,
+                           by: Sequence[str] = (), grad: str = "grad", hess: Optional[str] = None
+                           ) -> DataFrame:
+    """``candidates_grid`` of the numeric features and ``candidates_distinct`` of the others, from an
+    array that holds all features in order.
+
+    One pass turns each value into its cell, so map-side sums leave a row per task and cell. The
+    points without rows are then filled in from each cell up to the next: that needs a row's
+    neighbour only, in the partitioning that running sums need anyway.
+    """
+    lo, step, size = text.literal(float(grid.lo)), text.literal(float(grid.step)), grid.size
+
+    def cell(f: Feature) -> str:
+        x = f"get({packed}, {f.index})"
+        if f.is_cat:
+            return x
+        i = f"floor(({x} - {lo}) / {step})"
+        exact = (f"CASE WHEN {x} < {lo} + {i} * {step} THEN {i} - 1 WHEN {x} >= {lo} + ({i} + 1) * {step} "
+                 f"THEN {i} + 1 ELSE {i} END")
+        return f"CAST(least(greatest({exact}, -1), {size - 1}) AS double)"
+
+    sums = _measures(hess)
+    keep = [*by, grad] + ([hess] if hess else [])
+    listed = ", ".join(cell(f) for f in features)
+    cells = (df.selectExpr(*text.names(keep), f"posexplode(array({listed})) AS (feature_idx, cell)")
+             .groupBy(*by, "feature_idx", "cell").agg(*_sums(grad, hess)))
+    numeric = f"feature_idx IN ({', '.join(str(f.index) for f in features if not f.is_cat) or '-1'})"
+    keys = text.names([*by, "feature_idx"])
+    window = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY cell)"
+    near = cells.selectExpr("*", f"lead(cell) {window} AS _next", f"lag(cell) {window} AS _last")
+    points = (f"CASE WHEN {numeric} THEN transform(sequence(CASE WHEN _last IS NULL THEN least(CAST(cell AS int), 0) "
+              f"ELSE CAST(cell AS int) END, coalesce(CAST(_next AS int), {size}) - 1), p -> CAST(p AS double)) "
+              "ELSE array(cell) END")
+    spread = near.selectExpr("*", f"explode({points}) AS _point")
+    value = f"CASE WHEN NOT {numeric} THEN _point WHEN _point >= 0 THEN {lo} + _point * {step} END"
+    zeros = {"n": "0L", "g": "0.0D", "h": "0.0D"}
+    return spread.selectExpr(*keys, f"{value} AS value", "CAST(NULL AS string) AS category",
+                             *[f"CASE WHEN _point = cell THEN {s} ELSE {zeros[s]} END AS {s}" for s in sums])
+
+
 def candidates_declared(df: DataFrame, features: Sequence[Feature], categories: Mapping,
                         by: Sequence[str] = (), grad: str = "grad",
                         hess: Optional[str] = None) -> DataFrame:

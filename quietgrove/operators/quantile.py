@@ -19,7 +19,7 @@ from quietgrove.functions.columns import clamp
 from quietgrove.functions.draws import fresh_seed, uniform_sql
 from quietgrove.operators.histogram import ValueChunks, long_form
 from quietgrove.operators.prefix import running_sums
-from quietgrove.spec import Feature
+from quietgrove.spec import Feature, Scaled
 
 
 def bounds_of(percentile: float) -> tuple[float, float]:
@@ -92,12 +92,31 @@ def scale_features_private(df: DataFrame, cols: Sequence[str], percentile: float
     """Clip each column to private percentile bounds (or to given ones) and map it onto
     ``borders``. The budget ``eps`` is spent once per column."""
     if bounds is None:
-        found = dp_quantile_interval(df, cols, percentile, eps, lo, hi, seed).collect()
-        bounds = {r["column"]: (r["lower"], r["upper"]) for r in found}
-    grid_lo, grid_hi = (float(b) for b in borders)
-    scaled = {}
+        maps = fit_scaling(df, cols, percentile, eps, borders, dict.fromkeys(cols, (lo, hi)), seed)
+    else:
+        maps = {c: Scaled(*bounds[c], *borders) for c in cols}
+    return apply_scaling(df, maps)
+
+
+def fit_scaling(df: DataFrame, cols: Sequence[str], percentile: float, eps: float,
+                borders: tuple[float, float], limits: Mapping[str, tuple[float, float]], seed=None
+                ) -> dict[str, Scaled]:
+    """Maps of the columns onto ``borders`` from private percentile bounds, ``eps`` for each column.
+
+    ``limits`` are the columns' public ranges; a column without a value keeps its range.
+    Columns of one range share their jobs.
+    """
+    seed, bounds = fresh_seed(seed), dict(limits)
+    ranges: dict = {}
     for c in cols:
-        a, b = (float(v) for v in bounds[c])
-        share = (clamp(F.col(c).cast("double"), a, b) - F.lit(a)) / F.lit((b - a) or 1.0)
-        scaled[c] = share * F.lit(grid_hi - grid_lo) + F.lit(grid_lo)
-    return df.withColumns(scaled)
+        ranges.setdefault(limits[c], []).append(c)
+    for (lo, hi), group in ranges.items():
+        key = seed if len(ranges) == 1 else f"{seed}|{cols.index(group[0])}"
+        for r in dp_quantile_interval(df, group, percentile, eps, lo, hi, key).collect():
+            bounds[r["column"]] = (r["lower"], r["upper"])
+    return {c: Scaled(*(float(b) for b in (*bounds[c], *borders))) for c in cols}
+
+
+def apply_scaling(df: DataFrame, maps: Mapping[str, Scaled]) -> DataFrame:
+    """The columns replaced by their mapped values."""
+    return df.withColumns({c: F.expr(m.sql(text.name(c))) for c, m in maps.items()})

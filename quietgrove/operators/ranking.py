@@ -10,18 +10,24 @@ from __future__ import annotations
 
 import math
 import sys
+from decimal import Context, Decimal
 from typing import Callable, Sequence, Union
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quietgrove.functions.columns import choose, interval_index
+from quietgrove.functions.text import literal_array
 from quietgrove.scratch import Scratch, materialize
 
 _BUCKETS = 1024  # histogram buckets per search range and pass
 _DIRECT_ROWS = 20_000  # keys that may be listed on the driver once the search is narrow
 _INTEGRAL = ("tinyint", "smallint", "int", "bigint", "boolean", "date", "timestamp")
 _FLOATING = ("float", "double")
+_LONG_DIGITS = 18  # decimal digits that any long integer holds
+_EXACT = Context(prec=80)
+_TEXT_BYTES = 6  # bytes of a text in one number
+_TEXT_PLACES = 40  # such numbers at most
 _ROW_BITS = 33  # low bits of monotonically_increasing_id: row number inside a partition
 
 
@@ -33,32 +39,94 @@ def global_rank(df: DataFrame, order_cols: Sequence[str], name: str = "position"
     """
     stored = materialize(df.orderBy(*order_cols).withColumn("_mid", F.monotonically_increasing_id()))
     part = F.shiftright("_mid", _ROW_BITS)
-    counts = stored.groupBy(part.alias("_part")).count().collect()
-    starts, total = {}, 0
-    for row in sorted(counts, key=lambda r: r["_part"]):
-        starts[row["_part"]], total = total, total + row["count"]
-    offsets = F.create_map(*[F.lit(v).cast("bigint") for kv in starts.items() for v in kv]) \
-        if starts else F.create_map(F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))
+    counts = {r["_part"]: r["count"] for r in stored.groupBy(part.alias("_part")).count().collect()}
+    starts, total = [], 0
+    for p in range(max(counts, default=0) + 1):
+        starts.append(total)
+        total += counts.get(p, 0)
+    offset = F.get(F.expr(literal_array(starts, "bigint")), part.cast("int"))
     row_no = F.col("_mid").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    return stored.withColumn(name, offsets[part] + row_no).drop("_mid")
-
-
-def _search_columns(df: DataFrame, order_cols: Sequence[str]):
-    """Order columns as numbers, or None when one has no numeric form."""
-    types, cols = dict(df.dtypes), []
+    return stored.withColumn(name, offset + row_no).drop("_mid")
+
+
+class _Form:
+    """An order column as numbers that sort alike, and the way back from these to a value."""
+
+    def __init__(self, numbers: Sequence[Column], expr: Column, value: Callable = lambda numbers: numbers[0]):
+        self.numbers, self.expr, self.value = list(numbers), expr, value
+
+
+def _simple(column: Column, kind: str) -> Union[Column, None]:
+    """A column that is one number itself."""
+    if kind in _FLOATING:
+        return column.cast("double")
+    if kind == "timestamp":
+        return F.unix_micros(column)
+    if kind == "date":
+        return F.unix_date(column).cast("bigint")
+    return column.cast("bigint") if kind in _INTEGRAL else None
+
+
+def _decimal_form(column: Column, kind: str) -> Union[_Form, None]:
+    """Whole part and decimals, each as long integers; both carry the sign."""
+    digits, scale = (int(d) for d in kind[len("decimal("):-1].split(","))
+    if scale > _LONG_DIGITS or digits - scale > 2 * _LONG_DIGITS:
+        return None
+    rest = column % F.lit(1).cast("decimal(1,0)")
+    whole = (column - rest).cast(f"decimal({min(38, digits - scale + 1)},0)")
+    parts = [whole.cast("bigint")]
+    if digits - scale > _LONG_DIGITS:
+        unit = F.lit(10 ** _LONG_DIGITS).cast(f"decimal({_LONG_DIGITS + 1},0)")
+        upper = F.call_function("div", whole, unit).cast("bigint")
+        parts = [upper, (whole - upper * unit).cast("bigint")]
+    if scale:
+        parts.append((rest.cast(f"decimal({scale + 1},{scale})") * F.lit(10 ** scale).cast(f"decimal({scale + 1},0)")).cast("bigint"))
+
+    def value(numbers):
+        whole_value = numbers[0] if len(parts) - bool(scale) == 1 else numbers[0] * 10 ** _LONG_DIGITS + numbers[1]
+        return Decimal(whole_value * 10 ** scale + (numbers[-1] if scale else 0)).scaleb(-scale, _EXACT)
+
+    return _Form(parts, column, value)
+
+
+def _text_form(column: Column, longest: int) -> Union[_Form, None]:
+    """Six bytes to a number, and the length: a text sorts before those it begins."""
+    places = max(1, -(-longest // _TEXT_BYTES))
+    if places > _TEXT_PLACES:
+        return None
+    data = column.cast("binary")
+    numbers = [F.conv(F.hex(F.rpad(F.substring(data, _TEXT_BYTES * i + 1, _TEXT_BYTES), _TEXT_BYTES,
+                                   F.lit(bytes(1)))), 16, 10).cast("bigint") for i in range(places)]
+
+    def value(found):
+        data = b"".join(n.to_bytes(_TEXT_BYTES, "big") for n in found[:-1])[:found[-1]]
+        try:
+            return data.decode()
+        except UnicodeDecodeError:
+            return F.lit(data).cast("string")
+
+    return _Form([*numbers, F.octet_length(column).cast("bigint")], column, value)
+
+
+def _forms(df: DataFrame, order_cols: Sequence[str]) -> Union[list[_Form], None]:
+    """The order columns as numbers, or None when one has no such form."""
+    types = dict(df.dtypes)
+    texts = [c for c in order_cols if types[c] == "string"]
+    longest = df.agg(*[F.max(F.octet_length(c)).alias(f"t{i}") for i, c in enumerate(texts)]).first() if texts else []
+    out = []
     for c in order_cols:
-        t = types[c]
-        if t in _FLOATING:
-            cols.append(F.col(c).cast("double"))
-        elif t == "timestamp":
-            cols.append(F.unix_micros(c))
-        elif t == "date":
-            cols.append(F.unix_date(c).cast("bigint"))
-        elif t in _INTEGRAL:
-            cols.append(F.col(c).cast("bigint"))
+        column, kind = F.col(c), types[c]
+        if kind == "string":
+            form = _text_form(column, longest[texts.index(c)] or 0)
+        elif kind.startswith("decimal"):
+            form = _decimal_form(column, kind)
         else:
+            number = _simple(column, kind)
+            form = None if number is None else _Form([number], number)
+        if form is None:
             return None
-    return cols
+        out.append(form)
+    return out
 
 
 _NAN = float("nan")
@@ -169,12 +237,15 @@ def position_cuts(df: DataFrame, order_cols: Sequence[str],
     ``positions`` may be a function of the row count. Keys must not be null. The search
     narrows all positions together: each pass counts rows per bucket (partial aggregation on
     the map side, at most buckets x positions result rows), so hot keys cost nothing extra.
-    A range that has shrunk to one value moves on to the next order column.
+    A range that has shrunk to one value moves on to the next order column. Texts are searched
+    byte by byte, six at a time, and decimals as their whole part and their decimals, with the same
+    passes.
     """
-    keys = [f"_k{i}" for i in range(len(order_cols))]
-    cols = _search_columns(df, order_cols)
-    if cols is None:
+    forms = _forms(df, order_cols)
+    if forms is None:
         return _cuts_by_rank(df, order_cols, positions)
+    cols = [n for form in forms for n in form.numbers]
+    keys = [f"_k{i}" for i in range(len(cols))]
     narrow = df.select(*[c.alias(k) for c, k in zip(cols, keys)])
     edge = narrow.agg(F.count(F.lit(1)).alias("n"), F.count(keys[0]).alias("valid"),
                       F.min(keys[0]).alias("lo"), F.max(keys[0]).alias("hi")).first()
@@ -192,7 +263,11 @@ def position_cuts(df: DataFrame, order_cols: Sequence[str],
             _finish(narrow, active, regions, found)
             break
         active = _narrow_down(narrow, active, regions, found)
-    return n, [found[i] for i in range(len(wanted))]
+    ends = [0]
+    for form in forms:
+        ends.append(ends[-1] + len(form.numbers))
+    return n, [tuple(form.value(found[i][a:b]) for form, a, b in zip(forms, ends, ends[1:]))
+               for i in range(len(wanted))]
 
 
 def _finish(narrow, active, regions, found) -> None:
@@ -241,15 +316,20 @@ def _narrow_down(narrow, active, regions, found) -> list:
 
 def order_exprs(df: DataFrame, order_cols: Sequence[str]) -> list[Column]:
     """Columns to compare with the result of ``position_cuts``."""
-    return _search_columns(df, order_cols) or [F.col(c) for c in order_cols]
+    types = dict(df.dtypes)
+    simple = [_simple(F.col(c), types[c]) for c in order_cols]
+    return [F.col(c) if s is None else s for c, s in zip(order_cols, simple)]
 
 
 def _cuts_by_rank(df, order_cols, positions):
-    """Order columns without a numeric form: rank the narrow keys and pick the positions."""
+    """Order columns without a form as a few numbers (texts of more than 240 bytes, other types): rank
+    the narrow keys and pick the positions."""
+    keys = [f"_k{i}" for i in range(len(order_cols))]
+    narrow = df.select(*[e.alias(k) for k, e in zip(keys, order_exprs(df, order_cols))])
     with Scratch(df.sparkSession) as scratch:
-        ranked = scratch.save(global_rank(df.select(*order_cols), order_cols, "_pos"))
+        ranked = scratch.save(global_rank(narrow, keys, "_pos"))
         n = ranked.count()
         wanted = list(positions(n) if callable(positions) else positions)
         rows = ranked.where(F.col("_pos").isin(wanted)).collect() if wanted else []
-    at = {r["_pos"]: tuple(r[c] for c in order_cols) for r in rows}
+    at = {r["_pos"]: tuple(r[k] for k in keys) for r in rows}
     return n, [at[p] for p in wanted]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from typing import Optional, Sequence
+from typing import Optional, Sequence, Union
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 from quietgrove.functions import text
 from quietgrove.functions.draws import fresh_seed, uniform_sql
 from quietgrove.operators.histogram import CANDIDATE
-from quietgrove.operators.prefix import running_sums
+from quietgrove.operators.prefix import chunk_of, running_sums
 
 
-def utility_sql(gain: str, node_budget: float, delta_g: float) -> str:
-    return f"{text.literal(float(node_budget))} * {gain} / {text.literal(2.0 * delta_g)}"
+def utility_sql(gain: str, node_budget: Union[float, str], delta_g: float) -> str:
+    """``node_budget`` is a number or SQL text."""
+    budget = node_budget if isinstance(node_budget, str) else text.literal(float(node_budget))
+    return f"{budget} * {gain} / {text.literal(2.0 * delta_g)}"
 
 
-def utility(cands: DataFrame, node_budget: float, delta_g: float, gain: str = "gain",
+def utility(cands: DataFrame, node_budget: Union[float, str], delta_g: float, gain: str = "gain",
             name: str = "utility") -> DataFrame:
     """Add the budget-scaled gain."""
     return cands.selectExpr("*", f"{utility_sql(text.name(gain), node_budget, delta_g)} AS {name}")
@@ -58,16 +60,41 @@ def split_probabilities(cands: DataFrame, by: Sequence[str] = (), score: str = "
     return joined.withColumn("probability", p).drop("_norm")
 
 
-def split_cdf(cands: DataFrame, by: Sequence[str] = (), probability: str = "probability"
-              ) -> DataFrame:
+def split_cdf(cands: DataFrame, by: Sequence[str] = (), probability: str = "probability",
+              rows_per_chunk: int = 500_000) -> DataFrame:
     """Add ``cdf``: running sum of the probabilities in candidate order. The running sum is
-    chunked by feature, so a node is not one window."""
+    chunked by feature and, where a feature has many candidates, by ranges of its values, so
+    neither a node nor a (node, feature) is one window."""
     summed = running_sums(cands, by, ["value", "category"], [probability],
-                          "feature_idx", totals=False)
+                          _cdf_chunk(cands, rows_per_chunk), totals=False)
     return summed.withColumn("cdf", F.col(f"before_{probability}") + F.col(probability)).drop(
         f"before_{probability}")
 
 
+#: The first six bytes of a category as a number; equal or rising along the categories.
+_LEADING = "CAST(conv(hex(rpad(substring(CAST(category AS binary), 1, 6), 6, X'00')), 16, 10) AS double)"
+
+
+def _cdf_chunk(cands: DataFrame, rows_per_chunk: int) -> str:
+    """Feature and range of values, as SQL text that rises along the candidates."""
+    sizes = {r["feature_idx"]: r["n"] for r in cands.groupBy("feature_idx").agg(
+        F.count(F.lit(1)).alias("n")).collect()}
+    large = {i: n // rows_per_chunk for i, n in sizes.items() if n > rows_per_chunk}
+    if not large:
+        return "feature_idx"
+    key = f"coalesce(value, {_LEADING})"
+    most = max(large.values())
+    shares = [j / (most + 1) for j in range(1, most + 1)]
+    found = cands.where(F.col("feature_idx").isin(list(large))).groupBy("feature_idx").agg(F.percentile_approx(
+        F.expr(key), shares, max(20_000, 20 * most)).alias("bounds")).collect()
+    cases = []
+    for r in found:
+        step = max(1, most // large[r["feature_idx"]])
+        bounds = sorted(set((r["bounds"] or [])[step - 1::step]))
+        cases.append((f"feature_idx = {r['feature_idx']}", chunk_of(key, bounds) if bounds else "0"))
+    return f"struct(feature_idx AS f, {text.case(cases, '0')} AS part)"
+
+
 def _row(cands: DataFrame, by: Sequence[str]) -> str:
     return "struct({})".format(", ".join(text.names([c for c in cands.columns if c not in by])))
 
@@ -121,3 +148,9 @@ def best_per_feature(cands: DataFrame, by: Sequence[str], noisy: bool) -> DataFr
     if noisy:
         return _pick(cands, by, "max_by", "noisy")
     return _pick(cands.where("gain > 0"), by, "min_by", "struct(-gain, value, category)")
+
+
+def best_per_node(winners: DataFrame, by: Sequence[str], noisy: bool) -> DataFrame:
+    """The winner over the features of each group, from those of its features."""
+    score = "-noisy" if noisy else "-gain"
+    return _pick(winners, by, "min_by", f"struct({score}, feature_idx)")

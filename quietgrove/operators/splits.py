@@ -147,6 +147,7 @@ def gradient_filter(df: DataFrame, quota: Optional[int], l2: float, seed=None,
 
     fill  take rows with |g| <= l2 first, fill up with others; their g is clipped
     drop  take any rows, then leave out those with |g| > l2
+    take  take any rows; their g is clipped
     clip  keep all rows, clip every g
     With ``keep_all`` the choice is returned as a ``selected`` flag instead of a filter.
     ``order`` names stored columns that already hold the random order.
@@ -154,7 +155,7 @@ def gradient_filter(df: DataFrame, quota: Optional[int], l2: float, seed=None,
     clipped = clamp(grad, -float(l2), float(l2))
     if mode == "clip":
         return df.withColumn(grad, clipped)
-    if mode not in ("fill", "drop"):
+    if mode not in ("fill", "drop", "take"):
         raise ValueError(f"unknown mode {mode}")
     ordered, cols = (df, list(order)) if order else _ordered(df, key, shuffle, seed)
     outside = F.abs(F.col(grad)) > F.lit(float(l2))
@@ -166,7 +167,7 @@ def gradient_filter(df: DataFrame, quota: Optional[int], l2: float, seed=None,
     if mode == "drop":
         taken = taken & ~outside
     out = ordered.withColumn("selected", taken)
-    if mode == "fill":
+    if mode in ("fill", "take"):
         out = out.withColumn(grad, F.when(F.col("selected"), clipped).otherwise(F.col(grad)))
     out = out.drop("_outside") if order else out.drop(DRAW, "_outside")
     return out if keep_all else out.where("selected").drop("selected")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
-from typing import Optional, Sequence
+from dataclasses import replace
+from functools import reduce
+from typing import Callable, Mapping, Optional, Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -14,14 +16,16 @@ from quietgrove.functions.columns import choose, clamp
 from quietgrove.functions.draws import draw_key, driver_laplace, fresh_seed
 from quietgrove.functions.losses import Task, floored, task_of
 from quietgrove.operators.histogram import ValueChunks
+from quietgrove.operators.quantile import apply_scaling, fit_scaling
 from quietgrove.operators.splits import (allot, balanced_quotas, geometric_quotas,
                                          gradient_filter, mark_first)
 from quietgrove.plans import privacy
 from quietgrove.plans.coding import TrainingTable
 from quietgrove.plans.growth import Grower
-from quietgrove.plans.model import BoostedModel, boost
+from quietgrove.plans.model import BoostedModel
+from quietgrove.plans.walks import boosted
 from quietgrove.scratch import Scratch
-from quietgrove.spec import ModelParams, feature_list
+from quietgrove.spec import ModelParams, Scaled, feature_list
 
 # Gradients of a round are kept in memory for its levels up to this many rows; beyond, they
 # are cheaper to compute again than to store.
@@ -53,7 +57,10 @@ class PrivateBoostedTrees:
                 base = mark_first(base, lambda n: math.ceil(self.params.validation * n),
                                   self.row_id, self.params.shuffle, f"{seed}|validation")
                 extra = ["is_test"]
-            table = TrainingTable(self._slim(base, features, *extra), features, scratch)
+            slim, scaled = self._slim(base, features, *extra), {}
+            if self.params.scaling:
+                slim, scaled = self._scaled(scratch.save(slim), seed)
+            table = TrainingTable(slim, features, scratch)
             base, coder = table.rows, table.coder
             if self.params.reject:
                 holdout = base.where("is_test").drop("is_test")
@@ -63,12 +70,14 @@ class PrivateBoostedTrees:
             run = _Run(self, params, table, seed, scratch, {0: init})
             rounds = run.private(base, holdout) if params.private else \
                 run.plain(base, holdout)
-        trees = [[coder.decode(t) for t in r[0]] for r in rounds]
+        trees = [[coder.decode(t, scaled) for t in r[0]] for r in rounds]
+        features = [replace(f, scaled=scaled.get(f.name)) for f in features]
         model = BoostedModel(self.params, features, init, trees)
         model.task = self.task
         if self.params.private:
             model.ledger = privacy.training_ledger(
-                self.params, exact_scaling=exact_scaling).check()
+                self.params, list(scaled), exact_scaling, rejected=run.rejected).check()
+        model.rejected = sum(run.rejected)
         return model
 
     def fit_folds(self, df: DataFrame, fold: str = "fold", targets: Optional[dict] = None
@@ -105,6 +114,46 @@ class PrivateBoostedTrees:
             model.task = self.task
         return out
 
+    def fit_budgets(self, df: DataFrame, budgets: Sequence[float], fold: str = "fold",
+                    targets: Optional[Mapping[int, Callable[[Column], Column]]] = None,
+                    exact_scaling: bool = False) -> dict[tuple[int, float], BoostedModel]:
+        """Train a private model per (fold, budget) on the rows outside the fold.
+
+        The models equal those of ``fit`` on each fold's rows with each budget. They share every job:
+        rows are stored once, their allotment to trees once per fold, and a row takes part in a
+        tree once per budget, keyed by ``model``. ``targets`` maps a fold to what is done to its target.
+        """
+        p = self.params.with_(privacy_budget=float(max(budgets)))
+        if not min(budgets) > 0:
+            raise ValueError("every budget has to be above zero")
+        if p.reject or p.gradient_filtering or p.scaling or p.private_init:
+            raise ValueError("rows that depend on the budget cannot be shared")
+        spark, seed = df.sparkSession, fresh_seed(p.seed)
+        features = feature_list(df, self.numeric, self.categorical, self.order)
+        with Scratch(spark) as scratch:
+            table = TrainingTable(self._slim(df, features, fold), features, scratch)
+            base, coder = table.rows, table.coder
+            folds = sorted(r[0] for r in base.select(fold).distinct().collect())
+            groups = []
+            for f in folds:
+                rows = base.where(F.col(fold) != f).drop(fold)
+                change = (targets or {}).get(f)
+                groups.append(rows if change is None else rows.withColumn(self.target, change(F.col(self.target))))
+            starts = [self.task.init(g, self.target) for g in groups]
+            keys = [(f, float(b)) for f in folds for b in budgets]
+            init = {m: starts[m // len(budgets)] for m in range(len(keys))}
+            shared = p.with_(categories=coder.categories(p.categories))
+            run = _Run(self, shared, table, seed, scratch, init, [b for _, b in keys])
+            rounds = run.private_groups(base, groups, len(budgets))
+        out = {}
+        for m, (f, budget) in enumerate(keys):
+            params = self.params.with_(privacy_budget=budget)
+            out[f, budget] = BoostedModel(params, features, init[m],
+                                          [[coder.decode(t) for t in r[m]] for r in rounds],
+                                          privacy.training_ledger(params, exact_scaling=exact_scaling).check())
+            out[f, budget].task = self.task
+        return out
+
     # -- helpers -------------------------------------------------------------------------
 
     def _slim(self, df: DataFrame, features, *extra: str) -> DataFrame:
@@ -116,6 +165,15 @@ class PrivateBoostedTrees:
         return df.select(*dict.fromkeys([*ids, *more, *extra, *[f.name for f in features]]),
                          F.col(self.target).cast("double").alias(self.target))
 
+    def _scaled(self, rows: DataFrame, seed: str) -> tuple[DataFrame, dict[str, Scaled]]:
+        """Numeric features on the grid's range, by private bounds of the rows that train."""
+        s, grid = self.params.scaling, self.params.grid
+        own = rows.where("NOT is_test") if self.params.reject else rows
+        maps = fit_scaling(own, self.numeric, s.percentile, s.budget / max(1, len(self.numeric)),
+                           (grid.lo, grid.hi), {c: s.limits(c) for c in self.numeric},
+                           f"{seed}|scaling") if self.numeric else {}
+        return apply_scaling(rows, maps), maps
+
     def _start(self, base: DataFrame, seed: str) -> tuple[list[float], ModelParams]:
         """Start scores; exact unless a part of the budget is set aside for them."""
         p = self.params
@@ -134,7 +192,7 @@ class PrivateBoostedTrees:
 class _Run:
     """State of one training run."""
 
-    def __init__(self, trainer, params, table, seed, scratch, init):
+    def __init__(self, trainer, params, table, seed, scratch, init, budgets=None):
         self.trainer, self.params, self.table = trainer, params, table
         self.features = table.coder.features
         self.seed, self.scratch, self.init = seed, scratch, init
@@ -142,6 +200,10 @@ class _Run:
         self.models = sorted(init)
         self.classes = range(len(init[self.models[0]]))
         self.pred = [f"_pred_{k}" for k in self.classes]
+        # one budget per model, if the models 0, 1, ... only differ in these and their rows
+        self.by_model = budgets and [params.with_(privacy_budget=b) for b in budgets]
+        self.which = "CAST(model AS int)" if self.models == list(range(len(init))) and len(init) > 1 else None
+        self.rejected: list[int] = []  # rejected trees by ensemble
 
     # -- columns -------------------------------------------------------------------------
 
@@ -155,15 +217,14 @@ class _Run:
             c: F.expr(self._by_model(lambda m, k=k: text.literal(float(self.init[m][k]))))
             for k, c in enumerate(self.pred)})
 
-    def scores(self, rounds) -> list[Column]:
-        """Stored scores plus the given rounds."""
-        eta = self.params.learning_rate
-        return [F.expr(f"{c} + " + self._by_model(
-                    lambda m, k=k: boost([r[m][k] for r in rounds], eta)))
-                for k, c in enumerate(self.pred)]
-
     def advance(self, df: DataFrame, rounds) -> DataFrame:
-        return df.withColumns(dict(zip(self.pred, self.scores(rounds)))) if rounds else df
+        """Stored scores plus the given rounds."""
+        if not rounds:
+            return df
+        one = len(self.models) == 1
+        return boosted(df, {c: (c, [[(None if one else f"model = {m}", r[m][k]) for m in self.models]
+                                    for r in rounds]) for k, c in enumerate(self.pred)},
+                       self.params.learning_rate, self.which)
 
     def gradients(self, df: DataFrame, rounds, bound: Optional[float] = None) -> DataFrame:
         """Features with one gradient (and, for several classes, curvature) per class."""
@@ -182,7 +243,8 @@ class _Run:
         chunks = ValueChunks.measure(df, self.features, self.table.counts) \
             if self.params.candidates == "distinct" else None
         self.small = self.table.n * max(1, len(self.models) - 1) <= SMALL_ROWS
-        return Grower(self.params, self.features, self.seed, chunks, self.table.coder.words)
+        return Grower(self.params, self.features, self.seed, chunks, self.table.coder.words,
+                      self.scratch, self.by_model)
 
     def round_of(self, trees: dict) -> dict:
         return {m: [trees[m, k] for k in self.classes] for m in self.models}
@@ -203,6 +265,7 @@ class _Run:
                 rows.unpersist()
             if judge and not judge.accepts(grown):
                 # The next attempts would grow this very tree again until patience ends.
+                self.rejected.append(min(self.params.early_stop, self.params.nb_trees - t))
                 break
             rounds.append(grown)
             pending.append(grown)
@@ -215,20 +278,49 @@ class _Run:
     # -- with a budget -------------------------------------------------------------------
 
     def private(self, base: DataFrame, holdout: Optional[DataFrame]) -> list[dict]:
-        """Every tree of an ensemble trains on rows of its own; ensembles start afresh."""
+        """Every tree of an ensemble trains on rows of its own; ensembles start afresh. Rows of a
+        rejected tree go back; training ends after ``early_stop`` rejections."""
         grower, judge, rounds = self.grower(base), self._judge(holdout), []
         filtering = self.params.gradient_filtering and len(self.classes) == 1
+        grow = self._pool_rows if filtering or judge else self._allotted_rows
         per, total = self.params.per_ensemble, self.params.nb_trees
         for first in range(0, total, per):
             trees = range(first, min(first + per, total))
-            grow = self._filtered_rows if filtering else self._allotted_rows
+            self.rejected.append(0)
             for t, rows in grow(base, trees, per, rounds):
                 rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
                 grown = self.round_of(grower.grow(rows, self.models, t))
                 rows.unpersist()
-                if judge and not judge.accepts(grown):
+                if not judge or judge.accepts(grown):
+                    rounds.append(grown)
                     continue
-                rounds.append(grown)
+                self.rejected[-1] += 1
+                if sum(self.rejected) >= self.params.early_stop:
+                    return rounds
+        return rounds
+
+    def private_groups(self, base: DataFrame, groups: Sequence[DataFrame], budgets: int) -> list[dict]:
+        """One run for several groups of rows (folds) and budgets: model ``g * budgets + b``."""
+        p, grower, rounds = self.params, self.grower(base), []
+        for first in range(0, p.nb_trees, p.per_ensemble):
+            trees = range(first, min(first + p.per_ensemble, p.nb_trees))
+            parts, sizes = [], []
+            for g, rows in enumerate(groups):
+                allotted, own = allot(rows, self._quotas(p.per_ensemble), self.trainer.row_id, p.shuffle,
+                                      f"{self.seed}|rows|{first}")
+                parts.append(allotted.where("tree_id IS NOT NULL").withColumn("_group", F.lit(g)))
+                sizes.append(own)
+            stored = self.scratch.save(reduce(DataFrame.unionByName, parts).hint("rebalance", "tree_id"), ["tree_id"])
+            for i, t in enumerate(trees):
+                # groups are folds, so they run out of rows together up to a row
+                if any(i >= len(own) or own[i] == 0 for own in sizes):
+                    break
+                part = stored.where(F.col("tree_id") == i).withColumn("model", F.explode(F.transform(
+                    F.sequence(F.lit(0), F.lit(budgets - 1)), lambda b: F.col("_group") * budgets + b)))
+                rows = self.gradients(self.start(part), rounds, p.l2_threshold).persist(StorageLevel.MEMORY_AND_DISK)
+                rounds.append(self.round_of(grower.grow(rows, self.models, t)))
+                rows.unpersist()
+            self.scratch.release(stored)
         return rounds
 
     def _quotas(self, per: int):
@@ -252,30 +344,45 @@ class _Run:
             part = self.start(stored.where(F.col("tree_id") == i))
             yield t, self.gradients(part, rounds, p.l2_threshold)
 
-    def _filtered_rows(self, base, trees, per, rounds):
-        """Rows chosen by their current gradient, so they cannot be fixed in advance.
+    def _pool_rows(self, base, trees, per, rounds):
+        """Rows taken from a pool tree by tree, where they cannot be fixed in advance: with gradient
+        filtering they depend on the current gradients, with rejection on what became of earlier
+        trees.
 
-        The pool of unused rows is stored once per tree, with gradients and draws: finding
-        the cut and splitting the pool then only reads, and no expression outlives a tree.
+        The pool is its stored rows less those that satisfy the cuts of later trees. It is stored
+        again, with current scores, only every ``refresh_every`` trees.
         """
         p, key = self.params, self.trainer.row_id
-        pool, known, last = self.start(base), 0, None
-        sizes = self._quotas(per)(base.count())
+        mode = "take" if p.reject else "drop" if p.gradient_filtering == "drop" else "fill"
+        pool, stored, since = self.start(base), None, 0
+        unused = base.count()
+        shares = None if p.balance_partition else geometric_quotas(unused, per, p.learning_rate)
         g = floored(self.task.gradient(self.target, self.pred), p.floor_digits)
         for i, t in enumerate(trees):
-            if i >= len(sizes) or sizes[i] == 0:
+            quota = unused // (per - i) if shares is None else \
+                min(unused, shares[i]) if i < len(shares) else 0
+            if quota == 0:
                 return
             draw = draw_key(f"{self.seed}|rows|{t}", key) if p.shuffle else F.lit(0)
-            scored = self.advance(pool, rounds[known:])
-            stored = self.scratch.save(scored.withColumns({"g_0": g, "_place": draw}))
-            if last is not None:
-                self.scratch.release(last)
-            last, known = stored, len(rounds)
-            flagged = gradient_filter(stored, sizes[i], p.l2_threshold, grad="g_0", key=key,
-                                      keep_all=True, order=["_place", key])
-            pool = flagged.where(~F.col("selected")).drop("selected", "g_0", "_place")
-            yield t, flagged.where("selected").select(
-                "model", *[f.name for f in self.features], "g_0")
+            flagged = gradient_filter(pool.withColumns({"g_0": g, "_place": draw}), quota, p.l2_threshold,
+                                      grad="g_0", key=key, mode=mode, keep_all=True, order=["_place", key])
+            chosen, known = flagged.where("selected"), len(rounds)
+            if mode == "take":
+                yield t, self.gradients(chosen, [], p.l2_threshold)
+            else:
+                yield t, chosen.select("model", *[f.name for f in self.features], "g_0")
+            if len(rounds) == known:
+                continue
+            grown = rounds[-1]
+            unused -= grown[self.models[0]][0].nodes[0].n if mode == "drop" else quota
+            # The row number pins the filter: pushed down, it would carry copies of the scores.
+            left = flagged.withColumn("_row", F.monotonically_increasing_id()).where("NOT selected AND _row >= 0")
+            pool, since = self.advance(left.drop("selected", "g_0", "_place", "_row"), [grown]), since + 1
+            if since >= p.refresh_every and i + 1 < len(trees):
+                last, stored, since = stored, self.scratch.save(pool), 0
+                pool = stored
+                if last is not None:
+                    self.scratch.release(last)
 
     # -- rejection -----------------------------------------------------------------------
 

@@ -19,7 +19,7 @@ from quietgrove.functions import text
 from quietgrove.operators.prefix import distinct_counts
 from quietgrove.plans.trees import Node, Split, Tree
 from quietgrove.scratch import Scratch
-from quietgrove.spec import Feature
+from quietgrove.spec import Feature, Scaled
 
 DICTIONARY_ROWS = 10_000
 
@@ -63,13 +63,16 @@ class Coder:
             out[name] = [place[w] for w in given]
         return out
 
-    def decode(self, tree: Tree) -> Tree:
+    def decode(self, tree: Tree, scaled: Mapping[str, Scaled] = {}) -> Tree:
+        """The tree over the original columns; ``scaled`` were mapped before training."""
         nodes = {}
         for i, n in tree.nodes.items():
             s = n.split
             if s is not None and s.feature.name in self.words:
                 s = Split(self.original[s.feature.index], None,
                           self.words[s.feature.name][int(s.value)], s.gain)
+            elif s is not None and s.feature.name in scaled:
+                s = replace(s, feature=replace(s.feature, scaled=scaled[s.feature.name]))
             nodes[i] = Node(n.node_id, n.n, n.g, n.h, s, n.prediction)
         return Tree(nodes)
 

@@ -10,6 +10,8 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quietgrove.functions import text
+from quietgrove.functions.text import literal_array
 from quietgrove.functions.columns import choose
 from quietgrove.functions.losses import argmax_class
 from quietgrove.functions.metrics import METRICS, score_summary
@@ -17,6 +19,7 @@ from quietgrove.operators.cleaning import Scaler, fit_scaler
 from quietgrove.operators.splits import kfold
 from quietgrove.plans.boosting import PrivateBoostedTrees
 from quietgrove.plans.model import BoostedModel
+from quietgrove.plans.walks import boosted
 from quietgrove.scratch import Scratch, materialize
 from quietgrove.sources.results import NAMED_SWEEP_SCHEMA
 from quietgrove.sources.tables import take_first
@@ -73,42 +76,84 @@ def _predict_folds(df: DataFrame, models: Mapping[int, BoostedModel],
     """Score each row with the model that has not seen its fold, in one pass."""
     first = next(iter(models.values()))
     p = first.params
-    raws = []
-    for k in range(len(first.init)):
-        cases = []
-        for f, m in models.items():
-            raw = m.raw_columns()[k]
-            if scalers is not None:
-                raw = scalers[f].inverse(raw)
-            cases.append((F.col("fold") == f, raw))
-        raws.append(choose(cases))
-    if p.task == "regression":
-        return df.withColumn("p", raws[0])
-    if p.task == "binary":
-        return df.withColumn("p", (raws[0] >= 0).cast("double"))
-    names = {f"_raw_{k}": c for k, c in enumerate(raws)}
-    scored = df.withColumns(names)
-    return scored.withColumn("p", argmax_class([F.col(n) for n in names]).cast("double")
-                             ).drop(*names)
+    names = [f"_raw_{k}" for k in range(len(first.init))]
+    rounds = max(len(m.trees) for m in models.values())
+    totals = {}
+    for k, name in enumerate(names):
+        start = text.case([(f"fold = {f}", text.literal(float(m.init[k]))) for f, m in models.items()])
+        totals[name] = (start, [[(f"fold = {f}", m.trees[t][k]) for f, m in models.items()
+                                 if t < len(m.trees)] for t in range(rounds)])
+    return _labelled(boosted(df, totals, p.learning_rate), names, p.task, scalers)
+
+
+def _labelled(scored: DataFrame, names: Sequence[str], task: str, scalers: Optional[Mapping[int, Scaler]]
+              ) -> DataFrame:
+    """``p``, the prediction in units of the target, in place of raw scores."""
+    raws = [F.col(n) for n in names]
+    if scalers is not None:
+        raws = [choose([(F.col("fold") == f, s.inverse(r)) for f, s in scalers.items()]) for r in raws]
+    if task == "regression":
+        label = raws[0]
+    elif task == "binary":
+        label = (raws[0] >= 0).cast("double")
+    else:
+        label = argmax_class(raws).cast("double")
+    return scored.withColumn("p", label).drop(*names)
+
+
+def stored_folds(scratch: Scratch, df: DataFrame, k: int, columns: Columns, shuffle: bool = True, seed=None
+                 ) -> DataFrame:
+    """Rows with their fold. Stored first, so that the search for the fold limits scans ids only."""
+    slim = scratch.save(columns.slim(df))
+    folded = scratch.save(kfold(slim, k, columns.row_id, shuffle, seed), spread=True)
+    scratch.release(slim)
+    return folded
+
+
+def budget_scores(folded: DataFrame, params: ModelParams, budgets: Sequence[float], columns: Columns,
+                  metric: Optional[str] = None, scale: Optional[bool] = None, bounds=None) -> DataFrame:
+    """Score per budget and fold, (budget, fold, n, score), of models that are trained and applied
+    together: neither jobs nor stored rows grow with the budgets."""
+    scale = params.task == "regression" if scale is None else scale
+    folds = sorted(r[0] for r in folded.select("fold").distinct().collect())
+    scalers = _fold_scalers(folded, columns.target, folds, bounds) if scale else {}
+    targets = {f: s.forward for f, s in scalers.items() if s.required}
+    models = columns.trainer(params).fit_budgets(folded, budgets, "fold", targets,
+                                                 any(s.required and s.exact for s in scalers.values()))
+    spread = folded.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(len(budgets) - 1))))
+    place = {f: i for i, f in enumerate(folds)}
+    at = text.case([(f"fold = {f}", str(i * len(budgets))) for f, i in place.items()])
+    spread = spread.withColumn("_model", F.expr(f"{at} + _b"))
+    listed = [models[f, float(b)] for f in folds for b in budgets]
+    names = [f"_raw_{c}" for c in range(len(listed[0].init))]
+    totals = {}
+    for c, name in enumerate(names):
+        start = f"get({literal_array([float(m.init[c]) for m in listed], 'double')}, _model)"
+        totals[name] = (start, [[(f"_model = {i}", m.trees[t][c]) for i, m in enumerate(listed)]
+                                for t in range(len(listed[0].trees))])
+    scored = boosted(spread, totals, params.learning_rate, "_model")
+    scored = _labelled(scored, names, params.task, scalers or None)
+    listed_budgets = F.get(F.expr(literal_array([float(b) for b in budgets], "double")), F.col("_b"))
+    measure = METRICS[metric or default_metric(params.task)]
+    return scored.withColumn("y", F.col(columns.target).cast("double")).groupBy("_b", "fold").agg(
+        F.count(F.lit(1)).alias("n"), measure("y", "p").alias("score")).select(
+        listed_budgets.alias("budget"), "fold", "n", "score")
 
 
 def cross_predict(df: DataFrame, params: ModelParams, k: int, columns: Columns,
                   shuffle: bool = True, seed=None, scale: Optional[bool] = None, bounds=None,
-                  parallel_folds: int = 5) -> DataFrame:
+                  parallel_folds: int = 5, folded: Optional[DataFrame] = None) -> DataFrame:
     """Out-of-fold predictions: row id, fold, y, p.
 
     Without a budget all folds are trained together, as a key of every job. With a budget
     each fold has row allotments of its own, so folds run side by side from driver threads.
     ``scale`` (default: regression with a budget) trains on targets scaled to [-1, 1] and
-    scales predictions back.
+    scales predictions back. ``folded`` are rows that were stored with their folds before.
     """
     spark = df.sparkSession
     scale = (params.private and params.task == "regression") if scale is None else scale
     with Scratch(spark) as scratch:
-        # Stored first, so that the search for the fold limits scans ids only.
-        slim = scratch.save(columns.slim(df))
-        folded = scratch.save(kfold(slim, k, columns.row_id, shuffle, seed), spread=True)
-        scratch.release(slim)
+        folded = folded or stored_folds(scratch, df, k, columns, shuffle, seed)
         folds = list(range(k))
         scalers = _fold_scalers(folded, columns.target, folds, bounds) if scale else None
         trainer = columns.trainer(params)
@@ -148,23 +193,38 @@ def cross_validate(df: DataFrame, params: ModelParams, k: int, columns: Columns,
 
 def sweep(df: DataFrame, budgets: Sequence[float], configs: Mapping[str, Mapping],
           columns: Columns, base: ModelParams, k: int = 5, dataset: str = "data",
-          metric: Optional[str] = None, **options) -> DataFrame:
-    """Cross-validated score for each budget and configuration, one result row each."""
+          metric: Optional[str] = None, shuffle: bool = True, seed=None, scale: Optional[bool] = None,
+          bounds=None, **options) -> DataFrame:
+    """Cross-validated score for each budget and configuration, one result row each.
+
+    Rows and folds are stored once. The budgets of a configuration are trained together, unless what a
+    tree trains on depends on the budget (gradient filtering, rejection, private scaling).
+    """
     spark = df.sparkSession
-    rows = materialize(columns.slim(df))
-    n = rows.count()
     out = None
-    for name, changes in configs.items():
-        for budget in ([0.0] if changes.get("privacy_budget") == 0.0 else budgets):
-            params = base.with_(**{**changes, "privacy_budget": float(budget)})
-            folds = cross_validate(rows, params, k, columns, metric, **options)
-            one = score_summary(folds).select(
+    with Scratch(spark) as scratch:
+        folded = stored_folds(scratch, df, k, columns, shuffle, seed)
+        n = folded.count()
+        for name, changes in configs.items():
+            plain = changes.get("privacy_budget") == 0.0
+            params = base.with_(**{**changes, "privacy_budget": 0.0 if plain else float(max(budgets))})
+            apart = params.gradient_filtering or params.reject or params.scaling or params.private_init
+            if plain or apart:
+                scores = None
+                for budget in [0.0] if plain else budgets:
+                    own = params.with_(privacy_budget=float(budget))
+                    one = cross_validate(df, own, k, columns, metric, seed=seed, scale=scale, bounds=bounds,
+                                         folded=folded, **options).withColumn("budget", F.lit(float(budget)))
+                    scores = one if scores is None else scores.unionByName(one)
+            else:
+                scores = budget_scores(folded, params, budgets, columns, metric, scale, bounds)
+            one = materialize(score_summary(scores, by=("budget",)).select(
                 F.lit(name).alias("config"), F.lit(dataset).alias("dataset"),
                 F.lit(n).cast("bigint").alias("nb_samples"),
                 F.lit(params.nb_trees).alias("nb_trees"), F.lit(params.private).alias("use_dp"),
-                F.lit(float(budget)).alias("privacy_budget"), "mean", "std",
+                F.col("budget").alias("privacy_budget"), "mean", "std",
                 F.lit(params.leaf_clipping).alias("glc"),
-                F.lit(params.gradient_filtering).alias("gdf"))
+                F.lit(bool(params.gradient_filtering)).alias("gdf")))
             out = one if out is None else out.unionByName(one)
     return out if out is not None else spark.createDataFrame([], NAMED_SWEEP_SCHEMA)
 

@@ -1,7 +1,8 @@
 """Growing the trees of one boosting round.
 
 All nodes of a level, of all classes and of all models (folds) share one histogram job; the
-driver only sees one row per node. Child counts and gradient sums come with the chosen
+driver only sees a few rows per node. Rows find their node by walking the trees from the root; once
+a level has many open nodes, they are stored with their place among these and walk one step a level. Child counts and gradient sums come with the chosen
 split, so leaves need no job of their own.
 
 Input rows carry the features, ``model`` and, per class k, ``g_k`` (and ``h_k``).
@@ -10,31 +11,52 @@ Input rows carry the features, ``model`` and, per class k, ``g_k`` (and ``h_k``)
 from __future__ import annotations
 
 from collections import deque
+from dataclasses import dataclass
 from typing import Mapping, Optional, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quietgrove.functions import text
+from quietgrove.functions.text import literal_array
 from quietgrove.functions.draws import driver_laplace, fresh_seed
 from quietgrove.operators.histogram import (ValueChunks, candidates_declared,
                                             candidates_distinct, candidates_grid,
+                                            candidates_packed_grid,
                                             pooled_siblings, sibling_gain_of,
                                             sibling_histogram, split_gain)
 from quietgrove.operators.leaves import SMALL_DENOMINATOR
-from quietgrove.operators.selection import best_per_feature, utility, with_noise
+from quietgrove.operators.selection import best_per_feature, best_per_node, utility, with_noise
 from quietgrove.plans import privacy
 from quietgrove.plans.coding import TrainingTable
 from quietgrove.plans.trees import Node, Split, Tree
+from quietgrove.plans.walks import Layout, Lookup, looked_up
 from quietgrove.scratch import Scratch
 from quietgrove.spec import Feature, ModelParams
 
 
 
+@dataclass
+class Anchor:
+    """Rows stored with their place (``_at``) in a list of open nodes, each given as (unit, node id)."""
+
+    rows: DataFrame
+    nodes: list[tuple[tuple[int, int], int]]
+
+
 class Grower:
+    #: Open nodes of a level from which rows are stored with their node.
+    WALKED_LEAVES = 512
+    #: Winners by node and feature that the driver takes; beyond, they are reduced to one per node.
+    COLLECTED_ROWS = 4_096
+    #: Categories that a draw looks up in a list; more of them are joined.
+    LISTED_WORDS = 256
+
     def __init__(self, params: ModelParams, features: Sequence[Feature], seed: str,
                  chunks: Optional[ValueChunks] = None,
-                 words: Optional[Mapping[str, Sequence[str]]] = None):
+                 words: Optional[Mapping[str, Sequence[str]]] = None,
+                 scratch: Optional[Scratch] = None,
+                 by_model: Optional[Sequence[ModelParams]] = None):
         self.params, self.features, self.seed, self.chunks = params, features, seed, chunks
         self.words = words or {}
         # Without text features a row's features travel as one array, in feature order.
@@ -43,33 +65,78 @@ class Grower:
         # A constant class would only get in the way of sort orders, so one class has no key.
         self.unit = ["model", "class_id"] if params.n_classes > 1 else ["model"]
         self.by_index = {f.index: f for f in features}
+        self.scratch = scratch
+        # Models 0, 1, ... that only differ in their budgets; each draws as if it were alone.
+        self.by_model = by_model
+        self.anchor: Optional[Anchor] = None
 
     # -- one job per level ---------------------------------------------------------------
 
-    def _routed(self, rows: DataFrame, trees: dict, active: dict) -> DataFrame:
-        """Features, class_id, node_id, grad (and hess) of the rows in active nodes."""
-        everywhere = all(n.node_id in active.get(u, ()) for u, t in trees.items()
-                         for n in t.leaves)
+    def _routed(self, rows: DataFrame, trees: dict, active: dict, whole: bool = False) -> DataFrame:
+        """Features, class_id, node_id, grad (and hess) of the rows in active nodes. ``whole`` starts
+        at the roots even if rows are stored further down."""
         if not self.packed:
+            everywhere = all(n.node_id in active.get(u, ()) for u, t in trees.items()
+                             for n in t.leaves)
             routed = self._routed_by_text(rows, trees, active)
             return routed if everywhere else routed.where("node_id IS NOT NULL")
         keep = [*self.unit, "grad", *(["hess"] if self.params.n_classes > 1 else []), "_x"]
-        values = ", ".join(f"CAST({text.name(f.name)} AS double)" for f in self.features)
-        if self.params.n_classes > 1:
-            parts = ", ".join(f"{k}, g_{k}, h_{k}" for k in range(self.params.n_classes))
-            start = rows.selectExpr("model", f"array({values}) AS _x",
-                                    f"stack({self.params.n_classes}, {parts}) "
-                                    "AS (class_id, grad, hess)")
+        if self.anchor and not whole:
+            start, place = self.anchor.rows, "_at"
+            roots = [(trees[u], i) for u, i in self.anchor.nodes]
         else:
-            start = rows.selectExpr("model", "g_0 AS grad", f"array({values}) AS _x")
-        routed = start.selectExpr(*keep, *walk(trees, active, self.unit))
-        if everywhere:
+            start, roots, place = self._start(rows, keep), [], []
+            for u in sorted(trees):
+                place.append((unit_sql(self.unit, *u), str(len(roots))))
+                roots.append((trees[u], 0))
+            place = "CAST(model AS int)" if self.by_model and len(self.unit) == 1 else \
+                place[0][1] if len(place) == 1 else text.case(place)
+        units = [u for u, _ in self.anchor.nodes] if self.anchor and not whole else sorted(trees)
+        layout = Layout.of(roots)
+        steps = layout.steps(place, "_x", lambda n: n.split.value, lambda n: n.split.feature.index, "_a")
+        wanted = [n.split is None and n.node_id in active.get(units[r], ())
+                  for n, r in zip(layout.nodes, layout.root)]
+        if not whole and self.scratch and sum(wanted) > self.WALKED_LEAVES:
+            return self._anchored(start, keep, layout, steps, wanted, units)
+        ids = literal_array([n.node_id if w else -1 for n, w in zip(layout.nodes, wanted)], "bigint")
+        routed = start.selectExpr(*keep, *steps, f"nullif(get({ids}, _a{layout.depth}), -1L) AS node_id")
+        if all(w for w, n in zip(wanted, layout.nodes) if n.split is None):
             return routed.select(*keep, "node_id")
         # The row number pins the filter above the walk: pushed below, it would be copied into
         # every step.
         pinned = routed.selectExpr(*keep, "node_id", "monotonically_increasing_id() AS _row")
         return pinned.where("node_id IS NOT NULL AND _row >= 0").drop("_row")
 
+    def _start(self, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
+        """Rows with their features as one array, once per class."""
+        values = ", ".join(f"CAST({text.name(f.name)} AS double)" for f in self.features)
+        if self.params.n_classes == 1:
+            return rows.selectExpr("model", "g_0 AS grad", f"array({values}) AS _x")
+        parts = ", ".join(f"{k}, g_{k}, h_{k}" for k in range(self.params.n_classes))
+        return rows.selectExpr("model", f"array({values}) AS _x", f"stack({self.params.n_classes}, {parts}) "
+                               "AS (class_id, grad, hess)").select(*keep)
+
+    def _anchored(self, start: DataFrame, keep: Sequence[str], layout: Layout, steps: Sequence[str],
+                  wanted: Sequence[bool], units: Sequence[tuple]) -> DataFrame:
+        """A deep level: rows are stored with their place among the open nodes, so the next level
+        walks one step from there, and rows of finished leaves are left behind."""
+        order = [p for p, w in enumerate(wanted) if w]
+        rank = {p: i for i, p in enumerate(order)}
+        places = literal_array([rank.get(p, -1) for p in range(len(wanted))], "int")
+        placed = start.selectExpr(*keep, *steps, f"get({places}, _a{layout.depth}) AS _at",
+                                  "monotonically_increasing_id() AS _row")
+        stored = self.scratch.save(placed.where("_at >= 0 AND _row >= 0").select(*keep, "_at"))
+        nodes = [(units[layout.root[p]], layout.nodes[p].node_id) for p in order]
+        self._release()
+        self.anchor = Anchor(stored, nodes)
+        ids = literal_array([i for _, i in nodes], "bigint")
+        return stored.selectExpr(*keep, f"get({ids}, _at) AS node_id")
+
+    def _release(self) -> None:
+        if self.anchor:
+            self.scratch.release(self.anchor.rows)
+        self.anchor = None
+
     def _is_unit(self, model: int, class_id: int) -> str:
         return unit_sql(self.unit, model, class_id)
 
@@ -77,31 +144,30 @@ class Grower:
         models = sorted({m for m, _ in trees})
         classes = range(self.params.n_classes)
 
-        def node_of(k):
-            def at(m):
-                wanted = active.get((m, k), ())
-                return trees[m, k].sql(lambda n: n.node_id if n.node_id in wanted else None,
-                                       "bigint")
-            if len(models) == 1:
-                return at(models[0])
-            return text.case([(f"model = {m}", at(m)) for m in models])
-
+        one = len(models) == 1
+        wanted = {id(trees[u].nodes[i]) for u, nodes in active.items() for i in nodes}
+        lookups = [Lookup(f"_node_{k}", [
+            (None if one else f"model = {m}", trees[m, k]) for m in models],
+            lambda n: n.node_id if id(n) in wanted else None, "bigint") for k in classes]
         names = text.names([f.name for f in self.features])
+        found = looked_up(rows, lookups)
         if self.params.n_classes == 1:
-            return rows.selectExpr("model", f"{node_of(0)} AS node_id", "g_0 AS grad", *names)
-        parts = ", ".join(f"{k}, {node_of(k)}, g_{k}, h_{k}" for k in classes)
-        return rows.selectExpr("model", *names, f"stack({len(classes)}, {parts}) "
-                               "AS (class_id, node_id, grad, hess)")
+            return found.selectExpr("model", "_node_0 AS node_id", "g_0 AS grad", *names)
+        parts = ", ".join(f"{k}, _node_{k}, g_{k}, h_{k}" for k in classes)
+        return found.selectExpr("model", *names, f"stack({len(classes)}, {parts}) "
+                                "AS (class_id, node_id, grad, hess)")
 
     def _histogram(self, work: DataFrame, by: Sequence[str], hess: Optional[str]) -> DataFrame:
         p = self.params
         if p.candidates == "distinct":
             return candidates_distinct(work, self.features, by, "grad", hess, self.packed)
+        if self.packed and not self._declared():
+            return candidates_packed_grid(work, self.features, p.grid, self.packed, by, "grad", hess)
         if self.packed:
             work = work.select("*", *[F.get("_x", F.lit(f.index)).alias(f.name)
                                       for f in self.features]).drop("_x")
         numeric = [f for f in self.features if not f.is_cat]
-        declared = [f for f in self.features if f.is_cat and f.name in p.categories]
+        declared = self._declared()
         rest = [f for f in self.features if f.is_cat and f.name not in p.categories]
         parts = []
         if numeric:
@@ -115,6 +181,9 @@ class Grower:
             out = out.unionByName(part)
         return out
 
+    def _declared(self) -> list[Feature]:
+        return [f for f in self.features if f.is_cat and f.name in self.params.categories]
+
     def _sibling_histogram(self, work: DataFrame) -> DataFrame:
         """Like ``_histogram``, for pairs of siblings: only features whose candidates come from
         the rows have to occur in a child to be its candidate."""
@@ -124,6 +193,10 @@ class Grower:
         rest = [f for f in self.features if f not in fixed]
         if not fixed:
             return sibling_histogram(work, rest, by=self.unit, packed=self.packed)
+        if self.packed and not self._declared():
+            out = pooled_siblings(self._histogram(work, [*self.unit, "parent_id", "side"], None), by=self.unit)
+            free = f"feature_idx IN ({', '.join(str(f.index) for f in fixed)})"
+            return out.withColumns({f"in{s}": F.expr(f"{free} OR n{s} > 0") for s in (0, 1)})
         if self.packed:
             work = work.select("*", *[F.get("_x", F.lit(f.index)).alias(f.name)
                                       for f in self.features]).drop("_x")
@@ -161,9 +234,14 @@ class Grower:
     def _draw_keys(self, cands: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
         """Candidates and what their draws depend on. Codes of text features are looked up, so
         that a draw is the same whether a feature is coded or kept as text."""
-        keys = text.names([*by, "feature_idx"])
+        keys = ["0" if self.by_model and c == "model" else text.name(c) for c in [*by, "feature_idx"]]
         if not self.words:
             return cands, [*keys, "value", "category"]
+        if sum(map(len, self.words.values())) <= self.LISTED_WORDS:
+            listed = [(f"feature_idx = {f.index}", f"get(array({', '.join(map(text.literal, self.words[f.name]))}), "
+                       "CAST(value AS int))") for f in self.features if self.words.get(f.name)]
+            word = text.case(listed, "CAST(NULL AS string)")
+            return cands, [*keys, f"CASE WHEN {word} IS NULL THEN value END", f"coalesce(category, {word})"]
         words = cands.sparkSession.createDataFrame(
             [(f.index, float(i), w) for f in self.features for i, w in enumerate(self.words.get(f.name, ()))],
             "_f int, _v double, _word string")
@@ -178,11 +256,16 @@ class Grower:
         cands = self.candidates(rows, trees, active, depth)
         noisy = p.private and not p.argmax_splits
         if noisy:
-            budget = privacy.node_budget(p, privacy.tree_budget(p), depth)
+            shares = [privacy.node_budget(q, privacy.tree_budget(q), depth) for q in self.by_model or [p]]
+            budget = shares[0] if not self.by_model else \
+                f"get({literal_array(shares, 'double')}, CAST(model AS int))"
             cands, keys = self._draw_keys(utility(cands, budget, privacy.delta_g(p)), by)
             cands = with_noise(cands, by, f"{self.seed}|split|{tree_index}", keys=keys).drop("_word")
         best: dict = {}
-        for row in best_per_feature(cands, by, noisy).collect():
+        found = best_per_feature(cands, by, noisy)
+        if sum(map(len, active.values())) * len(self.features) > self.COLLECTED_ROWS:
+            found = best_per_node(found, by, noisy)
+        for row in found.collect():
             c = row.asDict()
             place = (c["model"], c.get("class_id", 0)), c["node_id"]
             c["_order"] = (-c["noisy" if noisy else "gain"], c["feature_idx"])
@@ -200,6 +283,7 @@ class Grower:
             self._grow_best_first(rows, trees, tree_index)
         else:
             self._grow_levels(rows, trees, tree_index)
+        self._release()
         self._complete(rows, trees)
         for u, tree in trees.items():
             self._predict(u, tree, tree_index)
@@ -295,7 +379,7 @@ class Grower:
         sums = [F.count(F.lit(1)).alias("n"), F.sum("grad").alias("g")]
         if multi:
             sums.append(F.sum("hess").alias("h"))
-        grouped = self._routed(rows, only, active).groupBy(*self.unit, "node_id").agg(*sums)
+        grouped = self._routed(rows, only, active, whole=True).groupBy(*self.unit, "node_id").agg(*sums)
         for r in (row.asDict() for row in grouped.collect()):
             node = trees[r["model"], r.get("class_id", 0)].nodes[r["node_id"]]
             node.n, node.g = r["n"], r["g"]
@@ -310,8 +394,9 @@ class Grower:
                     bound = privacy.leaf_threshold(p, tree_index)
                     value = max(-bound, min(bound, value))
                 if p.noise:
-                    value += driver_laplace(privacy.laplace_scale(p, tree_index), self.seed,
-                                            "leaf", tree_index, *unit, leaf.node_id)
+                    own, model = (self.by_model[unit[0]], 0) if self.by_model else (p, unit[0])
+                    value += driver_laplace(privacy.laplace_scale(own, tree_index), self.seed,
+                                            "leaf", tree_index, model, unit[1], leaf.node_id)
             leaf.prediction = value
 
 
@@ -329,49 +414,8 @@ def unit_sql(unit: Sequence[str], model: int, class_id: int) -> str:
     return " AND ".join(f"{c} = {v}" for c, v in zip(unit, (model, class_id)))
 
 
-def walk(trees: dict, active: dict, unit: Sequence[str]) -> list[str]:
-    """SELECT list that routes ``_x`` down the trees of all (model, class) units to
-    ``node_id`` (null outside active nodes).
-
-    Nodes of all trees lie in shared literal arrays and each step is one alias that refers to
-    the step before. The generated code depends on the depth only, so it is reused from tree
-    to tree.
-    """
-    feature, is_cat, value, left, right, ids, roots = [], [], [], [], [], [], []
-    for (m, k), tree in sorted(trees.items()):
-        place = {i: len(ids) + p for p, i in enumerate(sorted(tree.nodes))}
-        roots.append((unit_sql(unit, m, k), str(place[0])))
-        wanted = active.get((m, k), ())
-        for i in sorted(tree.nodes):
-            s = tree.nodes[i].split
-            here = place[i]
-            below = [place[c] for c in tree.nodes[i].children] if s else [here, here]
-            feature.append(s.feature.index if s else 0)
-            is_cat.append(bool(s and s.feature.is_cat))
-            value.append(float(s.value) if s else None)
-            left.append(below[0])
-            right.append(below[1])
-            ids.append(i if i in wanted else None)
-
-    def table(values, kind):
-        return f"array({', '.join(text.literal(v, kind) for v in values)})"
-
-    flags, x = table(is_cat, "boolean"), f"get(_x, get({table(feature, 'int')}, {{at}}))"
-    v = f"get({table(value, 'double')}, {{at}})"
-    if not any(is_cat):
-        test = f"{x} < {v}"
-    elif all(c for c, w in zip(is_cat, value) if w is not None):
-        test = f"{x} = {v}"
-    else:
-        test = f"CASE WHEN get({flags}, {{at}}) THEN {x} = {v} ELSE {x} < {v} END"
-    step = (f"CASE WHEN {test} THEN get({table(left, 'int')}, {{at}}) "
-            f"ELSE get({table(right, 'int')}, {{at}}) END")
-    depth = max(t.depth for t in trees.values())
-    out = [f"{roots[0][1] if len(roots) == 1 else text.case(roots)} AS _a0"]
-    for d in range(depth):
-        out.append(f"{step.format(at=f'_a{d}')} AS _a{d + 1}")
-    out.append(f"get({table(ids, 'bigint')}, _a{depth}) AS node_id")
-    return out
+def unit_sql(unit: Sequence[str], model: int, class_id: int) -> str:
+    return " AND ".join(f"{c} = {v}" for c, v in zip(unit, (model, class_id)))
 
 
 def fit_tree(df: DataFrame, params: ModelParams, features: Sequence[Feature],
@@ -385,5 +429,5 @@ def fit_tree(df: DataFrame, params: ModelParams, features: Sequence[Feature],
         chunks = ValueChunks.measure(rows, coder.features, table.counts) \
             if params.candidates == "distinct" else None
         grower = Grower(params.with_(categories=coder.categories(params.categories)),
-                        coder.features, fresh_seed(params.seed), chunks, coder.words)
+                        coder.features, fresh_seed(params.seed), chunks, coder.words, scratch)
         return coder.decode(grower.grow(rows, [0], tree_index)[0, 0])

@@ -14,6 +14,7 @@ from quietgrove.functions.losses import argmax_class, task_of
 from quietgrove.plans.privacy import Ledger
 from quietgrove.plans.trees import (Node, Split, Tree, ancestors,
                                      nodes_frame)
+from quietgrove.plans.walks import Lookup, boosted, looked_up
 from quietgrove.spec import Feature, ModelParams
 
 
@@ -23,16 +24,17 @@ class BoostedModel:
         self.params, self.features, self.init = params, list(features), list(init)
         self.trees = trees if trees is not None else []
         self.ledger = ledger
+        self.rejected = 0  # trees that were grown but not kept
         self.task = task_of(params.task, params.n_classes)
 
     # -- scoring -------------------------------------------------------------------------
 
-    def raw_columns(self, rounds: Optional[int] = None) -> list[Column]:
-        """Raw score per class after the first ``rounds`` rounds (all by default)."""
+    def with_raw(self, df: DataFrame, names: Sequence[str], rounds: Optional[int] = None) -> DataFrame:
+        """Raw score per class after the first ``rounds`` rounds (all by default), as columns."""
         used = self.trees if rounds is None else self.trees[:rounds]
-        return [F.expr(f"{text.literal(float(s))} + "
-                       + boost([r[k] for r in used], self.params.learning_rate))
-                for k, s in enumerate(self.init)]
+        return boosted(df, {name: (text.literal(float(s)), [[(None, r[k])] for r in used])
+                            for k, (name, s) in enumerate(zip(names, self.init))},
+                       self.params.learning_rate)
 
     def stages(self, df: DataFrame, prefix: str = "_stage") -> tuple[DataFrame, list[list[str]]]:
         """Raw scores before each round and after the last one, as columns. Each stage adds
@@ -42,19 +44,19 @@ class BoostedModel:
         names = [[f"{prefix}_{t}_{k}" for k in classes] for t in range(len(self.trees) + 1)]
         out = df.withColumns({names[0][k]: F.lit(float(self.init[k])) for k in classes})
         for t, round_ in enumerate(self.trees):
-            out = out.withColumns({names[t + 1][k]: F.expr(
-                f"{names[t][k]} + {boost([round_[k]], eta)}") for k in classes})
+            out = boosted(out, {names[t + 1][k]: (names[t][k], [[(None, round_[k])]])
+                                for k in classes}, eta)
         return out, names
 
     def _raw(self, df: DataFrame) -> tuple[DataFrame, list[Column]]:
         names = [f"_raw_{k}" for k in range(len(self.init))]
-        scored = df.withColumns(dict(zip(names, self.raw_columns())))
-        return scored, [F.col(n) for n in names]
+        return self.with_raw(df, names), [F.col(n) for n in names]
 
     def transform(self, df: DataFrame, name: str = "prediction") -> DataFrame:
         """Raw prediction: a double, or an array with one score per class."""
-        raw = self.raw_columns()
-        return df.withColumn(name, raw[0] if len(raw) == 1 else F.array(*raw))
+        scored, raw = self._raw(df)
+        out = scored.withColumn(name, raw[0] if len(raw) == 1 else F.array(*raw))
+        return out.drop(*[f"_raw_{k}" for k in range(len(raw))])
 
     def predict_label(self, df: DataFrame, name: str = "label", signed: bool = False
                       ) -> DataFrame:
@@ -91,11 +93,18 @@ class BoostedModel:
                       name: str = "path") -> DataFrame:
         """Node ids from the root to the row's leaf. Node ids encode their ancestors, so the
         path is arithmetic on the leaf id."""
-        leaf = self.trees[tree_id][class_id].leaf_id_sql()
-        return df.withColumn("_leaf", F.expr(leaf)).withColumn(name, ancestors(F.col("_leaf"))).drop("_leaf")
+        found = looked_up(df, [leaf_of("_leaf", self.trees[tree_id][class_id])])
+        return found.withColumn(name, ancestors(F.col("_leaf"))).drop("_leaf")
 
     # -- tables --------------------------------------------------------------------------
 
+    def scaling_table(self, spark: SparkSession) -> DataFrame:
+        """Private bounds of the scaled features: (column, lower, upper, lo, hi)."""
+        return spark.createDataFrame(
+            [(f.name, f.scaled.lower, f.scaled.upper, f.scaled.lo, f.scaled.hi)
+             for f in self.features if f.scaled],
+            "column string, lower double, upper double, lo double, hi double")
+
     def node_table(self, spark: SparkSession) -> DataFrame:
         return nodes_frame(spark, self.trees)
 
@@ -107,9 +116,11 @@ class BoostedModel:
         """
         parts = []
         staged, raws = self.stages(df)
+        staged = looked_up(staged, [leaf_of(f"_leaf_{t}_{k}", tree) for t, round_ in enumerate(self.trees)
+                                    for k, tree in enumerate(round_)])
         for t, round_ in enumerate(self.trees):
-            for k, tree in enumerate(round_):
-                parts += [F.lit(t), F.lit(k), F.expr(tree.leaf_id_sql()),
+            for k in range(len(round_)):
+                parts += [F.lit(t), F.lit(k), F.col(f"_leaf_{t}_{k}"),
                           self.task.gradient(target, raws[t], k)]
         names = ["tree_id", "class_id", "leaf_id", "grad"]
         leaves = (staged.select(F.stack(F.lit(len(parts) // 4), *parts).alias(*names))
@@ -140,8 +151,5 @@ class BoostedModel:
                    [[trees[t, k] for k in range(len(init))] for t in range(rounds)])
 
 
-def boost(trees: Sequence[Tree], learning_rate: float) -> str:
-    """learning rate x sum of tree values, as SQL text. Each tree by itself is compiled to
-    branches unless it is too large for that."""
-    total = " + ".join(tree.value_sql() for tree in trees) or "0.0D"
-    return f"{text.literal(float(learning_rate))} * ({total})"
+def leaf_of(name: str, tree: Tree) -> Lookup:
+    return Lookup(name, [(None, tree)], lambda n: n.node_id, "bigint")

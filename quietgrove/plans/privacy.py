@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
-from typing import Optional
+from typing import Optional, Sequence
 
 from quietgrove.spec import ModelParams
 
@@ -36,11 +36,20 @@ def ensemble_count(params: ModelParams) -> int:
     return math.ceil(params.nb_trees / params.per_ensemble)
 
 
+def training_budget(params: ModelParams) -> float:
+    """What is left for trees after feature scaling."""
+    spent = params.scaling.budget if params.scaling else 0.0
+    return min(params.privacy_budget, params.budget_cap) - spent
+
+
 def tree_budget(params: ModelParams) -> float:
     """Budget of one tree: its ensemble's share, divided among the K trees of a round."""
-    share = min(params.privacy_budget, params.budget_cap) / ensemble_count(params)
+    share = training_budget(params) / ensemble_count(params)
     if params.n_classes > 1:
         share /= 2 if params.multiclass_budget == "halved" else params.n_classes
+    if params.reject:
+        # rows of a rejected tree go back, so each of them may be read this often
+        share /= params.early_stop + 1
     return share
 
 
@@ -100,18 +109,20 @@ class Ledger:
         return self
 
 
-def training_ledger(params: ModelParams, feature_scaling: float = 0.0,
-                    exact_scaling: bool = False, total: Optional[float] = None) -> Ledger:
+def training_ledger(params: ModelParams, scaled: Sequence[str] = (),
+                    exact_scaling: bool = False, total: Optional[float] = None,
+                    rejected: Sequence[int] = ()) -> Ledger:
     """Ledger of one training run.
 
+    Every scaled column reads all rows, so its share of the scaling budget adds to the rest.
     Trees of one ensemble use disjoint rows (parallel composition: the largest spend counts,
-    and it is the same for all); ensembles, and the K trees of a round, add up.
+    and it is the same for all); ensembles, and the K trees of a round, add up. ``rejected``
+    counts the rejected trees of each ensemble: a row may have been in all of them, so each adds up.
     """
     used = min(params.privacy_budget, params.budget_cap)
-    budget = total if total is not None else used + feature_scaling
-    ledger = Ledger(budget)
-    if feature_scaling:
-        ledger.charge("feature scaling", feature_scaling)
+    ledger = Ledger(total if total is not None else used)
+    for c in scaled:
+        ledger.charge(f"scaling of {c}", params.scaling.budget / len(scaled))
     init = params.private_init or 0.0
     if init:
         ledger.charge("start score", init)
@@ -122,6 +133,8 @@ def training_ledger(params: ModelParams, feature_scaling: float = 0.0,
         min(params.n_classes, 2)
     for e in range(ensemble_count(params)):
         ledger.charge(f"ensemble {e}", path_spend(params) * per_round)
+        for i in range(rejected[e] if e < len(rejected) else 0):
+            ledger.charge(f"ensemble {e}, rejected tree {i}", path_spend(params) * per_round)
     if params.n_classes > 2 and params.multiclass_budget == "halved":
         ledger.unpaid.append("rows shared by more than two trees of a round")
     if exact_scaling:

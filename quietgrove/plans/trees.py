@@ -27,7 +27,7 @@ NODE_SCHEMA = T.StructType([
 ])
 
 # Up to this many nodes a tree is compiled to nested CASE expressions, which code
-# generation turns into plain branches; larger trees are walked over literal arrays.
+# generation turns into plain branches; larger trees are walked (see ``walks``).
 COMPILED_NODES = 512
 
 
@@ -40,7 +40,7 @@ class Split:
 
     def goes_left(self) -> str:
         """SQL condition of the left branch."""
-        col = text.name(self.feature.name)
+        col = self.feature.sql()
         if self.feature.text:
             return f"{col} = {text.literal(self.category)}"
         return f"{col} {'=' if self.feature.is_cat else '<'} {text.literal(float(self.value))}"
@@ -76,62 +76,19 @@ class Tree:
     def depth(self) -> int:
         return max((n.depth for n in self.nodes.values()), default=0)
 
-    def value_sql(self, compiled: Optional[bool] = None) -> str:
-        return self.sql(lambda n: float(n.prediction or 0.0), "double", compiled)
-
-    def leaf_id_sql(self) -> str:
-        return self.sql(lambda n: n.node_id, "bigint")
-
-    def sql(self, leaf: Callable[[Node], object], kind: str, compiled: Optional[bool] = None
-            ) -> str:
-        """The value of ``leaf`` at the leaf that a row falls into, as SQL text."""
-        if compiled or (compiled is None and len(self.nodes) <= COMPILED_NODES):
-            return self._compiled(0, leaf, kind)
-        return self._walked(leaf, kind)
-
-    def _compiled(self, node_id: int, leaf, kind: str) -> str:
-        node = self.nodes[node_id]
-        if node.split is None:
-            return text.literal(leaf(node), kind)
-        left, right = (self._compiled(c, leaf, kind) for c in node.children)
-        return text.case([(node.split.goes_left(), left)], right)
-
-    def _walked(self, leaf, kind: str) -> str:
-        order = {i: p for p, i in enumerate(sorted(self.nodes))}
-        nodes = [self.nodes[i] for i in order]
-        used = sorted({n.split.feature for n in nodes if n.split}, key=lambda f: f.index)
-        slot = {f.index: p for p, f in enumerate(used)}
-
-        def table(values, t):
-            return f"array({', '.join(text.literal(v, t) for v in values)})"
-
-        def of_split(get, t):
-            return table([get(n) if n.split else None for n in nodes], t)
-
-        numbers = ", ".join("CAST(NULL AS double)" if f.text else
-                            f"CAST({text.name(f.name)} AS double)" for f in used)
-        texts = ", ".join(text.name(f.name) if f.text else "CAST(NULL AS string)" for f in used)
-        feature = of_split(lambda n: slot[n.split.feature.index], "int")
-        # 0: number below, 1: number equal, 2: text equal
-        kinds = {2 if f.text else int(f.is_cat) for f in used}
-        test = of_split(lambda n: 2 if n.split.feature.text else int(n.split.feature.is_cat), "int")
-        value = of_split(lambda n: n.split.value, "double")
-        category = of_split(lambda n: n.split.category, "string")
-        left, right = (table([order[n.children[s]] if n.split else p
-                              for p, n in enumerate(nodes)], "int") for s in (0, 1))
-        tests = {0: f"get(r.x, get({feature}, at)) < get({value}, at)",
-                 1: f"get(r.x, get({feature}, at)) = get({value}, at)",
-                 2: f"get(r.s, get({feature}, at)) = get({category}, at)"}
-        goes_left = text.case([(f"get({test}, at) = {k}", tests[k]) for k in sorted(kinds)]) \
-            if len(kinds) > 1 else tests[min(kinds, default=0)]
-        step = text.case([(goes_left, f"get({left}, at)")], f"get({right}, at)")
-        levels = max(self.depth, 1)
-        # The outer transform binds the row's features once for all steps.
-        row = f"named_struct('x', array({numbers}), 's', array({texts}))" if used else \
-            "named_struct('x', array(0.0D), 's', array(''))"
-        end = (f"get(transform(array({row}), r -> aggregate(sequence(1, {levels}), 0, "
-               f"(at, level) -> {step})), 0)")
-        return f"get({table([None if n.split else leaf(n) for n in nodes], kind)}, {end})"
+    def value_sql(self) -> str:
+        return self.sql(lambda n: float(n.prediction or 0.0), "double")
+
+    def sql(self, leaf: Callable[[Node], object], kind: str) -> str:
+        """The value of ``leaf`` at the leaf that a row falls into, as nested branches."""
+        def at(node_id: int) -> str:
+            node = self.nodes[node_id]
+            if node.split is None:
+                return text.literal(leaf(node), kind)
+            left, right = (at(c) for c in node.children)
+            return text.case([(node.split.goes_left(), left)], right)
+
+        return at(0)
 
     def rows(self, tree_id: int, class_id: int) -> list[tuple]:
         out = []

@@ -27,12 +27,33 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Folders of this process that may still hold tables.
+_kept: set[str] = set()
+
+
+def delete_all(spark: SparkSession) -> int:
+    """Delete the intermediate tables that results handed out so far are read from; returns how many
+    folders these were. For the end of a job, when none of its results is read any more."""
+    folders = sorted(_kept)
+    for folder in folders:
+        _delete(spark, folder)
+    return len(folders)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _kept.discard(folder)
+
+
 class Scratch:
-    """A folder of intermediate tables, deleted on exit."""
+    """A folder of intermediate tables, deleted on exit or, if results are read from it, by
+    ``delete_all``."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.path = f"{checkpoint_root(spark).rstrip('/')}/quietgrove-{uuid.uuid4().hex}"
+        _kept.add(self.path)
         self._n = 0
         self._stored: list[tuple[DataFrame, str]] = []
 
@@ -55,7 +76,7 @@ class Scratch:
         for i, (df, path) in enumerate(self._stored):
             if df is stored:
                 del self._stored[i]
-                self._delete(path)
+                _delete(self.spark, path)
                 return
 
     def _write(self, df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
@@ -69,22 +90,16 @@ class Scratch:
         self._stored.append((stored, path))
         return stored
 
-    def _delete(self, folder: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        path.getFileSystem(conf).delete(path, True)
-
     def __enter__(self) -> "Scratch":
         return self
 
     def __exit__(self, *_):
-        self._delete(self.path)
+        _delete(self.spark, self.path)
 
 
 def materialize(df: DataFrame, partition_by: Optional[Sequence[str]] = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
-    For results that are handed to the caller: like checkpoint files, the table stays.
+    For results that are handed to the caller: the table stays until ``delete_all``.
     """
     return Scratch(df.sparkSession).save(df, partition_by or ())

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field, replace
-from typing import Optional, Sequence
+from typing import Mapping, Optional, Sequence, Union
+
+from quietgrove.functions import text
 
 NUMERIC = "numeric"
 CATEGORICAL = "categorical"
@@ -52,14 +54,40 @@ class TableSpec:
         return tuple(c for c in self.columns if c in self.numeric or c in self.categorical)
 
 
+@dataclass(frozen=True)
+class Scaled:
+    """A fitted map of a column: clipped to [lower, upper], then stretched onto [lo, hi].
+    Without a width all values become ``lo``."""
+
+    lower: float
+    upper: float
+    lo: float
+    hi: float
+
+    def sql(self, column: str) -> str:
+        """The mapped column as SQL text; null stays null."""
+        a, b, lo, hi = (text.literal(float(v)) for v in (self.lower, self.upper, self.lo, self.hi))
+        width = text.literal(float((self.upper - self.lower) or 1.0))
+        stretch = text.literal(float(self.hi - self.lo))
+        clipped = f"greatest({a}, least(CAST({column} AS double), {b}))"
+        return f"CASE WHEN {column} IS NOT NULL THEN ({clipped} - {a}) / {width} * {stretch} + {lo} END"
+
+
 @dataclass(frozen=True)
 class Feature:
-    """One model input. ``text`` marks a categorical column kept as a string."""
+    """One model input. ``text`` marks a categorical column kept as a string; ``scaled`` is the
+    map that a column goes through before it is compared with a split."""
 
     index: int
     name: str
     is_cat: bool = False
     text: bool = False
+    scaled: Optional[Scaled] = None
+
+    def sql(self) -> str:
+        """The value that splits are compared with."""
+        column = text.name(self.name)
+        return f"({self.scaled.sql(column)})" if self.scaled else column
 
 
 @dataclass(frozen=True)
@@ -76,6 +104,24 @@ class Grid:
         return int(math.floor((self.hi - self.lo) / self.step + 1e-9))
 
 
+@dataclass(frozen=True)
+class FeatureScaling:
+    """Private scaling of the numeric features onto the grid before training.
+
+    ``budget`` is taken from the privacy budget and divided evenly among the columns. ``lo`` and
+    ``hi`` are public limits of the values, for all columns or by name; the bounds found inside
+    hold the central ``percentile`` percent of a column.
+    """
+
+    budget: float
+    lo: Union[float, Mapping[str, float]]
+    hi: Union[float, Mapping[str, float]]
+    percentile: float = 95.0
+
+    def limits(self, column: str) -> tuple[float, float]:
+        return tuple(float(v[column] if isinstance(v, Mapping) else v) for v in (self.lo, self.hi))
+
+
 @dataclass(frozen=True)
 class ModelParams:
     """Everything the trainer needs to know besides the data."""
@@ -90,7 +136,8 @@ class ModelParams:
     l2_threshold: float = 1.0
     privacy_budget: float = 0.0  # 0 turns every private step off
     budget_cap: float = 1000.0  # a larger budget is used only up to here; the ledger shows it
-    gradient_filtering: bool = False
+    gradient_filtering: Union[bool, str] = False  # True or "fill": only rows that need no
+    # clipping while there are enough; "drop": rows that need it are left to later trees
     leaf_clipping: bool = True
     balance_partition: bool = True
     use_decay: bool = False
@@ -107,9 +154,10 @@ class ModelParams:
     floor_digits: bool = False  # floor gradients to 1e-15 and gains to 1e-10
     reject: bool = False
     validation: float = 0.3
-    early_stop: int = 5
+    early_stop: int = 5  # rejected trees after which training ends
     allow_private_rejection: bool = False
     private_init: Optional[float] = None  # budget for a noisy init score
+    scaling: Optional[FeatureScaling] = None  # with a budget and grid candidates
     seed: Optional[str] = None
     refresh_every: int = 6
 
@@ -122,6 +170,14 @@ class ModelParams:
             raise ValueError("multiclass needs n_classes >= 2")
         if self.candidates == "grid" and self.grid is None:
             raise ValueError("candidates='grid' needs a grid")
+        if self.gradient_filtering not in (False, True, "fill", "drop"):
+            raise ValueError(f"unknown gradient filtering {self.gradient_filtering}")
+        if self.reject and self.early_stop < 1:
+            raise ValueError("early_stop must be at least 1")
+        if self.scaling and not (self.private and self.candidates == "grid"):
+            raise ValueError("private feature scaling needs a budget and grid candidates")
+        if self.scaling and not 0 < self.scaling.budget < min(self.privacy_budget, self.budget_cap):
+            raise ValueError("the budget of feature scaling must be a part of the privacy budget")
         if self.reject and self.private and not self.allow_private_rejection:
             raise ValueError(
                 "tree rejection reads hold-out scores without paying for them; "

@@ -126,3 +126,20 @@ def test_chunk_limits_follow_distinct_values(spark):
     assert max(r["count"] for r in sizes) < 700
     empty = spark.sql(f"SELECT {prefix.chunk_of('CAST(NULL AS double)', bounds)}, {prefix.chunk_of('0.5D', [0.5, 1.0])}")
     assert tuple(empty.first()) == (0, 1)
+
+
+def test_intermediate_tables_can_all_be_deleted(spark):
+    import os
+    from quietgrove import scratch
+    kept = scratch.materialize(spark.range(5))
+    folder = next(f for f in scratch._kept if kept.inputFiles()[0].split("file://")[-1].startswith(f))
+    with scratch.Scratch(spark) as own:
+        own.save(spark.range(3))
+        assert own.path in scratch._kept
+    assert own.path not in scratch._kept and not os.path.exists(own.path)
+    others = scratch._kept - {folder}
+    try:
+        scratch._kept.difference_update(others)
+        assert scratch.delete_all(spark) == 1 and not os.path.exists(folder) and not scratch._kept
+    finally:
+        scratch._kept.update(others)

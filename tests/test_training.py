@@ -82,6 +82,49 @@ def test_walked_trees_equal_compiled_ones(planted, monkeypatch):
     assert compiled == walked
 
 
+def test_deep_trees_do_not_depend_on_stored_levels(spark, planted, monkeypatch):
+    """Rows stored from the second level on, and one winner per node, give the same trees."""
+    noise = planted.withColumn("y", (F.xxhash64("row_id") % 1000) / 1000.0)
+    multi = planted.withColumn("y", (F.col("row_id") % 3).cast("double"))
+    runs = [(noise, dict(nb_trees=1, max_depth=6)), (noise, dict(nb_trees=1, max_depth=5, growth="sibling")),
+            (noise, dict(nb_trees=1, max_depth=5, growth="best_first", max_leaves=9)),
+            (noise, dict(nb_trees=2, max_depth=5, privacy_budget=50.0, seed="d")),
+            (multi, dict(nb_trees=1, max_depth=4, task="multiclass", n_classes=3))]
+
+    def nodes(df, params):
+        table = train(df, **params).node_table(spark).toPandas()
+        table[["gain", "prediction"]] = table[["gain", "prediction"]].round(9)
+        return table.astype(str).values.tolist()
+
+    want = [nodes(*run) for run in runs]
+    monkeypatch.setattr(growth.Grower, "WALKED_LEAVES", 1)
+    monkeypatch.setattr(growth.Grower, "COLLECTED_ROWS", 0)
+    for run, table in zip(runs, want):
+        assert nodes(*run) == table
+
+
+def test_a_deep_tree_stays_small_in_the_plan(spark, monkeypatch):
+    """Depth 15 on 40,000 distinct values: one level's text stays below 1 MB."""
+    rows = spark.range(40_000).select(F.col("id").alias("row_id"), (F.xxhash64("id") % 100_000).cast("double").alias("a"),
+                                      F.col("id").cast("double").alias("b"),
+                                      ((F.xxhash64("id", F.lit(1)) % 1000) / 100.0).alias("y"))
+    texts = []
+    steps = growth.Layout.steps
+    monkeypatch.setattr(growth.Layout, "steps", lambda self, *a: texts.append(
+        sum(map(len, steps(self, *a))) // max(1, self.depth)) or steps(self, *a))
+    params = ModelParams(nb_trees=1, max_depth=15, learning_rate=1.0, l2_lambda=0.0)
+    model = PrivateBoostedTrees(params, ["a", "b"]).fit(rows)
+    tree = model.trees[0][0]
+    assert tree.depth == 15 and len(tree.nodes) > 10_000 and max(texts) < 1_000_000
+    scored = model.transform(rows).agg(F.avg(F.pow(F.col("prediction") - F.col("y"), 2.0))).first()[0]
+    leaves_of = {n.node_id: n for n in tree.leaves}
+    assert sum(n.n for n in tree.leaves) == 40_000
+    paths = model.decision_path(rows, 0).groupBy(F.element_at("path", -1).alias("leaf")).count().collect()
+    assert {r["leaf"]: r["count"] for r in paths} == {i: n.n for i, n in leaves_of.items()}
+    plain = rows.agg(F.var_pop("y")).first()[0]
+    assert scored < 0.6 * plain
+
+
 def test_small_nodes_and_constant_targets_stay_leaves(planted):
     n = planted.count()
     assert train(planted, nb_trees=1, min_samples_split=n + 1).trees[0][0].nodes[0].split is None
