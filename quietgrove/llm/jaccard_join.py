@@ -24,7 +24,7 @@ a region.
 
 Steps 3 and 4 cut large regions into blocks and join all pairs of blocks, so a task holds two
 blocks at most. Ranks and block sizes decide how much work is saved, never the result. Sets are
-compared as 64-bit hashes of shingles.
+compared as hashes of shingles, equal sets by 64 bits and others by 56.
 
 Defined cases: a text without words (or null) has an empty set and is linked with nothing; with
 fewer words than the shingle width the whole word sequence is one shingle; equal sets are
@@ -62,6 +62,10 @@ PIVOTS = 16
 #: Ids that may be broadcast to pick out rows (16 MB); more are joined by an exchange.
 BROADCAST_IDS = 1_000_000
 _REMEMBERED = 1_000_000
+#: Low bits of a hash that cells ignore. Chance cells are only looked at, and narrow ids travel lighter.
+_CELL_BITS = np.uint64(16)
+#: Low bits of a hash that whole sets are compared without.
+_PACKED_BITS = np.uint64(8)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -93,6 +97,20 @@ def shingle_set(text: Optional[str], width: int = WIDTH) -> np.ndarray:
     return np.unique(code)
 
 
+def packed(codes: np.ndarray) -> bytes:
+    """A sorted set by the upper 56 bits of its hashes: gaps, their bytes of equal rank together, so
+    that the leading ones, nearly all zero, vanish in compression."""
+    gaps = np.diff(codes >> _PACKED_BITS, prepend=np.uint64(0))
+    return gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(7, -1)
+    gaps = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    gaps[:, :7] = planes.T
+    return np.cumsum(gaps.view("<u8")[:, 0], dtype=np.uint64)
+
+
 def _fingerprint(codes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(codes.tobytes())).view(np.int64))
 
@@ -288,7 +306,7 @@ def _region_links(region: pd.DataFrame) -> pd.DataFrame:
     reps = rows["rep"].to_numpy()
     if len(reps) < 2:
         return pd.DataFrame({"u": reps[:0], "v": reps[:0]})
-    comp = linked_components([np.frombuffer(c, dtype=np.uint64) for c in rows["codes"]])
+    comp = linked_components([unpacked(c) for c in rows["codes"]])
     _, first = np.unique(comp, return_index=True)
     root = reps[first][np.unique(comp, return_inverse=True)[1]]
     other = root != reps
@@ -339,18 +357,19 @@ def grouped_rows(df: DataFrame, text: str = "text", key: str = "doc_id") -> Data
                 out["mark"].append(mark)
                 out["below"].append(below.tobytes() if new else None)
                 out["need"].append(smaller_needs(len(codes), int(below[LEAST_MARK - 1])) if new else None)
-                out["prefix"].append(prefix.view(np.int64) if new else None)
+                out["prefix"].append((prefix >> _CELL_BITS).view(np.int64) if new else None)
             yield pd.DataFrame(out).astype({"id": "Int64", "mark": "Int32", "need": "Int64"})
 
     stored = scratch.save(docs.mapInPandas(
         read, "id long, row long, size long, fp long, mark int, below binary, need long, prefix array<long>").withColumn(
         "place", F.monotonically_increasing_id()))
-    # one representative per shingle set, with one row that knows its prefix
+    # one representative per shingle set, with one row that knows its prefix; up to the whole sets
+    # it goes by its place, whose numbers lie close together and so travel compressed
     first = F.when(F.col("prefix").isNotNull(), F.col("place"))
     classes = scratch.save(stored.where("size > 0").groupBy("fp").agg(
         F.min(F.struct(F.col("id").isNull().alias("unnumbered"), "id", "place", "row")).alias("head"),
         F.min_by("row", first).alias("row"), F.min(first).alias("place")))
-    reps = _semi(stored, classes.select("place"), "place").withColumnRenamed("fp", "rep")
+    reps = _semi(stored, classes.select("place"), "place").withColumnRenamed("place", "rep")
 
     cell = Window.partitionBy("token").orderBy(F.xxhash64("rep"), "rep")
     cells = reps.select("rep", F.explode("prefix").alias("token")).withColumns({
@@ -361,14 +380,21 @@ def grouped_rows(df: DataFrame, text: str = "text", key: str = "doc_id") -> Data
         reps.select("rep", "size", "mark", "below", "need"), "rep")))
     keys = scratch.save(stored.select("id", "row", "size", "fp"))
     scratch.release(stored)
-    members = scratch.save(shared.join(records.select("rep", "size"), "rep").select(
+    pairs = scratch.save(shared.join(records.select("rep", "size"), "rep").select(
         "rep", "pivot", "size").distinct())
-    crowded = members.groupBy("pivot").count().where("count > 1").select("pivot")
-    members = scratch.save(members.join(crowded, "pivot", "left_semi"))
+    scratch.release(shared)
+    crowded = pairs.groupBy("pivot").count().where("count > 1").select("pivot")
+    members = scratch.save(pairs.join(crowded, "pivot", "left_semi"))
+    scratch.release(pairs)
     dealt = _blocked(members, "pivot", "rep", "size").drop("size").join(records, "rep")
-    border = scratch.save(dealt.groupBy("pivot", "i", "j").applyInPandas(
+    kept = scratch.save(dealt.groupBy("pivot", "i", "j").applyInPandas(
         _border, "rep long, size long, region long").distinct())
-    border = scratch.save(_without_nested(border))
+    scratch.release(members)
+    scratch.release(records)
+    places = classes.select(F.col("place").alias("rep"), "fp")
+    border = scratch.save(_without_nested(kept).join(places, "rep").select(
+        F.col("fp").alias("rep"), "size", "region"))
+    scratch.release(kept)
 
     def whole_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
@@ -381,17 +407,19 @@ def grouped_rows(df: DataFrame, text: str = "text", key: str = "doc_id") -> Data
                     if len(seen) < _REMEMBERED:
                         seen.add(fp)
                     out["rep"].append(fp)
-                    out["codes"].append(codes.tobytes())
+                    out["codes"].append(packed(codes))
             yield pd.DataFrame(out)
 
     wanted = border.select(F.col("rep").alias("fp")).distinct().join(classes, "fp").select("row").distinct()
     sets = _semi(docs, wanted, "row").select("text").mapInPandas(whole_sets, "rep long, codes binary")
-    members = _blocked(border, "region", "rep", "size").select("rep", "region", "i", "j")
-    if border.count() <= BROADCAST_IDS:
-        members = F.broadcast(members)
-    links = scratch.save(sets.join(members, "rep").groupBy("region", "i", "j").applyInPandas(
-        _region_links, "u long, v long"))
+    members = scratch.save(_blocked(border, "region", "rep", "size").select("rep", "region", "i", "j"))
+    few = members.count() <= BROADCAST_IDS
+    links = scratch.save(sets.join(F.broadcast(members) if few else members, "rep").groupBy(
+        "region", "i", "j").applyInPandas(_region_links, "u long, v long"))
+    scratch.release(members)
+    scratch.release(border)
     found = scratch.save(connected_components(links))
+    scratch.release(links)
     joined = scratch.save(classes.select("fp", "head").join(
         found.select(F.col("id").alias("fp"), "component"), "fp", "left").select(
         "fp", "head", F.coalesce("component", "fp").alias("component")))
