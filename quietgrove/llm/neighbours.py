@@ -1,15 +1,20 @@
 """Approximate nearest neighbours by inner product over learned partitions.
 
-``fit`` learns a router (see ``partitions``) on a bounded sample and calibrates on it how many
-parts a query must visit. ``search`` routes every vector of the table to its most probable part
-and every query to its several most probable ones; each (part, slice of candidates, slice of
-queries) is one task that computes inner products, keeps its best and rescores them in double
-precision in a fixed order. The best of all slices is the answer.
+A router (see ``partitions``) is learned on a bounded sample. A part that holds more than
+``SPLIT_ROWS`` vectors gets a router of its own, learned on a bounded sample of that part, and so on,
+so parts stay small as the table grows. How many of the most probable parts a query must visit is
+calibrated on the sample. ``search`` routes every vector of the table to its most probable part and
+every query to several; each (part, slice of candidates, slice of the part's queries) is one task that
+computes inner products, keeps its best and rescores them in double precision in a fixed order. The
+best of all slices is the answer. Vectors are sent once for each slice of the queries that ask for
+their part.
 
 Equal vectors are searched once: a vector stands for all its ids, and no more than ``k + 1`` of
 them, the smallest, can matter for one query, so that is exact. They are found by a ranked
 window that Spark cuts short before the exchange; no group of copies meets in one task.
 Parts are cut into slices of bounded size, so a crowded part means more tasks, not longer ones.
+All routers together are broadcast; there are ``MAX_ROUTERS`` at most (64 MB at 64 dimensions), and
+parts that could not be split further are only cut into slices.
 
 How many parts are visited follows from the data: vectors in tight groups need few, vectors
 without structure nearly all (then the search approaches an exact one instead of losing
@@ -23,13 +28,15 @@ other columns are ignored.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import pickle
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quietgrove.functions.text import literal_array
 from quietgrove.llm.partitions import Router, learn
 from quietgrove.scratch import Scratch
 
@@ -41,12 +48,72 @@ CALIBRATION_QUERIES = 512
 RECALL = 0.95
 SLICE = 4_096
 QUERY_SLICE = 1_024
+#: Vectors of a part from which it is split by a router of its own.
+SPLIT_ROWS = 4 * SLICE
+MAX_ROUTERS = 640
+_ROUTE_ROWS = 512
 
 
 @dataclass
 class Index:
+    """Routers in a tree. The parts of the first are 0, 1, ...; a part in ``inner`` is split further, by
+    a router whose parts are numbered from the given one on."""
+
     router: Router
-    probes: int
+    inner: dict[int, tuple[int, Router]] = field(default_factory=dict)
+    probes: int = 1
+
+    @property
+    def n_parts(self) -> int:
+        return self.router.n_parts + sum(r.n_parts for _, r in self.inner.values())
+
+    def own_part(self, vectors: np.ndarray) -> np.ndarray:
+        """The part of each vector: the most probable one at every router on its way."""
+        part = self.router.top(vectors, 1)[:, 0].astype(np.int64)
+        # a part's number is larger than that of the part it was split from
+        for p, (base, router) in sorted(self.inner.items()):
+            at = np.nonzero(part == p)[0]
+            if len(at):
+                part[at] = base + router.top(vectors[at], 1)[:, 0]
+        return part
+
+    def chances(self, vectors: np.ndarray) -> np.ndarray:
+        """Log probability of every part, -inf for those that are split further."""
+        out = np.full((len(vectors), self.n_parts), -np.inf)
+        out[:, :self.router.n_parts] = _log_share(self.router.logits(vectors))
+        for p, (base, router) in sorted(self.inner.items()):
+            out[:, base:base + router.n_parts] = out[:, [p]] + _log_share(router.logits(vectors))
+            out[:, p] = -np.inf
+        return out
+
+    def order(self, vectors: np.ndarray, probes: int) -> np.ndarray:
+        """The ``probes`` most probable parts of each vector, most probable first."""
+        if not self.inner:
+            return self.router.top(vectors, probes)
+        return np.concatenate([np.argsort(-self.chances(vectors[b:b + _ROUTE_ROWS]), axis=1, kind="stable")[:, :probes]
+                               for b in range(0, len(vectors), _ROUTE_ROWS)])
+
+    def calibrate(self, sample: np.ndarray, k: int, recall: float, seed: int = 5) -> "Index":
+        """Set ``probes`` to what reaches ``recall`` on the sample's own neighbours."""
+        n, leaves = len(sample), self.n_parts - len(self.inner)
+        if leaves == 1 or n < 2:
+            self.probes = leaves
+            return self
+        asked = np.random.default_rng(seed).permutation(n)[:CALIBRATION_QUERIES]
+        near = sample[asked] @ sample.T
+        near[np.arange(len(asked)), asked] = -np.inf
+        found = np.argpartition(-near, min(k, n - 1) - 1, axis=1)[:, :min(k, n - 1)]
+        own = self.own_part(sample)
+        rank = np.argsort(self.order(sample[asked], self.n_parts), axis=1)
+        needed = np.take_along_axis(rank, own[found], axis=1)
+        reached = np.cumsum(np.bincount(needed.ravel(), minlength=leaves)) / needed.size
+        self.probes = next((p for p, r in enumerate(reached, 1) if r >= recall), leaves)
+        return self
+
+
+def _log_share(logits: np.ndarray) -> np.ndarray:
+    shifted = logits - logits.max(axis=1, keepdims=True)
+    return shifted - np.log(np.exp(shifted).sum(axis=1, keepdims=True))
 
 
 def usable(vector: Column) -> Column:
@@ -56,32 +123,60 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def learn_index(sample: np.ndarray, k: int, recall: float = RECALL, max_parts: int = MAX_PARTS,
-                seed: int = 5) -> Index:
-    """Router and number of probes that reach ``recall`` on the sample's own neighbours."""
-    n = len(sample)
+def part_count(sampled: int, max_parts: int) -> int:
+    """A power of two of parts, with ``ROWS_PER_PART`` vectors of the sample in each at least."""
     parts = 1
-    while 2 * parts <= max_parts and 2 * parts * ROWS_PER_PART <= n:
+    while 2 * parts <= max_parts and 2 * parts * ROWS_PER_PART <= sampled:
         parts *= 2
-    router = learn(sample, parts, seed)
-    if parts == 1:
-        return Index(router, 1)
-    asked = np.random.default_rng(seed).permutation(n)[:CALIBRATION_QUERIES]
-    near = sample[asked] @ sample.T
-    near[np.arange(len(asked)), asked] = -np.inf
-    found = np.argpartition(-near, min(k, n - 1) - 1, axis=1)[:, :min(k, n - 1)]
-    own = router.top(sample, 1)[:, 0]
-    rank = np.argsort(router.top(sample[asked], parts), axis=1)
-    needed = np.take_along_axis(rank, own[found], axis=1)
-    reached = [(needed < p).mean() for p in range(1, parts + 1)]
-    return Index(router, next(p for p, r in enumerate(reached, 1) if r >= recall or p == parts))
-
-
-def _routed(router_of, vectors: pd.Series, probes: int) -> pd.Series:
-    if not len(vectors):
-        return pd.Series([], dtype=object)
-    return pd.Series(list(router_of.value.router.top(np.stack(vectors.to_numpy()), probes)
-                          .astype(np.int32)))
+    return parts
+
+
+def learn_index(sample: np.ndarray, k: int, recall: float = RECALL, max_parts: int = MAX_PARTS,
+                seed: int = 5) -> Index:
+    """One router, and the number of probes that reach ``recall`` on the sample's own neighbours."""
+    return Index(learn(sample, part_count(len(sample), max_parts), seed)).calibrate(
+        sample, k, recall, seed)
+
+
+def grow(index: Index, reps: DataFrame, sample: np.ndarray, k: int, recall: float, max_parts: int) -> Index:
+    """Split crowded parts by routers learned on samples of their own, until none is crowded."""
+    tried: set[int] = set()
+    spark = reps.sparkSession
+    while len(index.inner) + 1 < MAX_ROUTERS:
+        shared = spark.sparkContext.broadcast(index)
+        placed = reps.select("rep", "vector", _part_of(shared)("vector").alias("part"))
+        crowded = [r["part"] for r in placed.groupBy("part").count().where(
+            F.col("count") > SPLIT_ROWS).orderBy("part").collect() if r["part"] not in tried]
+        crowded = crowded[:MAX_ROUTERS - 1 - len(index.inner)]
+        if not crowded:
+            break
+        first = Window.partitionBy("part").orderBy(F.xxhash64("rep"), "rep")
+        some = placed.where(F.col("part").isin(crowded)).withColumn("n", F.row_number().over(first)).where(
+            F.col("n") <= SAMPLE)
+
+        def learned(rows: pd.DataFrame) -> pd.DataFrame:
+            own = np.stack(rows.sort_values("n")["vector"].to_numpy()).astype(np.float64)
+            router = learn(own, part_count(len(own), max_parts))
+            return pd.DataFrame({"part": rows["part"].iloc[:1], "router": [pickle.dumps(router)]})
+
+        found = some.groupBy("part").applyInPandas(learned, "part long, router binary").collect()
+        for r in sorted(found, key=lambda r: r["part"]):
+            tried.add(r["part"])
+            router = pickle.loads(r["router"])
+            if router.n_parts > 1:
+                index.inner[r["part"]] = (index.n_parts, router)
+        shared.unpersist()
+    return index.calibrate(sample, k, recall) if index.inner else index
+
+
+def _part_of(shared):
+    @F.pandas_udf("long")
+    def own_part(vectors: pd.Series) -> pd.Series:
+        if not len(vectors):
+            return pd.Series([], dtype="int64")
+        return pd.Series(shared.value.own_part(np.stack(vectors.to_numpy()).astype(np.float64)))
+
+    return own_part
 
 
 def _best(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -133,36 +228,34 @@ def search(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id",
 
     sample = np.array([r["vector"] for r in reps.select("rep", "vector").orderBy(
         F.xxhash64("rep"), "rep").limit(SAMPLE).collect()], dtype=np.float64)
-    index = spark.sparkContext.broadcast(learn_index(sample, k, recall, max_parts))
-    probes = index.value.probes
-
-    @F.pandas_udf("array<int>")
-    def own_part(vectors: pd.Series) -> pd.Series:
-        return _routed(index, vectors, 1)
+    learned = grow(learn_index(sample, k, recall, max_parts), reps, sample, k, recall, max_parts)
+    index = spark.sparkContext.broadcast(learned)
+    probes = learned.probes
 
     @F.pandas_udf("array<int>")
     def probed_parts(vectors: pd.Series) -> pd.Series:
-        return _routed(index, vectors, probes)
+        if not len(vectors):
+            return pd.Series([], dtype=object)
+        return pd.Series(list(index.value.order(np.stack(vectors.to_numpy()), probes).astype(np.int32)))
 
-    placed = scratch.save(reps.select("rep", "vector", own_part("vector")[0].alias("part")))
+    placed = scratch.save(reps.select("rep", "vector", _part_of(index)("vector").cast("int").alias("part")))
     queries = scratch.save(asked.select("rep").distinct().join(reps.select("rep", "vector"), "rep")
                            .withColumn("parts", probed_parts("vector")))
-    # slices of a part, from its size; both tables have a row per part
-    slices = placed.groupBy("part").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
-    total_queries = queries.count()
-    query_slices = max(1, -(-total_queries // QUERY_SLICE))
-    sizes = {r["part"]: r["slices"] for r in slices.collect()}
-    count_of = F.element_at(F.create_map(*[
-        F.lit(x) for p, n in sorted(sizes.items()) for x in (p, n)]), F.col("part")) \
-        if sizes else F.lit(1)
-
-    dealt = placed.withColumn("slice", F.pmod(F.xxhash64("rep"), count_of).cast("int"))
-    dealt = dealt.withColumn("query_slice", F.explode(F.sequence(
-        F.lit(0), F.lit(query_slices - 1))))
-    asking = queries.select("rep", "vector", F.explode("parts").alias("part"), F.pmod(
-        F.xxhash64("rep"), F.lit(query_slices)).cast("int").alias("query_slice"))
-    asking = asking.withColumn("slice", F.explode(F.sequence(
-        F.lit(0), F.coalesce(count_of, F.lit(1)) - 1)))
+
+    def cuts(rows: DataFrame, size: int) -> Column:
+        """How many slices of at most about ``size`` rows each part has; there is a number per part."""
+        n = dict.fromkeys(range(learned.n_parts), 0)
+        n.update({r["part"]: -(-r["count"] // size) for r in rows.groupBy("part").count().collect()})
+        return F.get(F.expr(literal_array([n[p] for p in range(learned.n_parts)], "int")), F.col("part"))
+
+    asking = queries.select("rep", "vector", F.explode("parts").alias("part"))
+    slices, query_slices = cuts(placed, SLICE), cuts(asking.select("part"), QUERY_SLICE)
+    dealt = placed.withColumn("slice", F.pmod(F.xxhash64("rep"), slices).cast("int"))
+    dealt = dealt.where(query_slices > 0).withColumn("query_slice", F.explode(F.sequence(
+        F.lit(0), query_slices - 1)))
+    asking = asking.where(slices > 0).withColumn("query_slice", F.pmod(
+        F.xxhash64("rep"), query_slices).cast("int"))
+    asking = asking.withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1)))
 
     cell = ["part", "slice", "query_slice"]
     found = asking.groupBy(cell).cogroup(dealt.groupBy(cell)).applyInPandas(

@@ -153,6 +153,40 @@ def test_neighbours_recall(spark):
     assert np.mean([len(got[q] & {i for i, _ in w}) / 20 for q, w in want.items()]) >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["clusters", "sphere", "lengths"])
+def test_neighbours_in_parts_that_are_split_again(spark, monkeypatch, kind):
+    """Crowded parts get routers of their own; recall stays, and queries go to their parts only."""
+    monkeypatch.setattr(neighbours, "SPLIT_ROWS", 300)
+    monkeypatch.setattr(neighbours, "SAMPLE", 1024)
+    monkeypatch.setattr(neighbours, "SLICE", 150)
+    monkeypatch.setattr(neighbours, "QUERY_SLICE", 40)
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((4000, 12))
+    if kind == "clusters":
+        x = rng.standard_normal((60, 12))[np.arange(4000) % 60] * 4 + 0.5 * x
+    elif kind == "lengths":
+        x *= np.exp(rng.standard_normal(4000))[:, None]
+    else:
+        x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    seen = []
+    monkeypatch.setattr(neighbours, "grow", lambda *a, f=neighbours.grow: seen.append(f(*a)) or seen[-1])
+    got = defaultdict(set)
+    for r in neighbours.search(df, F.col("vec_id") % 20 == 0, 20, max_parts=8).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    index, leaves = seen[0], seen[0].n_parts - len(seen[0].inner)
+    assert index.inner and leaves > 8
+    own = index.own_part(x)
+    assert len(set(own)) > 8 and not set(own) & set(index.inner)
+    order = index.order(x[:50], leaves)
+    assert all(sorted(o) == sorted(set(range(index.n_parts)) - set(index.inner)) for o in order)
+    want = brute_neighbours(rows, 20)
+    assert np.mean([len(got[q] & {i for i, _ in w}) / 20 for q, w in want.items()]) >= 0.9
+    if kind == "clusters":
+        assert index.probes <= leaves / 3
+
+
 def test_balanced_parts():
     rng = np.random.default_rng(2)
     vectors = np.concatenate([rng.standard_normal((100, 8)) + 8 * c for c in np.eye(8)[:4]])
@@ -331,3 +365,13 @@ def test_pipeline_rejects_texts_of_no_learned_language(spark, sf):
     kept = {r["doc_id"] for r in pipeline.keep_languages(spark, docs.unionByName(extra), sf).collect()}
     assert not {i for i in kept if i < 0}
     assert kept == {r["doc_id"] for r in docs.where(F.col("text").rlike(r"\p{L}")).collect()}
+
+
+def test_packed_sets_come_back():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 1000):
+        codes = np.unique(rng.integers(0, 2 ** 64, n, dtype=np.uint64))
+        back = jaccard_join.unpacked(jaccard_join.packed(codes))
+        assert back.dtype == np.uint64 and (back == codes >> np.uint64(8)).all()
+    edge = np.array([0, 2 ** 64 - 1], dtype=np.uint64)
+    assert jaccard_join.unpacked(jaccard_join.packed(edge)).tolist() == [0, 2 ** 56 - 1]
