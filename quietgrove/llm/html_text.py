@@ -4,8 +4,10 @@ A page is read tag by tag into blocks (paragraphs, headings, list items, table r
 in containers). Elements whose tag names a page part that is never main text (menus, headers,
 footers, sidebars, forms, scripts) or that are hidden are left out with all they hold. So are
 elements that a class, id or role names as such a part, if a whole token of it does ("sidebar",
-"left-sidebar", "cookie-notice", but not "has-sidebar" or "related-work") and unless they hold an
-article or, on a page without one, most of the stop words: these are layout, not parts.
+"left-sidebar", "comment-list", "cookie-notice", but not "has-sidebar" or "related-work"), unless they
+hold the page's article or, on a page without one, most of the stop words: these are layout, not
+parts. The page's article is the one with most stop words of those that lie in no other, so comments
+and teasers that are articles too go with the part they are in, or by their own class.
 
 Pass one labels each remaining block by its own text: a high share of link text makes it bad; a
 long block with many stop words is good, a long one without is bad unless it lies in an
@@ -18,7 +20,7 @@ near ones the good one counts. With nothing decided, a block of an article is go
 other bad. Then the good blocks are the text.
 
 Pages are independent rows, so the work is one pass without an exchange; memory is bounded by
-the largest page of a batch.
+the largest page of a batch. Reading takes time in proportion to the page, however deep it nests.
 
 Defined cases: null or empty html gives an empty text; unclosed and misnested tags close what a
 browser would close; repeated rows are read each for itself; result columns replace input
@@ -30,13 +32,13 @@ from __future__ import annotations
 import html
 import re
 from dataclasses import dataclass
-from typing import Iterator, Optional
+from typing import Optional
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quietgrove.llm.common import bound_batches, replacing
+from quietgrove.llm.common import bound_batches, free_name, replacing
 
 LONG = 60
 MAX_LINK_SHARE = 0.5
@@ -83,6 +85,10 @@ _PARTS = frozenset(
     "contentinfo".split())
 #: Words that may stand beside them in a token and only say where the part is.
 _PLACES = frozenset("site page main left right top bottom side global primary secondary post".split())
+#: Words that may follow them and only say what the part looks like.
+_SHAPES = frozenset(
+    "area bar block box buttons column container group holder icons inner items links list module panel posts "
+    "row section slot stories thread unit wrap wrapper zone".split())
 #: Of the parts, words that inside an article only name a part of it.
 _OWN_PARTS = frozenset(("header",))
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?""")
@@ -90,6 +96,7 @@ _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"""
     r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)""", re.S)
 _RAW = frozenset("script style textarea title noscript iframe".split())
+_RAW_END = {tag: re.compile(f"</{tag}\\s*>", re.I) for tag in _RAW}
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -117,7 +124,7 @@ def _names_part(attributes: str, in_article: bool) -> bool:
             for token in value.strip("\"'").split():
                 words = set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token).lower())) - {""}
                 named = words & _PARTS
-                if words <= _PARTS | _PLACES and named - (_OWN_PARTS if in_article else frozenset()):
+                if words <= _PARTS | _PLACES | _SHAPES and named - (_OWN_PARTS if in_article else frozenset()):
                     return True
     return False
 
@@ -129,144 +136,175 @@ def _weight(text: str) -> float:
 
 @dataclass
 class _Part:
-    """An element that its class, id or role names a part."""
+    """An element that its class, id or role names a part, and the open part around it."""
 
-    outermost: bool
-    weight: float = 0
-    has_article: bool = False
+    around: Optional[int]
+    weight: float
+
+
+@dataclass
+class _Article:
+    """An article that lies in no other, and the innermost part that holds (or is) it."""
+
+    part: Optional[int]
+    weight: float
 
 
 def blocks(page: str) -> list[Block]:
     """Blocks of a page in order, without those of left-out elements."""
-    found, parts = _read(page, frozenset())
-    if parts:
-        article = any(b.in_article for b in found) or any(p.has_article for p in parts)
-        # the outermost part counts for all that it holds
-        total = 0 if article else sum(_weight(b.text) for b in found) + sum(
-            p.weight for p in parts if p.outermost)
-        layout = frozenset(i for i, p in enumerate(parts)
-                           if p.has_article or not article and 2 * p.weight > total)
-        if layout:
-            return _read(page, layout)[0]
-    return found
-
-
-def _read(page: str, layout: frozenset[int]) -> tuple[list[Block], list[_Part]]:
-    """Blocks of a page, and the elements that are named as parts, in order; those whose
-    numbers are in ``layout`` are kept."""
-    out: list[Block] = []
-    parts: list[_Part] = []
-    inside: list[Optional[int]] = []  # for each open element, its number as a part
-    hard, weight = 0, 0.0
-    words: list[str] = []
-    links = 0
-    stack: list[tuple[str, bool, bool]] = []  # tag, left out, in an article
-    dropped = article = linked = 0
-
-    def close_block() -> None:
-        nonlocal words, links
-        text = " ".join(html.unescape("".join(words)).split())
+    reader = _Reader(page, frozenset())
+    parts = reader.parts
+    if not parts:
+        return reader.blocks
+    layout = set()
+    if reader.articles:
+        i = max(reader.articles, key=lambda a: a.weight).part
+        while i is not None:
+            layout.add(i)
+            i = parts[i].around
+    else:
+        layout = {i for i, p in enumerate(parts) if 2 * p.weight > reader.weight}
+    return _Reader(page, frozenset(layout)).blocks if layout else reader.blocks
+
+
+@dataclass
+class _Open:
+    tag: str
+    left_out: bool
+    part: Optional[int]
+    article: Optional[int]
+
+
+class _Reader:
+    """One pass over a page: its blocks, the elements that are named as parts, in order, and its
+    articles. Parts whose numbers are in ``layout`` are kept, others left out.
+
+    ``weight`` counts the stop words of what no tag or attribute hides, in parts or not.
+    """
+
+    def __init__(self, page: str, layout: frozenset[int]):
+        self.layout = layout
+        self.blocks: list[Block] = []
+        self.parts: list[_Part] = []
+        self.articles: list[_Article] = []
+        self.weight = 0.0
+        self.words: list[str] = []
+        self.links = 0
+        self.stack: list[_Open] = []
+        self.count: dict[str, int] = {}  # open elements by tag
+        self.bounds: list[int] = []  # places of the open elements that stop a paragraph's end
+        self.open_parts: list[int] = []
+        self.dropped = self.hard = self.article = 0
+        self._read(page)
+
+    def _close_block(self) -> None:
+        text = " ".join(html.unescape("".join(self.words)).split())
         if text:
-            out.append(Block(text, links, article > 0))
-        words, links = [], 0
-
-    def add(text: str) -> None:
-        nonlocal links, weight
-        if dropped and not hard and text:
-            weight += _weight(html.unescape(text))
-        if dropped == 0 and text:
-            words.append(text)
-            if linked:
-                links += len("".join(html.unescape(text).split()))
-
-    def pop() -> str:
-        nonlocal dropped, hard, article, linked
-        tag, left_out, in_article = stack.pop()
-        part = inside.pop()
+            self.blocks.append(Block(text, self.links, self.article > 0))
+        self.words, self.links = [], 0
+
+    def _add(self, text: str) -> None:
+        if not text:
+            return
+        if not self.hard:
+            self.weight += _weight(html.unescape(text))
+        if not self.dropped:
+            self.words.append(text)
+            if self.count.get("a"):
+                self.links += len("".join(html.unescape(text).split()))
+
+    def _push(self, tag: str, left_out: bool, part: Optional[int]) -> None:
+        article = None
+        if tag == "article" and not self.count.get("article") and not self.hard and (not left_out or part is not None):
+            article = len(self.articles)
+            self.articles.append(_Article(part if part is not None else
+                                          self.open_parts[-1] if self.open_parts else None, -self.weight))
+        if tag in _BLOCKS or tag in _DROPPED:
+            self.bounds.append(len(self.stack))
+        self.stack.append(_Open(tag, left_out, part, article))
+        self.count[tag] = self.count.get(tag, 0) + 1
         if part is not None:
-            parts[part].weight += weight
-        hard -= left_out and part is None
-        if tag in _BLOCKS and not dropped:
-            close_block()
-        dropped -= left_out
-        article -= in_article
-        linked -= tag == "a"
-        return tag
-
-    at = 0
-    while True:
-        found = _TAG.search(page, at)
-        if not found:
-            add(page[at:])
-            break
-        add(page[at:found.start()])
-        at = found.end()
-        if found.group(2) is None:
-            continue
-        tag = found.group(2).lower()
-        if found.group(1):
-            if any(t == tag for t, *_ in stack):
-                while pop() != tag:
-                    pass
-            elif tag == "p" and not dropped:
-                close_block()
-            continue
-        attributes = found.group(3)
-        if tag in _SPACES:
-            add(" ")
-        if tag in _VOID:
-            if tag == "hr" and not dropped:
-                close_block()
-            continue
-        if tag in _RAW:
-            end = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            continue
-        if attributes.endswith("/") and tag not in _BLOCKS:
-            continue
+            self.open_parts.append(part)
+        self.hard += left_out and part is None
+        self.dropped += left_out
+        self.article += tag in ("article", "main")
+
+    def _pop(self) -> str:
+        top = self.stack.pop()
+        self.count[top.tag] -= 1
+        if self.bounds and self.bounds[-1] == len(self.stack):
+            self.bounds.pop()
+        if top.part is not None:
+            self.open_parts.pop()
+            self.parts[top.part].weight += self.weight
+        if top.article is not None:
+            self.articles[top.article].weight += self.weight
+        self.hard -= top.left_out and top.part is None
+        if top.tag in _BLOCKS and not self.dropped:
+            self._close_block()
+        self.dropped -= top.left_out
+        self.article -= top.tag in ("article", "main")
+        return top.tag
+
+    def _end(self, tag: str) -> None:
+        if self.count.get(tag):
+            while self._pop() != tag:
+                pass
+        elif tag == "p" and not self.dropped:
+            self._close_block()
+
+    def _begin(self, tag: str, attributes: str) -> None:
         if tag in _BLOCKS:
             # an open paragraph ends where a block begins, and inline elements end with it
-            inner = [t for t, *_ in stack]
-            for depth in range(len(inner) - 1, -1, -1):
-                if inner[depth] == "p" or (tag == "li" and inner[depth] == "li") \
-                        or (tag == "tr" and inner[depth] == "tr") \
-                        or (tag in ("dd", "dt") and inner[depth] in ("dd", "dt")):
-                    while len(stack) > depth:
-                        pop()
-                    break
-                if inner[depth] in _BLOCKS or inner[depth] in _DROPPED:
-                    break
-            if not dropped:
-                close_block()
-        elif tag == "a" and linked:
-            while pop() != "a":
+            if self.bounds:
+                inner = self.stack[self.bounds[-1]].tag
+                if inner == "p" or tag == inner and tag in ("li", "tr") or tag in ("dd", "dt") and inner in ("dd", "dt"):
+                    while self._pop() != inner:
+                        pass
+            if not self.dropped:
+                self._close_block()
+        elif tag == "a" and self.count.get("a"):
+            while self._pop() != "a":
                 pass
-        part, left_out = None, tag in _DROPPED or (tag == "header" and not article)
-        if tag in ("article", "main"):
-            if not hard:
-                for i in inside:
-                    if i is not None:
-                        parts[i].has_article = True
-        elif not left_out and tag not in ("html", "body") and attributes and not attributes.isspace():
+        part, left_out = None, tag in _DROPPED or (tag == "header" and not self.article)
+        if not left_out and tag not in ("html", "body") and attributes and not attributes.isspace():
             if _hidden(attributes):
                 left_out = True
-            elif _names_part(attributes, article > 0):
-                part, left_out = len(parts), len(parts) not in layout
-                parts.append(_Part(dropped == 0, -weight))
-        if left_out and not dropped and tag not in _BLOCKS:
-            add(" ")
-        stack.append((tag, left_out, tag in ("article", "main")))
-        inside.append(part)
-        hard += left_out and part is None
-        dropped += left_out
-        article += tag in ("article", "main")
-        linked += tag == "a"
-    close_block()
-    while inside:
-        part = inside.pop()
-        if part is not None:
-            parts[part].weight += weight
-    return out, parts
+            elif tag != "main" and _names_part(attributes, self.article > 0):
+                part, left_out = len(self.parts), len(self.parts) not in self.layout
+                self.parts.append(_Part(self.open_parts[-1] if self.open_parts else None, -self.weight))
+        if left_out and not self.dropped and tag not in _BLOCKS:
+            self._add(" ")
+        self._push(tag, left_out, part)
+
+    def _read(self, page: str) -> None:
+        at = 0
+        while True:
+            found = _TAG.search(page, at)
+            if not found:
+                self._add(page[at:])
+                break
+            self._add(page[at:found.start()])
+            at = found.end()
+            if found.group(2) is None:
+                continue
+            tag, attributes = found.group(2).lower(), found.group(3)
+            if found.group(1):
+                self._end(tag)
+                continue
+            if tag in _SPACES:
+                self._add(" ")
+            if tag in _VOID:
+                if tag == "hr" and not self.dropped:
+                    self._close_block()
+            elif tag in _RAW:
+                end = _RAW_END[tag].search(page, at)
+                at = end.end() if end else len(page)
+            elif tag in _BLOCKS or not attributes.endswith("/"):
+                self._begin(tag, attributes)
+        self._close_block()
+        while self.stack:
+            self._pop()
 
 
 def _linked(block: Block) -> bool:
@@ -354,6 +392,6 @@ def extract(df: DataFrame, page: str = "html") -> DataFrame:
     def text_of(pages: pd.Series) -> pd.Series:
         return pages.map(main_text, na_action=None)
 
-    found = df.withColumn("__text", text_of(F.coalesce(F.col(f"`{page}`"), F.lit(""))))
-    return replacing(found, {"text": F.col("__text"),
-                             "n_chars": F.length("__text").cast("bigint")}, keep=df.columns)
+    name = free_name(df, "found")
+    found = df.withColumn(name, text_of(F.coalesce(F.col(f"`{page}`"), F.lit(""))))
+    return replacing(found, {"text": F.col(name), "n_chars": F.length(name).cast("bigint")}, keep=df.columns)
