@@ -23,10 +23,11 @@ from typing import Iterator, Optional
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quietgrove.llm.common import bound_batches, replacing
+from quietgrove.llm.common import bound_batches, free_name, replacing
 
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
@@ -41,13 +42,20 @@ PIECE = 1 << 20
 #: n-grams that are scored at a time.
 BATCH_GRAMS = 1 << 21
 
-_OTHER = re.compile(r"[\W\d_]+")
+_ASCII_OTHER = re.compile(r"[^a-z]+")
+_OTHER = regex.compile(r"[^\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def normal_form(text: Optional[str]) -> str:
-    """Lower-case letters with single blanks between and around words; empty without letters."""
-    body = _OTHER.sub(" ", text.lower()).strip() if text else ""
+    """Lower-case letters and their marks, with single blanks between and around words; empty
+    without letters (numerals such as fractions and circled digits are none)."""
+    lower = text.lower() if text else ""
+    if lower.isascii():
+        body = _ASCII_OTHER.sub(" ", lower).strip()
+    else:
+        body = _OTHER.sub(" ", lower).strip() if _LETTER.search(lower) else ""
     return f" {body} " if body else ""
 
 
@@ -145,21 +153,28 @@ class LanguageModel:
             return pd.DataFrame({"lang_pred": names, "score": np.minimum(top, 1.0),
                                  "evidence": proof, "n_grams": n_grams})
 
-        found = df.withColumn("__lang", judge(F.col(f"`{text}`").cast("string")))
+        name = free_name(df, "judged")
+        found = df.withColumn(name, judge(F.col(f"`{text}`").cast("string")))
         results = ("lang_pred", "score", "evidence", "n_grams") if evidence else ("lang_pred", "score")
-        return replacing(found, {c: F.col(f"__lang.{c}") for c in results}, keep=df.columns)
+        return replacing(found, {c: F.col(name)[c] for c in results}, keep=df.columns)
 
 
 def fit(df: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id",
         rows_per_language: int = ROWS_PER_LANGUAGE, smoothing: float = 0.5) -> LanguageModel:
-    """Learn from the rows of ``df`` that have a label."""
+    """Learn from the rows of ``df`` that have a label.
+
+    The driver takes a count for each language and bucket that occurs, and the model is a matrix of
+    ``BUCKETS`` by languages (64 MB at ``MAX_LANGUAGES``) that every task gets. With more languages
+    than that there is no model: an error is raised, and none is left out.
+    """
     bound_batches(df.sparkSession)
     rows = df.select(F.col(f"`{label}`").cast("string").alias("label"),
                      F.col(f"`{text}`").cast("string").alias("text"),
                      F.xxhash64(F.col(f"`{key}`").cast("string")).alias("draw")
                      ).where("label IS NOT NULL AND text IS NOT NULL")
-    sizes = rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(
-        F.desc("n"), "label").limit(MAX_LANGUAGES).collect()
+    sizes = rows.groupBy("label").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"labels name more than {MAX_LANGUAGES} languages")
     languages = sorted(r["label"] for r in sizes)
     if not languages:
         return LanguageModel([], np.zeros((BUCKETS, 0), dtype=np.float32))
