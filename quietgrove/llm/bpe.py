@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quietgrove.llm.common import bound_batches, replacing
+from quietgrove.llm.common import bound_batches, free_name, replacing
 from quietgrove.scratch import Scratch
 
 #: Bytes of a leaf; longer pieces are encoded as trees.
@@ -226,26 +226,27 @@ def vocabulary(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def _encode_short(df: DataFrame, body: str, path: str):
+def _encode_short(df: DataFrame, body: str, path: str, out: str):
     @F.pandas_udf("array<int>")
     def ids_of(texts: pd.Series) -> pd.Series:
         bpe = vocabulary(path)
         return pd.Series([np.array(bpe.encode(t), dtype=np.int32) for t in texts])
 
-    return df.withColumn("__ids", ids_of(body))
+    return df.withColumn(out, ids_of(body))
 
 
-def _encode_long(df: DataFrame, body: str, path: str) -> DataFrame:
+def _encode_long(df: DataFrame, body: str, path: str, out: str) -> DataFrame:
     """Parts of long texts are encoded by different tasks and joined by text."""
     spark = df.sparkSession
-    stored = Scratch(spark).save(df.withColumn("__row", F.expr("uuid()")))
+    key = free_name(df, "row")
+    stored = Scratch(spark).save(df.withColumn(key, F.expr("uuid()")))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = vocabulary(path)
         for batch in batches:
-            for row, text in zip(batch["__row"], batch[body]):
+            for row, text in zip(batch["row"], batch["text"]):
                 rows = [(row, i, *p) for i, p in enumerate(bpe.parts(text))]
-                yield pd.DataFrame(rows, columns=["__row", "n", "piece", "kind", "body"])
+                yield pd.DataFrame(rows, columns=["row", "n", "piece", "kind", "body"])
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = vocabulary(path)
@@ -261,25 +262,25 @@ def _encode_long(df: DataFrame, body: str, path: str) -> DataFrame:
             [(p["piece"], p["kind"], np.frombuffer(p["ids"], dtype="<u4").tolist())
              for p in row]), dtype=np.int32) for row in parts])
 
-    parts = stored.select("__row", body).mapInPandas(
-        cut, "__row string, n long, piece long, kind int, body binary")
-    coded = parts.repartition("__row", "n").mapInPandas(
-        encode, "__row string, n long, piece long, kind int, ids binary")
-    whole = coded.groupBy("__row").agg(F.sort_array(F.collect_list(
-        F.struct("n", "piece", "kind", "ids"))).alias("__parts"))
-    whole = whole.select("__row", assemble("__parts").alias("__ids"))
-    return stored.join(whole, "__row").drop("__row")
+    parts = stored.select(F.col(key).alias("row"), F.col(body).alias("text")).mapInPandas(
+        cut, "row string, n long, piece long, kind int, body binary")
+    coded = parts.repartition("row", "n").mapInPandas(
+        encode, "row string, n long, piece long, kind int, ids binary")
+    whole = coded.groupBy("row").agg(F.sort_array(F.collect_list(
+        F.struct("n", "piece", "kind", "ids"))).alias("parts"))
+    whole = whole.select(F.col("row").alias(key), assemble("parts").alias(out))
+    return stored.join(whole, key).drop(key)
 
 
 def encode(df: DataFrame, path: str, text: str = "text", long_text: int = LONG_TEXT) -> DataFrame:
     """Every row with ``ids`` (array of int), the encoding of its whole text."""
     bound_batches(df.sparkSession)
-    body = "__body"
+    body, out = free_name(df, "body"), free_name(df, "coded")
     rows = df.withColumn(body, F.coalesce(F.col(f"`{text}`"), F.lit("")))
     long = F.length(body) > long_text
-    short = _encode_short(rows.where(~long), body, path)
-    both = short.unionByName(_encode_long(rows.where(long), body, path))
-    return replacing(both, {"ids": F.col("__ids")}, keep=df.columns)
+    short = _encode_short(rows.where(~long), body, path, out)
+    both = short.unionByName(_encode_long(rows.where(long), body, path, out))
+    return replacing(both, {"ids": F.col(out)}, keep=df.columns)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -291,5 +292,6 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
         names = token_bytes(path)
         return pd.Series([text_from(names, r) if r is not None else "" for r in rows])
 
-    found = df.withColumn("__text", text_of(F.col(f"`{ids}`")))
-    return replacing(found, {out: F.col("__text")}, keep=df.columns)
+    name = free_name(df, "text_found")
+    found = df.withColumn(name, text_of(F.col(f"`{ids}`")))
+    return replacing(found, {out: F.col(name)}, keep=df.columns)

@@ -111,13 +111,13 @@ def test_bpe_trees_match_the_library(library):
 def test_bpe_on_tables(spark, library):
     texts = [None, "", "Hello world", "Hello world", "ab" * 40_000, "word " * 9_000, "x<|endoftext|>y"]
     rows = spark.createDataFrame([(i, t, [1], "b") for i, t in enumerate(texts)],
-                                 "id int, text string, ids array<int>, __body string").drop("__body")
+                                 "id int, text string, ids array<int>, __body string")
     coded = bpe.encode(rows, BYTE_BPE, long_text=1000)
     out = {r["id"]: r for r in bpe.decode(coded, BYTE_BPE).collect()}
     assert len(out) == len(texts)
     for i, t in enumerate(texts):
         assert list(out[i]["ids"]) == library.encode(t or "", add_special_tokens=False).ids
-        assert out[i]["decoded"] == (t or "")
+        assert out[i]["decoded"] == (t or "") and out[i]["__body"] == "b"
     assert bpe.encode(rows.limit(0), BYTE_BPE).count() == 0
 
 
@@ -248,3 +248,200 @@ def test_chat_round_trip(spark):
     assert all(p["text"].startswith('<turn role="system">Be &lt;b>brief') for p in parts)
     assert any(p["n_repeated"] > 1 for p in parts[1:])
     assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_results_leave_columns_of_any_name_alone(spark):
+    """Names that operators use inside, now or in the past, and both cases of letters."""
+    names = ["found", "_found", "measured", "by", "judged", "body", "coded", "row", "text_found", "__text",
+             "__by", "__w", "__lang", "__ids", "__body", "BY"]
+    rows = spark.createDataFrame([(1, "one two three " * 9, "<p>the one is in it and of it</p>", *names)],
+                                 ["id", "text", "html", *[f"{n}_" if n == "BY" else n for n in names]])
+    rows = rows.withColumnRenamed("BY_", "_BY")
+    kept = [c for c in rows.columns if c not in ("id", "text", "html")]
+    model = language_id.LanguageModel([], language_id.np.zeros((language_id.BUCKETS, 0)))
+    results = [html_text.extract(rows), quality_rules.measures(rows), quality_rules.judge(rows), model.predict(rows),
+               bpe.encode(rows, BYTE_BPE), bpe.encode(rows, BYTE_BPE, long_text=5),
+               bpe.decode(bpe.encode(rows, BYTE_BPE), BYTE_BPE)]
+    for out in results:
+        assert set(rows.columns) <= set(out.columns)
+        assert out.select(kept).collect() == rows.select(kept).collect()
+
+
+def test_quality_order_follows_cost_and_can_be_fixed(spark):
+    """Two rules that reject the same: the dear one is asked later; a stored order is kept to."""
+    rows = spark.createDataFrame([(i, "word " * 60 + ("x" if i % 2 else "y")) for i in range(300)], "id int, text string")
+    last = lambda w: F.element_at(w, -1) == "x"
+    dear = quality_rules.Rule("dear", lambda t, w: last(w) & (F.length(F.array_join(F.transform(
+        w, lambda x: F.sha2(F.concat(x, t), 512)), "")) > 0))
+    cheap = quality_rules.Rule("cheap", lambda t, w: last(w))
+    found = quality_rules.estimate(rows, (dear, cheap))
+    assert [e.rejected for e in found] == [pytest.approx(0.5), pytest.approx(0.5)]
+    assert found[0].seconds > 3 * found[1].seconds
+    assert [r.name for r in quality_rules.ordered(found)] == ["cheap", "dear"]
+    for order in (["dear", "cheap"], ["cheap", "dear"]):
+        by = {r["rejected_by"] for r in quality_rules.judge(rows, (dear, cheap), order=order).collect()}
+        assert by == {None, order[0]}
+    with pytest.raises(ValueError):
+        quality_rules.judge(rows, (dear, cheap), order=["dear"])
+
+
+def test_language_of_letterless_texts_and_many_languages(spark):
+    assert all(language_id.normal_form(t) == "" for t in ("½", "②", "²³", "Ⅻ 12", "_-", "́", None, ""))
+    assert language_id.normal_form("A1b½C é्") == " a b c é् "
+    rows = spark.createDataFrame([(i, f"wort{chr(97 + i % 26)} {chr(97 + i // 26)}satz ist hier", f"l{i}")
+                                  for i in range(language_id.MAX_LANGUAGES + 1)], "doc_id int, text string, lang string")
+    assert len(language_id.fit(rows.where("doc_id > 0")).languages) == language_id.MAX_LANGUAGES
+    with pytest.raises(ValueError):
+        language_id.fit(rows)
+    odd = spark.createDataFrame([(1, "½"), (2, "②²³"), (3, "1 2")], "doc_id int, text string")
+    model = language_id.fit(rows.where("doc_id > 0"))
+    assert {tuple(r) for r in model.predict(odd).select("lang_pred", "score").collect()} == {("und", 0.0)}
+
+
+GOOD = "The quick brown fox is in the house and it was on the roof of it all with the others."
+WORDY = "it is the one of the many that was in a house and so on for all of them there"
+
+
+def test_html_comments_adverts_and_teasers_go():
+    article = f"<article><p>{GOOD}</p><p>{GOOD}</p></article>"
+    want = f"{GOOD}\n\n{GOOD}"
+    for extra in ("<section class='comments'><article class='comment'><p>{}</p></article></section>",
+                  "<div class='comments-section'><p>{}</p></div>", "<ul class='comment-list'><li>{}</li></ul>",
+                  "<div class='related'><article><p>{}</p></article></div>", "<div class='ad-container'><p>{}</p></div>",
+                  "<div class='newsletter-box'><p>{}</p></div>", "<div id='related-posts'><p>{}</p></div>",
+                  "<div class='share-buttons'><p>{}</p></div>", "<div class='cookie-bar'><p>{}</p></div>",
+                  "<article hidden><p>{}</p></article>", "<article class='comment'><p>{}</p></article>",
+                  "<div style='display:none'><article><p>{}</p></article></div>"):
+        for page in (article + extra.format(WORDY), extra.format(WORDY) + article,
+                     f"<main>{article}{extra.format(WORDY)}</main>"):
+            assert html_text.main_text(page) == want, page
+    # a named wrapper or article that is the page's own stays
+    assert html_text.main_text(f"<div class='widget'>{article}</div>") == want
+    assert html_text.main_text(f"<article class='post'><p>{GOOD}</p></article>") == GOOD
+    assert html_text.main_text(f"<article class='related'><p>{GOOD}</p></article>") == GOOD
+
+
+class Page:
+    """A random page as a tree, and its blocks by recursion over that tree."""
+
+    def __init__(self, rng):
+        self.rng = rng
+        self.tree = self.element(0)
+
+    def element(self, depth):
+        rng = self.rng
+        tag = rng.choice(["div", "section", "article", "p", "span", "b", "nav", "footer", "header", "main", "form"])
+        name = rng.choice(["", "", "", "x", "ad", "comments", "has-sidebar", "share-buttons", "menu left", "comment-list"])
+        hidden = rng.random() < 0.05
+        plain = tag in ("p", "span", "b")
+        inner = []
+        for _ in range(rng.randint(1, 4)):
+            if depth < 5 and rng.random() < 0.6 and not plain:
+                inner.append(self.element(depth + 1))
+            else:
+                inner.append(" ".join(rng.choices(GOOD.split() + ["lorem", "ipsum"], k=rng.randint(1, 12))) + " ")
+        return tag, name, hidden, inner
+
+    def text(self, node):
+        if isinstance(node, str):
+            return node
+        tag, name, hidden, inner = node
+        attributes = (f" class='{name}'" if name else "") + " hidden" * hidden
+        return f"<{tag}{attributes}>" + "".join(map(self.text, inner)) + f"</{tag}>"
+
+    def hard(self, node, in_article):
+        return node[0] in ("nav", "footer", "form") or node[2] or node[0] == "header" and not in_article
+
+    def named(self, node, in_article):
+        part = node[1] in ("ad", "comments", "share-buttons", "menu left", "comment-list")
+        return part and node[0] != "main" and not self.hard(node, in_article)
+
+    def weight(self, node, in_article=False):
+        if isinstance(node, str):
+            return html_text._weight(node)
+        inside = in_article or node[0] in ("article", "main")
+        return 0 if self.hard(node, in_article) else sum(self.weight(c, inside) for c in node[3])
+
+    def articles(self, node, path=(), in_article=False):
+        if isinstance(node, str) or self.hard(node, in_article):
+            return []
+        path = (*path, node) if self.named(node, in_article) else path
+        if node[0] == "article":
+            return [(node, path, in_article)]
+        inside = in_article or node[0] == "main"
+        return [a for c in node[3] for a in self.articles(c, path, inside)]
+
+    def parts(self, node, in_article=False):
+        if isinstance(node, str) or self.hard(node, in_article):
+            return []
+        inside = in_article or node[0] in ("article", "main")
+        below = [p for c in node[3] for p in self.parts(c, inside)]
+        return below + [(node, in_article)] * self.named(node, in_article)
+
+    def blocks(self):
+        found = self.articles(self.tree)
+        if found:
+            weights = [self.weight(a, inside) for a, _, inside in found]
+            kept = [id(p) for p in found[weights.index(max(weights))][1]]
+        else:
+            total = self.weight(self.tree)
+            kept = [id(p) for p, inside in self.parts(self.tree) if 2 * self.weight(p, inside) > total]
+        out, words = [], []
+
+        def close(in_article):
+            text = " ".join("".join(words).split())
+            if text:
+                out.append((text, in_article))
+            words.clear()
+
+        def walk(node, in_article):
+            if isinstance(node, str):
+                words.append(node)
+                return
+            if self.hard(node, in_article) or self.named(node, in_article) and id(node) not in kept:
+                if node[0] in ("span", "b"):
+                    words.append(" ")
+                else:
+                    close(in_article)
+                return
+            inside = in_article or node[0] in ("article", "main")
+            block = node[0] not in ("span", "b")
+            if block:
+                close(in_article)
+            for child in node[3]:
+                walk(child, inside)
+            if block:
+                close(inside)
+
+        walk(self.tree, False)
+        close(False)
+        return out
+
+
+def test_html_blocks_equal_a_recursion_over_the_tree():
+    rng = random.Random(9)
+    kept = 0
+    for _ in range(1500):
+        page = Page(rng)
+        want = page.blocks()
+        got = html_text.blocks(page.text(page.tree))
+        assert [(b.text, b.in_article) for b in got] == want, page.text(page.tree)
+        kept += len(want)
+    assert kept > 1000
+
+
+def test_html_takes_linear_time_and_whole_pages():
+    import time
+    for size in (20_000, 80_000):
+        pages = ["<div>" * size + GOOD, "<b>" * size + f"<p>{GOOD}</p>" * 9, "<b>" * size + "<div>x</div>" * size,
+                 "<article>" * size + GOOD, "<article class=comment>" * size + GOOD, "<li>" * size, "<a>" * size,
+                 "</b></i></div>" * size, "<ul class=menu><li>" * size, "<p><i>" * size]
+        began = time.thread_time()
+        for page in pages:
+            html_text.main_text(page)
+        took = time.thread_time() - began
+        first = took if size == 20_000 else first
+    assert took < 12 * first
+    body = [f"{GOOD} Number {i}." for i in range(50_000)]
+    page = "<main>" + "".join(f"<p>{b}</p>" for b in body) + "</main>"
+    assert len(page) > 5_000_000 and html_text.main_text(page) == "\n\n".join(body)
