@@ -94,7 +94,10 @@ ORACLE_SQL: Optional[str] = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder."""
     scratch = Scratch(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
         docs = scratch.save(stage(spark, docs, sf_dir))
+        if last is not None:
+            scratch.release(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)

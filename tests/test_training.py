@@ -92,8 +92,9 @@ def test_deep_trees_do_not_depend_on_stored_levels(spark, planted, monkeypatch):
             (multi, dict(nb_trees=1, max_depth=4, task="multiclass", n_classes=3))]
 
     def nodes(df, params):
-        table = train(df, **params).node_table(spark).toPandas()
-        table[["gain", "prediction"]] = table[["gain", "prediction"]].round(9)
+        # floored gains: equal ones do not depend on the order of sums
+        table = train(df, floor_digits=True, **params).node_table(spark).toPandas()
+        table[["gain", "prediction"]] = table[["gain", "prediction"]].round(8)
         return table.astype(str).values.tolist()
 
     want = [nodes(*run) for run in runs]
@@ -104,10 +105,9 @@ def test_deep_trees_do_not_depend_on_stored_levels(spark, planted, monkeypatch):
 
 
 def test_a_deep_tree_stays_small_in_the_plan(spark, monkeypatch):
-    """Depth 15 on 40,000 distinct values: one level's text stays below 1 MB."""
-    rows = spark.range(40_000).select(F.col("id").alias("row_id"), (F.xxhash64("id") % 100_000).cast("double").alias("a"),
-                                      F.col("id").cast("double").alias("b"),
-                                      ((F.xxhash64("id", F.lit(1)) % 1000) / 100.0).alias("y"))
+    """Depth 15 on 20,000 distinct values: one level's text stays below 1 MB."""
+    rows = spark.range(20_000).select(F.col("id").alias("row_id"), (F.xxhash64("id") % 100_000).cast("double").alias("a"),
+                                      F.col("id").cast("double").alias("b"), (F.col("id") / 1000.0).alias("y"))
     texts = []
     steps = growth.Layout.steps
     monkeypatch.setattr(growth.Layout, "steps", lambda self, *a: texts.append(
@@ -118,11 +118,11 @@ def test_a_deep_tree_stays_small_in_the_plan(spark, monkeypatch):
     assert tree.depth == 15 and len(tree.nodes) > 10_000 and max(texts) < 1_000_000
     scored = model.transform(rows).agg(F.avg(F.pow(F.col("prediction") - F.col("y"), 2.0))).first()[0]
     leaves_of = {n.node_id: n for n in tree.leaves}
-    assert sum(n.n for n in tree.leaves) == 40_000
+    assert sum(n.n for n in tree.leaves) == 20_000
     paths = model.decision_path(rows, 0).groupBy(F.element_at("path", -1).alias("leaf")).count().collect()
     assert {r["leaf"]: r["count"] for r in paths} == {i: n.n for i, n in leaves_of.items()}
     plain = rows.agg(F.var_pop("y")).first()[0]
-    assert scored < 0.6 * plain
+    assert scored < 0.001 * plain
 
 
 def test_small_nodes_and_constant_targets_stay_leaves(planted):
