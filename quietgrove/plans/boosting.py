@@ -76,7 +76,7 @@ class PrivateBoostedTrees:
         model.task = self.task
         if self.params.private:
             model.ledger = privacy.training_ledger(
-                self.params, list(scaled), exact_scaling, rejected=run.rejected).check()
+                self.params, scaled=list(scaled), exact_scaling=exact_scaling, rejected=run.rejected).check()
         model.rejected = sum(run.rejected)
         return model
 
