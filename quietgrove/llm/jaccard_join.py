@@ -62,6 +62,8 @@ PIVOTS = 16
 #: Ids that may be broadcast to pick out rows (16 MB); more are joined by an exchange.
 BROADCAST_IDS = 1_000_000
 _REMEMBERED = 1_000_000
+#: Words whose hashes a Python process keeps; processes live on into later stages.
+_REMEMBERED_WORDS = 250_000
 #: Low bits of a hash that cells ignore. Chance cells are only looked at, and narrow ids travel lighter.
 _CELL_BITS = np.uint64(16)
 #: Low bits of a hash that whole sets are compared without.
@@ -71,7 +73,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= _REMEMBERED:
+        if len(self) >= _REMEMBERED_WORDS:
             self.clear()
         self[word] = out = xxhash.xxh3_64_intdigest(word)
         return out

@@ -47,7 +47,7 @@ SHARD_TAILS = 512
 TASK_SHARDS = 16
 K1, B = 1.2, 0.75
 #: Bytes of text that are tokenized at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _TERMS = 1 << 16
 _CODED = pa.schema([("key", pa.string()), ("start", pa.int64()), ("length", pa.int64()),
                     ("doc_tokens", pa.int64()), ("ids", pa.binary())])
@@ -218,6 +218,8 @@ def pack(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", wind
                 yield pa.RecordBatch.from_arrays(
                     [part.column("key").take(pa.array(doc)), pa.array(start), pa.array(length),
                      pa.array(tokens[doc]), as_binary(ids, length)], schema=_CODED)
+        # the process lives on into later stages, its spare memory need not
+        pa.default_memory_pool().release_unused()
 
     body = df.select(F.col(f"`{key}`").cast("string").alias("key"),
                      F.col(f"`{text}`").cast("string").alias("text"))
