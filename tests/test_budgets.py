@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from quietgrove.catalog import fixtures as fx
 from quietgrove.operators.splits import kfold
-from quietgrove.plans import evaluation
+from quietgrove.plans import coding, evaluation
 from quietgrove.plans.boosting import PrivateBoostedTrees
+from quietgrove.plans.growth import Grower
 from quietgrove.scratch import materialize
 from quietgrove.spec import ModelParams
 
@@ -73,3 +74,33 @@ def test_rows_that_depend_on_the_budget_are_not_shared(planted):
         trainer.fit_budgets(planted.withColumn("fold", F.lit(0)), [1.0])
     with pytest.raises(ValueError):
         PrivateBoostedTrees(ModelParams(), fx.NUMERIC).fit_budgets(planted.withColumn("fold", F.lit(0)), [0.0])
+
+
+@pytest.mark.parametrize("extra", [{"growth": "best_first", "max_leaves": 5}, {"argmax_splits": True},
+                                   {"growth": "sibling", "task": "multiclass", "n_classes": 3}, {"min_samples_split": 10 ** 6}])
+def test_nodes_shared_by_budgets_equal_nodes_of_their_own(planted, extra, monkeypatch):
+    rows = planted.where("row_id % 3 = 0")
+    if "task" in extra:
+        rows = rows.withColumn("y", (F.floor(F.col("row_id") / 6) % 3).cast("double"))
+    else:
+        monkeypatch.setattr(coding, "DICTIONARY_ROWS", 4)  # two features keep their text
+    folded = materialize(rows.withColumn("fold", (F.col("row_id") % 2).cast("int")))
+    params = ModelParams(**{**dict(nb_trees=1, max_depth=3, seed="n"), **extra})
+    budgets = [1.0, 8.0, 20.0, 40.0, 41.0]
+    found = []
+    for limit in (Grower.SHARED_ROWS, 0):
+        monkeypatch.setattr(Grower, "SHARED_ROWS", limit)
+        models = PrivateBoostedTrees(params, fx.NUMERIC, fx.CATEGORICAL).fit_budgets(folded, budgets)
+        found.append({k: [[(i, n.n, n.split and (n.split.feature.name, n.split.value, n.split.category),
+                            None if n.split else pytest.approx(n.prediction, rel=1e-7)) for i, n in sorted(t.nodes.items())]
+                          for t in m.trees[0]] for k, m in models.items()})
+    assert len(found[0]) == 10 and found[0] == found[1]
+
+
+def test_first_tree_reads_rows_once_for_all_budgets(planted, monkeypatch):
+    folded = materialize(planted.where("row_id % 3 = 0").withColumn("fold", (F.col("row_id") % 2).cast("int")))
+    given, grow = [], Grower.grow
+    monkeypatch.setattr(Grower, "grow", lambda self, rows, *more: given.append(rows.count()) or grow(self, rows, *more))
+    PrivateBoostedTrees(ModelParams(nb_trees=1, max_depth=1, seed="j"), fx.NUMERIC, fx.CATEGORICAL).fit_budgets(
+        folded, [float(b) for b in range(1, 13)])
+    assert given == [folded.count()]
