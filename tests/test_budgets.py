@@ -104,3 +104,23 @@ def test_first_tree_reads_rows_once_for_all_budgets(planted, monkeypatch):
     PrivateBoostedTrees(ModelParams(nb_trees=1, max_depth=1, seed="j"), fx.NUMERIC, fx.CATEGORICAL).fit_budgets(
         folded, [float(b) for b in range(1, 13)])
     assert given == [folded.count()]
+
+
+def test_size_sweep_computes_its_rows_once(spark, planted):
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(i):
+        seen.add(1)
+        return i
+
+    rows = materialize(planted.where("row_id % 3 = 0").withColumn(
+        "row_id", F.when(F.col("row_id") % 7 > 0, F.col("row_id"))))
+    counted = rows.withColumn("row_id", F.udf(passed, "bigint")("row_id"))
+    params = ModelParams(nb_trees=1, max_depth=1)
+    got = {(r["n"], r["fold"]): r["score"] for r in evaluation.complexity_scores(
+        counted, (60, 150), ["y"], COLUMNS, params, 2, seed="c").collect()}
+    assert seen.value == rows.count()
+    alone = rows.where("row_id IS NOT NULL").orderBy("row_id").limit(60)
+    for r in evaluation.cross_validate(materialize(alone), params, 2, COLUMNS, "mape", scale=True, seed="c").collect():
+        assert got[60, r["fold"]] == pytest.approx(r["score"])
+    assert len(got) == 4
