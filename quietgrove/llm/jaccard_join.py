@@ -35,15 +35,16 @@ id, and its text has its links like any other; an empty table gives an empty res
 from __future__ import annotations
 
 import math
-from typing import Iterator, Optional
+from typing import Iterator, Optional, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quietgrove.llm.common import bound_batches
+from quietgrove.llm.common import begin_task, bound_batches, give_back, keeps
 from quietgrove.llm.components import connected_components
 from quietgrove.scratch import Scratch
 
@@ -66,6 +67,13 @@ _REMEMBERED = 1_000_000
 _REMEMBERED_WORDS = 250_000
 #: Low bits of a hash that cells ignore. Chance cells are only looked at, and narrow ids travel lighter.
 _CELL_BITS = np.uint64(16)
+#: Prefix shingles of a task that are dealt to buckets at a time, and those of a bucket on average.
+DEALT_SHINGLES = 1 << 19
+BUCKET_SHINGLES = 1 << 20
+#: So many texts with one shingle, among those dealt at a time, are few enough to be held by a bucket.
+FEW_TEXTS = 64
+#: Regions up to this size are searched for their borders many at a time.
+SMALL_REGION = 64
 #: Low bits of a hash that whole sets are compared without.
 _PACKED_BITS = np.uint64(8)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -80,6 +88,7 @@ class _WordHashes(dict):
 
 
 _hashes = _WordHashes()
+keeps("jaccard_join", _hashes.clear)
 
 
 def shingle_set(text: Optional[str], width: int = WIDTH) -> np.ndarray:
@@ -113,6 +122,19 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(gaps.view("<u8")[:, 0], dtype=np.uint64)
 
 
+def packed_numbers(values: np.ndarray) -> bytes:
+    """Numbers by as many of their low bytes as any of them has, bytes of equal rank together."""
+    planes = max(1, -(-int(values.max()).bit_length() // 8)) if len(values) else 1
+    return bytes([planes]) + values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :planes].T.tobytes()
+
+
+def unpacked_numbers(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    out[:, :data[0]] = planes.T
+    return out.view("<u8")[:, 0]
+
+
 def _fingerprint(codes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(codes.tobytes())).view(np.int64))
 
@@ -139,6 +161,10 @@ def linked_components(sets: list[np.ndarray]) -> np.ndarray:
     m = len(sets)
     comp = np.arange(m)
     size = np.array([len(s) for s in sets], dtype=np.int64)
+    if m == 2:
+        both = np.sort(np.concatenate(sets))
+        common = np.count_nonzero(both[1:] == both[:-1])
+        return comp * int(common == 0 or common < overlap_needed(size[0], size[1]))
     code, token = np.unique(np.concatenate(sets), return_inverse=True)
     order = np.argsort(token, kind="stable")
     posting = np.repeat(np.arange(m), size)[order]
@@ -208,6 +234,204 @@ def possible(c, a, b, below_a, below_b) -> np.ndarray:
     return (c > 0) & (c + np.minimum(a - below_a, b - below_b) >= overlap_needed(a, b))
 
 
+def _places(rep: np.ndarray) -> np.ndarray:
+    """Ranks that decide which text of a cell is its pivot; different for different texts."""
+    code = rep.view(np.uint64) * _MIX
+    return (code ^ (code >> np.uint64(32))) * _MIX
+
+
+def _deal_cells(buckets: int):
+    """Prefix shingles of texts dealt to buckets: a row holds those of many texts in one bucket, as
+    gaps, with the texts by their distance from the lowest one.
+
+    Of a shingle that many of the texts have, only the two texts of lowest rank go to the rows that
+    a bucket holds together; the others follow in rows with ``later``, which it takes one by one.
+    """
+    def rows(bucket: np.ndarray, code: np.ndarray, rep: np.ndarray, later: bool) -> Iterator[tuple]:
+        ends = np.flatnonzero(np.diff(bucket)) + 1
+        for a, b in zip([0, *ends], [*ends, len(bucket)]):
+            base = int(rep[a:b].min())
+            yield (int(bucket[a]), later, base, packed_numbers(np.diff(code[a:b], prepend=np.uint64(0))),
+                   packed_numbers((rep[a:b] - base).view(np.uint64)))
+
+    def dealt(lists: list[np.ndarray], reps: list[int]) -> pa.RecordBatch:
+        token = np.concatenate(lists)
+        rep = np.repeat(np.array(reps, dtype=np.int64), [len(t) for t in lists])
+        bucket, code = (token % np.uint64(buckets)).astype(np.int64), token // np.uint64(buckets)
+        order = np.lexsort((code, bucket))
+        bucket, code, rep = bucket[order], code[order], rep[order]
+        start = np.flatnonzero(np.concatenate(([True], (np.diff(code) != 0) | (np.diff(bucket) != 0))))
+        count = np.diff(np.append(start, len(code)))
+        many = np.flatnonzero(np.repeat(count > FEW_TEXTS, count))
+        if len(many):
+            run = np.repeat(np.arange(len(start)), count)[many]
+            rep[many] = rep[many[np.lexsort((_places(rep[many]), run))]]
+        later = np.zeros(len(code), dtype=bool)
+        later[many] = True
+        first = start[count > FEW_TEXTS]
+        later[first] = later[first + 1] = False
+        out = list(rows(bucket[~later], code[~later], rep[~later], False))
+        if later.any():
+            out += rows(bucket[later], code[later], rep[later], True)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (
+            pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.binary()))],
+            names=["bucket", "later", "base", "codes", "reps"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task("jaccard_join")
+        lists, reps, size = [], [], 0
+        for batch in batches:
+            for rep, prefix in zip(batch.column("rep").to_pylist(), batch.column("prefix").to_pylist()):
+                lists.append(np.cumsum(unpacked_numbers(prefix), dtype=np.uint64))
+                reps.append(rep)
+                size += len(lists[-1])
+                if size > DEALT_SHINGLES:
+                    yield dealt(lists, reps)
+                    lists, reps, size = [], [], 0
+        if size:
+            yield dealt(lists, reps)
+        give_back()
+
+    return deal
+
+
+def _find_cells(buckets: int):
+    """``rep, token, pivot`` for the prefix shingles that more than one text has, from the rows of
+    ``_deal_cells`` in the order of buckets and ``later``. Tokens are 32 bits of the shingle: two that
+    are equal by chance make borders wider, nothing else.
+
+    Together a bucket holds its shingles that few texts have, and two texts per dealt lot of the
+    others; these already contain the pivot, so the texts that come later only look it up.
+    """
+    def entries(row: dict) -> tuple[np.ndarray, np.ndarray]:
+        return (np.cumsum(unpacked_numbers(row["codes"]), dtype=np.uint64),
+                unpacked_numbers(row["reps"]).view(np.int64) + row["base"])
+
+    def told(rep: np.ndarray, code: np.ndarray, pivot: np.ndarray, bucket: int) -> pa.RecordBatch:
+        token = code * np.uint64(buckets) + np.uint64(bucket)
+        return pa.RecordBatch.from_arrays([pa.array(rep), pa.array(token.astype(np.uint32).view(np.int32)),
+                                           pa.array(pivot)], names=["rep", "token", "pivot"])
+
+    def settled(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, ...]:
+        code, rep = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(code, kind="stable")
+        code, rep = code[order], rep[order]
+        twin = code[1:] == code[:-1]
+        shared = np.append(twin, False) | np.append(False, twin)
+        code, rep = code[shared], rep[shared]
+        order = np.lexsort((_places(rep), code))
+        code, rep = code[order], rep[order]
+        start = np.flatnonzero(np.append(True, code[1:] != code[:-1])[:len(code)])
+        return rep, code, np.repeat(rep[start], np.diff(np.append(start, len(code)))), start
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task("jaccard_join")
+        bucket, held = None, []
+        names, pivots = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and (row["later"] or row["bucket"] != bucket):
+                    rep, code, pivot, start = settled(held)
+                    yield told(rep, code, pivot, bucket)
+                    names, pivots, held = code[start], pivot[start], []
+                bucket = row["bucket"]
+                if not row["later"]:
+                    held.append(entries(row))
+                    continue
+                code, rep = entries(row)
+                yield told(rep, code, pivots[np.searchsorted(names, code)], bucket)
+        if held:
+            yield told(*settled(held)[:3], bucket)
+        give_back()
+
+    return find
+
+
+def _groups_of(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows that come in the order of ``keys``, whole groups only, and where their groups start."""
+    held: list[pa.RecordBatch] = []
+
+    def whole(parts: list[pa.RecordBatch]) -> tuple[pa.RecordBatch, np.ndarray]:
+        rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        return rows, np.append(0, changes(rows))
+
+    def changes(rows: pa.RecordBatch) -> np.ndarray:
+        new = np.zeros(max(rows.num_rows - 1, 0), dtype=bool)
+        for k in keys:
+            new |= np.diff(rows.column(k).to_numpy()) != 0
+        return np.flatnonzero(new) + 1
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and any(batch.column(k)[0] != held[-1].column(k)[0] for k in keys):
+            yield whole(held)
+            held = []
+        ends = changes(batch)
+        if len(ends):
+            yield whole([*held, batch.slice(0, ends[-1])])
+            held = [batch.slice(ends[-1])]
+        else:
+            held.append(batch)
+    if held:
+        yield whole(held)
+
+
+def _list_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column one after another, and where those of each row begin and end."""
+    ends = column.offsets.to_numpy()
+    return column.values.to_numpy()[ends[0]:ends[-1]], ends - ends[0]
+
+
+def _numbers_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit numbers of a binary column one after another, and where those of each row begin and end."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[ends[0]:ends[-1]]
+    return np.frombuffer(data.tobytes(), np.int32), (ends - ends[0]) // 4
+
+
+def _small_borders(rows: pa.RecordBatch, group: np.ndarray) -> np.ndarray:
+    """Which rows of small regions another text of their region can be linked with: what ``_Records``
+    tells of one region, for many. ``group`` numbers the regions in the order of the rows."""
+    size, mark = rows.column("size").to_numpy(), rows.column("mark").to_numpy() - 1
+    below, at = _numbers_of(rows.column("below"))
+    token, bounds = _list_of(rows.column("shared"))
+    held = np.diff(bounds)
+    start = np.flatnonzero(np.append(True, np.diff(group) != 0))
+    count = np.diff(np.append(start, len(group)))
+    number = np.repeat(np.arange(len(start)), count)
+    place = np.arange(len(group)) - start[number]
+    owner = np.repeat(np.arange(len(group)), held)
+    order = np.lexsort((token, number[owner]))
+    owner, token = owner[order], token[order]
+    run = np.cumsum(np.append(True, (np.diff(token) != 0) | (np.diff(number[owner]) != 0))[:len(token)])
+    length = np.bincount(run)[run]
+    rich = np.bincount(owner[length > 1], minlength=len(group))
+    least = np.minimum.reduceat(mark, start)[number]
+    small = rich >= overlap_needed(size, size) - (size - below[at[:-1] + least])
+    base = np.cumsum(count ** 2) - count ** 2
+    common = np.zeros(int((count ** 2).sum()), dtype=np.int64)
+    left = np.flatnonzero(length > 1)
+    step = 1
+    while True:
+        left = left[left + step < len(run)]
+        left = left[run[left] == run[left + step]]
+        if not len(left):
+            break
+        a, b = owner[left], owner[left + step]
+        common += np.bincount(base[number[a]] + place[a] * count[number[a]] + place[b], minlength=len(common))
+        step += 1
+    pair = np.flatnonzero(common)
+    of = np.searchsorted(base, pair, "right") - 1
+    a, b = (start[of] + x for x in np.divmod(pair - base[of], count[of]))
+    to = np.minimum(mark[a], mark[b])
+    near = possible(common[pair], size[a], size[b], below[at[a] + to], below[at[b] + to])
+    near &= (small[a] | small[b]) & (a != b)
+    keep = np.zeros(len(group), dtype=bool)
+    keep[a[near]] = keep[b[near]] = True
+    return keep
+
+
 class _Records:
     """Prefix records of some texts as arrays, with an inverted index over shared shingles."""
 
@@ -268,23 +492,44 @@ def _blocked(members: DataFrame, region: str, row: str, size: str) -> DataFrame:
         *members.columns, F.col("pair.i").alias("i"), F.col("pair.j").alias("j"))
 
 
-def _border(region: pd.DataFrame) -> pd.DataFrame:
-    """Texts of a region (or pair of blocks) that another text there can be linked with.
+def _large_border(region: pd.DataFrame) -> np.ndarray:
+    """Which texts of a region (or pair of blocks) another text there can be linked with."""
+    keep = np.zeros(len(region), dtype=bool)
+    records = _Records(region)
+    for x in np.nonzero(records.small_enough())[0]:
+        found = records.possible_with(x)
+        if found.any():
+            keep |= found
+            keep[x] = True
+    return keep
+
+
+def _borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of regions (or pairs of blocks) that another text there can be linked with.
 
     They are named by their own hash instead of the pivot's id, so regions that come down to
     the same texts are one.
     """
-    keep = np.zeros(len(region), dtype=bool)
-    if len(region) > 1:
-        records = _Records(region)
-        for x in np.nonzero(records.small_enough())[0]:
-            found = records.possible_with(x)
-            if found.any():
-                keep |= found
-                keep[x] = True
-    kept = region.loc[keep, ["rep", "size"]]
-    name = xxhash.xxh3_64_intdigest(np.sort(kept["rep"].to_numpy()).tobytes())
-    return kept.assign(region=np.uint64(name).view(np.int64))
+    begin_task("jaccard_join")
+    for rows, start in _groups_of(batches, ("pivot", "i", "j")):
+        count = np.diff(np.append(start, rows.num_rows))
+        group = np.repeat(np.arange(len(start)), count)
+        keep = np.zeros(rows.num_rows, dtype=bool)
+        some = np.flatnonzero(((count > 1) & (count <= SMALL_REGION))[group])
+        if len(some):
+            keep[some] = _small_borders(rows.take(pa.array(some)), group[some])
+        for g in np.flatnonzero(count > SMALL_REGION):
+            a, b = start[g], start[g] + count[g]
+            keep[a:b] = _large_border(rows.slice(a, count[g]).to_pandas())
+        rep, size = rows.column("rep").to_numpy()[keep], rows.column("size").to_numpy()[keep]
+        kept = np.bincount(group[keep], minlength=len(start))
+        kept = kept[kept > 0]
+        names = [xxhash.xxh3_64_intdigest(np.sort(r).tobytes()) for r in np.split(rep, np.cumsum(kept)[:-1])] \
+            if len(kept) else []
+        region = np.repeat(np.array(names, dtype=np.uint64), kept).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(size), pa.array(region)],
+                                         names=["rep", "size", "region"])
+    give_back()
 
 
 def _without_nested(border: DataFrame) -> DataFrame:
@@ -302,17 +547,25 @@ def _without_nested(border: DataFrame) -> DataFrame:
     return border.join(nested, "region", "left_anti")
 
 
-def _region_links(region: pd.DataFrame) -> pd.DataFrame:
-    """A link from each text of a component inside the region to one of its texts."""
-    rows = region.drop_duplicates("rep")
-    reps = rows["rep"].to_numpy()
-    if len(reps) < 2:
-        return pd.DataFrame({"u": reps[:0], "v": reps[:0]})
-    comp = linked_components([unpacked(c) for c in rows["codes"]])
-    _, first = np.unique(comp, return_index=True)
-    root = reps[first][np.unique(comp, return_inverse=True)[1]]
-    other = root != reps
-    return pd.DataFrame({"u": reps[other], "v": root[other]})
+def _region_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A link from each text of a component inside a region to one of its texts."""
+    begin_task("jaccard_join")
+    for rows, start in _groups_of(batches, ("region", "i", "j")):
+        reps = rows.column("rep").to_numpy()
+        u, v = [reps[:0]], [reps[:0]]
+        for a, b in zip(start, np.append(start[1:], rows.num_rows)):
+            names, first = np.unique(reps[a:b], return_index=True)
+            if len(names) < 2:
+                continue
+            codes = rows.column("codes").take(pa.array(a + first)).to_pylist()
+            comp = linked_components([unpacked(c) for c in codes])
+            _, first = np.unique(comp, return_index=True)
+            root = names[first][np.unique(comp, return_inverse=True)[1]]
+            u.append(names[root != names])
+            v.append(root[root != names])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))],
+                                         names=["u", "v"])
+    give_back()
 
 
 def row_key(text: str = "text", key: str = "doc_id") -> Column:
@@ -342,9 +595,10 @@ def grouped_rows(df: DataFrame, text: str = "text", key: str = "doc_id") -> Data
                      F.col(f"`{text}`").cast("string").alias("text"), row_key(text, key).alias("row"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begin_task("jaccard_join")
         seen: set[int] = set()
         for batch in batches:
-            out = {c: [] for c in ("id", "row", "size", "fp", "mark", "below", "need", "prefix")}
+            out = {c: [] for c in ("id", "row", "size", "fp", "mark", "below", "need", "prefix", "shingles")}
             for i, row, body in zip(batch["id"], batch["row"], batch["text"]):
                 codes = shingle_set(body)
                 fp = _fingerprint(codes)
@@ -359,11 +613,15 @@ def grouped_rows(df: DataFrame, text: str = "text", key: str = "doc_id") -> Data
                 out["mark"].append(mark)
                 out["below"].append(below.tobytes() if new else None)
                 out["need"].append(smaller_needs(len(codes), int(below[LEAST_MARK - 1])) if new else None)
-                out["prefix"].append((prefix >> _CELL_BITS).view(np.int64) if new else None)
+                out["prefix"].append(packed_numbers(np.diff(prefix >> _CELL_BITS, prepend=np.uint64(0)))
+                                     if new else None)
+                out["shingles"].append(len(prefix) if new else 0)
             yield pd.DataFrame(out).astype({"id": "Int64", "mark": "Int32", "need": "Int64"})
+        _hashes.clear()
+        give_back()
 
     stored = scratch.save(docs.mapInPandas(
-        read, "id long, row long, size long, fp long, mark int, below binary, need long, prefix array<long>").withColumn(
+        read, "id long, row long, size long, fp long, mark int, below binary, need long, prefix binary, shingles long").withColumn(
         "place", F.monotonically_increasing_id()))
     # one representative per shingle set, with one row that knows its prefix; up to the whole sets
     # it goes by its place, whose numbers lie close together and so travel compressed
@@ -373,13 +631,16 @@ def grouped_rows(df: DataFrame, text: str = "text", key: str = "doc_id") -> Data
         F.min_by("row", first).alias("row"), F.min(first).alias("place")))
     reps = _semi(stored, classes.select("place"), "place").withColumnRenamed("place", "rep")
 
-    cell = Window.partitionBy("token").orderBy(F.xxhash64("rep"), "rep")
-    cells = reps.select("rep", F.explode("prefix").alias("token")).withColumns({
-        "pivot": F.first("rep").over(cell), "follows": F.lead("rep").over(cell).isNotNull()})
-    shared = scratch.save(cells.where("rep <> pivot OR follows").select("rep", "token", "pivot"))
+    shingles = stored.agg(F.sum("shingles")).first()[0] or 0
+    buckets = max(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shingles // BUCKET_SHINGLES))
+    shared = scratch.save(reps.select("rep", "prefix").mapInArrow(
+        _deal_cells(buckets), "bucket int, later boolean, base long, codes binary, reps binary").repartition(
+        "bucket").sortWithinPartitions("bucket", "later").mapInArrow(
+        _find_cells(buckets), "rep long, token int, pivot long"))
     lists = shared.groupBy("rep").agg(F.collect_list("token").alias("shared"))
-    records = scratch.save(_sharing_enough(lists.join(
-        reps.select("rep", "size", "mark", "below", "need"), "rep")))
+    known = scratch.save(lists.join(reps.select("rep", "size", "mark", "below", "need"), "rep"))
+    records = scratch.save(_sharing_enough(known))
+    scratch.release(known)
     keys = scratch.save(stored.select("id", "row", "size", "fp"))
     scratch.release(stored)
     pairs = scratch.save(shared.join(records.select("rep", "size"), "rep").select(
@@ -389,8 +650,8 @@ def grouped_rows(df: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     members = scratch.save(pairs.join(crowded, "pivot", "left_semi"))
     scratch.release(pairs)
     dealt = _blocked(members, "pivot", "rep", "size").drop("size").join(records, "rep")
-    kept = scratch.save(dealt.groupBy("pivot", "i", "j").applyInPandas(
-        _border, "rep long, size long, region long").distinct())
+    kept = scratch.save(dealt.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j").mapInArrow(
+        _borders, "rep long, size long, region long").distinct())
     scratch.release(members)
     scratch.release(records)
     places = classes.select(F.col("place").alias("rep"), "fp")
@@ -399,6 +660,7 @@ def grouped_rows(df: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     scratch.release(kept)
 
     def whole_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begin_task("jaccard_join")
         seen: set[int] = set()
         for batch in batches:
             out = {"rep": [], "codes": []}
@@ -411,13 +673,15 @@ def grouped_rows(df: DataFrame, text: str = "text", key: str = "doc_id") -> Data
                     out["rep"].append(fp)
                     out["codes"].append(packed(codes))
             yield pd.DataFrame(out)
+        _hashes.clear()
+        give_back()
 
     wanted = border.select(F.col("rep").alias("fp")).distinct().join(classes, "fp").select("row").distinct()
     sets = _semi(docs, wanted, "row").select("text").mapInPandas(whole_sets, "rep long, codes binary")
     members = scratch.save(_blocked(border, "region", "rep", "size").select("rep", "region", "i", "j"))
     few = members.count() <= BROADCAST_IDS
-    links = scratch.save(sets.join(F.broadcast(members) if few else members, "rep").groupBy(
-        "region", "i", "j").applyInPandas(_region_links, "u long, v long"))
+    links = scratch.save(sets.join(F.broadcast(members) if few else members, "rep").repartition(
+        "region", "i", "j").sortWithinPartitions("region", "i", "j").mapInArrow(_region_links, "u long, v long"))
     scratch.release(members)
     scratch.release(border)
     found = scratch.save(connected_components(links))

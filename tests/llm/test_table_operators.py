@@ -375,3 +375,68 @@ def test_packed_sets_come_back():
         assert back.dtype == np.uint64 and (back == codes >> np.uint64(8)).all()
     edge = np.array([0, 2 ** 64 - 1], dtype=np.uint64)
     assert jaccard_join.unpacked(jaccard_join.packed(edge)).tolist() == [0, 2 ** 56 - 1]
+
+
+@pytest.mark.parametrize("few", [2, 64])
+def test_cells_are_whole_and_a_bucket_holds_few_texts_of_a_shingle(monkeypatch, few):
+    """Shingles travel as gaps, and of a frequent one a bucket holds two texts per dealt lot at once."""
+    import pyarrow as pa
+    monkeypatch.setattr(jaccard_join, "FEW_TEXTS", few)
+    monkeypatch.setattr(jaccard_join, "DEALT_SHINGLES", 2_000)
+    rng = np.random.default_rng(few)
+    sets = {int(r): np.unique(np.concatenate([rng.integers(0, 1 << 46, 60), rng.integers(0, 40, 3), [5]])).astype(np.uint64)
+            for r in rng.choice(1 << 35, 200, replace=False)}
+    rows = pa.RecordBatch.from_pydict({
+        "rep": list(sets), "prefix": [jaccard_join.packed_numbers(np.diff(s, prepend=np.uint64(0))) for s in sets.values()]})
+    dealt = pa.Table.from_batches(jaccard_join._deal_cells(7)(iter([rows]))).sort_by([("bucket", "ascending"), ("later", "ascending")])
+    assert dealt.nbytes < 12 * sum(map(len, sets.values()))
+    assert any(dealt["later"].to_pylist()) == (few == 2)
+    lots = Counter()
+    for row in dealt.to_pylist():
+        codes = np.cumsum(jaccard_join.unpacked_numbers(row["codes"]), dtype=np.uint64)
+        if not row["later"]:
+            assert max(Counter(codes.tolist()).values()) <= max(few, 2)
+        lots[row["bucket"], row["later"]] += 1
+    found = defaultdict(set)
+    for batch in jaccard_join._find_cells(7)(iter(dealt.to_batches(max_chunksize=3))):
+        for row in batch.to_pylist():
+            found[row["token"]].add((row["rep"], row["pivot"]))
+    holders = defaultdict(list)
+    for rep, s in sets.items():
+        for token in s.tolist():
+            holders[token].append(rep)
+    wanted = defaultdict(set)
+    for token, reps in holders.items():
+        if len(reps) > 1:
+            pivot = min(reps, key=lambda r: int(jaccard_join._places(np.array([r]))[0]))
+            wanted[int(np.uint32(token & 0xFFFFFFFF).view(np.int32))] |= {(r, pivot) for r in reps}
+    assert found == wanted
+
+
+def test_borders_of_many_regions_are_those_of_each(monkeypatch):
+    import pandas as pd
+    import pyarrow as pa
+    rng = np.random.default_rng(4)
+    rows = []
+    for pivot, n in enumerate([1, 2, 2, 3, 9, 40, 2, 70, 5, 1, 30]):
+        base = rng.integers(0, 1 << 63, 80).astype(np.uint64) * np.uint64(2)
+        for rep in range(n):
+            codes = np.unique(np.concatenate([base[rng.random(80) > rng.choice([0.05, 0.2, 0.6])], rng.integers(
+                0, 1 << 63, rng.integers(1, 30)).astype(np.uint64)]))
+            prefix, mark, below = jaccard_join.prefix_of(codes)
+            rows.append((pivot, 0, 0, 1000 * pivot + rep, len(codes), mark, below.tobytes(),
+                         (prefix >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist()))
+    names = ["pivot", "i", "j", "rep", "size", "mark", "below", "shared"]
+    table = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (
+        pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32())))], names=names)
+    wanted = Counter()
+    for _, region in pd.DataFrame(rows, columns=names).groupby("pivot"):
+        if len(region) > 1:
+            wanted[frozenset(region["rep"][jaccard_join._large_border(region)])] += 1
+    for rows_at_once in (1, 7, 1000):
+        got = defaultdict(set)
+        for batch in jaccard_join._borders(iter(table.to_batches(max_chunksize=rows_at_once))):
+            for row in batch.to_pylist():
+                got[row["region"]].add(row["rep"])
+        assert set(map(frozenset, got.values())) == set(wanted) - {frozenset()}
+    assert 1 < len(got) < 9
