@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quietgrove.llm.common import bound_batches, free_name, replacing
+from quietgrove.llm.common import begin_task, bound_batches, free_name, give_back, replacing
 
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
@@ -40,7 +40,7 @@ UNDETERMINED = "und"
 #: Characters that are turned into n-grams at a time.
 PIECE = 1 << 20
 #: n-grams that are scored at a time.
-BATCH_GRAMS = 1 << 21
+BATCH_GRAMS = 1 << 18
 
 _ASCII_OTHER = re.compile(r"[^a-z]+")
 _OTHER = regex.compile(r"[^\p{L}\p{M}]+")
@@ -140,18 +140,22 @@ class LanguageModel:
         shared = df.sparkSession.sparkContext.broadcast((self.languages, self.log_prob))
 
         @F.pandas_udf("lang_pred string, score double, evidence double, n_grams long")
-        def judge(texts: pd.Series) -> pd.DataFrame:
+        def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            begin_task("language_id")
             model = LanguageModel(*shared.value)
-            scores, proof, n_grams = model.judge(texts.tolist())
-            if not model.languages:
-                return pd.DataFrame({"lang_pred": [UNDETERMINED] * len(texts), "score": 0.0,
-                                     "evidence": 0.0, "n_grams": 0})
-            best = scores.argmax(axis=1)
-            top = scores[np.arange(len(texts)), best]
-            names = np.array(model.languages, dtype=object)[best]
-            names[top == 0] = UNDETERMINED
-            return pd.DataFrame({"lang_pred": names, "score": np.minimum(top, 1.0),
-                                 "evidence": proof, "n_grams": n_grams})
+            for texts in batches:
+                if not model.languages:
+                    yield pd.DataFrame({"lang_pred": [UNDETERMINED] * len(texts), "score": 0.0,
+                                        "evidence": 0.0, "n_grams": 0})
+                    continue
+                scores, proof, n_grams = model.judge(texts.tolist())
+                best = scores.argmax(axis=1)
+                top = scores[np.arange(len(texts)), best]
+                names = np.array(model.languages, dtype=object)[best]
+                names[top == 0] = UNDETERMINED
+                yield pd.DataFrame({"lang_pred": names, "score": np.minimum(top, 1.0),
+                                    "evidence": proof, "n_grams": n_grams})
+            give_back()
 
         name = free_name(df, "judged")
         found = df.withColumn(name, judge(F.col(f"`{text}`").cast("string")))
@@ -186,6 +190,7 @@ def fit(df: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_
     place = {name: i for i, name in enumerate(languages)}
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begin_task("language_id")
         total = np.zeros((len(place), BUCKETS), dtype=np.int64)
         for batch in batches:
             for name, body in zip(batch["label"], batch["text"]):

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quietgrove.llm.common import bound_batches
+from quietgrove.llm.common import begin_task, bound_batches, give_back
 from quietgrove.llm.word_bpe import vocabulary
 from quietgrove.scratch import Scratch
 
@@ -207,6 +207,7 @@ def pack(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", wind
     kind = dict(df.dtypes)[key]
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task("word_bpe")
         words = vocabulary(path)
         for batch in batches:
             for part in text_slices(batch, "text"):
@@ -219,7 +220,7 @@ def pack(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", wind
                     [part.column("key").take(pa.array(doc)), pa.array(start), pa.array(length),
                      pa.array(tokens[doc]), as_binary(ids, length)], schema=_CODED)
         # the process lives on into later stages, its spare memory need not
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     body = df.select(F.col(f"`{key}`").cast("string").alias("key"),
                      F.col(f"`{text}`").cast("string").alias("text"))
@@ -227,6 +228,7 @@ def pack(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", wind
     stored = scratch.save(coded.withColumn("place", F.monotonically_increasing_id()))
 
     def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task("packing")
         total = np.zeros(_TERMS, dtype=np.int64)
         for batch in batches:
             for ids in split_ids(batch.column("ids")):
@@ -265,6 +267,7 @@ def pack(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", wind
                                           "sequence_id", "offset"])
 
     def pack_range(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begin_task("packing")
         held: list[pd.DataFrame] = []
         for batch in batches:
             held.append(batch)

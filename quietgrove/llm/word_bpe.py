@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from quietgrove.llm.bpe import byte_signs
+from quietgrove.llm.common import keeps
 
 #: Chunks remembered per process; the table is emptied when it is full.
 REMEMBERED = 400_000
@@ -165,3 +166,6 @@ class WordBpe:
 @functools.lru_cache(maxsize=2)
 def vocabulary(path: str) -> WordBpe:
     return WordBpe(path)
+
+
+keeps("word_bpe", vocabulary.cache_clear)
